@@ -1,0 +1,25 @@
+"""Size-checked broadcast.
+
+A side is broadcast only after a bounded count proves it small; otherwise
+it is returned untouched and the planner uses a shuffle join (AQE may
+still convert it at run time).  The count stops after ``max_rows + 1``
+rows, so the check costs at most one pass over a small side.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS_CONF = "gatecast.broadcast.maxRows"
+DEFAULT_MAX_ROWS = 2_000_000
+
+
+def max_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
+
+
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    bound = max_rows(df) if limit is None else limit
+    n = df.limit(bound + 1).count()
+    return F.broadcast(df) if n <= bound else df
