@@ -116,3 +116,20 @@ features AS (
 def with_ctes(*ctes: str, select: str) -> str:
     parts = [FIXTURE_CTES] + [c for c in ctes if c]
     return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n" + select
+
+# Scoring mode: every label kept; the estimate (and what derives from it)
+# is null when no update precedes the prediction.
+SCORING_FEATURE_CTES = FEATURE_CTES.split(",\nfeatures AS (")[0] + f""",
+features AS (
+  SELECT w.airport, w.gufi, w.timestamp, w.minutes_until_pushback,
+         {', '.join('w.' + c.strip() for c in WEATHER.split(','))},
+         w.aircraft_engine_class, coalesce(w.aircraft_type, 'OTHER') AS aircraft_type,
+         coalesce(w.major_carrier, 'OTHER') AS major_carrier, coalesce(w.flight_type, 'OTHER') AS flight_type,
+         CAST(epoch_us(a.departure_runway_estimated_time) - epoch_us(w.timestamp) - 900000000 AS DOUBLE)
+           / CAST(60000000 AS DOUBLE) AS benchmark_pushback,
+         dayname(a.departure_runway_estimated_time) AS day_of_week,
+         monthname(a.departure_runway_estimated_time) AS month,
+         CAST(hour(a.departure_runway_estimated_time) AS INT) AS hour,
+         CAST(year(a.departure_runway_estimated_time) AS INT) AS year
+  FROM with_mfs w LEFT JOIN latest a
+    ON w.airport = a.airport AND w.gufi = a.gufi AND w.timestamp = a.timestamp)"""

@@ -89,3 +89,157 @@ SPLIT_GROUPED_EXPR = ("CASE WHEN CAST(('0x' || substr(md5(gufi), 1, 8)) AS BIGIN
 
 ORACLE["mae_by_split"] = with_ctes(_FEATURES_WITH_DEP, select=f"""
 SELECT split, {_MAE} FROM (SELECT *, {SPLIT_EXPR} AS split FROM features) {_MAE_WHERE} GROUP BY split""")
+
+from gatecast.oracle import CEIL15, SCORING_FEATURE_CTES  # noqa: E402
+
+_F = with_ctes  # brevity
+
+ORACLE["filter_departures"] = _F(select="""
+SELECT airport, gufi, aircraft_engine_class, aircraft_type, major_carrier, flight_type
+FROM fx_mfs WHERE isdeparture""")
+
+ORACLE["filter_forecast_lead"] = _F(select="""
+SELECT * FROM fx_lamp WHERE forecast_timestamp = timestamp + INTERVAL 30 MINUTE""")
+
+ORACLE["filter_airport"] = _F(FEATURE_CTES, select=f"SELECT {FEATURE_COLS} FROM features WHERE airport = 'A3'")
+
+ORACLE["project_drop"] = _F(select=f"SELECT airport, forecast_timestamp, {WEATHER} FROM fx_lamp")
+
+ORACLE["project_positional"] = ORACLE["weather_lookup"]
+
+ORACLE["align_schema"] = _F(FEATURE_CTES, select="""
+SELECT airport, gufi, timestamp, minutes_until_pushback, aircraft_engine_class, aircraft_type,
+       major_carrier, flight_type, benchmark_pushback, day_of_week, month, hour, year FROM features""")
+
+ORACLE["ceil_15min"] = _F(select=f"""
+SELECT airport, gufi, timestamp, {CEIL15.format(t='timestamp')} AS rounded_timestamp FROM fx_etd""")
+
+ORACLE["round_15min"] = _F(select="""
+SELECT airport, gufi, timestamp,
+       make_timestamp(CAST(round_even(epoch_us(timestamp) / 900000000.0, 0) AS BIGINT) * 900000000) AS nearest_timestamp
+FROM fx_etd""")
+
+ORACLE["baseline_minutes"] = _F(_ASOF_FAN, select="""
+SELECT airport, gufi, timestamp,
+       CAST(epoch_us(departure_runway_estimated_time) - epoch_us(timestamp) - 900000000 AS DOUBLE)
+         / CAST(60000000 AS DOUBLE) AS benchmark_pushback
+FROM latest""")
+
+ORACLE["calendar_parts"] = _F(select="""
+SELECT airport, gufi, timestamp, dayname(departure_runway_estimated_time) AS day_of_week,
+       monthname(departure_runway_estimated_time) AS month,
+       CAST(hour(departure_runway_estimated_time) AS INT) AS hour,
+       CAST(year(departure_runway_estimated_time) AS INT) AS year
+FROM fx_etd""")
+
+ORACLE["coerce_timestamp"] = _F(select="""
+SELECT gufi, CAST(CAST(timestamp AS VARCHAR) AS TIMESTAMP) AS timestamp, airport FROM fx_labels""")
+
+ORACLE["round_half_even"] = _F(FEATURE_CTES, select="""
+SELECT airport, gufi, timestamp, CAST(round_even(benchmark_pushback, 0) AS INT) AS rounded_minutes FROM features""")
+
+ORACLE["fill_other"] = _F(select="""
+SELECT l.*, m.aircraft_engine_class, coalesce(m.aircraft_type, 'OTHER') AS aircraft_type,
+       coalesce(m.major_carrier, 'OTHER') AS major_carrier, coalesce(m.flight_type, 'OTHER') AS flight_type
+FROM fx_labels l LEFT JOIN (SELECT * FROM fx_mfs WHERE isdeparture) m
+  ON l.airport = m.airport AND l.gufi = m.gufi""")
+
+_ALL_FEATURES = [c.strip() for c in FEATURE_COLS.split(",")]
+
+ORACLE["drop_null_rows"] = _F(FEATURE_CTES, select=f"""
+SELECT {FEATURE_COLS} FROM features WHERE {' AND '.join(c + ' IS NOT NULL' for c in _ALL_FEATURES)}""")
+
+ORACLE["null_profile"] = _F(FEATURE_CTES, select=" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count FROM features" for c in _ALL_FEATURES))
+
+# The feature columns with no null at the driver's scales (weather and
+# engine class have nulls: unmatched forecasts, arrivals).
+ORACLE["drop_null_columns"] = _F(FEATURE_CTES, select="""
+SELECT airport, gufi, timestamp, minutes_until_pushback, aircraft_type, major_carrier, flight_type,
+       benchmark_pushback, day_of_week, month, hour, year FROM features""")
+
+_WEATHER_NULL = " OR ".join(f"{c.strip()} IS NULL" for c in WEATHER.split(","))
+
+ORACLE["row_has_null"] = _F(FEATURE_CTES, select=f"""
+SELECT airport, gufi, timestamp, ({_WEATHER_NULL}) AS weather_has_null FROM features""")
+
+ORACLE["batch_has_null"] = _F(SCORING_FEATURE_CTES, select=f"""
+SELECT airport, gufi, timestamp,
+       bool_or({_WEATHER_NULL}) OVER (PARTITION BY airport, timestamp) AS batch_weather_null
+FROM features""")
+
+ORACLE["union_train_test"] = _F(FEATURE_CTES, select=f"""
+SELECT * FROM (
+  SELECT airport, gufi, timestamp, minutes_until_pushback, 0 AS test FROM features WHERE {SPLIT_EXPR} = 'train'
+  UNION ALL
+  SELECT airport, gufi, timestamp, minutes_until_pushback, 1 AS test FROM features WHERE {SPLIT_EXPR} = 'test')
+WHERE test = 1""")
+
+ORACLE["sorted_output"] = _F(FEATURE_CTES, select=f"SELECT {FEATURE_COLS} FROM features ORDER BY gufi, timestamp")
+
+ORACLE["head_preview"] = _F(FEATURE_CTES, select="""
+SELECT airport, gufi, timestamp FROM (
+  SELECT airport, gufi, timestamp, row_number() OVER (PARTITION BY airport ORDER BY gufi, timestamp) AS rn
+  FROM features) WHERE rn = 1""")
+
+_CATS = ["cloud", "lightning_prob", "precip", "day_of_week", "month", "aircraft_engine_class",
+         "flight_type", "aircraft_type", "major_carrier", "year"]
+
+
+def _code(c: str) -> str:
+    v = f"CAST({c} AS VARCHAR)"
+    return (f"CAST(CASE WHEN {c} IS NULL THEN (SELECT count(DISTINCT {v}) FROM features) "
+            f"ELSE dense_rank() OVER (ORDER BY {v}) - 1 END AS INT) AS {c}_code")
+
+
+ORACLE["category_codes"] = _F(FEATURE_CTES, select=f"""
+SELECT airport, gufi, timestamp, {', '.join(_code(c) for c in _CATS)} FROM features""")
+
+# Levels of the three weather categories in the driver's data; the first
+# (alphabetical) level of each is dropped.
+_ONE_HOT = {"cloud": ["C1", "C2"], "lightning_prob": ["L2"], "precip": ["True"]}
+ORACLE["one_hot"] = _F(FEATURE_CTES, select="SELECT airport, gufi, timestamp, " + ", ".join(
+    f"coalesce(CAST({c} = '{lvl}' AS INT), 0) AS {c}_{lvl}" for c, lvls in _ONE_HOT.items() for lvl in lvls)
+    + " FROM features")
+
+ORACLE["hash_split"] = _F(FEATURE_CTES, select=f"SELECT airport, gufi, timestamp, {SPLIT_EXPR} AS split FROM features")
+ORACLE["hash_split_grouped"] = _F(FEATURE_CTES, select=f"""
+SELECT airport, gufi, timestamp, {SPLIT_GROUPED_EXPR} AS split FROM features""")
+
+ORACLE["clip_to_train_range"] = _F(FEATURE_CTES, select=f"""
+SELECT f.airport, f.gufi, f.timestamp,
+       least(greatest(f.benchmark_pushback, r.lo), r.hi) AS clipped_prediction
+FROM (SELECT * FROM features WHERE {SPLIT_EXPR} = 'test') f,
+     (SELECT min(minutes_until_pushback) AS lo, max(minutes_until_pushback) AS hi
+      FROM features WHERE {SPLIT_EXPR} = 'train') r""")
+
+ORACLE["features_and_label"] = _F(FEATURE_CTES, select=f"""
+SELECT {FEATURE_COLS}, ({SPLIT_EXPR} = 'test') AS is_validation FROM features""")
+
+_P_FULL = "benchmark_pushback + visibility - cloud_ceiling"
+_P_NA = "benchmark_pushback - 1.0"
+
+
+def _routed(flag: str) -> str:
+    return f"""
+       CASE WHEN benchmark_pushback IS NULL THEN 'none' WHEN {flag} THEN 'na' ELSE 'full' END AS model_variant,
+       CASE WHEN benchmark_pushback IS NOT NULL THEN
+         CAST(round_even(CASE WHEN {flag} THEN {_P_NA} ELSE {_P_FULL} END, 0) AS INT) END AS prediction"""
+
+
+ORACLE["route_row_variant"] = _F(SCORING_FEATURE_CTES, select=f"""
+SELECT airport, gufi, timestamp, weather_has_null, {_routed('weather_has_null')}
+FROM (SELECT *, ({_WEATHER_NULL}) AS weather_has_null FROM features)""")
+
+ORACLE["route_batch_variant"] = _F(SCORING_FEATURE_CTES, select=f"""
+SELECT airport, gufi, timestamp, batch_weather_null, {_routed('batch_weather_null')}
+FROM (SELECT *, bool_or({_WEATHER_NULL}) OVER (PARTITION BY airport, timestamp) AS batch_weather_null
+      FROM features)""")
+
+ORACLE["attach_predictions"] = _F(SCORING_FEATURE_CTES, select=f"""
+SELECT r.gufi, r.timestamp, r.airport, p.prediction AS minutes_until_pushback,
+       coalesce(p.model_variant, 'none') AS model_variant
+FROM fx_labels r LEFT JOIN (
+  SELECT airport, gufi, timestamp, weather_has_null, {_routed('weather_has_null')}
+  FROM (SELECT *, ({_WEATHER_NULL}) AS weather_has_null FROM features)) p
+  ON r.airport = p.airport AND r.gufi = p.gufi AND r.timestamp = p.timestamp""")

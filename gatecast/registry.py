@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatecast.functions import timeops as t
-from gatecast.functions.scalar import any_null, fill_other
+from gatecast.functions.scalar import any_null  # noqa: F401
 from gatecast.operators import asof, metadata, metrics, split, weather
 from gatecast.plans.features import feature_pipeline
 from gatecast.schemas import LABEL, WEATHER
@@ -114,3 +114,247 @@ def queries() -> dict[str, Query]:
     out = dict(QUERIES)
     out["feature_pipeline"] = out.pop("feature_pipeline_q")
     return out
+
+
+# ---- filters, projections --------------------------------------------------------
+
+FILTER_AIRPORT = "A3"
+NO_WEATHER_COLUMNS = None  # set below
+
+
+@query
+def filter_departures(spark, sf_dir):
+    return metadata.departures(fx.mfs(spark, sf_dir))
+
+
+@query
+def filter_forecast_lead(spark, sf_dir):
+    return weather.forecasts_with_lead(fx.lamp(spark, sf_dir))
+
+
+@query
+def filter_airport(spark, sf_dir):
+    return _features(spark, sf_dir).where(F.col("airport") == FILTER_AIRPORT)
+
+
+@query
+def project_drop(spark, sf_dir):
+    """Drop one column, keep named columns, drop a list."""
+    lamp = weather.drop_unused_weather(fx.lamp(spark, sf_dir))
+    kept = lamp.select("airport", "timestamp", "forecast_timestamp", *WEATHER)
+    return kept.drop(*["timestamp"])
+
+
+@query
+def project_positional(spark, sf_dir):
+    """The first 13 columns of the weather lookup, by position."""
+    df = weather.weather_lookup(fx.labels(spark, sf_dir), fx.lamp(spark, sf_dir))
+    return df.select(*df.columns[:13])
+
+
+@query
+def align_schema(spark, sf_dir):
+    """Drop the columns of one frame that another frame lacks."""
+    from gatecast.schemas import NO_WEATHER_CATEGORICAL, NO_WEATHER_NUMERIC
+    target = {"airport", "gufi", "timestamp", LABEL, *NO_WEATHER_CATEGORICAL, *NO_WEATHER_NUMERIC}
+    f = _features(spark, sf_dir)
+    extra = sorted(set(f.columns) - target)
+    return f.drop(*extra)
+
+
+# ---- scalar time functions -------------------------------------------------------
+
+@query
+def ceil_15min(spark, sf_dir):
+    e = fx.etd(spark, sf_dir)
+    return e.select("airport", "gufi", "timestamp", t.ceil_slot("timestamp").alias("rounded_timestamp"))
+
+
+@query
+def round_15min(spark, sf_dir):
+    e = fx.etd(spark, sf_dir)
+    return e.select("airport", "gufi", "timestamp",
+                    t.round_slot_half_even("timestamp").alias("nearest_timestamp"))
+
+
+@query
+def baseline_minutes(spark, sf_dir):
+    a = asof.asof_etd(fx.labels(spark, sf_dir), fx.etd(spark, sf_dir), strict=True)
+    return a.select("airport", "gufi", "timestamp",
+                    t.baseline_minutes("timestamp", asof.DEP).alias("benchmark_pushback"))
+
+
+@query
+def calendar_parts(spark, sf_dir):
+    e = fx.etd(spark, sf_dir)
+    d = F.col(asof.DEP)
+    return e.select("airport", "gufi", "timestamp", t.day_name(d).alias("day_of_week"),
+                    t.month_name(d).alias("month"), F.hour(d).alias("hour"), F.year(d).alias("year"))
+
+
+@query
+def coerce_timestamp(spark, sf_dir):
+    """Timestamps arriving as text are parsed back to TIMESTAMP_NTZ."""
+    as_text = fx.labels(spark, sf_dir).select(
+        "gufi", F.col("timestamp").cast("string").alias("timestamp"), "airport")
+    return as_text.withColumn("timestamp", t.coerce_timestamp("timestamp"))
+
+
+@query
+def round_half_even(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    from gatecast.functions.scalar import round_half_even_int
+    return f.select("airport", "gufi", "timestamp",
+                    round_half_even_int("benchmark_pushback").alias("rounded_minutes"))
+
+
+# ---- nulls ------------------------------------------------------------------------
+
+@query
+def fill_other(spark, sf_dir):
+    from gatecast.functions.scalar import fill_other as fill
+    return fill(metadata.left_join_metadata(fx.labels(spark, sf_dir), fx.mfs(spark, sf_dir)))
+
+
+@query
+def drop_null_rows(spark, sf_dir):
+    from gatecast.operators.nulls import drop_null_rows as drop
+    return drop(_features(spark, sf_dir))
+
+
+@query
+def null_profile(spark, sf_dir):
+    from gatecast.operators.nulls import null_profile as profile
+    return profile(_features(spark, sf_dir))
+
+
+@query
+def drop_null_columns(spark, sf_dir):
+    from gatecast.operators.nulls import drop_null_columns as drop
+    return drop(_features(spark, sf_dir))
+
+
+@query
+def row_has_null(spark, sf_dir):
+    from gatecast.operators.nulls import with_row_null_flag
+    f = with_row_null_flag(_features(spark, sf_dir), WEATHER, "weather_has_null")
+    return f.select("airport", "gufi", "timestamp", "weather_has_null")
+
+
+@query
+def batch_has_null(spark, sf_dir):
+    from gatecast.operators.nulls import with_batch_null_flag
+    f = with_batch_null_flag(_features(spark, sf_dir, strict=False), WEATHER,
+                             ["airport", "timestamp"], "batch_weather_null")
+    return f.select("airport", "gufi", "timestamp", "batch_weather_null")
+
+
+# ---- sets, order ------------------------------------------------------------------
+
+@query
+def union_train_test(spark, sf_dir):
+    """U2 + D11 + F6: flag the halves, union them, keep the test flag."""
+    f = split.hash_split(_features(spark, sf_dir))
+    train = f.where(F.col("split") == "train").drop("split").withColumn("test", F.lit(0))
+    test = f.where(F.col("split") == "test").drop("split").withColumn("test", F.lit(1))
+    both = train.unionByName(test)
+    return both.where(F.col("test") == 1).select("airport", "gufi", "timestamp", LABEL, "test")
+
+
+@query
+def sorted_output(spark, sf_dir):
+    return _features(spark, sf_dir).orderBy("gufi", "timestamp")
+
+
+@query
+def head_preview(spark, sf_dir):
+    """O3: the first row (by gufi, timestamp) of each airport's features."""
+    f = _features(spark, sf_dir)
+    first = F.min(F.struct("gufi", "timestamp")).alias("first")
+    return f.groupBy("airport").agg(first).select(
+        "airport", F.col("first.gufi").alias("gufi"), F.col("first.timestamp").alias("timestamp"))
+
+
+# ---- encode, split -----------------------------------------------------------------
+
+@query
+def category_codes(spark, sf_dir):
+    from gatecast.operators.encode import category_codes as codes
+    from gatecast.schemas import CATEGORICAL
+    out, _ = codes(_features(spark, sf_dir), CATEGORICAL)
+    return out.select("airport", "gufi", "timestamp", *[c + "_code" for c in CATEGORICAL])
+
+
+ONE_HOT_COLUMNS = ["cloud", "lightning_prob", "precip"]
+
+
+@query
+def one_hot(spark, sf_dir):
+    from gatecast.operators.encode import one_hot as encode
+    f = _features(spark, sf_dir).select("airport", "gufi", "timestamp", *ONE_HOT_COLUMNS)
+    return encode(f, ONE_HOT_COLUMNS).drop(*ONE_HOT_COLUMNS)
+
+
+@query
+def hash_split(spark, sf_dir):
+    return split.hash_split(_features(spark, sf_dir)).select("airport", "gufi", "timestamp", "split")
+
+
+@query
+def hash_split_grouped(spark, sf_dir):
+    return split.hash_split(_features(spark, sf_dir), grouped=True).select(
+        "airport", "gufi", "timestamp", "split")
+
+
+@query
+def clip_to_train_range(spark, sf_dir):
+    """A5 + D14: test-half baseline predictions clamped to the train label range."""
+    from gatecast.functions.scalar import clip
+    f = split.hash_split(_features(spark, sf_dir))
+    lo, hi = metrics.label_range(f.where(F.col("split") == "train"))
+    test = f.where(F.col("split") == "test")
+    return test.select("airport", "gufi", "timestamp",
+                       clip("benchmark_pushback", F.lit(lo), F.lit(hi)).alias("clipped_prediction"))
+
+
+@query
+def features_and_label(spark, sf_dir):
+    """P5 + M3: feature columns, label, key and validation flag side by side."""
+    f = split.hash_split(_features(spark, sf_dir))
+    return f.withColumn("is_validation", F.col("split") == "test").drop("split")
+
+
+# ---- routing with deterministic stand-in predictors -----------------------------
+
+def standin_predictors():
+    from gatecast.plans.scoring import expression_predictor
+    full = expression_predictor(F.col("benchmark_pushback") + F.col("visibility") - F.col("cloud_ceiling"))
+    na = expression_predictor(F.col("benchmark_pushback") - F.lit(1.0))
+    return full, na
+
+
+@query
+def route_row_variant(spark, sf_dir):
+    from gatecast.plans.scoring import route_rows
+    full, na = standin_predictors()
+    out = route_rows(_features(spark, sf_dir, strict=False), full, na)
+    return out.select("airport", "gufi", "timestamp", "weather_has_null", "model_variant", "prediction")
+
+
+@query
+def route_batch_variant(spark, sf_dir):
+    from gatecast.plans.scoring import route_batches
+    full, na = standin_predictors()
+    out = route_batches(_features(spark, sf_dir, strict=False), full, na)
+    return out.select("airport", "gufi", "timestamp", "batch_weather_null", "model_variant", "prediction")
+
+
+@query
+def attach_predictions(spark, sf_dir):
+    from gatecast.plans.scoring import attach_predictions as attach, route_rows
+    i = fx.load_inputs(spark, sf_dir)
+    requests = i["labels"]
+    keys = requests.select("gufi", "timestamp", "airport").distinct()
+    feats = feature_pipeline(keys, i["etd"], i["lamp"], i["mfs"], strict=False)
+    full, na = standin_predictors()
+    return attach(requests, route_rows(feats, full, na))
