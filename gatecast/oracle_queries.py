@@ -243,3 +243,8 @@ FROM fx_labels r LEFT JOIN (
   SELECT airport, gufi, timestamp, weather_has_null, {_routed('weather_has_null')}
   FROM (SELECT *, ({_WEATHER_NULL}) AS weather_has_null FROM features)) p
   ON r.airport = p.airport AND r.gufi = p.gufi AND r.timestamp = p.timestamp""")
+
+ORACLE["scan_csv_bz2"] = _F(select="SELECT * FROM fx_etd")
+ORACLE["scan_multi_airport"] = _F(select="SELECT * FROM fx_lamp")
+ORACLE["sink_csv_roundtrip"] = ORACLE["attach_predictions"]
+ORACLE["feature_table_cache"] = ORACLE["filter_airport"]

@@ -358,3 +358,187 @@ def attach_predictions(spark, sf_dir):
     feats = feature_pipeline(keys, i["etd"], i["lamp"], i["mfs"], strict=False)
     full, na = standin_predictors()
     return attach(requests, route_rows(feats, full, na))
+
+
+# ---- sources and sinks (round trips through the shared folder) --------------------
+
+@query
+def scan_csv_bz2(spark, sf_dir):
+    """S1 + S2: estimate updates written as bzip2 CSV and read back with a schema."""
+    from gatecast.schemas import ETD_SCHEMA
+    from gatecast.session import fresh_dir
+    from gatecast.sources.files import read_csv, write_csv
+    path = write_csv(fx.etd(spark, sf_dir), fresh_dir(spark, "etd-csv-bz2"), bz2=True)
+    return read_csv(spark, f"{path}/*.csv.bz2", ETD_SCHEMA)
+
+
+@query
+def scan_multi_airport(spark, sf_dir):
+    """S3 + U3: forecasts written one folder per airport, read in one scan."""
+    from gatecast.schemas import LAMP_SCHEMA
+    from gatecast.session import fresh_dir
+    from gatecast.sources.files import AIRPORT_FROM_PARTITION_PATH, read_airport_tables, write_csv
+    path = write_csv(fx.lamp(spark, sf_dir), fresh_dir(spark, "lamp-by-airport"), bz2=True,
+                     partition_by=["airport"])
+    return read_airport_tables(spark, f"{path}/airport=*/*.csv.bz2", LAMP_SCHEMA,
+                               AIRPORT_FROM_PARTITION_PATH)
+
+
+@query
+def sink_csv_roundtrip(spark, sf_dir):
+    """Routed predictions written as CSV (no index) and read back."""
+    from gatecast.session import fresh_dir
+    from gatecast.sources.files import read_csv, write_csv
+    out = attach_predictions(spark, sf_dir)
+    path = write_csv(out, fresh_dir(spark, "predictions-csv"))
+    return read_csv(spark, path, out.schema)
+
+
+@query
+def feature_table_cache(spark, sf_dir):
+    """Feature table written partitioned by airport, one airport read back."""
+    from gatecast.session import fresh_dir
+    from gatecast.sources.files import read_feature_table, write_feature_table
+    path = write_feature_table(_features(spark, sf_dir), fresh_dir(spark, "features"))
+    return read_feature_table(spark, path, [FILTER_AIRPORT])
+
+
+# ---- models (rows-only checks) ---------------------------------------------------
+
+def _airports(df: DataFrame) -> list[str]:
+    """Distinct airports (low cardinality) for per-airport model fits."""
+    return sorted(r[0] for r in df.select("airport").distinct().collect())
+
+
+def _training_features(spark, sf_dir) -> DataFrame:
+    """Strict features with the hash split, written once partitioned by airport."""
+    from gatecast.session import fresh_dir
+    from gatecast.sources.files import read_feature_table, write_feature_table
+    f = split.hash_split(_features(spark, sf_dir))
+    return read_feature_table(spark, write_feature_table(f, fresh_dir(spark, "train-features")))
+
+
+def _predict_all(models, feats, variant_of_model):
+    from gatecast.plans.models import VARIANTS, predictor
+    parts = []
+    for (a, v), m in sorted(models.items()):
+        rows = feats.where(F.col("airport") == a)
+        if v == "full":
+            from gatecast.plans.models import weather_complete
+            rows = weather_complete(rows)
+        p = predictor(m, VARIANTS[v])(rows).select(
+            "airport", "gufi", "timestamp", "split", LABEL, F.lit(v).alias("model_variant"), "prediction")
+        parts.append(p)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def fit_gbt_validated(spark, sf_dir):
+    """M4: boosted trees per airport, stopping early on the validation half."""
+    from functools import partial
+    from gatecast.plans.models import FULL, fit_gbt, fit_per_airport
+    f = _training_features(spark, sf_dir).withColumn("is_validation", F.col("split") == "test")
+    fit = partial(fit_gbt, validation_col="is_validation")
+    models = fit_per_airport(f, _airports(f), [FULL], fit=fit)
+    return _predict_all(models, f, None)
+
+
+@query
+def fit_gbt_final(spark, sf_dir):
+    """M5: boosted trees per airport on all rows, weather variant."""
+    from gatecast.plans.models import FULL, fit_per_airport
+    f = _training_features(spark, sf_dir)
+    return _predict_all(fit_per_airport(f, _airports(f), [FULL]), f, None)
+
+
+@query
+def fit_gbt_no_weather(spark, sf_dir):
+    """M6: boosted trees per airport without any weather input."""
+    from gatecast.plans.models import NO_WEATHER, fit_per_airport
+    f = _training_features(spark, sf_dir)
+    return _predict_all(fit_per_airport(f, _airports(f), [NO_WEATHER]), f, None)
+
+
+@query
+def fit_lasso(spark, sf_dir):
+    """M12 + D14: L1 linear model per airport, predictions clamped to the
+    airport's training label range."""
+    from gatecast.functions.scalar import clip
+    from gatecast.operators.broadcast import broadcast_if_small
+    from gatecast.plans.models import FULL, LassoParams, fit_per_airport, lasso_pipeline, training_rows
+
+    def fit(train, variant):
+        return lasso_pipeline(variant, LassoParams()).fit(training_rows(train, variant))
+
+    f = _training_features(spark, sf_dir)
+    train = f.where(F.col("split") == "train")
+    preds = _predict_all(fit_per_airport(train, _airports(f), [FULL], fit=fit), f, None)
+    ranges = train.groupBy("airport").agg(F.min(LABEL).alias("lo"), F.max(LABEL).alias("hi"))
+    out = preds.join(broadcast_if_small(ranges), ["airport"], "left")
+    return out.withColumn("prediction", clip("prediction", F.col("lo"), F.col("hi"))).drop("lo", "hi")
+
+
+@query
+def fit_random_forest(spark, sf_dir):
+    """Random forest per airport (500 trees, depth 15, seed 1994)."""
+    from gatecast.plans.models import FULL, ForestParams, fit_per_airport, forest_pipeline, training_rows
+
+    def fit(train, variant):
+        return forest_pipeline(variant, ForestParams()).fit(training_rows(train, variant))
+
+    f = _training_features(spark, sf_dir)
+    train = f.where(F.col("split") == "train")
+    return _predict_all(fit_per_airport(train, _airports(f), [FULL], fit=fit), f, None)
+
+
+@query
+def tune_random_search(spark, sf_dir):
+    """Seeded random search per airport, no-weather variant."""
+    from gatecast.plans.models import NO_WEATHER
+    from gatecast.plans.tuning import EVALS_NO_WEATHER, tune_per_airport
+    f = _training_features(spark, sf_dir)
+    return tune_per_airport(f.where(F.col("split") == "train"), _airports(f), NO_WEATHER, EVALS_NO_WEATHER)
+
+
+def _train_both(spark, sf_dir):
+    from gatecast.plans.models import FULL, NO_WEATHER, fit_per_airport
+    f = _training_features(spark, sf_dir)
+    train = f.where(F.col("split") == "train")
+    return f, fit_per_airport(train, _airports(f), [FULL, NO_WEATHER])
+
+
+@query
+def model_roundtrip(spark, sf_dir):
+    """S7 + S8: save every (airport, variant) model, load it back, and score
+    with both copies side by side."""
+    from gatecast.plans.models import load_models, save_models
+    from gatecast.session import fresh_dir
+    f, models = _train_both(spark, sf_dir)
+    loaded = load_models(save_models(models, fresh_dir(spark, "models")))
+    a = _predict_all(models, f, None).withColumnRenamed("prediction", "prediction_saved")
+    b = _predict_all(loaded, f, None).select("airport", "gufi", "timestamp", "model_variant",
+                                             F.col("prediction").alias("prediction_loaded"))
+    return a.join(b, ["airport", "gufi", "timestamp", "model_variant"], "inner")
+
+
+@query
+def predict_requests(spark, sf_dir):
+    """Score the held-out requests of every airport in one job."""
+    from gatecast.plans.predict import score_requests
+    i = fx.load_inputs(spark, sf_dir)
+    _, models = _train_both(spark, sf_dir)
+    requests = split.hash_split(i["labels"]).where(F.col("split") == "test").drop("split")
+    return score_requests(requests, i, models)
+
+
+@query
+def stream_predict(spark, sf_dir):
+    """T1 as a stream: the same requests through Structured Streaming."""
+    from gatecast.streaming.predict_stream import stream_score
+    i = fx.load_inputs(spark, sf_dir)
+    _, models = _train_both(spark, sf_dir)
+    requests = split.hash_split(i["labels"]).where(F.col("split") == "test").drop("split")
+    return stream_score(spark, requests, i, models)
