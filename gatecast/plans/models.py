@@ -149,24 +149,54 @@ def lasso_pipeline(variant: Variant, p: LassoParams) -> Pipeline:
     return Pipeline(stages=stages)
 
 
+def _level_stats(df: DataFrame, variant: Variant) -> tuple[int, int]:
+    """(rows, widest category incl. the unknown slot) in one aggregation pass."""
+    r = df.agg(F.count(F.lit(1)).alias("_n"),
+               *[F.countDistinct(c).alias(c) for c in variant.categorical]).first()
+    widest = max([r[c] or 0 for c in variant.categorical] + [0]) + 1
+    return r["_n"], widest
+
+
 def _bins_for(df: DataFrame, variant: Variant, floor: int) -> int:
-    """Trees need maxBins above the widest category; count levels in one pass."""
-    counts = df.agg(*[F.countDistinct(c).alias(c) for c in variant.categorical]).first()
-    widest = max([counts[c] or 0 for c in variant.categorical] + [0]) + 1
-    return max(floor, widest + 1)
+    """Trees need maxBins above the widest category."""
+    return max(floor, _level_stats(df, variant)[1] + 1)
 
 
-def fit_gbt(train: DataFrame, variant: Variant, p: GbtParams = GbtParams(),
-            validation_col: str | None = None) -> PipelineModel:
+def fit_guarded(train: DataFrame, variant: Variant, make_pipeline, max_bins: int = 128):
+    """Fit ``make_pipeline(bins)`` on the variant's training rows, or return
+    None when the rows cannot support a tree over its categories (MLlib caps
+    the bins at the row count): that airport/variant then has no model and
+    scoring falls back to the other variant or to ``none``."""
     rows = training_rows(train, variant)
-    bins = _bins_for(rows, variant, p.max_bins)
-    params = GbtParams(**{**p.__dict__, "max_bins": bins})
-    return gbt_pipeline(variant, params, validation_col).fit(rows)
+    n, widest = _level_stats(rows, variant)
+    if n <= widest:
+        return None
+    return make_pipeline(max(max_bins, widest + 1)).fit(rows)
+
+
+def fit_gbt(train: DataFrame, variant: Variant, p: GbtParams = GbtParams(),
+            validation_col: str | None = None) -> PipelineModel | None:
+    return fit_guarded(
+        train, variant,
+        lambda bins: gbt_pipeline(variant, GbtParams(**{**p.__dict__, "max_bins": bins}), validation_col),
+        p.max_bins)
+
+
+def fit_forest(train: DataFrame, variant: Variant, p: ForestParams = ForestParams()) -> PipelineModel | None:
+    return fit_guarded(
+        train, variant,
+        lambda bins: forest_pipeline(variant, ForestParams(**{**p.__dict__, "max_bins": bins})),
+        p.max_bins)
+
+
+def fit_lasso(train: DataFrame, variant: Variant, p: LassoParams = LassoParams()) -> PipelineModel | None:
+    return fit_guarded(train, variant, lambda bins: lasso_pipeline(variant, p))
 
 
 def fit_per_airport(train: DataFrame, airports: list[str], variants: list[Variant],
                     fit=fit_gbt, threads: int = 10) -> dict[tuple[str, str], PipelineModel]:
-    """One model per (airport, variant); airports fitted concurrently."""
+    """One model per (airport, variant) that has enough rows; airports fitted
+    concurrently as separate jobs."""
     jobs = [(a, v) for a in airports for v in variants]
 
     def one(job):
@@ -174,7 +204,7 @@ def fit_per_airport(train: DataFrame, airports: list[str], variants: list[Varian
         return job, fit(train.where(F.col("airport") == a), v)
 
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs)))) as pool:
-        return {(a, v.name): m for (a, v), m in pool.map(one, jobs)}
+        return {(a, v.name): m for (a, v), m in pool.map(one, jobs) if m is not None}
 
 
 def predictor(model: PipelineModel, variant: Variant):

@@ -26,9 +26,17 @@ from gatecast.sources.files import read_feature_table, write_feature_table
 
 
 def predictors_by_airport(models: dict[tuple[str, str], PipelineModel]):
-    airports = sorted({a for a, _ in models})
-    return {a: (predictor(models[(a, FULL.name)], FULL), predictor(models[(a, NO_WEATHER.name)], NO_WEATHER))
-            for a in airports if (a, FULL.name) in models and (a, NO_WEATHER.name) in models}
+    """airport -> (full, no-weather) predictors.  A missing full model falls
+    back to the no-weather one (it needs no weather); a missing no-weather
+    model leaves rows with missing weather unscored."""
+    out = {}
+    for a in sorted({a for a, _ in models}):
+        na = models.get((a, NO_WEATHER.name))
+        full = models.get((a, FULL.name))
+        p_na = predictor(na, NO_WEATHER) if na is not None else None
+        p_full = predictor(full, FULL) if full is not None else p_na
+        out[a] = (p_full, p_na)
+    return out
 
 
 def time_bounded_inputs(requests: DataFrame, etd: DataFrame, lamp: DataFrame):

@@ -23,23 +23,27 @@ def expression_predictor(expr: F.Column, name: str = "prediction") -> Predictor:
     return lambda df: df.withColumn(name, expr)
 
 
-def _score(df: DataFrame, predictor: Predictor, name: str) -> DataFrame:
-    """Run a predictor and keep only its prediction, renamed."""
+def _score(df: DataFrame, predictor: Predictor | None, name: str) -> DataFrame:
+    """Run a predictor (None: no model) and keep only its prediction, renamed."""
+    if predictor is None:
+        return df.withColumn(name, F.lit(None).cast("double"))
     out = predictor(df)
     return out.select(*df.columns, F.col("prediction").alias(name))
 
 
 def _finish(scored: DataFrame, use_na: F.Column) -> DataFrame:
+    """Pick the routed prediction; rows with no estimate, or whose routed model
+    does not exist, get a null prediction and variant ``none``."""
     scorable = F.col("benchmark_pushback").isNotNull()
-    variant = (F.when(~scorable, F.lit("none")).when(use_na, F.lit("na"))
-               .otherwise(F.lit("full")))
     pred = F.when(scorable, F.when(use_na, F.col("_p_na")).otherwise(F.col("_p_full")))
+    variant = (F.when(pred.isNull(), F.lit("none")).when(use_na, F.lit("na"))
+               .otherwise(F.lit("full")))
     return (scored.withColumn("model_variant", variant)
             .withColumn("prediction", round_half_even_int(pred))
             .drop("_p_na", "_p_full"))
 
 
-def route_rows(features: DataFrame, full: Predictor, no_weather: Predictor) -> DataFrame:
+def route_rows(features: DataFrame, full: Predictor | None, no_weather: Predictor | None) -> DataFrame:
     """M15 + A8 + D15: a row with any null weather value takes the no-weather
     prediction; both are computed in the same pass (narrow, no shuffle)."""
     f = features.withColumn("weather_has_null", any_null(WEATHER))
@@ -47,7 +51,7 @@ def route_rows(features: DataFrame, full: Predictor, no_weather: Predictor) -> D
     return _finish(scored, F.col("weather_has_null"))
 
 
-def route_batches(features: DataFrame, full: Predictor, no_weather: Predictor,
+def route_batches(features: DataFrame, full: Predictor | None, no_weather: Predictor | None,
                   batch_keys: tuple[str, ...] = ("airport", "timestamp")) -> DataFrame:
     """M14 + A9: a batch (one airport and prediction time) with any null weather
     value is scored by the no-weather model as a whole."""
@@ -56,7 +60,8 @@ def route_batches(features: DataFrame, full: Predictor, no_weather: Predictor,
     return _finish(scored, F.col("batch_weather_null"))
 
 
-def dispatch_by_airport(features: DataFrame, models: Mapping[str, tuple[Predictor, Predictor]],
+def dispatch_by_airport(features: DataFrame,
+                        models: Mapping[str, tuple[Predictor | None, Predictor | None]],
                         router=route_rows) -> DataFrame:
     """Each airport's rows go to that airport's pair of models.
 
@@ -67,9 +72,7 @@ def dispatch_by_airport(features: DataFrame, models: Mapping[str, tuple[Predicto
     parts = [router(features.where(F.col("airport") == a), full, na)
              for a, (full, na) in sorted(models.items())]
     unknown = features.where(~F.col("airport").isin(list(models)) | F.col("airport").isNull())
-    empty = router(unknown, expression_predictor(F.lit(None).cast("double")),
-                   expression_predictor(F.lit(None).cast("double")))
-    parts.append(empty.withColumn("model_variant", F.lit("none")))
+    parts.append(router(unknown, None, None))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatecast.plans.models import GbtParams, Variant, _bins_for, gbt_pipeline, training_rows
+from gatecast.plans.models import GbtParams, Variant, _level_stats, gbt_pipeline, training_rows
 from gatecast.schemas import LABEL
 
 # ---- fixed values: the reference's search settings -------------------------
@@ -67,8 +67,10 @@ def tune(train: DataFrame, variant: Variant, n_evals: int, base: GbtParams | Non
     """
     base = base or GbtParams(min_instances_per_node=MIN_ROWS_PER_LEAF[variant.name])
     rows = training_rows(train, variant)
-    bins = _bins_for(rows, variant, base.max_bins)
-    params = GbtParams(**{**base.__dict__, "max_bins": bins})
+    n, widest = _level_stats(rows, variant)
+    if n * 0.8 <= widest + 1:  # the search's training part could not hold the categories
+        return [], None
+    params = GbtParams(**{**base.__dict__, "max_bins": max(base.max_bins, widest + 1)})
     pipe = gbt_pipeline(variant, params)
     gbt = pipe.getStages()[-1]
     draws = sample_space(n_evals, variant.name, seed)

@@ -429,6 +429,10 @@ def _predict_all(models, feats, variant_of_model):
         p = predictor(m, VARIANTS[v])(rows).select(
             "airport", "gufi", "timestamp", "split", LABEL, F.lit(v).alias("model_variant"), "prediction")
         parts.append(p)
+    if not parts:  # no airport had enough rows for a model
+        return feats.limit(0).select("airport", "gufi", "timestamp", "split", LABEL,
+                                     F.lit(None).cast("string").alias("model_variant"),
+                                     F.lit(None).cast("double").alias("prediction"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -468,14 +472,12 @@ def fit_lasso(spark, sf_dir):
     airport's training label range."""
     from gatecast.functions.scalar import clip
     from gatecast.operators.broadcast import broadcast_if_small
-    from gatecast.plans.models import FULL, LassoParams, fit_per_airport, lasso_pipeline, training_rows
-
-    def fit(train, variant):
-        return lasso_pipeline(variant, LassoParams()).fit(training_rows(train, variant))
+    from gatecast.plans.models import FULL, fit_per_airport
+    from gatecast.plans.models import fit_lasso as fit_lasso_model
 
     f = _training_features(spark, sf_dir)
     train = f.where(F.col("split") == "train")
-    preds = _predict_all(fit_per_airport(train, _airports(f), [FULL], fit=fit), f, None)
+    preds = _predict_all(fit_per_airport(train, _airports(f), [FULL], fit=fit_lasso_model), f, None)
     ranges = train.groupBy("airport").agg(F.min(LABEL).alias("lo"), F.max(LABEL).alias("hi"))
     out = preds.join(broadcast_if_small(ranges), ["airport"], "left")
     return out.withColumn("prediction", clip("prediction", F.col("lo"), F.col("hi"))).drop("lo", "hi")
@@ -484,14 +486,10 @@ def fit_lasso(spark, sf_dir):
 @query
 def fit_random_forest(spark, sf_dir):
     """Random forest per airport (500 trees, depth 15, seed 1994)."""
-    from gatecast.plans.models import FULL, ForestParams, fit_per_airport, forest_pipeline, training_rows
-
-    def fit(train, variant):
-        return forest_pipeline(variant, ForestParams()).fit(training_rows(train, variant))
-
+    from gatecast.plans.models import FULL, fit_forest, fit_per_airport
     f = _training_features(spark, sf_dir)
     train = f.where(F.col("split") == "train")
-    return _predict_all(fit_per_airport(train, _airports(f), [FULL], fit=fit), f, None)
+    return _predict_all(fit_per_airport(train, _airports(f), [FULL], fit=fit_forest), f, None)
 
 
 @query
