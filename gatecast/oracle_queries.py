@@ -247,4 +247,4 @@ FROM fx_labels r LEFT JOIN (
 ORACLE["scan_csv_bz2"] = _F(select="SELECT * FROM fx_etd")
 ORACLE["scan_multi_airport"] = _F(select="SELECT * FROM fx_lamp")
 ORACLE["sink_csv_roundtrip"] = ORACLE["attach_predictions"]
-ORACLE["feature_table_cache"] = ORACLE["filter_airport"]
+ORACLE["feature_table_cache"] = ORACLE["feature_pipeline"]

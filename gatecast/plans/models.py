@@ -98,7 +98,9 @@ def training_rows(features: DataFrame, variant: Variant) -> DataFrame:
 
 
 def scoring_rows(features: DataFrame, variant: Variant) -> DataFrame:
-    return as_category_strings(features, variant.categorical)
+    types = {f.name: f.dataType.typeName() for f in features.schema.fields}
+    non_string = [c for c in variant.categorical if types[c] != "string"]
+    return features.withColumns({c: F.col(c).cast("string") for c in non_string}) if non_string else features
 
 
 def _indexer(variant: Variant) -> StringIndexer:
@@ -208,12 +210,17 @@ def fit_per_airport(train: DataFrame, airports: list[str], variants: list[Varian
 
 
 def predictor(model: PipelineModel, variant: Variant):
-    """Wrap a model as a ``DataFrame -> DataFrame`` adding ``prediction``."""
-    def run(df: DataFrame) -> DataFrame:
+    """Wrap a model as ``(df, name='prediction') -> df`` adding one double column.
+
+    Categories are cast to string for the indexer in place; one final select
+    restores the input types, drops the model's helper columns and names the
+    prediction (few DataFrame operations keep per-airport dispatch cheap to plan).
+    """
+    def run(df: DataFrame, name: str = "prediction") -> DataFrame:
+        types = {f.name: f.dataType for f in df.schema.fields}
         out = model.transform(scoring_rows(df, variant))
-        # categories were cast to string for the indexer; restore the input types
-        return out.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns],
-                          "prediction")
+        return out.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()],
+                          F.col("prediction").alias(name))
     return run
 
 

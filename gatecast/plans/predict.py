@@ -47,7 +47,9 @@ def time_bounded_inputs(requests: DataFrame, etd: DataFrame, lamp: DataFrame):
     update older than 30 hours is hidden anyway, and a forecast serves only
     slots 30-75 minutes after its issue.
     """
-    r = requests.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
+    # carried as text so no driver-side time zone touches the NTZ values
+    r = requests.agg(F.min("timestamp").cast("string").alias("lo"),
+                     F.max("timestamp").cast("string").alias("hi")).first()
     if r["lo"] is None:
         return etd.limit(0), lamp.limit(0)
     lo, hi = F.lit(r["lo"]).cast("timestamp_ntz"), F.lit(r["hi"]).cast("timestamp_ntz")

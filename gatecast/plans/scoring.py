@@ -19,16 +19,15 @@ from gatecast.schemas import LABEL, REQUEST_KEYS, WEATHER
 Predictor = Callable[[DataFrame], DataFrame]
 
 
-def expression_predictor(expr: F.Column, name: str = "prediction") -> Predictor:
-    return lambda df: df.withColumn(name, expr)
+def expression_predictor(expr: F.Column) -> Predictor:
+    return lambda df, name="prediction": df.withColumn(name, expr)
 
 
 def _score(df: DataFrame, predictor: Predictor | None, name: str) -> DataFrame:
-    """Run a predictor (None: no model) and keep only its prediction, renamed."""
+    """Run a predictor (None: no model), its output column named ``name``."""
     if predictor is None:
         return df.withColumn(name, F.lit(None).cast("double"))
-    out = predictor(df)
-    return out.select(*df.columns, F.col("prediction").alias(name))
+    return predictor(df, name)
 
 
 def _finish(scored: DataFrame, use_na: F.Column) -> DataFrame:
@@ -38,9 +37,8 @@ def _finish(scored: DataFrame, use_na: F.Column) -> DataFrame:
     pred = F.when(scorable, F.when(use_na, F.col("_p_na")).otherwise(F.col("_p_full")))
     variant = (F.when(pred.isNull(), F.lit("none")).when(use_na, F.lit("na"))
                .otherwise(F.lit("full")))
-    return (scored.withColumn("model_variant", variant)
-            .withColumn("prediction", round_half_even_int(pred))
-            .drop("_p_na", "_p_full"))
+    keep = [c for c in scored.columns if c not in ("_p_na", "_p_full", "prediction", "model_variant")]
+    return scored.select(*keep, variant.alias("model_variant"), round_half_even_int(pred).alias("prediction"))
 
 
 def route_rows(features: DataFrame, full: Predictor | None, no_weather: Predictor | None) -> DataFrame:

@@ -15,7 +15,7 @@ from gatecast.functions import timeops as t
 from gatecast.functions.scalar import any_null  # noqa: F401
 from gatecast.operators import asof, metadata, metrics, split, weather
 from gatecast.plans.features import feature_pipeline
-from gatecast.schemas import LABEL, WEATHER
+from gatecast.schemas import FEATURE_COLUMNS, LABEL, WEATHER
 from gatecast.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,11 +396,12 @@ def sink_csv_roundtrip(spark, sf_dir):
 
 @query
 def feature_table_cache(spark, sf_dir):
-    """Feature table written partitioned by airport, one airport read back."""
+    """Feature table written partitioned by airport and read back whole
+    (per-airport reads prune partitions; see the model fits)."""
     from gatecast.session import fresh_dir
     from gatecast.sources.files import read_feature_table, write_feature_table
     path = write_feature_table(_features(spark, sf_dir), fresh_dir(spark, "features"))
-    return read_feature_table(spark, path, [FILTER_AIRPORT])
+    return read_feature_table(spark, path).select(*FEATURE_COLUMNS)
 
 
 # ---- models (rows-only checks) ---------------------------------------------------

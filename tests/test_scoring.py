@@ -80,3 +80,14 @@ def test_one_hot_drops_first_level_nulls_zero(spark):
     assert out[0]["cat_b"] == 0 and out[1]["cat_b"] == 1 and out[2]["cat_c"] == 1
     assert out[3]["cat_b"] == 0 and out[3]["cat_c"] == 0
     assert "cat_a" not in one_hot(df, ["cat"]).columns
+
+
+def test_feature_table_prunes_partitions(spark):
+    from gatecast.session import fresh_dir
+    from gatecast.sources.files import read_feature_table, write_feature_table
+    df = spark.createDataFrame([("A1", 1), ("A2", 2), ("A3", 3)], "airport string, v int")
+    path = write_feature_table(df, fresh_dir(spark, "prune-test"))
+    one = read_feature_table(spark, path, ["A2"])
+    assert [r["v"] for r in one.collect()] == [2]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(airport" in plan and "A2" in plan
