@@ -39,6 +39,33 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+# Settings for a large cluster (~100 TB inputs).  Shuffle partitions start
+# high and AQE coalesces them to ~256 MB each; skewed join partitions are
+# split; scans read 512 MB splits; only explicitly size-checked sides are
+# broadcast beyond Spark's own 64 MB runtime threshold.
+SCALE_DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_scale_defaults(spark: SparkSession) -> SparkSession:
+    """Apply ``SCALE_DEFAULTS`` for every key the job's own conf does not set."""
+    given = spark.sparkContext.getConf()
+    for k, v in SCALE_DEFAULTS.items():
+        if not given.contains(k):
+            spark.conf.set(k, v)
+    return spark
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """Folder under the cluster's shared checkpoint location.
 
