@@ -64,3 +64,23 @@ def test_stream_equals_batch(spark, trained):
     assert sorted(map(key, batch)) == sorted(map(key, stream))
     assert len(batch) == requests.count()
     assert {r["model_variant"] for r in batch} <= {"full", "na", "none"}
+
+
+def test_reference_shaped_api(spark, trained):
+    from gatecast import api
+    i, _, models = trained
+    root = fresh_dir(spark, "api-models")
+    save_models(models, root)
+    loaded = api.load_model(root, ["A1", "A2"])
+    assert set(loaded) == set(models)
+    reqs = i["labels"].where(F.col("airport") == "A1").limit(5).drop("airport").toPandas()
+    etd = i["etd"].where(F.col("airport") == "A1").drop("airport")
+    lamp = i["lamp"].where(F.col("airport") == "A1").drop("airport")
+    mfs = i["mfs"].where(F.col("airport") == "A1").drop("airport")
+    out = api.predict(etd=etd, lamp=lamp, mfs=mfs, airport="A1", partial_submission_format=reqs, model=loaded)
+    assert out.count() == len(reqs)
+    empty = api.predict(etd=etd, lamp=lamp, mfs=mfs, airport="A1",
+                        partial_submission_format=reqs.iloc[:0], model=loaded)
+    assert empty.count() == 0
+    clean = api.clean_data(i["labels"], i["etd"], i["lamp"], i["mfs"])
+    assert api.onehot(clean).count() <= clean.count()
