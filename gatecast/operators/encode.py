@@ -43,7 +43,8 @@ def one_hot(df: DataFrame, cols: list[str]) -> DataFrame:
     idx = category_indexer(cols).fit(src)
     enc = OneHotEncoder(inputCols=[c + "_idx" for c in cols], outputCols=[c + "_vec" for c in cols],
                         dropLast=True, handleInvalid="keep")
-    coded = enc.fit(idx.transform(src)).transform(idx.transform(src))
+    indexed = idx.transform(src)
+    coded = enc.fit(indexed).transform(indexed)
     extra = []
     for c, levels in zip(cols, idx.labelsArray):
         arr = vector_to_array(F.col(c + "_vec"))

@@ -32,6 +32,12 @@ def _features(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return feature_pipeline(i["labels"], i["etd"], i["lamp"], i["mfs"], **kw)
 
 
+def _features_once(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    """Features written once to the shared folder, for queries that read them twice."""
+    from gatecast.session import materialize
+    return materialize(_features(spark, sf_dir, **kw), "features")
+
+
 # ---- flagship ----------------------------------------------------------------
 
 @query
@@ -231,7 +237,7 @@ def null_profile(spark, sf_dir):
 @query
 def drop_null_columns(spark, sf_dir):
     from gatecast.operators.nulls import drop_null_columns as drop
-    return drop(_features(spark, sf_dir))
+    return drop(_features_once(spark, sf_dir))
 
 
 @query
@@ -244,7 +250,7 @@ def row_has_null(spark, sf_dir):
 @query
 def batch_has_null(spark, sf_dir):
     from gatecast.operators.nulls import with_batch_null_flag
-    f = with_batch_null_flag(_features(spark, sf_dir, strict=False), WEATHER,
+    f = with_batch_null_flag(_features_once(spark, sf_dir, strict=False), WEATHER,
                              ["airport", "timestamp"], "batch_weather_null")
     return f.select("airport", "gufi", "timestamp", "batch_weather_null")
 
@@ -281,7 +287,7 @@ def head_preview(spark, sf_dir):
 def category_codes(spark, sf_dir):
     from gatecast.operators.encode import category_codes as codes
     from gatecast.schemas import CATEGORICAL
-    out, _ = codes(_features(spark, sf_dir), CATEGORICAL)
+    out, _ = codes(_features_once(spark, sf_dir), CATEGORICAL)
     return out.select("airport", "gufi", "timestamp", *[c + "_code" for c in CATEGORICAL])
 
 
@@ -291,7 +297,7 @@ ONE_HOT_COLUMNS = ["cloud", "lightning_prob", "precip"]
 @query
 def one_hot(spark, sf_dir):
     from gatecast.operators.encode import one_hot as encode
-    f = _features(spark, sf_dir).select("airport", "gufi", "timestamp", *ONE_HOT_COLUMNS)
+    f = _features_once(spark, sf_dir).select("airport", "gufi", "timestamp", *ONE_HOT_COLUMNS)
     return encode(f, ONE_HOT_COLUMNS).drop(*ONE_HOT_COLUMNS)
 
 
@@ -310,7 +316,7 @@ def hash_split_grouped(spark, sf_dir):
 def clip_to_train_range(spark, sf_dir):
     """A5 + D14: test-half baseline predictions clamped to the train label range."""
     from gatecast.functions.scalar import clip
-    f = split.hash_split(_features(spark, sf_dir))
+    f = split.hash_split(_features_once(spark, sf_dir))
     lo, hi = metrics.label_range(f.where(F.col("split") == "train"))
     test = f.where(F.col("split") == "test")
     return test.select("airport", "gufi", "timestamp",
@@ -345,7 +351,7 @@ def route_row_variant(spark, sf_dir):
 def route_batch_variant(spark, sf_dir):
     from gatecast.plans.scoring import route_batches
     full, na = standin_predictors()
-    out = route_batches(_features(spark, sf_dir, strict=False), full, na)
+    out = route_batches(_features_once(spark, sf_dir, strict=False), full, na)
     return out.select("airport", "gufi", "timestamp", "batch_weather_null", "model_variant", "prediction")
 
 

@@ -88,3 +88,16 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     if "://" not in path or path.startswith("file:"):
         os.makedirs(path.replace("file:", ""), exist_ok=True)
     return path
+
+
+def materialize(df, label: str = "materialized"):
+    """Write ``df`` once as parquet under the shared folder and read it back.
+
+    For frames that several jobs read (fit-then-transform, aggregate-then-
+    join-back): the lineage is cut on shared storage, so later jobs neither
+    recompute it nor depend on executors that may be lost, and the re-read
+    keeps columnar pruning and pushed filters.
+    """
+    path = fresh_dir(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
