@@ -71,5 +71,6 @@ def score_requests(requests: DataFrame, inputs: dict[str, DataFrame],
         etd, lamp = time_bounded_inputs(keys, etd, lamp)
     feats = feature_pipeline(keys, etd, lamp, inputs["mfs"], strict=False, bounded=True)
     path = write_feature_table(feats, fresh_dir(spark, "scoring-features"))
-    scored = dispatch_by_airport(read_feature_table(spark, path), predictors_by_airport(models), route_rows)
+    stored = read_feature_table(spark, path, schema=feats.schema)
+    scored = dispatch_by_airport(stored, predictors_by_airport(models), route_rows)
     return attach_predictions(requests, scored)

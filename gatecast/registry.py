@@ -15,7 +15,7 @@ from gatecast.functions import timeops as t
 from gatecast.functions.scalar import any_null  # noqa: F401
 from gatecast.operators import asof, metadata, metrics, split, weather
 from gatecast.plans.features import feature_pipeline
-from gatecast.schemas import FEATURE_COLUMNS, LABEL, WEATHER
+from gatecast.schemas import LABEL, WEATHER
 from gatecast.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -406,8 +406,9 @@ def feature_table_cache(spark, sf_dir):
     (per-airport reads prune partitions; see the model fits)."""
     from gatecast.session import fresh_dir
     from gatecast.sources.files import read_feature_table, write_feature_table
-    path = write_feature_table(_features(spark, sf_dir), fresh_dir(spark, "features"))
-    return read_feature_table(spark, path).select(*FEATURE_COLUMNS)
+    f = _features(spark, sf_dir)
+    path = write_feature_table(f, fresh_dir(spark, "features"))
+    return read_feature_table(spark, path, schema=f.schema)
 
 
 # ---- models (rows-only checks) ---------------------------------------------------
@@ -422,7 +423,8 @@ def _training_features(spark, sf_dir) -> DataFrame:
     from gatecast.session import fresh_dir
     from gatecast.sources.files import read_feature_table, write_feature_table
     f = split.hash_split(_features(spark, sf_dir))
-    return read_feature_table(spark, write_feature_table(f, fresh_dir(spark, "train-features")))
+    path = write_feature_table(f, fresh_dir(spark, "train-features"))
+    return read_feature_table(spark, path, schema=f.schema)
 
 
 def _predict_all(models, feats, variant_of_model):

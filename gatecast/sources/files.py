@@ -58,7 +58,15 @@ def write_feature_table(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_feature_table(spark: SparkSession, path: str, airports: list[str] | None = None) -> DataFrame:
-    """S9 (read): partition pruning when ``airports`` is given."""
-    df = spark.read.parquet(path)
+def read_feature_table(spark: SparkSession, path: str, airports: list[str] | None = None,
+                       schema: T.StructType | None = None) -> DataFrame:
+    """S9 (read): partition pruning when ``airports`` is given.
+
+    Pass the written frame's ``schema`` so the airport partition column is
+    read as a string instead of type-inferred from folder names.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    df = reader.parquet(path)
+    if schema is not None:
+        df = df.select(*schema.names)
     return df.where(F.col("airport").isin(airports)) if airports else df

@@ -85,9 +85,11 @@ def test_one_hot_drops_first_level_nulls_zero(spark):
 def test_feature_table_prunes_partitions(spark):
     from gatecast.session import fresh_dir
     from gatecast.sources.files import read_feature_table, write_feature_table
-    df = spark.createDataFrame([("A1", 1), ("A2", 2), ("A3", 3)], "airport string, v int")
+    df = spark.createDataFrame([("A1", 1), ("A2", 2), ("0123", 3)], "airport string, v int")
     path = write_feature_table(df, fresh_dir(spark, "prune-test"))
-    one = read_feature_table(spark, path, ["A2"])
+    one = read_feature_table(spark, path, ["A2"], schema=df.schema)
     assert [r["v"] for r in one.collect()] == [2]
+    codes = {r["airport"] for r in read_feature_table(spark, path, schema=df.schema).collect()}
+    assert codes == {"A1", "A2", "0123"}
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(airport" in plan and "A2" in plan
