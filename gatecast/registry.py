@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatecast.functions import timeops as t
-from gatecast.functions.scalar import any_null  # noqa: F401
 from gatecast.operators import asof, metadata, metrics, split, weather
 from gatecast.plans.features import feature_pipeline
 from gatecast.schemas import LABEL, WEATHER
@@ -125,7 +124,6 @@ def queries() -> dict[str, Query]:
 # ---- filters, projections --------------------------------------------------------
 
 FILTER_AIRPORT = "A3"
-NO_WEATHER_COLUMNS = None  # set below
 
 
 @query
