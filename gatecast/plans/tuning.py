@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gatecast.operators.metrics import prediction_mae
 from gatecast.plans.models import GbtParams, Variant, _level_stats, gbt_pipeline, training_rows
 from gatecast.schemas import LABEL
 
@@ -42,6 +43,8 @@ TRIAL_SCHEMA = T.StructType([
     T.StructField("feature_fraction", T.DoubleType()),
     T.StructField("validation_mae", T.DoubleType()),
     T.StructField("is_best", T.BooleanType()),
+    T.StructField("train_mae", T.DoubleType()),
+    T.StructField("test_mae", T.DoubleType()),
 ])
 
 
@@ -58,12 +61,18 @@ def sample_space(n: int, variant: str = "full", seed: int = 23) -> list[dict]:
     return out
 
 
+def _mae(model, rows: DataFrame) -> float | None:
+    scored = model.transform(rows)
+    return prediction_mae(scored).first()["mae_minutes"]
+
+
 def tune(train: DataFrame, variant: Variant, n_evals: int, base: GbtParams | None = None,
-         parallelism: int = 4, seed: int = 23):
+         parallelism: int = 4, seed: int = 23, test: DataFrame | None = None):
     """M9 + M10 + M11 for one training frame: returns (trials, best PipelineModel).
 
     The best setting is refitted on all training rows with the same leaf
-    minimum the search used.
+    minimum the search used, and scored on the training rows and on
+    ``test`` (M11's train and test MAE, on the best trial's row).
     """
     base = base or GbtParams(min_instances_per_node=MIN_ROWS_PER_LEAF[variant.name])
     rows = training_rows(train, variant)
@@ -83,16 +92,29 @@ def tune(train: DataFrame, variant: Variant, n_evals: int, base: GbtParams | Non
     fitted = tvs.fit(rows)
     metrics = list(fitted.validationMetrics)
     best = min(range(len(metrics)), key=metrics.__getitem__)
-    trials = [(i, d["step_size"], d["max_depth"], d["feature_fraction"], float(m), i == best)
+    refit = pipe.copy(maps[best]).fit(rows)
+    train_mae = _mae(refit, rows)
+    test_mae = _mae(refit, training_rows(test, variant)) if test is not None else None
+    trials = [(i, d["step_size"], d["max_depth"], d["feature_fraction"], float(m), i == best,
+               train_mae if i == best else None, test_mae if i == best else None)
               for i, (d, m) in enumerate(zip(draws, metrics))]
-    return trials, fitted.bestModel
+    return trials, refit
 
 
 def tune_per_airport(features: DataFrame, airports: list[str], variant: Variant, n_evals: int,
                      base: GbtParams | None = None, threads: int = 10) -> DataFrame:
-    """Search per airport (airports concurrently); one row per trial."""
+    """Search per airport (airports concurrently); one row per trial.
+
+    With a ``split`` column, the search uses the ``train`` rows and the best
+    refit is also scored on the ``test`` rows.
+    """
+    has_split = "split" in features.columns
+
     def one(a):
-        trials, _ = tune(features.where(F.col("airport") == a), variant, n_evals, base)
+        rows = features.where(F.col("airport") == a)
+        train = rows.where(F.col("split") == "train") if has_split else rows
+        test = rows.where(F.col("split") == "test") if has_split else None
+        trials, _ = tune(train, variant, n_evals, base, test=test)
         return [(a, variant.name, *t) for t in trials]
 
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(airports)))) as pool:

@@ -84,3 +84,13 @@ def test_reference_shaped_api(spark, trained):
     assert empty.count() == 0
     clean = api.clean_data(i["labels"], i["etd"], i["lamp"], i["mfs"])
     assert api.onehot(clean).count() <= clean.count()
+
+
+def test_tuning_reports_best_refit(spark, trained):
+    from gatecast.plans.tuning import tune_per_airport
+    _, f, _ = trained
+    out = tune_per_airport(f, ["A1"], NO_WEATHER, 3, base=GbtParams(max_iter=2, max_depth=2)).collect()
+    assert len(out) == 3
+    best = [r for r in out if r["is_best"]]
+    assert len(best) == 1 and best[0]["train_mae"] is not None and best[0]["test_mae"] is not None
+    assert best[0]["validation_mae"] == min(r["validation_mae"] for r in out)
