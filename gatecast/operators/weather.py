@@ -63,7 +63,7 @@ def weather_slots(lamp: DataFrame) -> DataFrame:
 def weather_matched(labels: DataFrame, lamp: DataFrame) -> DataFrame:
     """J1 + U1: every (label, forecast) pair the four shifted equi-joins produce."""
     slotted = _slotted(lamp).withColumnRenamed("slot", "timestamp")
-    return labels.join(slotted, ["airport", "timestamp"], "inner").select(
+    return labels.join(broadcast_if_small(slotted), ["airport", "timestamp"], "inner").select(
         "gufi", "timestamp", "airport", LABEL, "issue_timestamp", *WEATHER_OUT)
 
 
