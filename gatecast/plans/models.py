@@ -64,16 +64,19 @@ class GbtParams:
     validation_tol: float = 0.01
 
 
+# ---- fixed values: the reference's final boosting settings per variant -------
 REFERENCE_FULL = GbtParams(max_iter=1000, max_depth=17, step_size=0.053555531051409686,
                            min_instances_per_node=250, feature_fraction=0.9932740303336315,
                            max_bins=1000)
 REFERENCE_NO_WEATHER = GbtParams(max_iter=1000, max_depth=13, step_size=0.08369562410523884,
                                  min_instances_per_node=200, feature_fraction=0.8360831187256348,
                                  max_bins=1000)
+# ------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class ForestParams:
+    # fixed values: the reference's random forest (500 trees, depth 15, seed 1994)
     num_trees: int = 500
     max_depth: int = 15
     seed: int = 1994
@@ -82,6 +85,7 @@ class ForestParams:
 
 @dataclass(frozen=True)
 class LassoParams:
+    # fixed value: the reference's L1 strength
     alpha: float = 0.01
     max_iter: int = 100
     extra: dict = field(default_factory=dict)
