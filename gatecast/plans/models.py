@@ -13,7 +13,7 @@ submitted from a small driver thread pool and run as concurrent jobs.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -88,7 +88,6 @@ class LassoParams:
     # fixed value: the reference's L1 strength
     alpha: float = 0.01
     max_iter: int = 100
-    extra: dict = field(default_factory=dict)
 
 
 def _subset(fraction: float) -> str:
@@ -163,11 +162,6 @@ def _level_stats(df: DataFrame, variant: Variant) -> tuple[int, int]:
     return r["_n"], widest
 
 
-def _bins_for(df: DataFrame, variant: Variant, floor: int) -> int:
-    """Trees need maxBins above the widest category."""
-    return max(floor, _level_stats(df, variant)[1] + 1)
-
-
 def fit_guarded(train: DataFrame, variant: Variant, make_pipeline, max_bins: int = 128):
     """Fit ``make_pipeline(bins)`` on the variant's training rows, or return
     None when the rows cannot support a tree over its categories (MLlib caps
