@@ -1,9 +1,16 @@
-"""The end-to-end feature pipeline (M18) and the model input (P5, M3).
+"""The end-to-end feature pipeline.
 
-labels -> weather lookup (broadcast, no shuffle of the labels)
-       -> as-of estimate + departure metadata (joined to each other on the
-          small per-slot table, then to the labels in a single shuffle)
+labels (keys + label only)
+       -> as-of estimate + departure metadata: joined to each other on the
+          small per-slot table, then to the labels in the one shuffle the
+          label side takes, while it is still four columns wide
+       -> weather lookup (broadcast; no second shuffle of the labels)
        -> baseline, calendar parts, category fill.
+
+The weather join is a left join on a key that is unique in the slot
+table, so it commutes with the as-of step; running it last keeps the
+weather columns out of the shuffle and, in strict mode, skips rows the
+as-of step drops.
 """
 
 from __future__ import annotations
@@ -44,9 +51,9 @@ def feature_pipeline(labels: DataFrame, etd: DataFrame, lamp: DataFrame, mfs: Da
     """
     if LABEL not in labels.columns:
         labels = labels.withColumn(LABEL, F.lit(None).cast("int"))
-    with_weather = weather_lookup(labels.select("gufi", "timestamp", "airport", LABEL), lamp)
+    base = labels.select("gufi", "timestamp", "airport", LABEL)
     meta = departures(mfs).select("airport", "gufi", *FLIGHT_CATEGORICAL)
-    joined = asof_etd(with_weather, etd, strict=strict,
+    joined = asof_etd(base, etd, strict=strict,
                       max_age_hours=VISIBLE_HISTORY_HOURS if bounded else None, extra=meta)
-    out = fill_other(add_time_features(joined))
+    out = fill_other(add_time_features(weather_lookup(joined, lamp)))
     return out.select(*FEATURE_COLUMNS, *([DEP] if keep_estimate else []))
