@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatecast.functions.timeops import ceil_slot
+from gatecast.functions.timeops import US_PER_MINUTE, ceil_slot, floor_slot
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ def etd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weather forecasts: issue hour, forecast time, readings."""
     ev = _events(spark, sf_dir).where(F.col("event_type").isin("error", "signup"))
-    issue = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+    # hour truncation in integer microseconds: no session time zone involved
+    issue = floor_slot("ts", 60 * US_PER_MINUTE)
     lead = ((F.col("event_id") % 2 + 1) * 30).cast("int")
     return (
         ev.select(

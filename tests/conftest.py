@@ -10,6 +10,15 @@ from gatecast.schemas import ETD_SCHEMA, LABELS_SCHEMA, LAMP_SCHEMA, MFS_SCHEMA
 from gatecast.session import build_session  # noqa: E402
 
 
+@pytest.fixture(scope="session")
+def con():
+    import duckdb
+    c = duckdb.connect()
+    for t in ("events", "customer"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    return c
+
+
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[4]", shuffle_partitions=8, app_name="gatecast-tests")

@@ -2,7 +2,6 @@
 
 import math
 
-import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -24,14 +23,6 @@ def _rows(cols, rows):
     return sorted(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
-@pytest.fixture(scope="module")
-def con():
-    c = duckdb.connect()
-    for t in ("events", "customer"):
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    return c
-
-
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
