@@ -2,10 +2,13 @@
 
 Requests arrive as files; each micro-batch is scored by the same batch
 plan against the static estimate / forecast / metadata tables, restricted
-to the 30 hours the batch can see, and appended to a parquet sink.  The
+to the 30 hours the batch can see, and written to a parquet sink.  The
 query keeps no state of its own (the bounded as-of join is recomputed
 per batch), so it needs no watermark; progress is kept in a checkpoint
-folder under the shared location so a restarted query resumes exactly.
+folder under the shared location so a restarted query resumes where it
+stopped.  Each micro-batch overwrites its own ``batch_id=N`` folder, so a
+batch replayed after a failure replaces its earlier output instead of
+duplicating it (exactly-once output).
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ def start_scoring_stream(spark: SparkSession, requests_dir: str, inputs: dict[st
               .option("maxFilesPerTrigger", files_per_trigger).parquet(requests_dir))
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        score_requests(batch, inputs, models).write.mode("append").parquet(out_dir)
+        scored = score_requests(batch, inputs, models)
+        scored.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
     w = (stream.writeStream.foreachBatch(score_batch)
          .option("checkpointLocation", checkpoint_dir or fresh_dir(spark, "stream-ckpt")))
@@ -46,4 +50,4 @@ def stream_score(spark: SparkSession, requests: DataFrame, inputs: dict[str, Dat
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.parquet(out_dir)
+    return spark.read.parquet(out_dir).drop("batch_id")
