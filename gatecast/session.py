@@ -70,11 +70,15 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """Folder under the cluster's shared checkpoint location.
 
     Reads ``spark.checkpoint.dir`` from the session; sets one only when it
-    is unset (local runs), and also points the SparkContext at it so
-    ``DataFrame.checkpoint()`` writes there.
+    is unset and the master is local (tests), and also points the
+    SparkContext at it so MLlib's periodic checkpoints write there.  On a
+    cluster an unset value is an error rather than a machine-local folder.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach "
+                               "(HDFS, object store); a machine-local folder is unsafe on a cluster")
         base = tempfile.mkdtemp(prefix="gatecast-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, base)
     if spark.sparkContext.getCheckpointDir() is None:
