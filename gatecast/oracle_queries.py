@@ -10,7 +10,7 @@ FEATURE_COLS = ("airport, gufi, timestamp, minutes_until_pushback, " + WEATHER +
                 ", aircraft_engine_class, aircraft_type, major_carrier, flight_type, "
                 "benchmark_pushback, day_of_week, month, hour, year")
 
-ORACLE["feature_pipeline"] = with_ctes(FEATURE_CTES, select=f"SELECT {FEATURE_COLS} FROM features")
+ORACLE["clean_features"] = with_ctes(FEATURE_CTES, select=f"SELECT {FEATURE_COLS} FROM features")
 
 ORACLE["weather_lookup"] = with_ctes(WEATHER_CTES, select="SELECT * FROM pushback")
 
@@ -247,4 +247,4 @@ FROM fx_labels r LEFT JOIN (
 ORACLE["scan_csv_bz2"] = _F(select="SELECT * FROM fx_etd")
 ORACLE["scan_multi_airport"] = _F(select="SELECT * FROM fx_lamp")
 ORACLE["sink_csv_roundtrip"] = ORACLE["attach_predictions"]
-ORACLE["feature_table_cache"] = ORACLE["feature_pipeline"]
+ORACLE["feature_table_cache"] = ORACLE["clean_features"]

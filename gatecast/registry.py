@@ -40,7 +40,8 @@ def _features_once(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 # ---- flagship ----------------------------------------------------------------
 
 @query
-def feature_pipeline_q(spark, sf_dir):
+def clean_features(spark, sf_dir):
+    """The end-to-end clean feature table (the reference's ``clean_data``)."""
     return _features(spark, sf_dir)
 
 
@@ -116,9 +117,7 @@ def mae_by_split(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    out = dict(QUERIES)
-    out["feature_pipeline"] = out.pop("feature_pipeline_q")
-    return out
+    return dict(QUERIES)
 
 
 # ---- filters, projections --------------------------------------------------------

@@ -27,7 +27,7 @@ def test_no_pairs_no_python(spark, name):
 
 
 def test_flagship_shape(spark):
-    plan = _plan(entry.queries()["feature_pipeline"](spark, SF))
+    plan = _plan(entry.queries()["clean_features"](spark, SF))
     assert plan.count("Window (") == 1            # one running window for the as-of step
     assert "BroadcastExchange" in plan             # the checked weather-slot table
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,purchase)]" in plan

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from test_oracle import SF, _rows
 
-ZONE_SENSITIVE = ["feature_pipeline", "calendar_parts", "round_15min", "asof_bounded_30h",
+ZONE_SENSITIVE = ["clean_features", "calendar_parts", "round_15min", "asof_bounded_30h",
                   "scan_csv_bz2", "filter_forecast_lead"]
 
 
