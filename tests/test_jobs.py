@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gatecast.operators.split import hash_split
 from gatecast.plans.jobs import predict_job, read_inputs, train_job
+from gatecast import cli
 from gatecast.api import load_model
 from gatecast.session import fresh_dir
 from gatecast.sources import fixtures as fx
@@ -43,3 +44,7 @@ def test_reference_layout_jobs(spark):
     n_req = spark.read.option("header", True).csv(f"{root}/submission_format.csv").count()
     assert scored.count() == n_req
     assert spark.read.option("header", True).csv(out).count() == n_req
+    cli_out = fresh_dir(spark, "cli-predictions")
+    cli.main(["predict", "--local", "--data", root, "--submission", f"{root}/submission_format.csv",
+              "--models", model_root, "--out", cli_out])
+    assert spark.read.option("header", True).csv(cli_out).count() == n_req
