@@ -94,3 +94,17 @@ def test_tuning_reports_best_refit(spark, trained):
     best = [r for r in out if r["is_best"]]
     assert len(best) == 1 and best[0]["train_mae"] is not None and best[0]["test_mae"] is not None
     assert best[0]["validation_mae"] == min(r["validation_mae"] for r in out)
+
+
+def test_stream_restart_does_not_duplicate(spark, trained):
+    from gatecast.streaming.predict_stream import start_scoring_stream
+    i, _, models = trained
+    requests = hash_split(i["labels"]).where(
+        (F.col("split") == "test") & F.col("airport").isin(AIRPORTS)).drop("split")
+    req_dir, out_dir, ckpt = (fresh_dir(spark, n) for n in ("rs-req", "rs-out", "rs-ckpt"))
+    requests.repartition(2).write.mode("overwrite").parquet(req_dir)
+    for _ in range(2):  # second start resumes from the checkpoint: nothing new to do
+        q = start_scoring_stream(spark, req_dir, i, models, out_dir, checkpoint_dir=ckpt)
+        q.awaitTermination()
+        assert q.exception() is None
+        assert spark.read.parquet(out_dir).count() == requests.count()
