@@ -74,25 +74,31 @@ def weather_unmatched(labels: DataFrame, lamp: DataFrame) -> DataFrame:
 
 
 def join_indicator(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer join on ``keys`` (null-safe, as pandas matches NaN) with a
-    ``_merge`` column of ``both`` / ``left_only`` / ``right_only``.
-
-    The right side is reduced to its distinct keys first, so duplicate keys
-    never multiply into all pairs; the indicator is unchanged by that.
+    """The rows of a full outer join on ``keys`` (null-safe, as pandas matches
+    NaN) with a ``_merge`` column of ``both`` / ``left_only`` / ``right_only``.
+
+    Written as a left join against the right side's distinct keys plus an
+    anti join for the right-only keys.  A full outer join cannot have a hot
+    key split at run time; a left join can (AQE splits the left side), and
+    duplicate keys never multiply into all pairs.  The rows and indicator
+    equal those of the full outer join with the right side's keys deduped.
     """
-    lk = left.select(*keys).withColumn("_in_left", F.lit(True))
-    rk = (right.select(*[F.col(k).alias(f"_r_{k}") for k in keys]).distinct()
-          .withColumn("_in_right", F.lit(True)))
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = c if cond is None else cond & c
-    j = lk.join(rk, cond, "full_outer")
-    merge = (F.when(F.col("_in_left") & F.col("_in_right"), F.lit("both"))
-             .when(F.col("_in_left"), F.lit("left_only"))
-             .otherwise(F.lit("right_only")))
-    return j.select(*[F.when(F.col("_in_left"), F.col(k)).otherwise(F.col(f"_r_{k}")).alias(k)
-                      for k in keys], merge.alias("_merge"))
+    def null_safe(a: DataFrame, b: DataFrame):
+        cond = None
+        for k in keys:
+            c = a[k].eqNullSafe(b[f"_r_{k}"])
+            cond = c if cond is None else cond & c
+        return cond
+
+    lk = left.select(*keys)
+    rk = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys]).distinct()
+    matched = lk.join(rk.withColumn("_in_right", F.lit(True)), null_safe(lk, rk), "left")
+    left_rows = matched.select(*keys, F.when(F.col("_in_right"), F.lit("both"))
+                               .otherwise(F.lit("left_only")).alias("_merge"))
+    lkd = lk.distinct()
+    right_only = rk.join(lkd, null_safe(lkd, rk), "left_anti").select(
+        *[F.col(f"_r_{k}").alias(k) for k in keys], F.lit("right_only").alias("_merge"))
+    return left_rows.unionByName(right_only)
 
 
 def weather_lookup(labels: DataFrame, lamp: DataFrame) -> DataFrame:

@@ -52,3 +52,12 @@ def test_slot_table_unique(frames):
                            ("A", "2024-01-01 10:30:00", "2024-01-01 11:00:00", 2.0)])
     s = weather_slots(lamp)
     assert s.count() == s.select("airport", "timestamp").distinct().count() == 5
+
+
+def test_join_indicator_null_safe_and_right_only(spark):
+    from gatecast.operators.weather import join_indicator
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "k int, v string")
+    right = spark.createDataFrame([(1, "a"), (1, "a"), (2, "c"), (None, "b")], "k int, v string")
+    out = sorted((r["k"] if r["k"] is not None else -1, r["v"], r["_merge"])
+                 for r in join_indicator(left, right, ["k", "v"]).collect())
+    assert out == [(-1, "b", "both"), (1, "a", "both"), (1, "a", "both"), (2, "c", "right_only")]
