@@ -86,3 +86,32 @@ def test_duplicate_requests_preserved(frames):
                             ("G1", "2024-01-01 10:00:00", "A", None)])
     etd = frames["etd"]([("A", "G1", "2024-01-01 09:00:00", "2024-01-01 10:30:00")])
     assert asof_etd(lab, etd).count() == 3
+
+
+def test_hot_flight_window_group_is_bounded(spark):
+    """A flight holding a third of all rows still feeds the as-of window at most
+    two rows per quarter-hour slot (updates and requests are pre-aggregated)."""
+    from pyspark.sql import functions as F
+
+    from gatecast.operators.asof import asof_per_slot
+    from gatecast.schemas import ETD_SCHEMA, LABELS_SCHEMA
+    base = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("G"), F.col("id").cast("string"))).alias("gufi"),
+        (F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")).alias("t0"), F.col("id"))
+    etd = base.select(F.lit("A").alias("airport"), "gufi",
+                      F.timestamp_add("SECOND", F.col("id") % 3600, F.col("t0")).alias("timestamp"),
+                      F.timestamp_add("MINUTE", F.lit(90), F.col("t0")).alias("departure_runway_estimated_time"))
+    req = base.select("gufi", F.timestamp_add("MINUTE", (F.col("id") % 4) * 15 + 60, F.col("t0")).alias("timestamp"),
+                      F.lit("A").alias("airport"), F.lit(1).alias("minutes_until_pushback"))
+    etd = spark.createDataFrame(etd.rdd, ETD_SCHEMA)
+    req = spark.createDataFrame(req.rdd, LABELS_SCHEMA)
+    per_slot = asof_per_slot(req, etd)
+    hot = per_slot.where("gufi = 'HOT'").count()
+    assert hot == 4                                   # one answer per distinct request slot
+    out = asof_etd(req, etd).where("gufi = 'HOT'")
+    assert out.count() == 2000                        # every hot request kept, none duplicated
+    # latest update at or before each slot: ceil15(u) <= t  <=>  u <= t on the grid
+    got = {r["timestamp"]: r["update_timestamp"] for r in out.select("timestamp", "update_timestamp").distinct().collect()}
+    ups = sorted(r[0] for r in etd.where("gufi = 'HOT'").select("timestamp").collect())
+    for t, u in got.items():
+        assert u == max(x for x in ups if x <= t)
