@@ -93,3 +93,18 @@ def test_feature_table_prunes_partitions(spark):
     assert codes == {"A1", "A2", "0123"}
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(airport" in plan and "A2" in plan
+
+
+def test_batch_flag_with_a_hot_batch(spark):
+    """One (airport, time) batch holding a third of the rows: the flag is a
+    partial aggregate joined back, and every row of the batch gets it."""
+    from gatecast.operators.nulls import with_batch_null_flag
+    df = spark.range(3000).select(
+        F.lit("A").alias("airport"),
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("timestamp"),
+        F.when(F.col("id") == 9, F.lit(None)).otherwise(F.lit(1.0)).alias("w"))
+    out = with_batch_null_flag(df, ["w"], ["airport", "timestamp"], "flag")
+    assert out.count() == 3000
+    hot = out.where("timestamp = 0").groupBy("flag").count().collect()
+    assert [(r["flag"], r["count"]) for r in hot] == [(True, 1000)]
+    assert out.where("timestamp <> 0 AND flag").count() == 0
