@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.llm.store import keep
@@ -48,33 +48,51 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(tops)
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], marks: DataFrame | None = None,
+                 may_link: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Components of the items that share a bucket and pass ``verify``.
 
     ``buckets`` has rows ``(key, node)``, a node at most once in a key;
-    ``verify`` takes pairs ``(a, b)`` with ``a > b`` and returns those linked.
-    First every member is held against its bucket's smallest member.  Buckets
-    whose members then lie in one component need no more, whatever their
-    size; in the others just the pairs across components are held against
-    each other.  The components are those of all linked pairs that share a
-    bucket, and pairs inside a large group of copies are never listed.
+    ``verify`` takes pairs ``(a, b)`` and returns those linked.  ``marks(node,
+    mark)`` and ``may_link``, a condition on the names of two marks, rule out
+    pairs that cannot be linked before they are listed.
+
+    First every member is held against its bucket's most central member, the
+    one whose buckets are the fullest.  Buckets whose members then lie in one
+    component need no more, whatever their size; in the others just the pairs
+    across components are held against each other.  The components are those
+    of all linked pairs that share a bucket, and the pairs inside a large group
+    of copies are never listed.
     """
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = keep(buckets.join(hubs, "key"), "shared")
-    first = keep(shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    if first.isEmpty():
-        return components(first)
+    count = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keep(buckets.join(count, "key"), "shared")
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = (shared.join(weight, "node").groupBy("key")
+            .agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("hub"))
+            .select("key", (-F.col("hub.node")).alias("hub")))
+    first = (shared.join(hubs, "key").where("node <> hub")
+             .select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
+    if marks is not None:
+        first = (first.join(marks.toDF("a", "mark_a"), "a").join(marks.toDF("b", "mark_b"), "b")
+                 .where(may_link("mark_a", "mark_b")).select("a", "b"))
+    first = keep(first, "pairs")
     links = keep(verify(first), "links")
     comp = components(links)
-    placed = (shared.join(comp, "node", "left")
-              .select("key", "node", F.coalesce("root", "node").alias("root")))
+    placed = shared.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    rest = keep(placed.join(mixed, "key"), "mixed")
-    left = rest.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    more = (left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")))
-            .select("a", "b").distinct())
-    more = keep(more.join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = placed.join(mixed, "key")
+    if marks is not None:
+        rest = rest.join(marks, "node")
+    rest = keep(rest, "mixed")
+    sides = [rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in rest.columns if c != "key"]) for x in "ab"]
+    across = (F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+    if marks is not None:
+        across = across & may_link("mark_a", "mark_b")
+    left, right = sides[0].alias("l"), sides[1].alias("r")
+    more = (left.join(right, (F.col("l.key") == F.col("r.key")) & across)
+            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+            .join(first, ["a", "b"], "left_anti"))
+    more = keep(more, "pairs")
     if more.isEmpty():
         return keep(comp, "components")
     return keep(components(links.union(verify(more))), "components")

@@ -12,6 +12,11 @@ that the equal ones could all be empty also gives its t-prefix in the global
 order, under which two such sets must meet.  No candidate can be missed, and
 no frequent n-gram makes a bucket of its own.
 
+Ruling out.  A set's sketch is one bit per hash value modulo 1024, the parity
+of the n-grams that fall there.  Each n-gram in which two sets differ flips one
+bit, so sketches that differ in more than D bits belong to sets that differ in
+more than D n-grams: such pairs are never listed, and no other is lost.
+
 Counting.  For candidate pairs the partial overlaps are counted fragment by
 fragment and summed per pair; the sum decides.
 
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.llm import graph, textops
@@ -34,6 +39,7 @@ from gatecast.llm.store import keep
 GROWTH = 1.5          # ratio of neighbouring size classes
 LARGEST = 1 << 40
 COUNT_FRAGMENTS = 8   # fragments in which overlaps are counted
+SKETCH_WORDS = 16     # of 64 bits
 
 
 def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +80,20 @@ def set_marks(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
+def odd_sketches(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams per value modulo the sketch's bits, SKETCH_WORDS longs a row."""
+    bits = SKETCH_WORDS * 64
+    bit = (textops.mix(h ^ np.uint64(0x1D8E4E27C47D124F)) % np.uint64(bits)).astype(np.int64)
+    ends, out = np.cumsum(sizes), []
+    for lo in range(0, len(sizes), 2048):
+        hi = min(lo + 2048, len(sizes))
+        a, b = (ends[lo] - sizes[lo], ends[hi - 1])
+        row = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+        odd = np.bincount(row * bits + bit[a:b], minlength=(hi - lo) * bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def segment_keys(h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys under which similar sets meet, row by row, and their numbers."""
     low, diff = size_classes(percent)
@@ -112,7 +132,7 @@ def segment_keys(h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.nda
 
 
 def _marked(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per row: id, set size, set mark and keys."""
+    """Per row: id, set size, set mark, sketch and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = textops.Hasher()
@@ -123,10 +143,11 @@ def _marked(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 keys, count = segment_keys(h, sizes, percent)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[t.lo:t.hi], pa.array(sizes), pa.array(s1), pa.array(s2),
+                     textops.list_array(odd_sketches(h, sizes), np.full(t.n, SKETCH_WORDS), pa.int64()),
                      textops.list_array(keys, count, pa.int64())],
-                    names=["doc_id", "n_shingles", "s1", "s2", "keys"])
+                    names=["doc_id", "n_shingles", "s1", "s2", "sketch", "keys"])
 
-    schema = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, keys array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sketch array<bigint>, keys array<bigint>"
     return docs.mapInArrow(run, schema)
 
 
@@ -193,7 +214,16 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
                 .where(F.col("common") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common")))
                 .select("a", "b"))
 
-    comp = graph.link_buckets(buckets, verify)
+    def may_link(a: str, b: str) -> Column:
+        differ = sum((F.bit_count(F.get(F.col(a)["sketch"], F.lit(i)).bitwiseXOR(F.get(F.col(b)["sketch"], F.lit(i))))
+                      for i in range(SKETCH_WORDS)), F.lit(0))
+        na, nb = F.col(a)["n_shingles"], F.col(b)["n_shingles"]
+        return ((F.greatest(na, nb) * percent <= F.least(na, nb) * 100)
+                & (differ * (100 + percent) <= (na + nb) * (100 - percent)))
+
+    marks = (marked.select(F.col("row").alias("node"), F.struct("n_shingles", "sketch").alias("mark"))
+             .join(nodes.select("node"), "node", "left_semi"))
+    comp = graph.link_buckets(buckets, verify, marks, may_link)
     rooted = nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = rooted.join(best, "root").select("s1", "s2", "n_shingles", "component_id")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from gatecast.llm import ngram_join
-from gatecast.llm.store import table
+from pyspark.sql import functions as F
+
+from gatecast.llm import line_dedup, mixing, ngram_join, sentencepiece_codec, toxicity
+from gatecast.llm.store import doc_bucket, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -40,3 +42,83 @@ k AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.component_id, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    """Documents after fuzzy line dedup: what is left of each text."""
+    docs = table(spark, sf_dir, "documents")
+    left = line_dedup.dedup_lines(docs.select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines")))
+    return left.select("doc_id", "n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_left"), "text")
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    """A toxicity score for every document, learnt from the labels outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(doc_bucket("doc_id", 4) != 2))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (doc_bucket("doc_id", 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+MIX_PLAN = mixing.Plan(
+    domains=[("^src[0-4]$", "web"), ("^src[5-9]$", "news"), ("^src1[0-4]$", "forum")],
+    domain_weights={"web": 3, "news": 2, "forum": 2, "other": 3}, lang_weights={"en": 5, "de": 3, "fr": 2, "es": 4})
+
+
+@query
+def op8_mixing(spark, sf_dir):
+    """How often each document is taken when sources are mixed to target weights."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), MIX_PLAN)
+    return mixed.select("doc_id", "mix.*")
+
+
+_FILL = """
+{name}_o AS (
+  SELECT *, budget - coalesce(sum(supply) OVER b, 0)::BIGINT AS budget_left,
+         (sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) OVER b, 0))::BIGINT AS weight_left
+  FROM {source} WINDOW b AS (PARTITION BY {parent} ORDER BY supply::DOUBLE / weight, {child}
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_f AS (
+  SELECT *, supply * weight_left <= weight * budget_left AS fits FROM {name}_o),
+{name} AS (
+  SELECT *, CASE WHEN fits THEN supply ELSE weight * max(budget_left) FILTER (NOT fits) OVER (PARTITION BY {parent})
+              // max(weight_left) FILTER (NOT fits) OVER (PARTITION BY {parent}) END::BIGINT AS given FROM {name}_f)"""
+
+ORACLE["op8_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN regexp_matches(coalesce(source, 'none'), '^src[0-4]$') THEN 'web'
+                      WHEN regexp_matches(coalesce(source, 'none'), '^src[5-9]$') THEN 'news'
+                      WHEN regexp_matches(coalesce(source, 'none'), '^src1[0-4]$') THEN 'forum' ELSE 'other' END AS domain,
+         coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+         coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 3 * sum(n_tokens)::BIGINT AS supply FROM d GROUP BY ALL),
+n1 AS (SELECT domain, sum(supply)::BIGINT AS supply, 0 AS top,
+              CASE domain WHEN 'web' THEN 3 WHEN 'news' THEN 2 WHEN 'forum' THEN 2 ELSE 3 END AS weight,
+              (SELECT sum(tokens)::BIGINT * 4 // 5 FROM leaf) AS budget FROM leaf GROUP BY domain),""" + _FILL.format(
+    name="l1", source="n1", parent="top", child="domain") + """,
+n2 AS (SELECT a.domain, a.lang, sum(a.supply)::BIGINT AS supply, any_value(l1.given) AS budget,
+              CASE a.lang WHEN 'en' THEN 5 WHEN 'de' THEN 3 WHEN 'fr' THEN 2 WHEN 'es' THEN 4 ELSE 1 END AS weight
+       FROM leaf a JOIN l1 USING (domain) GROUP BY ALL),""" + _FILL.format(
+    name="l2", source="n2", parent="domain", child="lang") + """,
+n3 AS (SELECT a.*, 1 AS weight, l2.given AS budget FROM leaf a JOIN l2 USING (domain, lang)),""" + _FILL.format(
+    name="l3", source="n3", parent="domain, lang", child="source") + """,
+k AS (SELECT d.*, l3.tokens AS leaf_tokens, l3.given AS leaf_budget,
+             CASE WHEN l3.tokens > 0 THEN l3.given // l3.tokens ELSE 0 END AS epochs,
+             CASE WHEN l3.tokens > 0 THEN l3.given % l3.tokens ELSE 0 END AS rest
+      FROM d JOIN l3 USING (domain, lang, source)),
+r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+             ORDER BY md5('17:' || epochs || ':' || coalesce(doc_id::VARCHAR, 'none'))) AS run FROM k)
+SELECT doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget,
+       (epochs + CASE WHEN leaf_tokens > 0 AND run <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM r
+"""
+
+
+@query
+def op10_sentencepiece(spark, sf_dir):
+    """The ids of every whole text, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
+    return coded.select("doc_id", F.coalesce(F.size("token_ids"), F.lit(0)).alias("n_tokens"), "token_ids",
+                        F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))

@@ -36,3 +36,11 @@ def word_count(text: str | Column) -> Column:
 def doc_bucket(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id is in bucket 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(modulus)), F.lit(0))
+
+
+BROADCAST_IDS = 2_000_000  # rows of one or two longs: 32 MB at most
+
+
+def broadcast_ids(ids: DataFrame) -> DataFrame:
+    """``ids`` (a few longs a row), marked for broadcast if its counted size is within the bound; else joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

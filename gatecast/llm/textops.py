@@ -112,6 +112,25 @@ def lines(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[a], ends[b], rows_s[a]
 
 
+def ranks(x: np.ndarray) -> np.ndarray:
+    """Rank of each value among the distinct ones."""
+    order = np.argsort(x)
+    y = x[order]
+    up = np.zeros(len(x), np.uint64)
+    np.cumsum(y[1:] != y[:-1], out=up[1:])
+    out = np.empty(len(x), np.uint64)
+    out[order] = up
+    return out
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value among the distinct ones, and one position of each of those."""
+    index = ranks(x).astype(np.int64)
+    at = np.zeros(int(index.max(initial=-1)) + 1, np.int64)
+    at[index] = np.arange(len(x))
+    return index, at
+
+
 class Hasher:
     """64-bit hashes of byte spans by a polynomial over prefix sums."""
 
@@ -124,10 +143,14 @@ class Hasher:
             self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INV)]), dtype=np.uint64)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(data)
+        return self.over(_BYTE[data], starts, ends)
+
+    def over(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of spans of elements that are given as well-mixed 64-bit values."""
+        n = len(values)
         self._grow(n)
         acc = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * self.power[:n], dtype=np.uint64, out=acc[1:])
+        np.cumsum(values * self.power[:n], dtype=np.uint64, out=acc[1:])
         return mix((acc[ends] - acc[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
