@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatecast.llm import line_dedup, mixing, ngram_join, sentencepiece_codec, toxicity
+from gatecast.llm import (html_extract, language_id, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, sharding,
+                          topk, toxicity)
 from gatecast.llm.store import doc_bucket, table
 
 QUERIES: dict = {}
@@ -92,7 +93,8 @@ WITH d AS (
                       WHEN regexp_matches(coalesce(source, 'none'), '^src[5-9]$') THEN 'news'
                       WHEN regexp_matches(coalesce(source, 'none'), '^src1[0-4]$') THEN 'forum' ELSE 'other' END AS domain,
          coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
-         coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS n_tokens FROM documents),
+         coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS n_tokens FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 3 * sum(n_tokens)::BIGINT AS supply FROM d GROUP BY ALL),
 n1 AS (SELECT domain, sum(supply)::BIGINT AS supply, 0 AS top,
               CASE domain WHEN 'web' THEN 3 WHEN 'news' THEN 2 WHEN 'forum' THEN 2 ELSE 3 END AS weight,
@@ -122,3 +124,48 @@ def op10_sentencepiece(spark, sf_dir):
     coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
     return coded.select("doc_id", F.coalesce(F.size("token_ids"), F.lit(0)).alias("n_tokens"), "token_ids",
                         F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+
+
+@query
+def op2_sharding(spark, sf_dir):
+    """All documents dealt to 24 shards of near equal bytes."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
+@query
+def op3_quality_rules(spark, sf_dir):
+    """Plain counts and the verdict of the log-likelihood ratio for every document."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_language_id(spark, sf_dir):
+    """The language of every document, learnt outside fold 1 of 3."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, docs.where(doc_bucket("doc_id", 3) != 1))
+    return found.select("doc_id", (doc_bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_topk_search(spark, sf_dir):
+    """The 20 highest inner products of every 20th vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+ORACLE["op9_topk_search"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""

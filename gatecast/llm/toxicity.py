@@ -29,7 +29,8 @@ DIM = 8
 WINDOW = 16                   # words; windows overlap by half
 SAMPLE_ROWS = 4000            # labelled rows of each label that are fitted, at most
 SAMPLE_TEXT_BYTES = 32 << 10  # longer texts are scored, but not fitted
-EPOCHS = 6
+EPOCHS = 10
+BATCH = 32
 THRESHOLD = 0.3
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
@@ -89,6 +90,18 @@ def window_bounds(rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray
     return start, end, row
 
 
+def fresh_words(rows: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """1 for each word, 0 where the row had the same word less than a window before.
+
+    A word that a text repeats over and over thus counts once in a window.
+    """
+    order = np.argsort(index, kind="stable")
+    near = np.zeros(len(index), bool)
+    a, b = order[:-1], order[1:]
+    near[b] = (index[a] == index[b]) & (rows[a] == rows[b]) & (b - a < WINDOW)
+    return (~near).astype(float)
+
+
 @dataclass
 class Model:
     """What scoring needs: each bucket's share of the logit, a bias, and the score without words."""
@@ -102,7 +115,7 @@ class Model:
         if not len(rows):
             return out
         each = np.add.reduceat(self.share[bags], offs[:-1]) / np.diff(offs)
-        acc = np.concatenate([[0.0], np.cumsum(each[index])])
+        acc = np.concatenate([[0.0], np.cumsum(each[index] * fresh_words(rows, index))])
         start, end, row = window_bounds(rows, t.n)
         logit = (acc[end] - acc[start]) / (end - start) + self.bias
         at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
@@ -120,16 +133,17 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     t = next(textops.chunks(pa.array(texts, pa.large_string()), 1 << 62))
     rows, index, bags, offs = word_features(t, hasher)
     n_bag = np.diff(offs)
+    fresh = fresh_words(rows, index)
     start, end, row = window_bounds(rows, t.n)
     has = np.unique(row)
     at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
     last = np.append(at[1:], len(row))
     y = labels[has].astype(float)
     # the first direction: log-odds of a document holding the bucket, per label
-    bucket_of_doc = [np.unique(np.concatenate([bags[offs[w]:offs[w + 1]] for w in np.unique(index[start[a]:end[b - 1]])])) for a, b in zip(at, last)]
     present = np.zeros((2, BUCKETS))
-    for d, b in enumerate(bucket_of_doc):
-        present[int(y[d]), b] += 1
+    for d, (a, b) in enumerate(zip(at, last)):
+        held = np.unique(index[start[a]:end[b - 1]])
+        present[int(y[d]), np.unique(np.concatenate([bags[offs[w]:offs[w + 1]] for w in held]))] += 1
     n0, n1 = max((y == 0).sum(), 1), max((y == 1).sum(), 1)
     odds = np.log((present[1] + 0.5) / (n1 + 1)) - np.log((present[0] + 0.5) / (n0 + 1))
     out = rng.normal(0, 1 / np.sqrt(DIM), (DIM, 2))
@@ -137,38 +151,33 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     emb = rng.normal(0, 0.01, (BUCKETS, DIM)) + np.outer(odds * (present.sum(0) > 1), way) * (2.0 / (way @ way))
     bias = np.array([2.0, 0.0])
     g_emb, g_out, g_bias = np.full(BUCKETS, 1e-2), np.full(out.shape, 1e-2), np.full(2, 1e-2)
-    for epoch in range(EPOCHS):
+    for _ in range(EPOCHS):
+        # the window of each document that scores highest now
+        each = np.add.reduceat((emb @ (out[:, 1] - out[:, 0]))[bags], offs[:-1]) / n_bag
+        acc = np.concatenate([[0.0], np.cumsum(each[index] * fresh)])
+        logit = (acc[end] - acc[start]) / (end - start)
+        best = np.lexsort((-logit, row))[at]
         order = rng.permutation(len(has))
-        for lo in range(0, len(order), 64):
-            docs = order[lo:lo + 64]
-            way = out[:, 1] - out[:, 0]
-            grad_e: dict = {}
-            ids, vals = [], []
-            d_out, d_bias = np.zeros_like(out), np.zeros(2)
-            for d in docs:
-                a, b = at[d], last[d]
-                words, back = np.unique(index[start[a]:end[b - 1]], return_inverse=True)
-                flat = np.concatenate([bags[offs[w]:offs[w + 1]] for w in words])
-                each = np.add.reduceat(emb[flat] @ way, np.concatenate([[0], np.cumsum(n_bag[words])])[:-1]) / n_bag[words]
-                acc = np.concatenate([[0.0], np.cumsum(each[back])])
-                logit = (acc[end[a:b] - start[a]] - acc[start[a:b] - start[a]]) / (end[a:b] - start[a:b])
-                w = a + int(np.argmax(logit))
-                inside = index[start[w]:end[w]]
-                bag = np.concatenate([bags[offs[i]:offs[i + 1]] for i in inside])
-                weight = np.repeat(1 / (n_bag[inside] * len(inside)), n_bag[inside])
-                hidden = weight @ emb[bag]
-                z = hidden @ out + bias
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                p[int(y[d])] -= 1
-                d_out += np.outer(hidden, p)
-                d_bias += p
-                ids.append(bag)
-                vals.append(weight[:, None] * (out @ p))
-            bag, val = np.concatenate(ids), np.concatenate(vals)
+        for lo in range(0, len(has), BATCH):
+            docs = order[lo:lo + BATCH]
+            n_word = end[best[docs]] - start[best[docs]]
+            doc_of_word = np.repeat(np.arange(len(docs)), n_word)
+            place = np.repeat(start[best[docs]], n_word) + np.arange(len(doc_of_word)) - np.repeat(np.cumsum(n_word) - n_word, n_word)
+            word = index[place]
+            n_sub = n_bag[word]
+            bag = bags[np.repeat(offs[word], n_sub) + np.arange(int(n_sub.sum())) - np.repeat(np.cumsum(n_sub) - n_sub, n_sub)]
+            doc_of = np.repeat(doc_of_word, n_sub)
+            weight = (fresh[place] / (n_sub * n_word[doc_of_word])).repeat(n_sub)
+            hidden = np.zeros((len(docs), DIM))
+            np.add.at(hidden, doc_of, weight[:, None] * emb[bag])
+            z = hidden @ out + bias
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(docs)), y[docs].astype(int)] -= 1
             u, inv = np.unique(bag, return_inverse=True)
             grad = np.zeros((len(u), DIM))
-            np.add.at(grad, inv, val)
+            np.add.at(grad, inv, weight[:, None] * (p @ out.T)[doc_of])
+            d_out, d_bias = hidden.T @ p, p.sum(0)
             g_emb[u] += (grad ** 2).sum(1)
             emb[u] -= 0.5 * grad / np.sqrt(g_emb[u])[:, None]
             g_out += d_out ** 2
