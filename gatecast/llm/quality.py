@@ -5,8 +5,8 @@ multinomials are counted over all documents: the raw corpus, and the target,
 which is the documents labelled as good.  A document's score is the mean, over
 all its n-grams, of log p_target - log p_raw, so it does not grow with length.
 Every document whose score reaches one threshold is kept.  The threshold comes
-from exact counts of rounded scores: the highest one that keeps at least
-``KEEP`` of the trusted documents.
+from exact counts of rounded scores of all labelled documents: the one with the
+best balanced accuracy, in the middle if a range of them is as good.
 
 Before that, plain rules fail documents that are short or repeat themselves.
 """
@@ -25,7 +25,6 @@ from gatecast.llm.store import broadcast_ids, keep
 
 BUCKETS = 1 << 16
 STEP = 1000            # scores are compared in units of 1/STEP
-KEEP = 0.98
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -87,6 +86,22 @@ def _bucket_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def threshold(steps: list[tuple[int, int, int]]) -> int:
+    """The least kept unit, from ascending ``(unit, good rows, bad rows)``; with one kind of rows only, all are kept."""
+    n_good, n_bad = sum(g for _, g, _ in steps), sum(b for *_, b in steps)
+    if not n_good or not n_bad:
+        return -(1 << 62)
+    # cutting below a unit rejects all rows of the units before it
+    best, lost_good, lost_bad, last = [], 0, 0, steps[0][0] - 1
+    top = -1.0
+    for unit, good, bad in [*steps, (steps[-1][0] + 1, 0, 0)]:
+        worth = (n_good - lost_good) / n_good + lost_bad / n_bad
+        if worth > top + 1e-12:
+            top, best = worth, (last + 1, unit)
+        lost_good, lost_bad, last = lost_good + good, lost_bad + bad, unit
+    return (best[0] + best[1]) // 2
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Plain counts, score and verdict of every row of ``docs(doc_id, text)``.
 
@@ -94,7 +109,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n_repeat_words, base_failed, score and kept.  A null text has no words and
     fails.  A score without words is 0.  Trusted are documents with a label
     ``quality`` of 1 in ``labels(doc_id, quality)`` and none of 0; without any,
-    every score is 0 and the plain rules alone decide.  Repeated rows count
+    or without any of 0, the plain rules alone decide.  Repeated rows count
     each.  Other columns are left aside; an empty table gives an empty result.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("trusted")).where("trusted")
@@ -124,11 +139,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = keep(texts.mapInArrow(run, ", ".join(map(" ".join, zip(names, kinds))))
                   .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "scored")
     unit = F.round(F.col("score") * STEP).cast("long")
-    steps = scored.where("not base_failed").join(ids, "doc_id").groupBy(unit.alias("unit")).agg(F.count("*").alias("n")).orderBy(F.desc("unit")).collect()
-    need, total, least = KEEP * sum(r["n"] for r in steps), 0, None
-    for r in steps:
-        total, least = total + r["n"], r["unit"]
-        if total >= need:
-            break
-    passes = F.lit(True) if least is None else unit >= least
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("good"))
+    steps = (scored.where("not base_failed").join(known, "doc_id").groupBy(unit.alias("unit"))
+             .agg(F.sum("good").alias("good"), F.count("*").alias("n")).orderBy("unit").collect())
+    passes = unit >= threshold([(r["unit"], r["good"], r["n"] - r["good"]) for r in steps])
     return scored.withColumn("kept", ~F.col("base_failed") & passes)

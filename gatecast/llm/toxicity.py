@@ -29,7 +29,7 @@ DIM = 8
 WINDOW = 16                   # words; windows overlap by half
 SAMPLE_ROWS = 4000            # labelled rows of each label that are fitted, at most
 SAMPLE_TEXT_BYTES = 32 << 10  # longer texts are scored, but not fitted
-EPOCHS = 10
+STEPS = 2000                  # of BATCH documents each, in whole passes over the sample
 BATCH = 32
 THRESHOLD = 0.3
 _LETTER = np.zeros(256, bool)
@@ -151,7 +151,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     emb = rng.normal(0, 0.01, (BUCKETS, DIM)) + np.outer(odds * (present.sum(0) > 1), way) * (2.0 / (way @ way))
     bias = np.array([2.0, 0.0])
     g_emb, g_out, g_bias = np.full(BUCKETS, 1e-2), np.full(out.shape, 1e-2), np.full(2, 1e-2)
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // len(has)) if len(has) else 0):
         # the window of each document that scores highest now
         each = np.add.reduceat((emb @ (out[:, 1] - out[:, 0]))[bags], offs[:-1]) / n_bag
         acc = np.concatenate([[0.0], np.cumsum(each[index] * fresh)])
