@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gatecast.llm.store import keep
 
+SMALL_EDGES = 50_000  # of two longs each: under 1 MB, stepped in one partition without a shuffle
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star step followed by one small-star step (edges child -> parent)."""
@@ -30,8 +31,10 @@ def components(links: DataFrame) -> DataFrame:
     """Rows ``(node, root)`` for every node of ``links(a, b)``; the root is the smallest node reachable.
 
     Alternating large-star and small-star steps until every node points at
-    its root.  Only counts and a checksum come to the driver.  An empty table
-    gives an empty table; self-links and repeated links change nothing.
+    its root.  Only counts and a checksum come to the driver.  Up to
+    SMALL_EDGES counted edges are stepped in one partition, as a broadcast
+    side of that size would be; beyond, the steps are shuffled.  An empty
+    table gives an empty table; self-links and repeated links change nothing.
     """
     links = links.where("a is not null and b is not null")
     edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -42,7 +45,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or now["n"] == 0:
             break
         state = now
-        edges = keep(_stars(edges), "edges")
+        edges = keep(_stars(edges.coalesce(1) if now["n"] <= SMALL_EDGES else edges), "edges")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return roots.union(tops)
@@ -55,7 +58,7 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     ``buckets`` has rows ``(key, node)``, a node at most once in a key;
     ``verify`` takes pairs ``(a, b)`` and returns those linked.  ``marks(node,
     mark)`` and ``may_link``, a condition on the names of two marks, rule out
-    pairs that cannot be linked before they are listed.
+    pairs across components that cannot be linked before they are listed.
 
     First every member is held against its bucket's most central member, the
     one whose buckets are the fullest.  Buckets whose members then lie in one
@@ -72,9 +75,6 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], m
             .select("key", (-F.col("hub.node")).alias("hub")))
     first = (shared.join(hubs, "key").where("node <> hub")
              .select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
-    if marks is not None:
-        first = (first.join(marks.toDF("a", "mark_a"), "a").join(marks.toDF("b", "mark_b"), "b")
-                 .where(may_link("mark_a", "mark_b")).select("a", "b"))
     first = keep(first, "pairs")
     links = keep(verify(first), "links")
     comp = components(links)
