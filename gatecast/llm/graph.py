@@ -51,14 +51,15 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(tops)
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], marks: DataFrame | None = None,
-                 may_link: Callable[[str, str], Column] | None = None) -> DataFrame:
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], marks: Callable[[DataFrame], DataFrame],
+                 may_link: Callable[[str, str], Column], filter_first: bool = False) -> DataFrame:
     """Components of the items that share a bucket and pass ``verify``.
 
-    ``buckets`` has rows ``(key, node)``, a node at most once in a key;
-    ``verify`` takes pairs ``(a, b)`` and returns those linked.  ``marks(node,
-    mark)`` and ``may_link``, a condition on the names of two marks, rule out
-    pairs across components that cannot be linked before they are listed.
+    ``buckets`` has rows ``(key, node)``; ``verify`` takes pairs ``(a, b)`` and
+    returns those linked.  ``marks`` gives ``(node, mark)`` for a table of
+    nodes, and ``may_link``, a condition on the names of two marks, rules out
+    pairs before they are listed: those across components and, with
+    ``filter_first``, all.
 
     First every member is held against its bucket's most central member, the
     one whose buckets are the fullest.  Buckets whose members then lie in one
@@ -75,19 +76,19 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], m
             .select("key", (-F.col("hub.node")).alias("hub")))
     first = (shared.join(hubs, "key").where("node <> hub")
              .select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
+    if filter_first:
+        known = keep(marks(shared.select("node").distinct()), "known")
+        first = (first.join(known.toDF("a", "mark_a"), "a").join(known.toDF("b", "mark_b"), "b")
+                 .where(may_link("mark_a", "mark_b")).select("a", "b"))
     first = keep(first, "pairs")
     links = keep(verify(first), "links")
     comp = components(links)
     placed = shared.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    rest = placed.join(mixed, "key")
-    if marks is not None:
-        rest = rest.join(marks, "node")
-    rest = keep(rest, "mixed")
+    rest = keep(placed.join(mixed, "key"), "mixed")
+    rest = rest.join(known if filter_first else marks(rest.select("node").distinct()), "node")
     sides = [rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in rest.columns if c != "key"]) for x in "ab"]
-    across = (F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-    if marks is not None:
-        across = across & may_link("mark_a", "mark_b")
+    across = ((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & may_link("mark_a", "mark_b"))
     left, right = sides[0].alias("l"), sides[1].alias("r")
     more = (left.join(right, (F.col("l.key") == F.col("r.key")) & across)
             .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()

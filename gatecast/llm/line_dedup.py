@@ -8,8 +8,9 @@ Lines of at least ``min_chars`` characters take part; shorter ones always stay.
    8-character windows that start at each word (or every 12 characters inside
    a longer one), hashed once.  The hash range is cut in 16; value i is the
    smallest hash in range i or, if that has none, in the next that has one.
-3. Two values make a band, six bands a line: lines meet if any band agrees
-   (0.99 of pairs whose windows have a similarity of 0.75, more above).
+3. Two values make a band, six bands a line: lines meet if any band and at
+   least AGREE of the 12 values agree (0.99 of pairs whose windows have a
+   similarity of 0.75, more above).
 4. Meeting lines are linked if the exact Jaccard similarity of their sets of
    all 5-character shingles is 0.8 or more.
 5. Distributed union-find joins the links; of each component the line with
@@ -22,27 +23,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.llm import graph
-from gatecast.llm.store import keep
+from gatecast.llm.store import broadcast_ids, keep
 
 WINDOWS = r"(?s)(?=(.{1,8}))\S{1,12}"
 SHINGLES = r"(?s)(?=(.{5}))."
 VALUES = 12
+AGREE = 5
 PERCENT = 80
 MIN_CHARS = 40
 BROADCAST_ROWS = 500_000  # ids of 16 bytes each: 8 MB at most
 
 
-def _bands(hashes: Column) -> Column:
-    """Band keys of an array that holds the smallest hash of each used range, ascending."""
+def _values(hashes: Column) -> Column:
+    """Signature from an array that holds the smallest hash of each used range, ascending."""
     def at_least(bound: int) -> Column:
         return F.coalesce(F.get(F.filter(hashes, lambda x: x >= F.lit(bound)), F.lit(0)), F.get(hashes, F.lit(0)))
 
-    value = [at_least((i - 8) << 60) for i in range(VALUES)]
-    return F.array(*[F.xxhash64(F.lit(i), value[i], value[i + 1]) for i in range(0, VALUES, 2)])
+    return F.array(*[at_least((i - 8) << 60) for i in range(VALUES)])
+
+
+def _bands(values: str) -> Column:
+    v = [F.get(values, F.lit(i)) for i in range(VALUES)]
+    return F.array(*[F.xxhash64(F.lit(i), v[i], v[i + 1]) for i in range(0, VALUES, 2)])
 
 
 def _marked_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """A row per line that takes part: where it is, its 96-bit hash and its band keys."""
+    """A row per line that takes part: where it is, its 96-bit hash and its signature."""
     lines = (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")))
              .select("doc_id", "text_hash", "pos", F.trim("col").alias("line"))
              .where(F.char_length("line") >= min_chars))
@@ -50,16 +56,16 @@ def _marked_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     hashed = lines.select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("h1"), F.crc32("line").alias("h2"),
                           F.sort_array(F.transform(windows, lambda x: F.xxhash64(x))).alias("hashes"))
     least = F.filter("hashes", lambda x, i: (i == 0) | (F.shiftright(x, 60) != F.shiftright(F.get("hashes", i - 1), 60)))
-    return hashed.withColumn("hashes", least).select("doc_id", "text_hash", "pos", "h1", "h2", _bands(F.col("hashes")).alias("bands"))
+    return hashed.withColumn("hashes", least).select("doc_id", "text_hash", "pos", "h1", "h2", _values(F.col("hashes")).alias("signature"))
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` whose lines reach the exact similarity."""
     grams = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(SHINGLES), F.lit(1)))
-    sets = pairs.select("a", "b", grams("line_a").alias("ga"), grams("line_b").alias("gb"))
-    counted = sets.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"),
-                          F.size(F.array_intersect("ga", "gb")).alias("common"))
-    return counted.where(F.col("common") * 100 >= F.lit(PERCENT) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    # one struct of both sets, so that each is made once though the condition names it twice
+    both = F.array(F.struct(grams("line_a").alias("x"), grams("line_b").alias("y")))
+    close = F.exists(both, lambda s: F.size(F.array_intersect(s["x"], s["y"])) * (100 + PERCENT) >= (F.size(s["x"]) + F.size(s["y"])) * PERCENT)
+    return pairs.where(close).select("a", "b")
 
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -71,8 +77,17 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = keep(_marked_lines(texts, min_chars).withColumn("row", F.monotonically_increasing_id()), "lines")
     nodes = keep(lines.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n")), "nodes")
-    buckets = (lines.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node", "left_semi")
-               .select("node", F.explode("bands").alias("key")))
+    again = keep(lines.select("row", "h1", "h2").join(nodes.where("n > 1"), ["h1", "h2"]).where("row <> node").select("row"), "again")
+    unique = lines.join(broadcast_ids(again), "row", "left_anti").select(F.col("row").alias("node"), "signature")
+    buckets = unique.select("node", F.explode(_bands("signature")).alias("key"))
+
+    def marks(of: DataFrame) -> DataFrame:
+        wanted = broadcast_ids(of.select(F.col("node").alias("row")))
+        return lines.join(wanted, "row").select(F.col("row").alias("node"), F.col("signature").alias("mark"))
+
+    def may_link(a: str, b: str) -> Column:
+        agree = sum(((F.get(a, F.lit(i)) == F.get(b, F.lit(i))).cast("int") for i in range(VALUES)), F.lit(0))
+        return agree >= AGREE
 
     def verify(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
@@ -92,7 +107,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         line = keep(each.select("x.row", "x.line").dropDuplicates(["row"]), "candidates")
         return _linked(pairs.join(line.toDF("a", "line_a"), "a").join(line.toDF("b", "line_b"), "b"))
 
-    comp = graph.link_buckets(buckets, verify)
+    comp = graph.link_buckets(buckets, verify, marks, may_link, filter_first=True)
     several = (nodes.join(comp, "node", "left").where("n > 1 or root is not null")
                .select("h1", "h2", F.coalesce("root", "node").alias("root")))
     member = lines.select("doc_id", "text_hash", "pos", "h1", "h2").join(several, ["h1", "h2"])

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.llm import graph, textops
-from gatecast.llm.store import keep
+from gatecast.llm.store import broadcast_ids, keep
 
 GROWTH = 1.5          # ratio of neighbouring size classes
 LARGEST = 1 << 40
@@ -221,8 +221,10 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
         return ((F.greatest(na, nb) * percent <= F.least(na, nb) * 100)
                 & (differ * (100 + percent) <= (na + nb) * (100 - percent)))
 
-    marks = (marked.select(F.col("row").alias("node"), F.struct("n_shingles", "sketch").alias("mark"))
-             .join(nodes.select("node"), "node", "left_semi"))
+    def marks(of: DataFrame) -> DataFrame:
+        wanted = broadcast_ids(of.select(F.col("node").alias("row")))
+        return marked.join(wanted, "row").select(F.col("row").alias("node"), F.struct("n_shingles", "sketch").alias("mark"))
+
     comp = graph.link_buckets(buckets, verify, marks, may_link)
     rooted = nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
