@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from gatecast.operators.encode import category_codes
 from gatecast.operators.nulls import drop_null_rows
 from gatecast.plans.features import feature_pipeline
+from gatecast.plans.models import load_models
 from gatecast.plans.predict import score_requests
-from gatecast.schemas import AIRPORTS, CATEGORICAL, SCHEMAS
+from gatecast.schemas import CATEGORICAL, SCHEMAS
 
 
 def _spark_df(spark: SparkSession, df, table: str, airport: str | None) -> DataFrame:
@@ -51,31 +52,28 @@ def onehot(features: DataFrame, drop_nulls: bool = True) -> DataFrame:
 
 def load_model(solution_directory: str | Path, airports: list[str] | None = None
                ) -> dict[tuple[str, str], PipelineModel]:
-    """Every ``airport=X/variant=Y`` model saved under ``solution_directory``."""
-    root = str(solution_directory).rstrip("/")
-    out = {}
-    for a in airports or AIRPORTS:
-        for v in ("full", "na"):
-            try:
-                out[(a, v)] = PipelineModel.load(f"{root}/airport={a}/variant={v}")
-            except Exception:  # noqa: BLE001 - a missing model routes to the other variant
-                continue
-    return out
+    """Every model that was saved under ``solution_directory`` (or those of ``airports``).
+
+    What is missing or unreadable is an error, never a silent gap.
+    """
+    return load_models(str(solution_directory), airports)
 
 
 def predict(config=None, etd=None, first_position=None, lamp=None, mfs=None, runways=None,
             standtimes=None, tbfm=None, tfm=None, airport: str | None = None, prediction_time=None,
             partial_submission_format=None, model=None, solution_directory=None,
-            spark: SparkSession | None = None) -> DataFrame:
+            spark: SparkSession | None = None, router: str = "batch") -> DataFrame:
     """One scoring call: requests of ``airport`` at ``prediction_time``.
 
     Only ``etd``, ``lamp`` and ``mfs`` are read, as in the reference.  An
     empty request frame is returned as it is.  ``model`` is the dict from
-    ``load_model``.
+    ``load_model``.  The call is one batch, as in the reference: a null feature
+    in any of its rows sends all to the no-weather model; ``router="row"``
+    decides row by row.
     """
     spark = spark or SparkSession.getActiveSession()
     req = _spark_df(spark, partial_submission_format, "labels", airport)
     if req.isEmpty():
         return req
     inputs = {k: _spark_df(spark, v, k, airport) for k, v in {"etd": etd, "lamp": lamp, "mfs": mfs}.items()}
-    return score_requests(req, inputs, model)
+    return score_requests(req, inputs, model, router=router)

@@ -4,6 +4,8 @@
     python -m gatecast.cli train   --data ROOT --labels LABELS --models MODEL_DIR --out REPORT_DIR
     python -m gatecast.cli predict --data ROOT --submission SUBMISSION --models MODEL_DIR --out OUT_DIR
 
+``--rounds N`` shortens the boosting of tune and train from the reference's 1000.
+
 Under spark-submit the session comes from the submit-time conf (set
 ``spark.checkpoint.dir`` to shared storage); run locally it uses local[*].
 """
@@ -34,13 +36,14 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--submission", help="requests CSV to score (predict)")
     p.add_argument("--models", help="model folder (train writes, predict reads)")
     p.add_argument("--out", required=True, help="output folder")
+    p.add_argument("--rounds", type=int, help="boosting rounds (tune, train; default: the reference's)")
     p.add_argument("--local", action="store_true", help="run on local[*]")
     a = p.parse_args(argv)
     spark = _session(a.local)
     if a.job == "tune":
-        tune_job(spark, a.data, a.labels, a.out)
+        tune_job(spark, a.data, a.labels, a.out, a.rounds)
     elif a.job == "train":
-        write_csv(train_job(spark, a.data, a.labels, a.models), a.out)
+        write_csv(train_job(spark, a.data, a.labels, a.models, a.rounds), a.out)
     else:
         predict_job(spark, a.data, a.submission, load_model(a.models), a.out)
 

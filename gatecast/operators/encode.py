@@ -3,13 +3,13 @@
 Levels are learnt with ``StringIndexer`` (alphabetical, unseen and null
 values kept in an extra slot), so only the distinct levels reach the
 driver.  Indicator columns drop the first level, as pandas'
-``get_dummies(drop_first=True)``; nulls become all zeros.
+``get_dummies(drop_first=True)``; nulls become all zeros.  The lasso fit
+uses the same indicators.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +37,20 @@ def category_codes(df: DataFrame, cols: list[str], fit_on: DataFrame | None = No
     return out, model
 
 
+def category_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
+    """Alphabetical levels of each category; only distinct levels reach the driver."""
+    row = as_category_strings(df, cols).agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in cols]).first()
+    return {c: list(row[c]) for c in cols}
+
+
+def indicators(levels: dict[str, list[str]]) -> dict[str, str]:
+    """Column name -> SQL expression of the 0/1 indicator of every level but the first; null is all zeros."""
+    quote = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return {f"{c}_{v}": f"CAST(coalesce(CAST(`{c}` AS STRING) = {quote(v)}, false) AS INT)"
+            for c, all_levels in levels.items() for v in all_levels[1:]}
+
+
 def one_hot(df: DataFrame, cols: list[str]) -> DataFrame:
     """``{col}_{level}`` 0/1 columns for every level but the first."""
-    src = as_category_strings(df, cols)
-    idx = category_indexer(cols).fit(src)
-    enc = OneHotEncoder(inputCols=[c + "_idx" for c in cols], outputCols=[c + "_vec" for c in cols],
-                        dropLast=True, handleInvalid="keep")
-    indexed = idx.transform(src)
-    coded = enc.fit(indexed).transform(indexed)
-    extra = []
-    for c, levels in zip(cols, idx.labelsArray):
-        arr = vector_to_array(F.col(c + "_vec"))
-        extra += [arr[i].cast("int").alias(f"{c}_{lvl}") for i, lvl in enumerate(levels) if i > 0]
-    return coded.select(*df.columns, *extra)
+    made = indicators(category_levels(df, cols))
+    return df.select(*df.columns, *[F.expr(e).alias(n) for n, e in made.items()])

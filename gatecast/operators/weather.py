@@ -5,7 +5,8 @@ prediction slots ``i+30, i+45, i+60, i+75``.  Instead of four equi-joins
 and a union, each forecast row is exploded into its four slots, reduced
 to one row per (airport, slot) keeping the freshest issue, and joined to
 the labels once.  The slot table grows with airports x time, not with
-the number of labels, and is broadcast only after a bounded count.
+the number of labels; whether it is broadcast is left to the planner, which
+goes by its bytes at run time.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.functions.timeops import add_minutes
-from gatecast.operators.broadcast import broadcast_if_small
 from gatecast.schemas import (FORECAST_LEAD_MINUTES, LABEL, WEATHER,
                               WEATHER_OFFSETS_MINUTES)
 
@@ -63,14 +63,14 @@ def weather_slots(lamp: DataFrame) -> DataFrame:
 def weather_matched(labels: DataFrame, lamp: DataFrame) -> DataFrame:
     """J1 + U1: every (label, forecast) pair the four shifted equi-joins produce."""
     slotted = _slotted(lamp).withColumnRenamed("slot", "timestamp")
-    return labels.join(broadcast_if_small(slotted), ["airport", "timestamp"], "inner").select(
+    return labels.join(slotted, ["airport", "timestamp"], "inner").select(
         "gufi", "timestamp", "airport", LABEL, "issue_timestamp", *WEATHER_OUT)
 
 
 def weather_unmatched(labels: DataFrame, lamp: DataFrame) -> DataFrame:
     """J2 + F5: labels no forecast serves (the ``left_only`` side)."""
     keys = weather_slots(lamp).select("airport", "timestamp")
-    return labels.join(broadcast_if_small(keys), ["airport", "timestamp"], "left_anti")
+    return labels.join(keys, ["airport", "timestamp"], "left_anti")
 
 
 def join_indicator(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,4 +105,4 @@ def weather_lookup(labels: DataFrame, lamp: DataFrame) -> DataFrame:
     """J7 (= J1, U1, J2, F5, J3): every label once, with the freshest forecast
     that serves its slot, or nulls when none does."""
     slots = weather_slots(lamp).drop("issue_timestamp")
-    return labels.join(broadcast_if_small(slots), ["airport", "timestamp"], "left")
+    return labels.join(slots, ["airport", "timestamp"], "left")

@@ -90,7 +90,7 @@ SPLIT_GROUPED_EXPR = ("CASE WHEN CAST(('0x' || substr(md5(gufi), 1, 8)) AS BIGIN
 ORACLE["mae_by_split"] = with_ctes(_FEATURES_WITH_DEP, select=f"""
 SELECT split, {_MAE} FROM (SELECT *, {SPLIT_EXPR} AS split FROM features) {_MAE_WHERE} GROUP BY split""")
 
-from gatecast.oracle import CEIL15, SCORING_FEATURE_CTES  # noqa: E402
+from gatecast.oracle import CEIL15, FIXTURE_CTES, SCORING_FEATURE_CTES  # noqa: E402
 
 _F = with_ctes  # brevity
 
@@ -163,9 +163,13 @@ _WEATHER_NULL = " OR ".join(f"{c.strip()} IS NULL" for c in WEATHER.split(","))
 ORACLE["row_has_null"] = _F(FEATURE_CTES, select=f"""
 SELECT airport, gufi, timestamp, ({_WEATHER_NULL}) AS weather_has_null FROM features""")
 
+_CATS = ["cloud", "lightning_prob", "precip", "day_of_week", "month", "aircraft_engine_class",
+         "flight_type", "aircraft_type", "major_carrier", "year"]
+_FEATURE_NULL = _WEATHER_NULL + " OR benchmark_pushback IS NULL OR hour IS NULL OR " + " OR ".join(f"{c} IS NULL" for c in _CATS)
+
 ORACLE["batch_has_null"] = _F(SCORING_FEATURE_CTES, select=f"""
 SELECT airport, gufi, timestamp,
-       bool_or({_WEATHER_NULL}) OVER (PARTITION BY airport, timestamp) AS batch_weather_null
+       bool_or({_FEATURE_NULL}) OVER (PARTITION BY airport, timestamp) AS batch_has_null
 FROM features""")
 
 ORACLE["union_train_test"] = _F(FEATURE_CTES, select=f"""
@@ -182,10 +186,6 @@ SELECT airport, gufi, timestamp FROM (
   SELECT airport, gufi, timestamp, row_number() OVER (PARTITION BY airport ORDER BY gufi, timestamp) AS rn
   FROM features) WHERE rn = 1""")
 
-_CATS = ["cloud", "lightning_prob", "precip", "day_of_week", "month", "aircraft_engine_class",
-         "flight_type", "aircraft_type", "major_carrier", "year"]
-
-
 def _code(c: str) -> str:
     v = f"CAST({c} AS VARCHAR)"
     return (f"CAST(CASE WHEN {c} IS NULL THEN (SELECT count(DISTINCT {v}) FROM features) "
@@ -195,12 +195,9 @@ def _code(c: str) -> str:
 ORACLE["category_codes"] = _F(FEATURE_CTES, select=f"""
 SELECT airport, gufi, timestamp, {', '.join(_code(c) for c in _CATS)} FROM features""")
 
-# Levels of the three weather categories in the driver's data; the first
-# (alphabetical) level of each is dropped.
-_ONE_HOT = {"cloud": ["C1", "C2"], "lightning_prob": ["L2"], "precip": ["True"]}
-ORACLE["one_hot"] = _F(FEATURE_CTES, select="SELECT airport, gufi, timestamp, " + ", ".join(
-    f"coalesce(CAST({c} = '{lvl}' AS INT), 0) AS {c}_{lvl}" for c, lvls in _ONE_HOT.items() for lvl in lvls)
-    + " FROM features")
+ORACLE["one_hot"] = _F(FEATURE_CTES, select=" UNION ALL ".join(f"""
+SELECT airport, gufi, timestamp, concat('{c}_', {c}) AS indicator FROM features
+WHERE CAST({c} AS VARCHAR) <> (SELECT min(CAST({c} AS VARCHAR)) FROM features)""" for c in _CATS))
 
 ORACLE["hash_split"] = _F(FEATURE_CTES, select=f"SELECT airport, gufi, timestamp, {SPLIT_EXPR} AS split FROM features")
 ORACLE["hash_split_grouped"] = _F(FEATURE_CTES, select=f"""
@@ -232,8 +229,8 @@ SELECT airport, gufi, timestamp, weather_has_null, {_routed('weather_has_null')}
 FROM (SELECT *, ({_WEATHER_NULL}) AS weather_has_null FROM features)""")
 
 ORACLE["route_batch_variant"] = _F(SCORING_FEATURE_CTES, select=f"""
-SELECT airport, gufi, timestamp, batch_weather_null, {_routed('batch_weather_null')}
-FROM (SELECT *, bool_or({_WEATHER_NULL}) OVER (PARTITION BY airport, timestamp) AS batch_weather_null
+SELECT airport, gufi, timestamp, batch_has_null, {_routed('batch_has_null')}
+FROM (SELECT *, bool_or({_FEATURE_NULL}) OVER (PARTITION BY airport, timestamp) AS batch_has_null
       FROM features)""")
 
 ORACLE["attach_predictions"] = _F(SCORING_FEATURE_CTES, select=f"""
@@ -248,3 +245,67 @@ ORACLE["scan_csv_bz2"] = _F(select="SELECT * FROM fx_etd")
 ORACLE["scan_multi_airport"] = _F(select="SELECT * FROM fx_lamp")
 ORACLE["sink_csv_roundtrip"] = ORACLE["attach_predictions"]
 ORACLE["feature_table_cache"] = ORACLE["clean_features"]
+
+# Repeated labels and metadata: the literal fan-out and keep-first over doubled views.
+_REPEATED = FIXTURE_CTES.replace("fx_labels AS (", "fx_labels1 AS (", 1).replace("fx_mfs AS (", "fx_mfs1 AS (", 1) + """,
+fx_labels AS (
+  SELECT * FROM fx_labels1 UNION ALL SELECT * FROM fx_labels1 WHERE CAST(substr(gufi, 2) AS BIGINT) % 3 = 0),
+fx_mfs AS (
+  SELECT * FROM fx_mfs1 UNION ALL
+  SELECT * REPLACE ('SECOND' AS aircraft_type, NULL AS flight_type) FROM fx_mfs1 WHERE CAST(substr(gufi, 2) AS BIGINT) % 2 = 0)"""
+_BEST_METADATA = ("ORDER BY rounded_timestamp DESC, aircraft_engine_class DESC NULLS LAST, aircraft_type DESC NULLS LAST, "
+                  "major_carrier DESC NULLS LAST, flight_type DESC NULLS LAST")
+
+ORACLE["features_of_repeated_rows"] = ("WITH " + _REPEATED.strip() + "," + FEATURE_CTES.replace("ORDER BY rounded_timestamp DESC", _BEST_METADATA)
+                                       + f"\nSELECT {FEATURE_COLS} FROM features")
+ORACLE["requests_of_repeated_rows"] = "WITH " + _REPEATED.strip() + """
+SELECT airport, gufi, timestamp, count(*) AS rows FROM fx_labels GROUP BY ALL"""
+
+# Models: who must have a prediction follows from which airports have training rows.
+_SPLIT_FEATURES = f"SELECT *, {SPLIT_EXPR} AS split, NOT ({_WEATHER_NULL}) AS complete FROM features"
+
+
+def _expected(variant: str, train_only: bool, more: str = "") -> str:
+    rows = "complete" if variant == "full" else "true"
+    have = f"bool_or({rows} AND split = 'train') OVER (PARTITION BY airport)" if train_only else "true"
+    return f"""
+SELECT airport, gufi, timestamp, split, '{variant}' AS model_variant, {have} AS predicted{more.format(have=have)}
+FROM ({_SPLIT_FEATURES}) WHERE {rows}"""
+
+
+ORACLE["fit_gbt_validated"] = _F(FEATURE_CTES, select=_expected("full", True))
+ORACLE["fit_gbt_final"] = _F(FEATURE_CTES, select=_expected("full", False))
+ORACLE["fit_gbt_no_weather"] = _F(FEATURE_CTES, select=_expected("na", False))
+ORACLE["fit_lasso"] = _F(FEATURE_CTES, select=_expected("full", True, ", {have} AS in_train_range"))
+ORACLE["fit_random_forest"] = _F(FEATURE_CTES, select=_expected("full", True))
+
+ORACLE["tune_random_search"] = _F(FEATURE_CTES, select=f"""
+SELECT airport, variant, CAST(trial AS INT) AS trial, true AS evaluated, true AS trials_differ, true AS best_is_least,
+       true AS best_is_refitted
+FROM (SELECT airport, 'full' AS variant, unnest(range(25)) AS trial FROM ({_SPLIT_FEATURES}) WHERE complete GROUP BY airport
+      UNION ALL SELECT airport, 'na', unnest(range(10)) FROM features GROUP BY airport)""")
+
+_ROUNDTRIP = "SELECT airport, gufi, timestamp, model_variant, predicted, true AS same FROM ({})"
+ORACLE["model_roundtrip"] = _F(FEATURE_CTES, select=" UNION ALL ".join(
+    _ROUNDTRIP.format(_expected(v, True)) for v in ("full", "na")))
+
+_TRAINED = FEATURE_CTES + f""",
+trained AS (
+  SELECT airport, bool_or(complete AND split = 'train') AS has_full, bool_or(split = 'train') AS has_na
+  FROM ({_SPLIT_FEATURES}) GROUP BY airport)"""
+_VISIBLE = "(SELECT * FROM latest WHERE update_timestamp > timestamp - INTERVAL 30 HOUR) a"
+_BOUNDED = SCORING_FEATURE_CTES.split(",\nfeatures AS (")[1].replace("LEFT JOIN latest a", f"LEFT JOIN {_VISIBLE}")
+
+
+def _scored(more: str = "") -> str:
+    return f"""
+SELECT airport, gufi, timestamp, model_variant, model_variant <> 'none' AS predicted{more} FROM (
+  SELECT f.airport, f.gufi, f.timestamp,
+         CASE WHEN benchmark_pushback IS NULL THEN 'none'
+              WHEN NOT ({_WEATHER_NULL}) AND coalesce(has_full, false) THEN 'full'
+              WHEN coalesce(has_na, false) THEN 'na' ELSE 'none' END AS model_variant
+  FROM bounded f LEFT JOIN trained t USING (airport))"""
+
+
+ORACLE["predict_requests"] = _F(_TRAINED + ",\nbounded AS (" + _BOUNDED, select=_scored())
+ORACLE["stream_predict"] = _F(_TRAINED + ",\nbounded AS (" + _BOUNDED, select=_scored(", true AS same_as_batch"))

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from gatecast.functions import timeops as t
 from gatecast.functions.scalar import fill_other
 from gatecast.operators.asof import DEP, asof_etd
-from gatecast.operators.metadata import departures
+from gatecast.operators.metadata import one_per_flight
 from gatecast.operators.weather import weather_lookup
-from gatecast.schemas import FEATURE_COLUMNS, FLIGHT_CATEGORICAL, LABEL, VISIBLE_HISTORY_HOURS
+from gatecast.schemas import FEATURE_COLUMNS, LABEL, VISIBLE_HISTORY_HOURS
 
 
 def add_time_features(df: DataFrame) -> DataFrame:
@@ -44,16 +44,18 @@ def feature_pipeline(labels: DataFrame, etd: DataFrame, lamp: DataFrame, mfs: Da
                      keep_estimate: bool = False) -> DataFrame:
     """One feature row per label row.
 
-    ``strict`` (training) drops rows with no earlier estimate, as the
-    reference does; scoring keeps them with null estimate and features.
+    ``strict`` (training) drops rows with no earlier estimate and repeated
+    labels, as the reference does; scoring keeps both, with null estimate and
+    features.  Repeated metadata of a flight never multiplies rows.
     ``bounded`` applies the 30-hour visibility rule (T2).  ``keep_estimate``
     also returns the raw estimate, for exact integer-microsecond metrics.
     """
     if LABEL not in labels.columns:
         labels = labels.withColumn(LABEL, F.lit(None).cast("int"))
     base = labels.select("gufi", "timestamp", "airport", LABEL)
-    meta = departures(mfs).select("airport", "gufi", *FLIGHT_CATEGORICAL)
+    if strict:
+        base = base.distinct()  # A2: a repeated label counts once in training
     joined = asof_etd(base, etd, strict=strict,
-                      max_age_hours=VISIBLE_HISTORY_HOURS if bounded else None, extra=meta)
+                      max_age_hours=VISIBLE_HISTORY_HOURS if bounded else None, extra=one_per_flight(mfs))
     out = fill_other(add_time_features(weather_lookup(joined, lamp)))
     return out.select(*FEATURE_COLUMNS, *([DEP] if keep_estimate else []))

@@ -1,7 +1,10 @@
 """Model pipelines per (airport, variant) on MLlib.
 
 Each model is a ``PipelineModel``: category indexer (alphabetical, unseen
-and null kept) -> vector assembler -> regressor.  Two variants exist per
+and null kept; fitted once per variant over all airports) -> vector
+assembler -> regressor.  Every airport with one usable labelled row gets a
+model: where its training rows are fewer than a category has levels, which
+MLlib's bins cannot hold, the trees see the codes as plain numbers.  Two variants exist per
 airport: ``full`` (weather features) and ``na`` (none of them), the
 latter serving rows or batches with missing weather.
 
@@ -12,16 +15,17 @@ submitted from a small driver thread pool and run as concurrent jobs.
 
 from __future__ import annotations
 
+import warnings
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatecast.operators.encode import as_category_strings
+from gatecast.operators.encode import as_category_strings, category_levels, indicators
 from gatecast.schemas import (CATEGORICAL, LABEL, NO_WEATHER_CATEGORICAL, NO_WEATHER_NUMERIC,
                               NUMERIC, WEATHER)
 
@@ -48,10 +52,12 @@ VARIANTS = {v.name: v for v in (FULL, NO_WEATHER)}
 class GbtParams:
     """MLlib analogue of the reference's LightGBM settings.
 
-    LightGBM's 1000 leaf-wise rounds at depth 17 have no practical
-    level-wise MLlib equivalent, so the defaults are small and every value
-    can be overridden; ``reference_full``/``reference_no_weather`` carry the
-    reference's learning rate, depth, leaf size and feature fraction.
+    The jobs train with ``REFERENCE_FULL`` / ``REFERENCE_NO_WEATHER``: the
+    reference's rounds, learning rate, depth, leaf size and feature fraction.
+    These small defaults are for registered queries and tests.  With a
+    validation column, boosting stops at the first round whose gain is below
+    ``validation_tol``; the reference waits ten rounds without any gain, which
+    MLlib cannot, so the tolerance is near 0.
     """
     max_iter: int = 20
     max_depth: int = 5
@@ -61,7 +67,8 @@ class GbtParams:
     subsampling_rate: float = 1.0
     max_bins: int = 128
     seed: int = 23
-    validation_tol: float = 0.01
+    validation_tol: float = 1e-6
+    max_memory_mb: int = 1024
 
 
 # ---- fixed values: the reference's final boosting settings per variant -------
@@ -71,6 +78,7 @@ REFERENCE_FULL = GbtParams(max_iter=1000, max_depth=17, step_size=0.053555531051
 REFERENCE_NO_WEATHER = GbtParams(max_iter=1000, max_depth=13, step_size=0.08369562410523884,
                                  min_instances_per_node=200, feature_fraction=0.8360831187256348,
                                  max_bins=1000)
+REFERENCE = {"full": REFERENCE_FULL, "na": REFERENCE_NO_WEATHER}
 # ------------------------------------------------------------------------------
 
 
@@ -81,6 +89,7 @@ class ForestParams:
     max_depth: int = 15
     seed: int = 1994
     max_bins: int = 128
+    max_memory_mb: int = 1024
 
 
 @dataclass(frozen=True)
@@ -106,105 +115,130 @@ def scoring_rows(features: DataFrame, variant: Variant) -> DataFrame:
     return features.withColumns({c: F.col(c).cast("string") for c in non_string}) if non_string else features
 
 
-def _indexer(variant: Variant) -> StringIndexer:
-    return StringIndexer(inputCols=variant.categorical,
-                         outputCols=[c + "_idx" for c in variant.categorical],
-                         stringOrderType="alphabetAsc", handleInvalid="keep")
+def fit_indexer(rows: DataFrame, variant: Variant) -> StringIndexerModel:
+    """The variant's category codes, over the training rows of every airport."""
+    return StringIndexer(inputCols=variant.categorical, outputCols=[c + "_idx" for c in variant.categorical],
+                         stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
 
 
 def _assembler(inputs: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
 
 
-def gbt_pipeline(variant: Variant, p: GbtParams, validation_col: str | None = None) -> Pipeline:
-    """M3 + M4/M5/M6: indexer -> assembler -> boosted trees."""
+def widest_category(indexer: StringIndexerModel) -> int:
+    """Levels of the widest category and its slot for unseen values."""
+    return max(map(len, indexer.labelsArray)) + 1
+
+
+def tree_stages(variant: Variant, indexer: StringIndexerModel, n_rows: int) -> list:
+    """M3: codes -> features.  Codes carry category metadata only if MLlib's bins,
+    which never outnumber the training rows, can hold every level."""
+    codes = [c + "_idx" for c in variant.categorical]
+    if n_rows > widest_category(indexer):
+        return [indexer, _assembler(codes + variant.numeric)]
+    plain = SQLTransformer(statement="SELECT *, " + ", ".join(f"{c} + 0.0 AS {c}_plain" for c in codes) + " FROM __THIS__")
+    return [indexer, plain, _assembler([f"{c}_plain" for c in codes] + variant.numeric)]
+
+
+def gbt_pipeline(variant: Variant, p: GbtParams, indexer: StringIndexerModel, n_rows: int,
+                 validation_col: str | None = None) -> Pipeline:
+    """M3 + M4/M5/M6: codes -> features -> boosted trees."""
     extra = {"validationIndicatorCol": validation_col, "validationTol": p.validation_tol} \
         if validation_col else {}
     gbt = GBTRegressor(labelCol=LABEL, featuresCol="features", maxIter=p.max_iter,
                        maxDepth=p.max_depth, stepSize=p.step_size,
                        minInstancesPerNode=p.min_instances_per_node,
                        featureSubsetStrategy=_subset(p.feature_fraction),
-                       subsamplingRate=p.subsampling_rate, maxBins=p.max_bins, seed=p.seed,
-                       lossType="squared", **extra)
-    stages = [_indexer(variant),
-              _assembler([c + "_idx" for c in variant.categorical] + variant.numeric), gbt]
-    return Pipeline(stages=stages)
+                       subsamplingRate=p.subsampling_rate, maxBins=max(p.max_bins, widest_category(indexer)), seed=p.seed,
+                       maxMemoryInMB=p.max_memory_mb, cacheNodeIds=True, lossType="squared", **extra)
+    return Pipeline(stages=[*tree_stages(variant, indexer, n_rows), gbt])
 
 
-def forest_pipeline(variant: Variant, p: ForestParams) -> Pipeline:
+def forest_pipeline(variant: Variant, p: ForestParams, indexer: StringIndexerModel, n_rows: int) -> Pipeline:
     """Random forest; every tree sees every feature, as scikit-learn's does."""
     rf = RandomForestRegressor(labelCol=LABEL, featuresCol="features", numTrees=p.num_trees,
                                maxDepth=p.max_depth, seed=p.seed, featureSubsetStrategy="all",
-                               maxBins=p.max_bins)
-    stages = [_indexer(variant),
-              _assembler([c + "_idx" for c in variant.categorical] + variant.numeric), rf]
-    return Pipeline(stages=stages)
-
-
-def lasso_pipeline(variant: Variant, p: LassoParams) -> Pipeline:
-    """M12 + D17: L1 linear model on indicator columns (scikit-learn's Lasso
-    objective: squared loss / 2n + alpha * |w|_1, unstandardised)."""
-    enc = OneHotEncoder(inputCols=[c + "_idx" for c in variant.categorical],
-                        outputCols=[c + "_vec" for c in variant.categorical],
-                        dropLast=True, handleInvalid="keep")
-    lr = LinearRegression(labelCol=LABEL, featuresCol="features", elasticNetParam=1.0,
-                          regParam=p.alpha, standardization=False, maxIter=p.max_iter)
-    stages = [_indexer(variant), enc,
-              _assembler([c + "_vec" for c in variant.categorical] + variant.numeric), lr]
-    return Pipeline(stages=stages)
+                               maxBins=max(p.max_bins, widest_category(indexer)),
+                               maxMemoryInMB=p.max_memory_mb, cacheNodeIds=True)
+    return Pipeline(stages=[*tree_stages(variant, indexer, n_rows), rf])
 
 
-def _level_stats(df: DataFrame, variant: Variant) -> tuple[int, int]:
-    """(rows, widest category incl. the unknown slot) in one aggregation pass."""
-    r = df.agg(F.count(F.lit(1)).alias("_n"),
-               *[F.countDistinct(c).alias(c) for c in variant.categorical]).first()
-    widest = max([r[c] or 0 for c in variant.categorical] + [0]) + 1
-    return r["_n"], widest
+def lasso_pipeline(variant: Variant, p: LassoParams, levels: dict[str, list[str]]) -> Pipeline:
+    """M12 + D17: L1 linear model on the indicators of ``one_hot`` (scikit-learn's
+    Lasso objective: squared loss / 2n + alpha * |w|_1, unstandardised)."""
+    made = {f"ind_{i}": e for i, e in enumerate(indicators(levels).values())}
+    expand = SQLTransformer(statement="SELECT *" + "".join(f", {e} AS {n}" for n, e in made.items()) + " FROM __THIS__")
+    lr = LinearRegression(labelCol=LABEL, featuresCol="features", elasticNetParam=1.0,
+                          regParam=p.alpha, standardization=False, maxIter=p.max_iter)
+    return Pipeline(stages=[expand, _assembler([*made, *variant.numeric]), lr])
 
 
-def fit_guarded(train: DataFrame, variant: Variant, make_pipeline, max_bins: int = 128):
-    """Fit ``make_pipeline(bins)`` on the variant's training rows, or return
-    None when the rows cannot support a tree over its categories (MLlib caps
-    the bins at the row count): that airport/variant then has no model and
-    scoring falls back to the other variant or to ``none``."""
-    rows = training_rows(train, variant)
-    n, widest = _level_stats(rows, variant)
-    if n <= widest:
-        return None
-    return make_pipeline(max(max_bins, widest + 1)).fit(rows)
+def gbt_fit(p: GbtParams = GbtParams(), validation_col: str | None = None):
+    """M4-M6 for ``fit_per_airport``."""
+    def prepare(rows: DataFrame, variant: Variant):
+        indexer = fit_indexer(rows, variant)
+        return lambda n_rows, validated=True: gbt_pipeline(variant, p, indexer, n_rows, validation_col if validated else None)
+    prepare.validation_col = validation_col
+    return prepare
 
 
-def fit_gbt(train: DataFrame, variant: Variant, p: GbtParams = GbtParams(),
-            validation_col: str | None = None) -> PipelineModel | None:
-    return fit_guarded(
-        train, variant,
-        lambda bins: gbt_pipeline(variant, GbtParams(**{**p.__dict__, "max_bins": bins}), validation_col),
-        p.max_bins)
+def forest_fit(p: ForestParams = ForestParams()):
+    """M13 for ``fit_per_airport``."""
+    def prepare(rows: DataFrame, variant: Variant):
+        indexer = fit_indexer(rows, variant)
+        return lambda n_rows, validated=True: forest_pipeline(variant, p, indexer, n_rows)
+    return prepare
 
 
-def fit_forest(train: DataFrame, variant: Variant, p: ForestParams = ForestParams()) -> PipelineModel | None:
-    return fit_guarded(
-        train, variant,
-        lambda bins: forest_pipeline(variant, ForestParams(**{**p.__dict__, "max_bins": bins})),
-        p.max_bins)
+def lasso_fit(p: LassoParams = LassoParams()):
+    """M12 for ``fit_per_airport``."""
+    def prepare(rows: DataFrame, variant: Variant):
+        levels = category_levels(rows, variant.categorical)
+        return lambda n_rows, validated=True: lasso_pipeline(variant, p, levels)
+    return prepare
 
 
-def fit_lasso(train: DataFrame, variant: Variant, p: LassoParams = LassoParams()) -> PipelineModel | None:
-    return fit_guarded(train, variant, lambda bins: lasso_pipeline(variant, p))
+def reference_fit(rounds: int | None = None):
+    """The reference's boosting settings of each variant; ``rounds`` shortens them."""
+    def prepare(rows: DataFrame, variant: Variant):
+        p = REFERENCE[variant.name]
+        return gbt_fit(p if rounds is None else replace(p, max_iter=rounds))(rows, variant)
+    return prepare
 
 
 def fit_per_airport(train: DataFrame, airports: list[str], variants: list[Variant],
-                    fit=fit_gbt, threads: int = 10) -> dict[tuple[str, str], PipelineModel]:
-    """One model per (airport, variant) that has enough rows; airports fitted
-    concurrently as separate jobs."""
-    jobs = [(a, v) for a in airports for v in variants]
+                    fit=None, threads: int = 10) -> dict[tuple[str, str], PipelineModel]:
+    """One model per (airport, variant) with at least one usable labelled row.
+
+    Per variant, the categories are read once over all airports and the rows
+    counted once; then airports are fitted concurrently as separate jobs.  Rows
+    of a validation column do not count as training rows.  An airport without
+    a usable row has no model, and a warning says so.
+    """
+    fit = fit or gbt_fit()
+    jobs = []
+    for v in variants:
+        rows = training_rows(train, v)
+        validation = getattr(fit, "validation_col", None)
+        held = F.col(validation) if validation else F.lit(False)
+        counted = rows.groupBy("airport").agg(F.count_if(~held).alias("n"), F.count_if(held).alias("held")).where("n > 0").collect()
+        count = {r["airport"]: (r["n"], r["held"] > 0) for r in counted}
+        if count:
+            pipeline = fit(rows.where(~held), v)
+            # without a validation row there is nothing to stop on
+            jobs += [(a, v, pipeline(*count[a]), rows) for a in airports if a in count]
+        for a in airports:
+            if a not in count:
+                warnings.warn(f"no usable training row for airport {a}, variant {v.name}: no model", stacklevel=2)
+    if not jobs:
+        return {}
 
     def one(job):
-        a, v = job
-        return job, fit(train.where(F.col("airport") == a), v)
+        a, v, pipeline, rows = job
+        return (a, v.name), pipeline.fit(rows.where(F.col("airport") == a))
 
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs)))) as pool:
-        return {(a, v.name): m for (a, v), m in pool.map(one, jobs) if m is not None}
+        return dict(pool.map(one, jobs))
 
 
 def predictor(model: PipelineModel, variant: Variant):
@@ -222,19 +256,37 @@ def predictor(model: PipelineModel, variant: Variant):
     return run
 
 
+MANIFEST_SCHEMA = "airport string, variant string, folder string"
+
+
 def save_models(models: dict[tuple[str, str], PipelineModel], root: str) -> dict[tuple[str, str], str]:
-    """One folder per (airport, variant)."""
-    paths = {}
-    for (a, v), m in models.items():
-        path = f"{root}/airport={a}/variant={v}"
-        m.write().overwrite().save(path)
-        paths[(a, v)] = path
+    """One folder per (airport, variant), and a manifest that lists them."""
+    root = root.rstrip("/")
+    paths = {(a, v): f"{root}/airport={a}/variant={v}" for a, v in models}
+    for key, path in paths.items():
+        models[key].write().overwrite().save(path)
+    rows = [(a, v, f"airport={a}/variant={v}") for a, v in sorted(paths)]
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
     return paths
 
 
-def load_models(paths: dict[tuple[str, str], str]) -> dict[tuple[str, str], PipelineModel]:
-    """Load every saved model."""
-    return {k: PipelineModel.load(p) for k, p in paths.items()}
+def load_models(root: str, airports: list[str] | None = None) -> dict[tuple[str, str], PipelineModel]:
+    """Every model of the manifest under ``root`` (of ``airports`` only, if given).
+
+    A missing folder, an empty manifest, an airport without any model, and a
+    model that cannot be read are errors.
+    """
+    root = root.rstrip("/")
+    spark = SparkSession.getActiveSession()
+    listed = {(r["airport"], r["variant"]): r["folder"] for r in spark.read.schema(MANIFEST_SCHEMA).json(f"{root}/manifest").collect()}
+    if airports is not None:
+        if absent := sorted(set(airports) - {a for a, _ in listed}):
+            raise ValueError(f"{root} holds no model for {absent}")
+        listed = {k: f for k, f in listed.items() if k[0] in airports}
+    if not listed:
+        raise ValueError(f"{root} holds no models")
+    return {k: PipelineModel.load(f"{root}/{f}") for k, f in sorted(listed.items())}
 
 
 def weather_complete(df: DataFrame) -> DataFrame:

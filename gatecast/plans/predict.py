@@ -6,7 +6,7 @@ instead of one call per (airport, time):
 requests -> distinct keys -> scoring-mode features (30-hour visibility)
          -> written once, partitioned by airport (cuts lineage; each
             airport's model then reads only its partition)
-         -> per-airport models, row-level weather routing
+         -> per-airport models, row- or batch-level routing
          -> keyed back onto the requests.
 """
 
@@ -18,25 +18,20 @@ from pyspark.sql import functions as F
 
 from gatecast.functions.timeops import add_minutes
 from gatecast.plans.features import feature_pipeline
-from gatecast.plans.models import FULL, NO_WEATHER, predictor
-from gatecast.plans.scoring import attach_predictions, dispatch_by_airport, route_rows
+from gatecast.plans.models import FULL, NO_WEATHER, Variant, predictor
+from gatecast.plans.scoring import attach_predictions, dispatch_by_airport, route_batches, route_rows
 from gatecast.schemas import REQUEST_KEYS, VISIBLE_HISTORY_HOURS, WEATHER_OFFSETS_MINUTES
-from gatecast.session import fresh_dir
+from gatecast.session import fresh_dir, materialize
 from gatecast.sources.files import read_feature_table, write_feature_table
 
 
 def predictors_by_airport(models: dict[tuple[str, str], PipelineModel]):
-    """airport -> (full, no-weather) predictors.  A missing full model falls
-    back to the no-weather one (it needs no weather); a missing no-weather
-    model leaves rows with missing weather unscored."""
-    out = {}
-    for a in sorted({a for a, _ in models}):
-        na = models.get((a, NO_WEATHER.name))
-        full = models.get((a, FULL.name))
-        p_na = predictor(na, NO_WEATHER) if na is not None else None
-        p_full = predictor(full, FULL) if full is not None else p_na
-        out[a] = (p_full, p_na)
-    return out
+    """airport -> (full, no-weather) predictors, None where there is no model."""
+    def one(a: str, variant: Variant):
+        model = models.get((a, variant.name))
+        return predictor(model, variant) if model is not None else None
+
+    return {a: (one(a, FULL), one(a, NO_WEATHER)) for a in sorted({a for a, _ in models})}
 
 
 def time_bounded_inputs(requests: DataFrame, etd: DataFrame, lamp: DataFrame):
@@ -60,17 +55,29 @@ def time_bounded_inputs(requests: DataFrame, etd: DataFrame, lamp: DataFrame):
     return etd_b, lamp_b
 
 
+ROUTERS = {"row": route_rows, "batch": route_batches}
+
+
 def score_requests(requests: DataFrame, inputs: dict[str, DataFrame],
-                   models: dict[tuple[str, str], PipelineModel], bound_inputs: bool = True) -> DataFrame:
-    """Scores every request row; returns the requests with
-    ``minutes_until_pushback`` (int, null when unscorable) and ``model_variant``."""
+                   models: dict[tuple[str, str], PipelineModel], bound_inputs: bool = True,
+                   router: str = "row", workdir: str | None = None) -> DataFrame:
+    """Scores every request row; returns the requests, repeated ones included, with
+    ``minutes_until_pushback`` (int, null when unscorable) and ``model_variant``.
+
+    ``router`` is ``row`` (a row with a null weather value takes the no-weather
+    model) or ``batch`` (all rows of an airport and prediction time do if one
+    has a null feature).  Features are written to ``workdir``, a new shared
+    folder by default, which the result reads.
+    """
+    if not models:
+        raise ValueError("no models to score with")
     spark = requests.sparkSession
-    keys = requests.select(*REQUEST_KEYS).distinct()
+    keys = materialize(requests.select(*REQUEST_KEYS).distinct(), "request-keys")
     etd, lamp = inputs["etd"], inputs["lamp"]
     if bound_inputs:
         etd, lamp = time_bounded_inputs(keys, etd, lamp)
     feats = feature_pipeline(keys, etd, lamp, inputs["mfs"], strict=False, bounded=True)
-    path = write_feature_table(feats, fresh_dir(spark, "scoring-features"))
+    path = write_feature_table(feats, workdir or fresh_dir(spark, "scoring-features"))
     stored = read_feature_table(spark, path, schema=feats.schema)
-    scored = dispatch_by_airport(stored, predictors_by_airport(models), route_rows)
+    scored = dispatch_by_airport(stored, predictors_by_airport(models), ROUTERS[router])
     return attach_predictions(requests, scored)

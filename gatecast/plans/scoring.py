@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gatecast.functions.scalar import any_null, round_half_even_int
 from gatecast.operators.nulls import with_batch_null_flag
-from gatecast.schemas import LABEL, REQUEST_KEYS, WEATHER
+from gatecast.schemas import CATEGORICAL, LABEL, NUMERIC, REQUEST_KEYS, WEATHER
 
 Predictor = Callable[[DataFrame], DataFrame]
 
@@ -30,10 +30,12 @@ def _score(df: DataFrame, predictor: Predictor | None, name: str) -> DataFrame:
     return predictor(df, name)
 
 
-def _finish(scored: DataFrame, use_na: F.Column) -> DataFrame:
-    """Pick the routed prediction; rows with no estimate, or whose routed model
-    does not exist, get a null prediction and variant ``none``."""
+def _finish(scored: DataFrame, use_na: F.Column, full: Predictor | None) -> DataFrame:
+    """Pick the routed prediction.  Without a full model all rows take the
+    no-weather one; rows with no estimate, or whose routed model does not
+    exist, get a null prediction and variant ``none``."""
     scorable = F.col("benchmark_pushback").isNotNull()
+    use_na = use_na if full is not None else F.lit(True)
     pred = F.when(scorable, F.when(use_na, F.col("_p_na")).otherwise(F.col("_p_full")))
     variant = (F.when(pred.isNull(), F.lit("none")).when(use_na, F.lit("na"))
                .otherwise(F.lit("full")))
@@ -46,16 +48,19 @@ def route_rows(features: DataFrame, full: Predictor | None, no_weather: Predicto
     prediction; both are computed in the same pass (narrow, no shuffle)."""
     f = features.withColumn("weather_has_null", any_null(WEATHER))
     scored = _score(_score(f, full, "_p_full"), no_weather, "_p_na")
-    return _finish(scored, F.col("weather_has_null"))
+    return _finish(scored, F.col("weather_has_null"), full)
+
+
+BATCH_FLAG_COLUMNS = [*NUMERIC, *CATEGORICAL]
 
 
 def route_batches(features: DataFrame, full: Predictor | None, no_weather: Predictor | None,
                   batch_keys: tuple[str, ...] = ("airport", "timestamp")) -> DataFrame:
-    """M14 + A9: a batch (one airport and prediction time) with any null weather
-    value is scored by the no-weather model as a whole."""
-    f = with_batch_null_flag(features, WEATHER, list(batch_keys), "batch_weather_null")
+    """M14 + A9: a batch (one airport and prediction time) with a null in any
+    feature column of any row is scored by the no-weather model as a whole."""
+    f = with_batch_null_flag(features, BATCH_FLAG_COLUMNS, list(batch_keys), "batch_has_null")
     scored = _score(_score(f, full, "_p_full"), no_weather, "_p_na")
-    return _finish(scored, F.col("batch_weather_null"))
+    return _finish(scored, F.col("batch_has_null"), full)
 
 
 def dispatch_by_airport(features: DataFrame,

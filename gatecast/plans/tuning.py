@@ -2,9 +2,11 @@
 
 The reference runs a sequential TPE search.  Here a seeded sampler draws
 the same kinds of distributions (log-uniform learning rate, depth choice,
-uniform feature fraction) into ``ParamMap``s and ``TrainValidationSplit``
-evaluates them concurrently (``parallelism``) on an 80/20 split with the
-MAE evaluator; the best model is refitted on the training rows.
+uniform feature fraction, leaf minimum) and evaluates them concurrently
+(``parallelism``) on an 80/20 hash split by MAE; the best setting is refitted
+on the training rows.  The reference fixes the leaf minimum at 250 or 200
+rows; here it is drawn log-uniformly up to that, as a table whose airports
+have fewer rows could not split at all.
 """
 
 from __future__ import annotations
@@ -12,16 +14,15 @@ from __future__ import annotations
 import math
 import random
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.tuning import TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gatecast.operators import split
 from gatecast.operators.metrics import prediction_mae
-from gatecast.plans.models import GbtParams, Variant, _level_stats, gbt_pipeline, training_rows
-from gatecast.schemas import LABEL
+from gatecast.plans.models import GbtParams, Variant, fit_indexer, gbt_pipeline, training_rows
 
 # ---- fixed values: the reference's search settings -------------------------
 # (no MLlib counterpart for num_leaves, reg_alpha and reg_lambda, so they
@@ -41,6 +42,7 @@ TRIAL_SCHEMA = T.StructType([
     T.StructField("step_size", T.DoubleType()),
     T.StructField("max_depth", T.IntegerType()),
     T.StructField("feature_fraction", T.DoubleType()),
+    T.StructField("min_instances_per_node", T.IntegerType()),
     T.StructField("validation_mae", T.DoubleType()),
     T.StructField("is_best", T.BooleanType()),
     T.StructField("train_mae", T.DoubleType()),
@@ -57,47 +59,53 @@ def sample_space(n: int, variant: str = "full", seed: int = 23) -> list[dict]:
             "step_size": math.exp(rng.uniform(*LEARNING_RATE_LOG_RANGE)),
             "max_depth": rng.choice(DEPTH_CHOICES[variant]),
             "feature_fraction": rng.uniform(*FEATURE_FRACTION_RANGE),
+            "min_instances_per_node": round(math.exp(rng.uniform(0.0, math.log(MIN_ROWS_PER_LEAF[variant])))),
         })
     return out
 
 
 def _mae(model, rows: DataFrame) -> float | None:
-    scored = model.transform(rows)
-    return prediction_mae(scored).first()["mae_minutes"]
+    return prediction_mae(model.transform(rows)).first()["mae_minutes"]
+
+
+def search_split(rows: DataFrame) -> DataFrame:
+    """Adds ``held``: a fifth of the rows, by a hash of the key that is independent of ``hash_split``."""
+    return rows.withColumn("held", split.bucket_of(F.concat(F.lit("search|"), split.row_key())) >= split.SPLIT_TRAIN_PERCENT)
 
 
 def tune(train: DataFrame, variant: Variant, n_evals: int, base: GbtParams | None = None,
          parallelism: int = 4, seed: int = 23, test: DataFrame | None = None):
     """M9 + M10 + M11 for one training frame: returns (trials, best PipelineModel).
 
-    The best setting is refitted on all training rows with the same leaf
-    minimum the search used, and scored on the training rows and on
-    ``test`` (M11's train and test MAE, on the best trial's row).
+    Trials learn from four fifths of the rows and are judged on the rest, or
+    on the same rows if the split leaves one part empty.  The best setting is
+    refitted on all training rows and scored on them and on ``test`` (M11's
+    train and test MAE, on the best trial's row).
     """
-    base = base or GbtParams(min_instances_per_node=MIN_ROWS_PER_LEAF[variant.name])
-    rows = training_rows(train, variant)
-    n, widest = _level_stats(rows, variant)
-    if n * 0.8 <= widest + 1:  # the search's training part could not hold the categories
+    base = base or GbtParams()
+    rows = search_split(training_rows(train, variant))
+    n = {r["held"]: r["n"] for r in rows.groupBy("held").agg(F.count("*").alias("n")).collect()}
+    if not n:
         return [], None
-    params = GbtParams(**{**base.__dict__, "max_bins": max(base.max_bins, widest + 1)})
-    pipe = gbt_pipeline(variant, params)
-    gbt = pipe.getStages()[-1]
+    learn, judge = (rows.where("not held"), rows.where("held")) if len(n) == 2 else (rows, rows)
+    indexer = fit_indexer(rows, variant)
     draws = sample_space(n_evals, variant.name, seed)
-    maps = [{gbt.stepSize: d["step_size"], gbt.maxDepth: d["max_depth"],
-             gbt.featureSubsetStrategy: "all" if d["feature_fraction"] >= 1 else repr(d["feature_fraction"])}
-            for d in draws]
-    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps,
-                               evaluator=RegressionEvaluator(labelCol=LABEL, metricName="mae"),
-                               trainRatio=0.8, parallelism=parallelism, seed=seed)
-    fitted = tvs.fit(rows)
-    metrics = list(fitted.validationMetrics)
-    best = min(range(len(metrics)), key=metrics.__getitem__)
-    refit = pipe.copy(maps[best]).fit(rows)
+
+    def pipeline(d: dict, n_rows: int):
+        return gbt_pipeline(variant, replace(base, **d), indexer, n_rows)
+
+    def one(d: dict) -> float:
+        return _mae(pipeline(d, n.get(False, n.get(True))).fit(learn), judge)
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        scores = list(pool.map(one, draws))
+    best = min(range(len(scores)), key=scores.__getitem__)
+    refit = pipeline(draws[best], sum(n.values())).fit(rows)
     train_mae = _mae(refit, rows)
     test_mae = _mae(refit, training_rows(test, variant)) if test is not None else None
-    trials = [(i, d["step_size"], d["max_depth"], d["feature_fraction"], float(m), i == best,
+    trials = [(i, d["step_size"], d["max_depth"], d["feature_fraction"], d["min_instances_per_node"], float(m), i == best,
                train_mae if i == best else None, test_mae if i == best else None)
-              for i, (d, m) in enumerate(zip(draws, metrics))]
+              for i, (d, m) in enumerate(zip(draws, scores))]
     return trials, refit
 
 

@@ -31,10 +31,14 @@ def _features(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return feature_pipeline(i["labels"], i["etd"], i["lamp"], i["mfs"], **kw)
 
 
-def _features_once(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    """Features written once to the shared folder, for queries that read them twice."""
+KEYS = ["airport", "gufi", "timestamp"]
+
+
+def _features_once(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, **kw) -> DataFrame:
+    """Features (of them ``columns``) written once to the shared folder, for queries that read them twice."""
     from gatecast.session import materialize
-    return materialize(_features(spark, sf_dir, **kw), "features")
+    f = _features(spark, sf_dir, **kw)
+    return materialize(f.select(*columns) if columns else f, "features")
 
 
 # ---- flagship ----------------------------------------------------------------
@@ -150,9 +154,10 @@ def project_drop(spark, sf_dir):
 
 @query
 def project_positional(spark, sf_dir):
-    """The first 13 columns of the weather lookup, by position."""
+    """The first 13 columns of a wider frame, by position: the metadata columns behind them go."""
     df = weather.weather_lookup(fx.labels(spark, sf_dir), fx.lamp(spark, sf_dir))
-    return df.select(*df.columns[:13])
+    wide = metadata.left_join_metadata(df, fx.mfs(spark, sf_dir))
+    return wide.select(*wide.columns[:13])
 
 
 @query
@@ -246,10 +251,11 @@ def row_has_null(spark, sf_dir):
 
 @query
 def batch_has_null(spark, sf_dir):
+    """Whether any row of the batch has a null in any feature column."""
     from gatecast.operators.nulls import with_batch_null_flag
-    f = with_batch_null_flag(_features_once(spark, sf_dir, strict=False), WEATHER,
-                             ["airport", "timestamp"], "batch_weather_null")
-    return f.select("airport", "gufi", "timestamp", "batch_weather_null")
+    from gatecast.plans.scoring import BATCH_FLAG_COLUMNS
+    f = _features_once(spark, sf_dir, [*KEYS, *BATCH_FLAG_COLUMNS], strict=False)
+    return with_batch_null_flag(f, BATCH_FLAG_COLUMNS, ["airport", "timestamp"], "batch_has_null").select(*KEYS, "batch_has_null")
 
 
 # ---- sets, order ------------------------------------------------------------------
@@ -284,18 +290,19 @@ def head_preview(spark, sf_dir):
 def category_codes(spark, sf_dir):
     from gatecast.operators.encode import category_codes as codes
     from gatecast.schemas import CATEGORICAL
-    out, _ = codes(_features_once(spark, sf_dir), CATEGORICAL)
+    out, _ = codes(_features_once(spark, sf_dir, [*KEYS, *CATEGORICAL]), CATEGORICAL)
     return out.select("airport", "gufi", "timestamp", *[c + "_code" for c in CATEGORICAL])
 
 
-ONE_HOT_COLUMNS = ["cloud", "lightning_prob", "precip"]
-
-
 @query
 def one_hot(spark, sf_dir):
+    """D17 over all categories, in long form: a row per feature row and indicator that is 1."""
     from gatecast.operators.encode import one_hot as encode
-    f = _features_once(spark, sf_dir).select("airport", "gufi", "timestamp", *ONE_HOT_COLUMNS)
-    return encode(f, ONE_HOT_COLUMNS).drop(*ONE_HOT_COLUMNS)
+    from gatecast.schemas import CATEGORICAL
+    f = _features_once(spark, sf_dir, [*KEYS, *CATEGORICAL])
+    wide = encode(f, CATEGORICAL)
+    made = wide.columns[len(f.columns):]
+    return wide.unpivot(KEYS, made, "indicator", "value").where("value = 1").select(*KEYS, "indicator")
 
 
 @query
@@ -313,7 +320,7 @@ def hash_split_grouped(spark, sf_dir):
 def clip_to_train_range(spark, sf_dir):
     """A5 + D14: test-half baseline predictions clamped to the train label range."""
     from gatecast.functions.scalar import clip
-    f = split.hash_split(_features_once(spark, sf_dir))
+    f = split.hash_split(_features_once(spark, sf_dir, [*KEYS, LABEL, "benchmark_pushback"]))
     lo, hi = metrics.label_range(f.where(F.col("split") == "train"))
     test = f.where(F.col("split") == "test")
     return test.select("airport", "gufi", "timestamp",
@@ -349,7 +356,7 @@ def route_batch_variant(spark, sf_dir):
     from gatecast.plans.scoring import route_batches
     full, na = standin_predictors()
     out = route_batches(_features_once(spark, sf_dir, strict=False), full, na)
-    return out.select("airport", "gufi", "timestamp", "batch_weather_null", "model_variant", "prediction")
+    return out.select("airport", "gufi", "timestamp", "batch_has_null", "model_variant", "prediction")
 
 
 @query
@@ -389,11 +396,11 @@ def scan_multi_airport(spark, sf_dir):
 
 @query
 def sink_csv_roundtrip(spark, sf_dir):
-    """Routed predictions written as CSV (no index) and read back."""
+    """Routed predictions written as CSV (no index, times to the second) and read back."""
     from gatecast.session import fresh_dir
-    from gatecast.sources.files import read_csv, write_csv
+    from gatecast.sources.files import TS_SECONDS, read_csv, write_csv
     out = attach_predictions(spark, sf_dir)
-    path = write_csv(out, fresh_dir(spark, "predictions-csv"))
+    path = write_csv(out, fresh_dir(spark, "predictions-csv"), timestamps=TS_SECONDS)
     return read_csv(spark, path, out.schema)
 
 
@@ -408,11 +415,40 @@ def feature_table_cache(spark, sf_dir):
     return read_feature_table(spark, path, schema=f.schema)
 
 
-# ---- models (rows-only checks) ---------------------------------------------------
+# ---- repeated input rows -----------------------------------------------------------
+
+def repeated_inputs(spark, sf_dir) -> dict[str, DataFrame]:
+    """The fixture views with every third label twice, and a second, different metadata row for every second flight."""
+    i = fx.load_inputs(spark, sf_dir)
+    number = F.substring("gufi", 2, 20).cast("long")
+    again = i["labels"].where(number % 3 == 0)
+    other = i["mfs"].where(number % 2 == 0).withColumn("aircraft_type", F.lit("SECOND")).withColumn("flight_type", F.lit(None).cast("string"))
+    return i | {"labels": i["labels"].unionByName(again), "mfs": i["mfs"].unionByName(other)}
+
+
+@query
+def features_of_repeated_rows(spark, sf_dir):
+    """M18 + A2: repeated labels count once and repeated metadata never multiplies rows."""
+    i = repeated_inputs(spark, sf_dir)
+    return feature_pipeline(i["labels"], i["etd"], i["lamp"], i["mfs"])
+
+
+@query
+def requests_of_repeated_rows(spark, sf_dir):
+    """Every request row comes back once for each time it was made, whatever the metadata repeats."""
+    from gatecast.plans.scoring import attach_predictions as attach, route_rows
+    i = repeated_inputs(spark, sf_dir)
+    keys = i["labels"].select(*KEYS).distinct()
+    full, na = standin_predictors()
+    scored = route_rows(feature_pipeline(keys, i["etd"], i["lamp"], i["mfs"], strict=False), full, na)
+    return attach(i["labels"], scored).groupBy(*KEYS).agg(F.count("*").alias("rows"))
+
+
+# ---- models: keys, variants and checks that the predictions must pass ------------------
+# Boosting rounds of registered queries; jobs and CLI use the reference's 1000.
 
-def _airports(df: DataFrame) -> list[str]:
-    """Distinct airports (low cardinality) for per-airport model fits."""
-    return sorted(r[0] for r in df.select("airport").distinct().collect())
+QUERY_ROUNDS = 10
+SEARCH_ROUNDS = 2
 
 
 def _training_features(spark, sf_dir) -> DataFrame:
@@ -424,126 +460,144 @@ def _training_features(spark, sf_dir) -> DataFrame:
     return read_feature_table(spark, path, schema=f.schema)
 
 
-def _predict_all(models, feats, variant_of_model):
-    from gatecast.plans.models import VARIANTS, predictor
+def _predict_all(models, feats, variants) -> DataFrame:
+    """Predictions of every variant for the rows it can take; null where an airport has no model."""
+    from gatecast.plans.models import predictor, weather_complete
     parts = []
-    for (a, v), m in sorted(models.items()):
-        rows = feats.where(F.col("airport") == a)
-        if v == "full":
-            from gatecast.plans.models import weather_complete
-            rows = weather_complete(rows)
-        p = predictor(m, VARIANTS[v])(rows).select(
-            "airport", "gufi", "timestamp", "split", LABEL, F.lit(v).alias("model_variant"), "prediction")
-        parts.append(p)
-    if not parts:  # no airport had enough rows for a model
-        return feats.limit(0).select("airport", "gufi", "timestamp", "split", LABEL,
-                                     F.lit(None).cast("string").alias("model_variant"),
-                                     F.lit(None).cast("double").alias("prediction"))
+    for v in variants:
+        rows = weather_complete(feats) if v.name == "full" else feats
+        have = sorted(a for a, name in models if name == v.name)
+        for a in have:
+            parts.append(predictor(models[a, v.name], v)(rows.where(F.col("airport") == a)))
+        parts.append(rows.where(~F.col("airport").isin(have)).withColumn("prediction", F.lit(None).cast("double")))
+        k = len(have) + 1
+        parts[-k:] = [p.select(*KEYS, "split", LABEL, F.lit(v.name).alias("model_variant"), "prediction") for p in parts[-k:]]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _finite(c: str = "prediction"):
+    return F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(1e12)), F.lit(False))
+
+
+def _checked(preds: DataFrame) -> DataFrame:
+    return preds.select(*KEYS, "split", "model_variant", _finite().alias("predicted"))
+
+
+def _fitted(f, variants, fit, train_only: bool):
+    from gatecast.plans.jobs import distinct_airports
+    from gatecast.plans.models import fit_per_airport
+    rows = f.where(F.col("split") == "train") if train_only else f
+    return fit_per_airport(rows, distinct_airports(f), variants, fit)
+
+
 @query
 def fit_gbt_validated(spark, sf_dir):
     """M4: boosted trees per airport, stopping early on the validation half."""
-    from functools import partial
-    from gatecast.plans.models import FULL, fit_gbt, fit_per_airport
+    from gatecast.plans.models import FULL, GbtParams, gbt_fit
     f = _training_features(spark, sf_dir).withColumn("is_validation", F.col("split") == "test")
-    fit = partial(fit_gbt, validation_col="is_validation")
-    models = fit_per_airport(f, _airports(f), [FULL], fit=fit)
-    return _predict_all(models, f, None)
+    models = _fitted(f, [FULL], gbt_fit(GbtParams(max_iter=QUERY_ROUNDS), "is_validation"), False)
+    return _checked(_predict_all(models, f, [FULL]))
 
 
 @query
 def fit_gbt_final(spark, sf_dir):
     """M5: boosted trees per airport on all rows, weather variant."""
-    from gatecast.plans.models import FULL, fit_per_airport
+    from gatecast.plans.models import FULL, GbtParams, gbt_fit
     f = _training_features(spark, sf_dir)
-    return _predict_all(fit_per_airport(f, _airports(f), [FULL]), f, None)
+    return _checked(_predict_all(_fitted(f, [FULL], gbt_fit(GbtParams(max_iter=QUERY_ROUNDS)), False), f, [FULL]))
 
 
 @query
 def fit_gbt_no_weather(spark, sf_dir):
     """M6: boosted trees per airport without any weather input."""
-    from gatecast.plans.models import NO_WEATHER, fit_per_airport
+    from gatecast.plans.models import NO_WEATHER, GbtParams, gbt_fit
     f = _training_features(spark, sf_dir)
-    return _predict_all(fit_per_airport(f, _airports(f), [NO_WEATHER]), f, None)
+    models = _fitted(f, [NO_WEATHER], gbt_fit(GbtParams(max_iter=QUERY_ROUNDS)), False)
+    return _checked(_predict_all(models, f, [NO_WEATHER]))
 
 
 @query
 def fit_lasso(spark, sf_dir):
-    """M12 + D14: L1 linear model per airport, predictions clamped to the
-    airport's training label range."""
+    """M12 + D14: L1 linear model per airport, predictions clamped to the airport's training label range."""
     from gatecast.functions.scalar import clip
-    from gatecast.operators.broadcast import broadcast_if_small
-    from gatecast.plans.models import FULL, fit_per_airport
-    from gatecast.plans.models import fit_lasso as fit_lasso_model
-
+    from gatecast.plans.models import FULL, lasso_fit
     f = _training_features(spark, sf_dir)
+    preds = _predict_all(_fitted(f, [FULL], lasso_fit(), True), f, [FULL])
     train = f.where(F.col("split") == "train")
-    preds = _predict_all(fit_per_airport(train, _airports(f), [FULL], fit=fit_lasso_model), f, None)
     ranges = train.groupBy("airport").agg(F.min(LABEL).alias("lo"), F.max(LABEL).alias("hi"))
-    out = preds.join(broadcast_if_small(ranges), ["airport"], "left")
-    return out.withColumn("prediction", clip("prediction", F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    out = preds.join(ranges, ["airport"], "left").withColumn("prediction", clip("prediction", F.col("lo"), F.col("hi")))
+    inside = F.coalesce(F.col("prediction").between(F.col("lo"), F.col("hi")), F.lit(False))
+    return out.select(*KEYS, "split", "model_variant", _finite().alias("predicted"), inside.alias("in_train_range"))
 
 
 @query
 def fit_random_forest(spark, sf_dir):
     """Random forest per airport (500 trees, depth 15, seed 1994)."""
-    from gatecast.plans.models import FULL, fit_forest, fit_per_airport
+    from gatecast.plans.models import FULL, forest_fit
     f = _training_features(spark, sf_dir)
-    train = f.where(F.col("split") == "train")
-    return _predict_all(fit_per_airport(train, _airports(f), [FULL], fit=fit_forest), f, None)
+    return _checked(_predict_all(_fitted(f, [FULL], forest_fit(), True), f, [FULL]))
 
 
 @query
 def tune_random_search(spark, sf_dir):
-    """Seeded random search per airport, no-weather variant; the best
-    setting's refit is scored on the train and test halves."""
-    from gatecast.plans.models import NO_WEATHER
-    from gatecast.plans.tuning import EVALS_NO_WEATHER, tune_per_airport
+    """Seeded random search per airport, both variants with the reference's numbers of trials."""
+    from gatecast.plans.jobs import distinct_airports
+    from gatecast.plans.models import FULL, NO_WEATHER, GbtParams
+    from gatecast.plans.tuning import EVALS_FULL, EVALS_NO_WEATHER, tune_per_airport
     f = _training_features(spark, sf_dir)
-    return tune_per_airport(f, _airports(f), NO_WEATHER, EVALS_NO_WEATHER)
+    parts = [tune_per_airport(f, distinct_airports(f), v, n, GbtParams(max_iter=SEARCH_ROUNDS))
+             for v, n in ((FULL, EVALS_FULL), (NO_WEATHER, EVALS_NO_WEATHER))]
+    trials = parts[0].unionByName(parts[1])
+    per = trials.groupBy("airport", "variant").agg(
+        F.min("validation_mae").alias("least"), F.countDistinct("validation_mae").alias("different"), F.count_if("is_best").alias("best"))
+    return trials.join(per, ["airport", "variant"]).select(
+        "airport", "variant", "trial", _finite("validation_mae").alias("evaluated"), (F.col("different") > 1).alias("trials_differ"),
+        ((F.col("best") == 1) & (~F.col("is_best") | (F.col("validation_mae") == F.col("least")))).alias("best_is_least"),
+        (F.col("train_mae").isNotNull() == F.col("is_best")).alias("best_is_refitted"))
 
 
 def _train_both(spark, sf_dir):
-    from gatecast.plans.models import FULL, NO_WEATHER, fit_per_airport
+    from gatecast.plans.models import FULL, NO_WEATHER, GbtParams, gbt_fit
     f = _training_features(spark, sf_dir)
-    train = f.where(F.col("split") == "train")
-    return f, fit_per_airport(train, _airports(f), [FULL, NO_WEATHER])
+    return f, _fitted(f, [FULL, NO_WEATHER], gbt_fit(GbtParams(max_iter=QUERY_ROUNDS)), True)
 
 
 @query
 def model_roundtrip(spark, sf_dir):
-    """S7 + S8: save every (airport, variant) model, load it back, and score
-    with both copies side by side."""
-    from gatecast.plans.models import load_models, save_models
+    """S7 + S8: save every (airport, variant) model, load them by the manifest, and score with both copies."""
+    from gatecast.plans.models import FULL, NO_WEATHER, load_models, save_models
     from gatecast.session import fresh_dir
     f, models = _train_both(spark, sf_dir)
-    loaded = load_models(save_models(models, fresh_dir(spark, "models")))
-    a = _predict_all(models, f, None).withColumnRenamed("prediction", "prediction_saved")
-    b = _predict_all(loaded, f, None).select("airport", "gufi", "timestamp", "model_variant",
-                                             F.col("prediction").alias("prediction_loaded"))
-    return a.join(b, ["airport", "gufi", "timestamp", "model_variant"], "inner")
+    root = fresh_dir(spark, "models")
+    save_models(models, root)
+    loaded = load_models(root)
+    both = [FULL, NO_WEATHER]
+    a = _predict_all(models, f, both)
+    b = _predict_all(loaded, f, both).select(*KEYS, "model_variant", F.col("prediction").alias("loaded"))
+    return a.join(b, [*KEYS, "model_variant"]).select(
+        *KEYS, "model_variant", _finite().alias("predicted"), F.col("prediction").eqNullSafe(F.col("loaded")).alias("same"))
 
 
 @query
 def predict_requests(spark, sf_dir):
-    """Score the held-out requests of every airport in one job."""
+    """Score the requests of every airport in one job."""
     from gatecast.plans.predict import score_requests
     i = fx.load_inputs(spark, sf_dir)
     _, models = _train_both(spark, sf_dir)
-    requests = split.hash_split(i["labels"]).where(F.col("split") == "test").drop("split")
-    return score_requests(requests, i, models)
+    return score_requests(i["labels"], i, models).select(*KEYS, "model_variant", F.col(LABEL).isNotNull().alias("predicted"))
 
 
 @query
 def stream_predict(spark, sf_dir):
-    """T1 as a stream: the same requests through Structured Streaming."""
+    """T1 as a stream: the same requests through Structured Streaming, held against the batch scorer."""
+    from gatecast.plans.predict import score_requests
     from gatecast.streaming.predict_stream import stream_score
     i = fx.load_inputs(spark, sf_dir)
     _, models = _train_both(spark, sf_dir)
-    requests = split.hash_split(i["labels"]).where(F.col("split") == "test").drop("split")
-    return stream_score(spark, requests, i, models)
+    batch = score_requests(i["labels"], i, models).select(*KEYS, F.col(LABEL).alias("expected"))
+    streamed = stream_score(spark, i["labels"], i, models)
+    return streamed.join(batch, KEYS).select(*KEYS, "model_variant", F.col(LABEL).isNotNull().alias("predicted"),
+                                             F.col(LABEL).eqNullSafe(F.col("expected")).alias("same_as_batch"))

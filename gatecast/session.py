@@ -8,7 +8,6 @@ the session so every later call agrees.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -87,11 +86,16 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new, unique sub-folder of the shared folder for one job's output."""
-    path = shared_dir(spark, f"{label}-{uuid.uuid4().hex[:12]}")
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    """A new, unique path below the shared folder; the writer that uses it creates it."""
+    return shared_dir(spark, f"{label}-{uuid.uuid4().hex[:12]}")
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a finished intermediate below the shared folder, on whatever file system it is."""
+    if not path.startswith(shared_dir(spark)):
+        raise ValueError(f"{path} is not below the shared folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df, label: str = "materialized"):

@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gatecast.plans.predict import score_requests
 from gatecast.schemas import LABELS_SCHEMA
-from gatecast.session import fresh_dir
+from gatecast.session import fresh_dir, remove_dir
+
+
+FILE_ROWS = 1_000_000
 
 
 def start_scoring_stream(spark: SparkSession, requests_dir: str, inputs: dict[str, DataFrame],
@@ -30,8 +33,10 @@ def start_scoring_stream(spark: SparkSession, requests_dir: str, inputs: dict[st
               .option("maxFilesPerTrigger", files_per_trigger).parquet(requests_dir))
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = score_requests(batch, inputs, models)
+        workdir = fresh_dir(spark, "stream-features")
+        scored = score_requests(batch, inputs, models, workdir=workdir)
         scored.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+        remove_dir(spark, workdir)
 
     w = (stream.writeStream.foreachBatch(score_batch)
          .option("checkpointLocation", checkpoint_dir or fresh_dir(spark, "stream-ckpt")))
@@ -40,11 +45,12 @@ def start_scoring_stream(spark: SparkSession, requests_dir: str, inputs: dict[st
 
 
 def stream_score(spark: SparkSession, requests: DataFrame, inputs: dict[str, DataFrame],
-                 models: dict[tuple[str, str], PipelineModel], n_files: int = 4) -> DataFrame:
-    """Write ``requests`` as ``n_files`` files, stream them through the scorer
-    until all are processed, and return the sink's contents."""
+                 models: dict[tuple[str, str], PipelineModel]) -> DataFrame:
+    """Write ``requests`` as files of up to FILE_ROWS rows, two at least, stream them
+    through the scorer until all are processed, and return the sink's contents."""
     req_dir = fresh_dir(spark, "stream-requests")
-    requests.repartition(n_files).write.mode("overwrite").parquet(req_dir)
+    files = max(2, -(-requests.count() // FILE_ROWS))
+    requests.repartition(files).write.mode("overwrite").parquet(req_dir)
     out_dir = fresh_dir(spark, "stream-out")
     q = start_scoring_stream(spark, req_dir, inputs, models, out_dir)
     q.awaitTermination()

@@ -35,7 +35,7 @@ def test_reference_layout_jobs(spark):
         assert got[t].count() == want.count()
         assert got[t].exceptAll(want.select(*got[t].columns)).count() == 0
     model_root = fresh_dir(spark, "job-models")
-    report = train_job(spark, root, f"{root}/train_labels.csv", model_root).collect()
+    report = train_job(spark, root, f"{root}/train_labels.csv", model_root, rounds=3).collect()
     assert any(r["model_variant"] == "baseline" for r in report)
     models = load_model(model_root, AIRPORTS)
     assert models
@@ -47,4 +47,23 @@ def test_reference_layout_jobs(spark):
     cli_out = fresh_dir(spark, "cli-predictions")
     cli.main(["predict", "--local", "--data", root, "--submission", f"{root}/submission_format.csv",
               "--models", model_root, "--out", cli_out])
-    assert spark.read.option("header", True).csv(cli_out).count() == n_req
+    written = spark.read.option("header", True).csv(cli_out)
+    assert written.count() == n_req
+    # every request with an estimate is scored, by the models of just these airports
+    assert written.where("minutes_until_pushback is not null").count() == scored.where("minutes_until_pushback is not null").count() > 0
+    assert written.where(r"timestamp rlike '^[0-9-]{10}[ T][0-9:]{8}$'").count() == n_req
+
+
+def test_csv_columns_are_bound_by_name(spark):
+    from gatecast.schemas import LABELS_SCHEMA
+    from gatecast.sources.files import read_csv
+    path = fresh_dir(spark, "reordered")
+    rows = [("A1", "2024-01-01 10:00:00", "x", "G1", 7)]
+    spark.createDataFrame(rows, "airport string, timestamp string, extra string, gufi string, minutes_until_pushback int").write.option("header", True).csv(path)
+    got = read_csv(spark, path, LABELS_SCHEMA).first()
+    assert (got["gufi"], got["airport"], got["minutes_until_pushback"], str(got["timestamp"])) == ("G1", "A1", 7, "2024-01-01 10:00:00")
+    lacking = fresh_dir(spark, "lacking")
+    spark.createDataFrame([("A1",)], "airport string").write.option("header", True).csv(lacking)
+    import pytest
+    with pytest.raises(ValueError, match="gufi"):
+        read_csv(spark, lacking, LABELS_SCHEMA)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from gatecast.operators.split import hash_split
 from gatecast.plans.features import feature_pipeline
-from gatecast.plans.models import FULL, NO_WEATHER, GbtParams, fit_gbt, fit_per_airport, load_models, predictor, save_models
+from gatecast.plans.models import (FULL, NO_WEATHER, REFERENCE, GbtParams, fit_indexer, fit_per_airport, gbt_fit, lasso_fit, load_models,
+                                   predictor, reference_fit, save_models, training_rows)
 from gatecast.plans.predict import score_requests
 from gatecast.session import fresh_dir
 from gatecast.sources import fixtures as fx
@@ -21,8 +22,7 @@ def trained(spark):
     i = fx.load_inputs(spark, SF)
     f = hash_split(feature_pipeline(i["labels"], i["etd"], i["lamp"], i["mfs"])).cache()
     train = f.where(F.col("split") == "train")
-    fit = lambda d, v: fit_gbt(d, v, SMALL)
-    models = fit_per_airport(train, AIRPORTS, [FULL, NO_WEATHER], fit=fit)
+    models = fit_per_airport(train, AIRPORTS, [FULL, NO_WEATHER], gbt_fit(SMALL))
     return i, f, models
 
 
@@ -34,13 +34,20 @@ def _preds(model, variant, df):
 def test_refit_is_deterministic(trained):
     _, f, models = trained
     rows = f.where(F.col("airport") == "A1")
-    again = fit_gbt(f.where((F.col("split") == "train") & (F.col("airport") == "A1")), NO_WEATHER, SMALL)
-    assert _preds(models[("A1", "na")], NO_WEATHER, rows) == _preds(again, NO_WEATHER, rows)
+    again = fit_per_airport(f.where(F.col("split") == "train"), ["A1"], [NO_WEATHER], gbt_fit(SMALL))
+    assert _preds(models[("A1", "na")], NO_WEATHER, rows) == _preds(again["A1", "na"], NO_WEATHER, rows)
 
 
 def test_save_load_same_predictions(spark, trained):
     _, f, models = trained
-    loaded = load_models(save_models(models, fresh_dir(spark, "test-models")))
+    root = fresh_dir(spark, "test-models")
+    save_models(models, root)
+    loaded = load_models(root)
+    assert set(loaded) == set(models)
+    with pytest.raises(ValueError, match="A9"):
+        load_models(root, ["A1", "A9"])
+    with pytest.raises(Exception, match="(?i)path"):
+        load_models(root + "-absent")
     for (a, v), m in models.items():
         variant = FULL if v == "full" else NO_WEATHER
         rows = f.where(F.col("airport") == a)
@@ -59,7 +66,7 @@ def test_stream_equals_batch(spark, trained):
     requests = hash_split(i["labels"]).where(
         (F.col("split") == "test") & F.col("airport").isin(AIRPORTS)).drop("split")
     batch = score_requests(requests, i, models).collect()
-    stream = stream_score(spark, requests, i, models, n_files=2).collect()
+    stream = stream_score(spark, requests, i, models).collect()
     key = lambda r: (r["gufi"], r["timestamp"], r["airport"], r["minutes_until_pushback"], r["model_variant"])
     assert sorted(map(key, batch)) == sorted(map(key, stream))
     assert len(batch) == requests.count()
@@ -96,6 +103,51 @@ def test_tuning_reports_best_refit(spark, trained):
     assert best[0]["validation_mae"] == min(r["validation_mae"] for r in out)
 
 
+def _wide_rows(spark, n, airport="A1"):
+    """``n`` rows whose aircraft types are all different, so no bins can hold them at first."""
+    rows = [(airport, f"G{i}", f"T{i}", f"C{i % 3}", "F0", "E0", "Monday", "January", 10 + i % 5, 2024, float(i), 2 * i + 5, i % 4 == 3) for i in range(n)]
+    return spark.createDataFrame(rows, "airport string, gufi string, aircraft_type string, major_carrier string, flight_type string, "
+                                 "aircraft_engine_class string, day_of_week string, month string, hour int, year int, benchmark_pushback double, "
+                                 "minutes_until_pushback int, is_validation boolean")
+
+
+@pytest.mark.parametrize("n", [1, 2, 18])
+@pytest.mark.parametrize("validation", [None, "is_validation"])
+def test_no_airport_loses_its_model_for_few_rows(spark, n, validation):
+    rows = _wide_rows(spark, n)
+    models = fit_per_airport(rows, ["A1"], [NO_WEATHER], gbt_fit(SMALL, validation))
+    out = predictor(models["A1", "na"], NO_WEATHER)(rows).collect()
+    assert len(out) == n and all(r["prediction"] is not None for r in out)
+
+
+def test_an_airport_without_rows_is_reported(spark):
+    with pytest.warns(UserWarning, match="A7"):
+        models = fit_per_airport(_wide_rows(spark, 5), ["A1", "A7"], [NO_WEATHER], lasso_fit())
+    assert set(models) == {("A1", "na")}
+
+
+def test_reference_settings_reach_the_stages(spark):
+    rows = training_rows(_wide_rows(spark, 6), NO_WEATHER)
+    gbt = reference_fit()(rows, NO_WEATHER)(6).getStages()[-1]
+    want = REFERENCE["na"]
+    assert (gbt.getMaxIter(), gbt.getMaxDepth(), gbt.getStepSize(), gbt.getMinInstancesPerNode()) == (
+        1000, want.max_depth, want.step_size, want.min_instances_per_node)
+    assert reference_fit(7)(rows, NO_WEATHER)(6).getStages()[-1].getMaxIter() == 7
+    assert fit_indexer(rows, NO_WEATHER).labelsArray
+
+
+def test_trials_differ_and_the_best_beats_the_mean(spark):
+    from gatecast.plans.tuning import tune_per_airport
+    rows = [("A1", f"G{i}", f"T{i % 4}", f"C{i % 3}", "F0", "E0", "Monday", "January", 10 + i % 5, 2024, float(i), 2 * i + 5) for i in range(120)]
+    f = spark.createDataFrame(rows, "airport string, gufi string, aircraft_type string, major_carrier string, flight_type string, "
+                              "aircraft_engine_class string, day_of_week string, month string, hour int, year int, benchmark_pushback double, "
+                              "minutes_until_pushback int").withColumn("timestamp", F.expr("timestamp_ntz '2024-01-01 00:00:00'"))
+    out = tune_per_airport(f, ["A1"], NO_WEATHER, 5, base=GbtParams(max_iter=4)).collect()
+    assert len({r["validation_mae"] for r in out}) > 1
+    mean = sum(2 * i + 5 for i in range(120)) / 120
+    assert next(r["train_mae"] for r in out if r["is_best"]) < sum(abs(2 * i + 5 - mean) for i in range(120)) / 120
+
+
 def test_stream_restart_does_not_duplicate(spark, trained):
     from gatecast.streaming.predict_stream import start_scoring_stream
     i, _, models = trained
