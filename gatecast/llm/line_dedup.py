@@ -4,17 +4,18 @@ Lines are the ``\n``-split parts of a text, compared after trimming blanks.
 Lines of at least ``min_chars`` characters take part; shorter ones always stay.
 
 1. Equal lines form one node (a 96-bit hash).
-2. A node's signature is a one-permutation MinHash of character shingles: the
-   8-character windows that start at each word (or every 12 characters inside
-   a longer one), hashed once.  The hash range is cut in 16; value i is the
-   smallest hash in range i or, if that has none, in the next that has one.
-3. Two values make a band, six bands a line: lines meet if any band and at
-   least AGREE of the 12 values agree (0.99 of pairs whose windows have a
-   similarity of 0.75, more above).
-4. Meeting lines are linked if the exact Jaccard similarity of their sets of
-   all 5-character shingles is 0.8 or more.
+2. A line's shingles are the 8-character windows that start at each word, or
+   every 12 characters inside a longer one.  Its signature is a bottom-k
+   MinHash: the 9 smallest distinct hashes.
+3. Each two neighbours in the signature make a band, eight bands a line: lines
+   meet if any band agrees, and are compared if 0.4 of the shorter signature
+   is in both.  At a similarity of 0.8, 0.996 of pairs meet, above it more.
+4. Compared lines are linked if the exact Jaccard similarity of their shingle
+   sets is 0.8 or more.
 5. Distributed union-find joins the links; of each component the line with
    the smallest (doc_id, position) stays.
+
+A band holds two different shingles, so a frequent one brings few lines together.
 """
 
 from __future__ import annotations
@@ -26,25 +27,22 @@ from gatecast.llm import graph
 from gatecast.llm.store import broadcast_ids, keep
 
 WINDOWS = r"(?s)(?=(.{1,8}))\S{1,12}"
-SHINGLES = r"(?s)(?=(.{5}))."
-VALUES = 12
-AGREE = 5
+SIGNATURE = 9
 PERCENT = 80
 MIN_CHARS = 40
 BROADCAST_ROWS = 500_000  # ids of 16 bytes each: 8 MB at most
 
 
-def _values(hashes: Column) -> Column:
-    """Signature from an array that holds the smallest hash of each used range, ascending."""
-    def at_least(bound: int) -> Column:
-        return F.coalesce(F.get(F.filter(hashes, lambda x: x >= F.lit(bound)), F.lit(0)), F.get(hashes, F.lit(0)))
-
-    return F.array(*[at_least((i - 8) << 60) for i in range(VALUES)])
+def _windows(line: str) -> Column:
+    return F.regexp_extract_all(line, F.lit(WINDOWS), F.lit(1))
 
 
-def _bands(values: str) -> Column:
-    v = [F.get(values, F.lit(i)) for i in range(VALUES)]
-    return F.array(*[F.xxhash64(F.lit(i), v[i], v[i + 1]) for i in range(0, VALUES, 2)])
+def _bands(signature: str) -> Column:
+    """Band keys; a signature of one hash has one."""
+    at = lambda i: F.get(signature, F.lit(i))
+    pairs = [F.when(at(i + 1).isNotNull(), F.xxhash64(at(i), at(i + 1))) for i in range(SIGNATURE - 1)]
+    pairs[0] = F.coalesce(pairs[0], F.xxhash64(at(0)))
+    return F.filter(F.array(*pairs), lambda x: x.isNotNull())
 
 
 def _marked_lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -52,18 +50,19 @@ def _marked_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     lines = (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")))
              .select("doc_id", "text_hash", "pos", F.trim("col").alias("line"))
              .where(F.char_length("line") >= min_chars))
-    windows = F.regexp_extract_all("line", F.lit(WINDOWS), F.lit(1))
     hashed = lines.select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("h1"), F.crc32("line").alias("h2"),
-                          F.sort_array(F.transform(windows, lambda x: F.xxhash64(x))).alias("hashes"))
-    least = F.filter("hashes", lambda x, i: (i == 0) | (F.shiftright(x, 60) != F.shiftright(F.get("hashes", i - 1), 60)))
-    return hashed.withColumn("hashes", least).select("doc_id", "text_hash", "pos", "h1", "h2", _values(F.col("hashes")).alias("signature"))
+                          F.sort_array(F.transform(_windows("line"), lambda x: F.xxhash64(x))).alias("hashes"))
+    # mostly the first few hold enough different ones; a repetitive line needs all
+    few = hashed.withColumn("few", F.array_distinct(F.slice("hashes", 1, 2 * SIGNATURE)))
+    enough = (F.size("few") >= SIGNATURE) | (F.size("hashes") <= 2 * SIGNATURE)
+    signature = F.slice(F.when(enough, F.col("few")).otherwise(F.array_distinct("hashes")), 1, SIGNATURE)
+    return few.select("doc_id", "text_hash", "pos", "h1", "h2", signature.alias("signature"))
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` whose lines reach the exact similarity."""
-    grams = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(SHINGLES), F.lit(1)))
     # one struct of both sets, so that each is made once though the condition names it twice
-    both = F.array(F.struct(grams("line_a").alias("x"), grams("line_b").alias("y")))
+    both = F.array(F.struct(F.array_distinct(_windows("line_a")).alias("x"), F.array_distinct(_windows("line_b")).alias("y")))
     close = F.exists(both, lambda s: F.size(F.array_intersect(s["x"], s["y"])) * (100 + PERCENT) >= (F.size(s["x"]) + F.size(s["y"])) * PERCENT)
     return pairs.where(close).select("a", "b")
 
@@ -79,15 +78,14 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     nodes = keep(lines.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n")), "nodes")
     again = keep(lines.select("row", "h1", "h2").join(nodes.where("n > 1"), ["h1", "h2"]).where("row <> node").select("row"), "again")
     unique = lines.join(broadcast_ids(again), "row", "left_anti").select(F.col("row").alias("node"), "signature")
-    buckets = unique.select("node", F.explode(_bands("signature")).alias("key"))
+    buckets = unique.select("node", F.explode(F.array_distinct(_bands("signature"))).alias("key"))
 
     def marks(of: DataFrame) -> DataFrame:
         wanted = broadcast_ids(of.select(F.col("node").alias("row")))
         return lines.join(wanted, "row").select(F.col("row").alias("node"), F.col("signature").alias("mark"))
 
     def may_link(a: str, b: str) -> Column:
-        agree = sum(((F.get(a, F.lit(i)) == F.get(b, F.lit(i))).cast("int") for i in range(VALUES)), F.lit(0))
-        return agree >= AGREE
+        return F.size(F.array_intersect(a, b)) * 10 >= F.least(F.size(a), F.size(b)) * 4
 
     def verify(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
