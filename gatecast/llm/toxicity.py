@@ -28,10 +28,11 @@ from gatecast.llm import textops
 BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 16                   # words; windows overlap by half
-SAMPLE_ROWS = 4000            # labelled rows of each label that are fitted, at most
-SAMPLE_TEXT_BYTES = 32 << 10  # longer texts are scored, but not fitted
+SAMPLE_ROWS = 2500            # labelled rows of each label that are fitted, at most
+SAMPLE_TEXT_BYTES = 16 << 10  # longer texts are scored, but not fitted
 STEPS = 2000                  # of BATCH documents each, in whole passes over the sample
 BATCH = 32
+FIT_CHUNK_BYTES = 1 << 20
 THRESHOLD = 0.3
 CLEAN_SCORE = 0.04
 _LETTER = np.zeros(256, bool)
@@ -44,7 +45,7 @@ def word_features(t: textops.Texts, hasher: textops.Hasher):
     """Distinct words of the texts as bags of buckets.
 
     Returns the words' rows, the index of each word among the distinct ones,
-    and the distinct words' bags (flat buckets and offsets).  Words are runs
+    the distinct words' bags (flat buckets and offsets) and their hashes.  Words are runs
     of letters and digits (every byte above ASCII counts as one), lower-cased
     in A-Z, so punctuation at a word's end does not matter.
     """
@@ -76,7 +77,25 @@ def word_features(t: textops.Texts, hasher: textops.Hasher):
     key, own = np.concatenate(keys), np.concatenate(own)
     order = np.argsort(own, kind="stable")
     bags = (key[order] % np.uint64(BUCKETS)).astype(np.int64)
-    return rows, index, bags, np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(s)))]).astype(np.int64)
+    return rows, index, bags, np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(s)))]).astype(np.int64), h[first]
+
+
+def sample_features(texts: list[str], hasher: textops.Hasher):
+    """``word_features`` of many texts, made a MB at a time."""
+    rows, index, hashes, sizes, bags, words = [], [], [], [], [], 0
+    for t in textops.chunks(pa.array(texts, pa.large_string()), FIT_CHUNK_BYTES):
+        r, i, b, o, h = word_features(t, hasher)
+        rows.append(r + t.lo)
+        index.append(i + words)
+        hashes.append(h)
+        sizes.append(np.diff(o))
+        bags.append(b)
+        words += len(h)
+    _, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    size, flat = np.concatenate(sizes), np.concatenate(bags)
+    start, n = (np.cumsum(size) - size)[first], size[first]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.concatenate(rows), place[np.concatenate(index)], flat[np.repeat(start, n) + step], np.concatenate([[0], np.cumsum(n)])
 
 
 def window_bounds(rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +131,7 @@ class Model:
     bias: float
 
     def scores(self, t: textops.Texts, hasher: textops.Hasher) -> np.ndarray:
-        rows, index, bags, offs = word_features(t, hasher)
+        rows, index, bags, offs, _ = word_features(t, hasher)
         out = np.full(t.n, 1 / (1 + np.exp(-self.bias)))
         if not len(rows):
             return out
@@ -132,11 +151,10 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         rate = float(labels.mean()) if len(texts) else 0.0
         return Model(np.zeros(BUCKETS), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
     hasher = textops.Hasher()
-    t = next(textops.chunks(pa.array(texts, pa.large_string()), 1 << 62))
-    rows, index, bags, offs = word_features(t, hasher)
+    rows, index, bags, offs = sample_features(texts, hasher)
     n_bag = np.diff(offs)
     fresh = fresh_words(rows, index)
-    start, end, row = window_bounds(rows, t.n)
+    start, end, row = window_bounds(rows, len(texts))
     has = np.unique(row)
     at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
     last = np.append(at[1:], len(row))
@@ -189,7 +207,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     # training parts the sample widely; words met later score less than known ones,
     # so the bias is raised until 1 % of the fitted clean texts reach CLEAN_SCORE
     model = Model(emb @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
-    clean = np.quantile(model.scores(t, hasher)[labels == 0], 0.99)
+    parts = textops.chunks(pa.array(texts, pa.large_string()), FIT_CHUNK_BYTES)
+    clean = np.quantile(np.concatenate([model.scores(t, hasher) for t in parts])[labels == 0], 0.99)
     raised = np.log(CLEAN_SCORE / (1 - CLEAN_SCORE)) - np.log(clean / (1 - clean))
     return Model(model.share, model.bias + float(max(raised, 0.0)))
 
