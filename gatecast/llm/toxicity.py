@@ -28,7 +28,7 @@ from gatecast.llm import textops
 BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 16                   # words; windows overlap by half
-SAMPLE_ROWS = 2500            # labelled rows of each label that are fitted, at most
+SAMPLE_ROWS = 1600            # labelled rows of each label that are fitted, at most
 SAMPLE_TEXT_BYTES = 16 << 10  # longer texts are scored, but not fitted
 STEPS = 2000                  # of BATCH documents each, in whole passes over the sample
 BATCH = 32
@@ -76,7 +76,7 @@ def word_features(t: textops.Texts, hasher: textops.Hasher):
             own.append(word_of[ok])
     key, own = np.concatenate(keys), np.concatenate(own)
     order = np.argsort(own, kind="stable")
-    bags = (key[order] % np.uint64(BUCKETS)).astype(np.int64)
+    bags = (key[order] % np.uint64(BUCKETS)).astype(np.int32)
     return rows, index, bags, np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(s)))]).astype(np.int64), h[first]
 
 
@@ -85,8 +85,8 @@ def sample_features(texts: list[str], hasher: textops.Hasher):
     rows, index, hashes, sizes, bags, words = [], [], [], [], [], 0
     for t in textops.chunks(pa.array(texts, pa.large_string()), FIT_CHUNK_BYTES):
         r, i, b, o, h = word_features(t, hasher)
-        rows.append(r + t.lo)
-        index.append(i + words)
+        rows.append((r + t.lo).astype(np.int32))
+        index.append((i + words).astype(np.int32))
         hashes.append(h)
         sizes.append(np.diff(o))
         bags.append(b)
@@ -95,7 +95,7 @@ def sample_features(texts: list[str], hasher: textops.Hasher):
     size, flat = np.concatenate(sizes), np.concatenate(bags)
     start, n = (np.cumsum(size) - size)[first], size[first]
     step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return np.concatenate(rows), place[np.concatenate(index)], flat[np.repeat(start, n) + step], np.concatenate([[0], np.cumsum(n)])
+    return np.concatenate(rows), place.astype(np.int32)[np.concatenate(index)], flat[np.repeat(start, n) + step], np.concatenate([[0], np.cumsum(n)])
 
 
 def window_bounds(rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
