@@ -30,7 +30,7 @@ WINDOWS = r"(?s)(?=(.{1,8}))\S{1,12}"
 SIGNATURE = 9
 PERCENT = 80
 MIN_CHARS = 40
-BROADCAST_ROWS = 500_000  # ids of 16 bytes each: 8 MB at most
+BROADCAST_LINES = 500_000  # places of some 40 bytes each: 20 MB at most
 
 
 def _windows(line: str) -> Column:
@@ -88,21 +88,16 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         return F.size(F.array_intersect(a, b)) * 10 >= F.least(F.size(a), F.size(b)) * 4
 
     def verify(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-        where = keep(lines.select("row", "doc_id", "text_hash", "pos").join(used, "row"), "places")
-        places = where.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "row")).alias("at"))
-        if places.count() <= BROADCAST_ROWS:
-            ids = F.broadcast(places.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")))
-            source = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")), "left_semi")
-        else:
-            source = texts
-        source = source.withColumn("t", F.xxhash64("text"))
-        found = source.join(places.toDF("d", "text_hash", "at"),
-                            F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("text_hash")))
+        used = keep(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "used")
+        where = lines.select("row", "doc_id", "text_hash", "pos").join(broadcast_ids(used), "row")
+        places = keep(where.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "row")).alias("at")).toDF("d", "t", "at"), "places")
+        # the lines' places, at most BROADCAST_LINES of them, or else the texts are shuffled
+        wanted = F.broadcast(places) if used.count() <= BROADCAST_LINES else places
+        found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")))
         part = F.split("text", "\n")
         each = found.select(F.explode(F.transform("at", lambda x: F.struct(
             x["row"].alias("row"), F.trim(F.get(part, x["pos"])).alias("line")))).alias("x"))
-        line = keep(each.select("x.row", "x.line").dropDuplicates(["row"]), "candidates")
+        line = keep(each.select("x.row", "x.line").dropDuplicates(["row"]), "candidates")  # a repeated document has its lines twice
         return _linked(pairs.join(line.toDF("a", "line_a"), "a").join(line.toDF("b", "line_b"), "b"))
 
     comp = graph.link_buckets(buckets, verify, marks, may_link, filter_first=True)

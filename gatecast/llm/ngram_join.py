@@ -173,9 +173,10 @@ def _segments(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                      textops.list_array(x.view(np.int64), np.diff(np.append(at, len(x))), pa.int64())],
                     names=["node", "fragment", "grams"])
 
-    # Equal rows of one id would send their set twice; the join below allows for it.
-    picked = docs.join(nodes.select(F.col("doc").alias("doc_id"), "node", "s1", "s2"), "doc_id")
-    return picked.select("node", "s1", "s2", "text").mapInArrow(run, "node bigint, fragment bigint, grams array<bigint>")
+    # a few longs a node, so the texts stay where they are unless the nodes are very many
+    chosen = broadcast_ids(nodes.select(F.col("doc").alias("doc_id"), "node", "s1", "s2"))
+    return docs.join(chosen, "doc_id").select("node", "s1", "s2", "text").mapInArrow(
+        run, "node bigint, fragment bigint, grams array<bigint>")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -200,18 +201,19 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
                .select("node", F.explode(F.array_distinct("keys")).alias("key")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        chosen = nodes.join(used, "node")
+        used = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "used")
+        chosen = keep(nodes.join(broadcast_ids(used), "node"), "chosen")
+        size = chosen.select("node", "n_shingles")
         segments = keep(_segments(texts, chosen, n), "segments")
         left = pairs.join(segments.withColumnRenamed("node", "a"), "a")
         right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("others"))
         partial = (left.join(right, ["b", "fragment"])
-                   .select("a", "b", "fragment", F.size(F.array_intersect("grams", "others")).alias("common"))
-                   .groupBy("a", "b", "fragment").agg(F.max("common").alias("common")))
-        total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
-        sizes = nodes.select("node", "n_shingles")
-        return (total.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-                .where(F.col("common") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common")))
+                   .select("a", "b", F.struct("fragment", F.size(F.array_intersect("grams", "others")).alias("common")).alias("part")))
+        # a set: a repeated row of a document gives its segments again
+        parts = partial.groupBy("a", "b").agg(F.collect_set("part").alias("parts"))
+        total = parts.select("a", "b", F.aggregate("parts", F.lit(0).cast("long"), lambda x, p: x + p["common"]).alias("common"))
+        sized = (total.join(broadcast_ids(size.toDF("a", "na")), "a").join(broadcast_ids(size.toDF("b", "nb")), "b"))
+        return (sized.where(F.col("common") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common")))
                 .select("a", "b"))
 
     def may_link(a: str, b: str) -> Column:
