@@ -559,7 +559,7 @@ def tune_random_search(spark, sf_dir):
         (F.col("train_mae").isNotNull() == F.col("is_best")).alias("best_is_refitted"))
 
 
-def _train_both(spark, sf_dir):
+def train_both(spark, sf_dir):
     from gatecast.plans.models import FULL, NO_WEATHER, GbtParams, gbt_fit
     f = _training_features(spark, sf_dir)
     return f, _fitted(f, [FULL, NO_WEATHER], gbt_fit(GbtParams(max_iter=QUERY_ROUNDS)), True)
@@ -570,7 +570,7 @@ def model_roundtrip(spark, sf_dir):
     """S7 + S8: save every (airport, variant) model, load them by the manifest, and score with both copies."""
     from gatecast.plans.models import FULL, NO_WEATHER, load_models, save_models
     from gatecast.session import fresh_dir
-    f, models = _train_both(spark, sf_dir)
+    f, models = train_both(spark, sf_dir)
     root = fresh_dir(spark, "models")
     save_models(models, root)
     loaded = load_models(root)
@@ -586,7 +586,7 @@ def predict_requests(spark, sf_dir):
     """Score the requests of every airport in one job."""
     from gatecast.plans.predict import score_requests
     i = fx.load_inputs(spark, sf_dir)
-    _, models = _train_both(spark, sf_dir)
+    _, models = train_both(spark, sf_dir)
     return score_requests(i["labels"], i, models).select(*KEYS, "model_variant", F.col(LABEL).isNotNull().alias("predicted"))
 
 
@@ -596,7 +596,7 @@ def stream_predict(spark, sf_dir):
     from gatecast.plans.predict import score_requests
     from gatecast.streaming.predict_stream import stream_score
     i = fx.load_inputs(spark, sf_dir)
-    _, models = _train_both(spark, sf_dir)
+    _, models = train_both(spark, sf_dir)
     batch = score_requests(i["labels"], i, models).select(*KEYS, F.col(LABEL).alias("expected"))
     streamed = stream_score(spark, i["labels"], i, models)
     return streamed.join(batch, KEYS).select(*KEYS, "model_variant", F.col(LABEL).isNotNull().alias("predicted"),
