@@ -528,7 +528,8 @@ def fit_lasso(spark, sf_dir):
     preds = _predict_all(_fitted(f, [FULL], lasso_fit(), True), f, [FULL])
     train = f.where(F.col("split") == "train")
     ranges = train.groupBy("airport").agg(F.min(LABEL).alias("lo"), F.max(LABEL).alias("hi"))
-    out = preds.join(ranges, ["airport"], "left").withColumn("prediction", clip("prediction", F.col("lo"), F.col("hi")))
+    out = preds.join(ranges, ["airport"], "left").withColumn(
+        "prediction", F.when(F.col("prediction").isNotNull(), clip("prediction", F.col("lo"), F.col("hi"))))
     inside = F.coalesce(F.col("prediction").between(F.col("lo"), F.col("hi")), F.lit(False))
     return out.select(*KEYS, "split", "model_variant", _finite().alias("predicted"), inside.alias("in_train_range"))
 
