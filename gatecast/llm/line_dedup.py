@@ -8,8 +8,9 @@ Lines of at least ``min_chars`` characters take part; shorter ones always stay.
    every 12 characters inside a longer one.  Its signature is a bottom-k
    MinHash: the 9 smallest distinct hashes.
 3. Each two neighbours in the signature make a band, eight bands a line: lines
-   meet if any band agrees, and are compared if 0.4 of the shorter signature
-   is in both.  At a similarity of 0.8, 0.996 of pairs meet, above it more.
+   meet if any band agrees, and are compared if 0.55 of the shorter signature
+   is in both (5 of 9).  At a similarity of 0.8, 0.99 of pairs are compared,
+   above it more.
 4. Compared lines are linked if the exact Jaccard similarity of their shingle
    sets is 0.8 or more.
 5. Distributed union-find joins the links; of each component the line with
@@ -85,7 +86,10 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         return lines.join(wanted, "row").select(F.col("row").alias("node"), F.col("signature").alias("mark"))
 
     def may_link(a: str, b: str) -> Column:
-        return F.size(F.array_intersect(a, b)) * 10 >= F.least(F.size(a), F.size(b)) * 4
+        # a shorter signature is the whole set, and the condition then the exact one
+        whole = (F.size(a) < SIGNATURE) & (F.size(b) < SIGNATURE)
+        need = F.when(whole, (F.size(a) + F.size(b)) * PERCENT).otherwise(F.least(F.size(a), F.size(b)) * 99)
+        return F.size(F.array_intersect(a, b)) * (100 + PERCENT) >= need
 
     def verify(pairs: DataFrame) -> DataFrame:
         used = keep(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "used")
