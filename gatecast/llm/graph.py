@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatecast.llm.store import keep
+from gatecast.llm.store import broadcast_ids, keep
 
 SMALL_EDGES = 50_000  # of two longs each: under 1 MB, stepped in one partition without a shuffle
 
@@ -68,8 +68,8 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     of all linked pairs that share a bucket, and the pairs inside a large group
     of copies are never listed.
     """
-    count = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keep(buckets.join(count, "key"), "shared")
+    count = keep(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "count")
+    shared = keep(buckets.join(broadcast_ids(count, 1_000_000), "key"), "shared")
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     hubs = (shared.join(weight, "node").groupBy("key")
             .agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("hub"))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.llm import graph, textops
-from gatecast.llm.store import broadcast_ids, keep
+from gatecast.llm.store import broadcast_ids, keep, scratch
 
 GROWTH = 1.5          # ratio of neighbouring size classes
 LARGEST = 1 << 40
@@ -191,49 +191,53 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     doc_id have links to nothing else, and its component_id is null.  An empty
     table gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = keep(_marked(texts, n, percent).withColumn("row", F.monotonically_increasing_id()), "marks")
-    # Texts are found again by doc_id, so a node prefers a row that has one.
-    nodes = keep(marked.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles")
-                 .agg(F.min("row").alias("node"), F.min("doc_id").alias("doc")), "nodes")
-    buckets = (marked.select(F.col("row").alias("node"), "keys")
-               .join(nodes.where("doc is not null").select("node"), "node", "left_semi")
-               .select("node", F.explode(F.array_distinct("keys")).alias("key")))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        used = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "used")
-        chosen = keep(nodes.join(broadcast_ids(used), "node"), "chosen")
-        size = chosen.select("node", "n_shingles")
-        segments = keep(_segments(texts, chosen, n), "segments")
-        left = pairs.join(segments.withColumnRenamed("node", "a"), "a")
-        right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("others"))
-        partial = (left.join(right, ["b", "fragment"])
-                   .select("a", "b", F.struct("fragment", F.size(F.array_intersect("grams", "others")).alias("common")).alias("part")))
-        # a set: a repeated row of a document gives its segments again
-        parts = partial.groupBy("a", "b").agg(F.collect_set("part").alias("parts"))
-        total = parts.select("a", "b", F.aggregate("parts", F.lit(0).cast("long"), lambda x, p: x + p["common"]).alias("common"))
-        sized = (total.join(broadcast_ids(size.toDF("a", "na")), "a").join(broadcast_ids(size.toDF("b", "nb")), "b"))
-        return (sized.where(F.col("common") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common")))
-                .select("a", "b"))
-
-    def may_link(a: str, b: str) -> Column:
-        differ = sum((F.bit_count(F.get(F.col(a)["sketch"], F.lit(i)).bitwiseXOR(F.get(F.col(b)["sketch"], F.lit(i))))
-                      for i in range(SKETCH_WORDS)), F.lit(0))
-        na, nb = F.col(a)["n_shingles"], F.col(b)["n_shingles"]
-        return ((F.greatest(na, nb) * percent <= F.least(na, nb) * 100)
-                & (differ * (100 + percent) <= (na + nb) * (100 - percent)))
-
-    def marks(of: DataFrame) -> DataFrame:
-        wanted = broadcast_ids(of.select(F.col("node").alias("row")))
-        return marked.join(wanted, "row").select(F.col("row").alias("node"), F.struct("n_shingles", "sketch").alias("mark"))
-
-    comp = graph.link_buckets(buckets, verify, marks, may_link)
-    rooted = nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = rooted.join(best, "root").select("s1", "s2", "n_shingles", "component_id")
-    return (marked.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"], "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    with scratch(docs.sparkSession):
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        marked = keep(_marked(texts, n, percent).withColumn("row", F.monotonically_increasing_id()), "marks")
+        # Texts are found again by doc_id, so a node prefers a row that has one.
+        nodes = keep(marked.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles")
+                     .agg(F.min("row").alias("node"), F.min("doc_id").alias("doc")), "nodes")
+        # rows that repeat a node's set, or whose set has no id, bring no keys
+        same = ["s1", "s2", "n_shingles"]
+        again = keep(marked.select("row", *same).join(nodes, same).where("row <> node or doc is null").select("row"), "again")
+        buckets = (marked.join(broadcast_ids(again), "row", "left_anti")
+                   .select(F.col("row").alias("node"), F.explode(F.array_distinct("keys")).alias("key")))
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            used = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "used")
+            chosen = keep(nodes.join(broadcast_ids(used), "node"), "chosen")
+            size = chosen.select("node", "n_shingles")
+            segments = keep(_segments(texts, chosen, n), "segments")
+            left = pairs.join(segments.withColumnRenamed("node", "a"), "a")
+            right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("others"))
+            partial = (left.join(right, ["b", "fragment"])
+                       .select("a", "b", F.struct("fragment", F.size(F.array_intersect("grams", "others")).alias("common")).alias("part")))
+            # a set: a repeated row of a document gives its segments again
+            parts = partial.groupBy("a", "b").agg(F.collect_set("part").alias("parts"))
+            total = parts.select("a", "b", F.aggregate("parts", F.lit(0).cast("long"), lambda x, p: x + p["common"]).alias("common"))
+            sized = (total.join(broadcast_ids(size.toDF("a", "na")), "a").join(broadcast_ids(size.toDF("b", "nb")), "b"))
+            return (sized.where(F.col("common") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common")))
+                    .select("a", "b"))
+
+        def may_link(a: str, b: str) -> Column:
+            differ = sum((F.bit_count(F.get(F.col(a)["sketch"], F.lit(i)).bitwiseXOR(F.get(F.col(b)["sketch"], F.lit(i))))
+                          for i in range(SKETCH_WORDS)), F.lit(0))
+            na, nb = F.col(a)["n_shingles"], F.col(b)["n_shingles"]
+            return ((F.greatest(na, nb) * percent <= F.least(na, nb) * 100)
+                    & (differ * (100 + percent) <= (na + nb) * (100 - percent)))
+
+        def marks(of: DataFrame) -> DataFrame:
+            wanted = broadcast_ids(of.select(F.col("node").alias("row")))
+            return marked.join(wanted, "row").select(F.col("row").alias("node"), F.struct("n_shingles", "sketch").alias("mark"))
+
+        comp = graph.link_buckets(buckets, verify, marks, may_link)
+        rooted = nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        best = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
+        named = rooted.join(best, "root").select("s1", "s2", "n_shingles", "component_id")
+        found = (marked.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"], "left")
+                .select("doc_id", "n_shingles",
+                        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+        return keep(found, "components", lasting=True)
 
 
 def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
