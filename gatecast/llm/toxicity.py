@@ -32,7 +32,7 @@ SAMPLE_ROWS = 1600            # labelled rows of each label that are fitted, at
 SAMPLE_TEXT_BYTES = 16 << 10  # longer texts are scored, but not fitted
 STEPS = 2000                  # of BATCH documents each, in whole passes over the sample
 BATCH = 32
-FIT_CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 20         # texts worked on at once; the arrays take some 150 times that
 THRESHOLD = 0.3
 CLEAN_SCORE = 0.04
 _LETTER = np.zeros(256, bool)
@@ -83,7 +83,7 @@ def word_features(t: textops.Texts, hasher: textops.Hasher):
 def sample_features(texts: list[str], hasher: textops.Hasher):
     """``word_features`` of many texts, made a MB at a time."""
     rows, index, hashes, sizes, bags, words = [], [], [], [], [], 0
-    for t in textops.chunks(pa.array(texts, pa.large_string()), FIT_CHUNK_BYTES):
+    for t in textops.chunks(pa.array(texts, pa.large_string()), CHUNK_BYTES):
         r, i, b, o, h = word_features(t, hasher)
         rows.append((r + t.lo).astype(np.int32))
         index.append((i + words).astype(np.int32))
@@ -207,7 +207,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     # training parts the sample widely; words met later score less than known ones,
     # so the bias is raised until 1 % of the fitted clean texts reach CLEAN_SCORE
     model = Model(emb @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
-    parts = textops.chunks(pa.array(texts, pa.large_string()), FIT_CHUNK_BYTES)
+    parts = textops.chunks(pa.array(texts, pa.large_string()), CHUNK_BYTES)
     clean = np.quantile(np.concatenate([model.scores(t, hasher) for t in parts])[labels == 0], 0.99)
     raised = np.log(CLEAN_SCORE / (1 - CLEAN_SCORE)) - np.log(clean / (1 - clean))
     return Model(model.share, model.bias + float(max(raised, 0.0)))
@@ -242,7 +242,7 @@ def score_documents(docs: DataFrame, model: Model, out: str = "score") -> DataFr
         local, hasher = Model(share, bias), textops.Hasher()
         for batch in batches:
             at = batch.schema.get_field_index(name)
-            got = [local.scores(t, hasher) for t in textops.chunks(batch.column(at))]
+            got = [local.scores(t, hasher) for t in textops.chunks(batch.column(at), CHUNK_BYTES)]
             cols = [c for i, c in enumerate(batch.columns) if i != at]
             names = [f for i, f in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*names, out])
