@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from gatecast.llm import pieces, textops
 from gatecast.llm.pieces import Block, Seen, Vocabulary
 
-SAMPLE_ROWS = 1500             # texts that are fitted, per language, at most
-SAMPLE_TEXT_BYTES = 16 << 10   # longer texts are predicted, but not fitted
+SAMPLE_ROWS = 350              # texts that are fitted, per language, at most
+SAMPLE_TEXT_BYTES = 8 << 10    # longer texts are predicted, but not fitted
 MAX_LANGUAGES = 200            # more is an error: the model has pieces times languages
 ROUNDS = 3
 SMOOTH = 0.05                  # added to every piece's expected count
 CHUNK_BYTES = 2 << 20
+FIT_CHUNK_BYTES = 1 << 19      # texts fitted at once
 CERTAIN = 40.0                 # log-odds beyond which the score is taken as 0 or 1
 
 
@@ -100,13 +101,16 @@ def fit(texts: list[str], langs: list[str], shares: dict, vocab: Vocabulary) ->
     prior = np.log(np.array([shares[x] / total for x in names])) if names else np.zeros(0)
     if not texts:
         return Model(names, logp, prior)
-    t = next(textops.chunks(pa.array(texts, pa.large_string()), 1 << 62))
-    units = pieces.cut_units(t, vocab, textops.Hasher())
     lang = np.array([names.index(x) for x in langs])
-    width = len(names)
-    counts = np.bincount(units.index * width + lang[units.rows], minlength=len(units.hashes) * width).reshape(-1, width).astype(float)
-    blocks = [np.arange(lo, min(lo + 50_000, len(units.hashes))) for lo in range(0, len(units.hashes), 50_000)]
-    lattices = [(Lattice(units.block(chosen), vocab), counts[chosen]) for chosen in blocks]
+    width, hasher, lattices = len(names), textops.Hasher(), []
+    for t in textops.chunks(pa.array(texts, pa.large_string()), FIT_CHUNK_BYTES):
+        units = pieces.cut_units(t, vocab, hasher)
+        if len(units.hashes):
+            place = units.index * width + lang[units.rows + t.lo]
+            counts = np.bincount(place, minlength=len(units.hashes) * width).reshape(-1, width).astype(float)
+            lattices.append((Lattice(units.block(np.arange(len(units.hashes))), vocab), counts))
+    if not lattices:
+        return Model(names, logp, prior)
     for _ in range(ROUNDS):
         used = sum(x.expected(logp, c) for x, c in lattices) + SMOOTH
         logp = np.log(used) - np.log(used.sum(0))
