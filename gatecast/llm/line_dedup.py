@@ -4,9 +4,9 @@ Lines are the ``\n``-split parts of a text, compared after trimming blanks.
 Lines of at least ``min_chars`` characters take part; shorter ones always stay.
 
 1. Equal lines form one node (a 96-bit hash).
-2. A line's shingles are the 8-character windows that start at each word, or
-   every 12 characters inside a longer one.  Its signature is a bottom-k
-   MinHash: the 9 smallest distinct hashes.
+2. A line's shingles are all its 8-character windows, or the whole line if it
+   is shorter.  Its signature is a bottom-k MinHash: the 9 smallest distinct
+   hashes.
 3. Each two neighbours in the signature make a band, eight bands a line: lines
    meet if any band agrees, and are compared if 0.55 of the shorter signature
    is in both (5 of 9).  At a similarity of 0.8, 0.99 of pairs are compared,
@@ -21,21 +21,26 @@ A band holds two different shingles, so a frequent one brings few lines together
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.llm import graph
 from gatecast.llm.store import broadcast_ids, keep, scratch
 
-WINDOWS = r"(?s)(?=(.{1,8}))\S{1,12}"
+PARTS = r"(?s)(?=(.{8,31})).{1,24}"  # a part has the windows that start in its first 24 characters
 SIGNATURE = 9
 PERCENT = 80
 MIN_CHARS = 40
 BROADCAST_LINES = 500_000  # places of some 40 bytes each: 20 MB at most
 
 
-def _windows(line: str) -> Column:
-    return F.regexp_extract_all(line, F.lit(WINDOWS), F.lit(1))
+def _windows(line: str, value: Callable[[Column], Column] = lambda x: x) -> Column:
+    """``value`` of the window at every position; parts keep the cost of finding a position low in a long line."""
+    each = lambda p: F.transform(F.sequence(F.lit(1), F.char_length(p) - 7), lambda i: value(F.substr(p, i, F.lit(8))))
+    parts = F.regexp_extract_all(line, F.lit(PARTS), F.lit(1))
+    return F.when(F.char_length(line) < 8, F.array(value(F.col(line)))).otherwise(F.flatten(F.transform(parts, each)))
 
 
 def _bands(signature: str) -> Column:
@@ -52,7 +57,7 @@ def _marked_lines(docs: DataFrame, min_chars: int) -> DataFrame:
              .select("doc_id", "text_hash", "pos", F.trim("col").alias("line"))
              .where(F.char_length("line") >= min_chars))
     hashed = lines.select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("h1"), F.crc32("line").alias("h2"),
-                          F.sort_array(F.transform(_windows("line"), lambda x: F.xxhash64(x))).alias("hashes"))
+                          F.sort_array(_windows("line", lambda x: F.xxhash64(x))).alias("hashes"))
     # mostly the first few hold enough different ones; a repetitive line needs all
     few = hashed.withColumn("few", F.array_distinct(F.slice("hashes", 1, 2 * SIGNATURE)))
     enough = (F.size("few") >= SIGNATURE) | (F.size("hashes") <= 2 * SIGNATURE)

@@ -78,3 +78,38 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     assert [r.text for r in got if r.doc_id == 2] == [""]
     assert len(got) == 5
     assert ld.dedup_lines(spark.createDataFrame([], schema)).collect() == []
+
+
+def every_window(s):
+    return {s[i:i + 8] for i in range(max(len(s) - 7, 1))}
+
+
+def test_every_position_counts(spark, monkeypatch):
+    """Brute force over the windows of all positions, with lines that differ only inside long words or have no blanks."""
+    monkeypatch.setitem(globals(), "grams", every_window)
+    rng = random.Random(5)
+    chinese = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(160))
+    dates = [" ".join(f"2024-01-{rng.randint(1, 28):02d}" for _ in range(4)) for _ in range(30)]
+    phones = [" ".join(f"+49-30-5550{rng.randint(1000, 9999)}" for _ in range(5)) for _ in range(30)]
+    rows = [(k, x) for k, x in enumerate(dates + phones)]
+    rows += [(100, chinese), (101, chinese[:30] + "x" + chinese[31:]), (102, "x" + chinese), (103, chinese[:80] * 2)]
+    rows += [(104, "2024-01-05 2024-01-09 2024-01-13 2024-01-17"), (105, "2024-01-02 2024-01-21 2024-01-28 2024-01-30")]
+    rows += [(200 + d, t) for d, t in corpus()]
+    got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, ld.MIN_CHARS)
+    assert got[104] and got[105] and got[100] and not got[101] and not got[102]
+
+
+def test_windows_of_short_and_long_lines(spark):
+    lines = ["", "a", "1234567", "12345678", "123456789", "é" * 3 + "\U0001F600" * 6, "".join(chr(97 + i % 23) for i in range(100))]
+    lines += ["".join(chr(0x4E00 + i) for i in range(n)) for n in range(20, 60)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    for r in df.select("line", ld._windows("line").alias("w")).collect():
+        assert set(r.w) == every_window(r.line) and len(r.w) == max(len(r.line) - 7, 1)
+
+
+def test_documents_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "grams", every_window)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(100).cache()
+    rows = [tuple(r) for r in docs.collect()]
+    assert {r.doc_id: r.text for r in ld.dedup_lines(docs).collect()} == brute(rows, ld.MIN_CHARS)
