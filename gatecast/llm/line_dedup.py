@@ -1,7 +1,8 @@
 r"""Line dedup by MinHash, with DataFrame functions only.
 
 Lines are the ``\n``-split parts of a text, compared after trimming blanks.
-Lines of at least ``min_chars`` characters take part; shorter ones always stay.
+Lines of at least ``min_chars`` characters that are not all white space take
+part; the others always stay.  With a ``min_chars`` of 1 there is no floor.
 
 1. Equal lines form one node (a 96-bit hash).
 2. A line's shingles are all its 8-character windows, or the whole line if it
@@ -30,9 +31,11 @@ from gatecast.llm import graph
 from gatecast.llm.store import broadcast_ids, keep, scratch
 
 PARTS = r"(?s)(?=(.{8,31})).{1,24}"  # a part has the windows that start in its first 24 characters
+NOT_BLANK = r"[^\s\p{Z}]"
 SIGNATURE = 9
 PERCENT = 80
-MIN_CHARS = 40
+MIN_CHARS = 40  # of a caller that names none; op4 and the pipeline's stage use NO_FLOOR
+NO_FLOOR = 1
 BROADCAST_LINES = 500_000  # places of some 40 bytes each: 20 MB at most
 
 
@@ -55,7 +58,7 @@ def _marked_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """A row per line that takes part: where it is, its 96-bit hash and its signature."""
     lines = (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")))
              .select("doc_id", "text_hash", "pos", F.trim("col").alias("line"))
-             .where(F.char_length("line") >= min_chars))
+             .where((F.char_length("line") >= min_chars) & F.col("line").rlike(NOT_BLANK)))
     hashed = lines.select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("h1"), F.crc32("line").alias("h2"),
                           F.sort_array(_windows("line", lambda x: F.xxhash64(x))).alias("hashes"))
     # mostly the first few hold enough different ones; a repetitive line needs all
@@ -129,7 +132,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, drop_emptied: bool
     ``n_chars``, if there, follows the new text.  Lines shorter than
     ``min_chars`` stay, as do null and empty texts.  Repeated rows of one
     document count as one and stay alike.  A null doc_id comes first in the
-    order.  With ``drop_emptied``, documents of which nothing but blank
+    order.  Lines of white space only stay.  With ``drop_emptied``, documents of which nothing but blank
     remains after lines went are dropped.  An empty table stays empty.
     """
     gone = duplicate_lines(docs, min_chars).toDF("__doc", "__hash", "__removed")

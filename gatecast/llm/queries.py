@@ -49,7 +49,8 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 def op4_line_dedup(spark, sf_dir):
     """Documents after fuzzy line dedup: what is left of each text."""
     docs = table(spark, sf_dir, "documents")
-    left = line_dedup.dedup_lines(docs.select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines")))
+    left = line_dedup.dedup_lines(docs.select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines")),
+                                  min_chars=line_dedup.NO_FLOOR)
     return left.select("doc_id", "n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_left"), "text")
 
 

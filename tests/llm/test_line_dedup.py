@@ -113,3 +113,19 @@ def test_documents_equal_brute_force(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(100).cache()
     rows = [tuple(r) for r in docs.collect()]
     assert {r.doc_id: r.text for r in ld.dedup_lines(docs).collect()} == brute(rows, ld.MIN_CHARS)
+
+
+def test_short_lines_take_part(spark, monkeypatch, tmp_path):
+    """In op4 and the pipeline's stage: equal short lines go, copies leave no husk, blank lines stay."""
+    import corpus_pipeline
+    from gatecast.llm.queries import QUERIES
+    monkeypatch.setitem(globals(), "grams", every_window)
+    copy = "Home\nSubscribe to our newsletter\n\n\u3053\u308c\u306f\u6587\u3067\u3059\u3002\nBy A. Writer"
+    rows = [(1, copy), (2, copy), (3, "Home\n\t\nits own line"), (4, "Subscribe to our newsletters\n\t\nBy A. Writer\nx"), (5, "1234567\n12345678")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: copy, 2: "", 3: "\t\nits own line", 4: "\t\nx", 5: "1234567\n12345678"}
+    got = {r.doc_id: r for r in QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()}
+    assert {d: r.text for d, r in got.items()} == want
+    stage = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert stage == {d: t for d, t in want.items() if d != 2}
