@@ -10,7 +10,10 @@ from its own best container.
 
 Inside the container, boilerplate descendants (menus, headers and footers of
 the page, sidebars, adverts, notices, forms, comments, scripts, styles) are
-left out, wherever the path leads.
+left out, wherever the path leads.  An element that only its names call
+boilerplate is read all the same if it holds most of the unlinked text in
+articles, or, on a page without any, most of all unlinked text; comments never
+are, and adverts only for an article in them.
 """
 
 from __future__ import annotations
@@ -39,46 +42,73 @@ BOILERPLATE = ("ad", "ads", "advert", "adverts", "advertisement", "banner", "bre
 _BOILER = frozenset(BOILERPLATE)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_ATTR = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+# a whole class, id or role; or one with such an affix, as in ad-top, share-buttons or site-footer
+_AFFIXED = re.compile("|".join([r"(?:ads?|advert|banner|breadcrumbs?|comments?|cookies?|consent|newsletter|pagination|popup|promo|share|sharing|sponsor|subscribe|widget)[-_].*",
+                                r"(?:site|global|top|bottom)[-_](?:header|footer|nav|navigation|menu|banner)|(?:main|primary|secondary|left|right)[-_](?:nav|navigation|menu|sidebar)|page[-_]footer",
+                                r"(?:nav|footer|sidebar|menu|related|social)[-_](?:bar|box|list|links?|menu|area|widgets?|posts|articles|icons|buttons|share|media|left|right|top|bottom)",
+                                r".*[-_](?:ads?|advert|advertisement|breadcrumbs?|comments|disclaimer|newsletter|pagination|popup|promo|widget)"]))
+_REPLIES = re.compile(r"comments?|replies|responses|disqus")  # may well hold most of a page's text
+_ADVERT = re.compile(r"\b(?:ads?|advert\w*|sponsor\w*|promo)\b")  # as may these, of a short page
+_DIGITS = re.compile(r"[-_]?\d+$")
+_SAYS_ARTICLE = re.compile(r"(?:has|no|with|without)[-_].*")
 _BLANK = re.compile(r"\s+")
 
 
-def _names(attrs: str) -> tuple[str, bool]:
-    """First class without digits, and whether class, id or role says boilerplate."""
-    first, boiler = "", False
+def _boiler_name(name: str) -> bool:
+    if _SAYS_ARTICLE.fullmatch(name):
+        return False
+    return name in _BOILER or _DIGITS.sub("", name) in _BOILER or _AFFIXED.fullmatch(name) is not None
+
+
+def _names(attrs: str) -> tuple[str, bool, bool]:
+    """First class without digits, whether class, id or role says boilerplate, and whether the element is hidden."""
+    first, boiler, hidden = "", False, False
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "class" and value.split() and not first:
-            first = re.sub(r"[\d_-]+", "", value.split()[0])
         if key == "hidden":
-            boiler = True
-        elif not _BOILER.isdisjoint(_WORDS.findall(value)) or value in ("contentinfo", "complementary", "search"):
-            boiler = True
-    return first, boiler
+            hidden = True
+        elif key == "aria-hidden":
+            hidden |= value.strip() == "true"
+        elif key in ("class", "id", "role"):
+            if key == "class" and value.split() and not first:
+                first = re.sub(r"[\d_-]+", "", value.split()[0])
+            boiler |= any(map(_boiler_name, value.split())) or (key == "role" and value in ("contentinfo", "complementary", "search"))
+    return first, boiler, hidden
 
 
-def read_blocks(page: str) -> tuple[list, list]:
+def read_blocks(page: str, freed: frozenset = frozenset()) -> tuple[list, list]:
     """The page's containers and its text blocks in order.
 
     Containers are (path, parent, skipped).  Blocks are (container, text, is
     inside a link only, is boilerplate).  Broken nesting is read leniently: an
     end tag closes up to its start, unknown ones are ignored, and what is open
-    at the end ends there.
+    at the end ends there.  ``freed`` has the numbers of the elements whose
+    names do not count; if it is empty they are found, and the page read again.
     """
     nodes, blocks = [("", -1, False)], []
-    stack = [("", 0, False, False)]           # tag, container, skipped, inside header
+    stack = [("", 0, False, False, False, ())]  # tag, container, skipped, skipped whatever the names, in an article, elements named boilerplate
+    named: list = []                            # of each such element: text, text in its articles, is in an article, may be freed by (0) none, (1) its articles, (2) either
+    page_text = article_text = 0
     parts: list[str] = []
     linked = plain = 0
     in_link = False
     pos, end = 0, len(page)
 
     def flush() -> None:
-        nonlocal linked, plain
+        nonlocal linked, plain, page_text, article_text
         if parts:
             text = _BLANK.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                blocks.append((stack[-1][1], text, linked, stack[-1][2]))
+                _, box, skipped, hard, in_article, inside = stack[-1]
+                blocks.append((box, text, linked, skipped))
+                if not hard:
+                    free = max(len(text) - linked, 0)
+                    page_text += free
+                    article_text += free * in_article
+                    for k in inside:
+                        named[k][0] += free
+                        named[k][1] += free * (in_article and not named[k][2])
             parts.clear()
         linked = plain = 0
 
@@ -129,15 +159,24 @@ def read_blocks(page: str) -> tuple[list, list]:
             continue
         if attrs.rstrip().endswith("/"):
             continue
-        first, boiler = _names(attrs)
-        _, box, skipped, _ = stack[-1]
-        inside_article = any(s[0] in ("article", "main") for s in stack)
-        skip = skipped or tag in SKIPPED or (boiler and tag not in ("html", "body", "main", "article")) or (tag == "header" and not inside_article)
+        first, boiler, hidden = _names(attrs)
+        _, box, skipped, hard, in_article, inside = stack[-1]
+        top = tag in ("html", "body", "main", "article")
+        hard = hard or tag in SKIPPED or (hidden and not top) or (tag == "header" and not in_article)
+        skip = skipped or hard
+        if boiler and not top:
+            skip = skip or len(named) not in freed
+            inside = (*inside, len(named))
+            named.append([0, 0, in_article, 0 if _REPLIES.search(attrs.lower()) else 1 if _ADVERT.search(attrs.lower()) else 2])
         if tag in CONTAINERS and not skip:
             nodes.append((f"{nodes[box][0]}/{tag}" + (f".{first}" if first else ""), box, skip))
             box = len(nodes) - 1
-        stack.append((tag, box, skip, tag == "header"))
+        stack.append((tag, box, skip, hard, in_article or tag in ("article", "main"), inside))
     flush()
+    if not freed:
+        found = frozenset(k for k, (text, own, _, may) in enumerate(named) if 2 * own > article_text and may or 2 * text > page_text and may > 1 and not article_text)
+        if found:
+            return read_blocks(page, found)
     return nodes, blocks
 
 

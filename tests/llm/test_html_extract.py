@@ -42,3 +42,41 @@ def test_hosts_vote(spark):
     got = {r.page_id: r.text for r in h.extract_pages(docs).collect()}
     assert h.best_path(*h.read_blocks(odd))[0] != h.best_path(*h.read_blocks(PAGE.format(n=1)))[0]
     assert got[9] == WANT.format(n=1)
+
+
+BODY = "<h1>The title</h1><p>A first paragraph, long enough to be told from the rest of the page.</p><p>A second one.</p>"
+TEXT = "The title A first paragraph, long enough to be told from the rest of the page. A second one."
+MORE = '<nav><a href="/">Home</a></nav><div class="sidebar"><p>Other things.</p></div><div class="ad-top">Buy!</div>'
+
+
+def whole(page):
+    return h.extract(f"<html><body>{MORE}{page}<footer>me</footer></body></html>", [])
+
+
+def test_wrappers_that_hold_the_article():
+    for attrs in ('style="overflow:hidden"', 'aria-hidden="false"', 'class="content has-sidebar"', 'class="content-sidebar-wrap"', 'class="no-sidebar"',
+                  'class="widget"', 'id="banner" class="x"', 'data-x="hidden menu"'):
+        assert whole(f"<div {attrs}><article>{BODY}</article></div>") == TEXT, attrs
+        assert whole(f"<div {attrs}>{BODY}</div>") == TEXT, attrs
+
+
+def test_parts_of_an_article():
+    for name in ("article-header", "entry-header", "related-work", "social-studies"):
+        page = f'<article><div class="{name}"><h2>Its part.</h2></div>{BODY}</article>'
+        assert whole(page) == "Its part. " + TEXT, name
+    for attrs in ("hidden", 'aria-hidden="true"', 'class="share-buttons"', 'class="related-posts"', 'class="ad"', 'class="widget_2"', 'role="search"'):
+        assert whole(f"<article>{BODY}<div {attrs}><p>Not this.</p></div></article>") == TEXT, attrs
+
+
+def test_comments_longer_than_the_article():
+    said = '<article class="comment-body"><p>I, for one, say a lot, and more, and more.</p></article>' * 30
+    assert whole(f'<article>{BODY}<div id="comments">{said}</div></article>') == TEXT
+    assert whole(f'<article>{BODY}</article><div id="comments">{said}</div>') == TEXT
+
+
+def test_advert_longer_than_the_page():
+    advert = '<div class="{}"><p>' + "Buy this, or that, or both of them, now. " * 9 + "</p></div>"
+    for name in ("ad", "ad-top", "sponsored"):
+        assert whole(advert.format(name) + f"<article>{BODY}</article>") == TEXT
+        assert whole(advert.format(name) + f"<div>{BODY}</div>") == TEXT
+    assert whole(advert.format("sidebar") + f"<article>{BODY}</article>") == TEXT
