@@ -18,14 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.llm import pieces, textops
 from gatecast.llm.pieces import Block, Seen, Vocabulary
 
 SAMPLE_ROWS = 350              # texts that are fitted, per language, at most
-SAMPLE_TEXT_BYTES = 8 << 10    # longer texts are predicted, but not fitted
+SAMPLE_TEXT_BYTES = 8 << 10    # of a longer text a piece of about that size is fitted; it is predicted whole
 MAX_LANGUAGES = 200            # more is an error: the model has pieces times languages
 ROUNDS = 3
 SMOOTH = 0.05                  # added to every piece's expected count
@@ -148,11 +148,19 @@ class Predictor:
         return best, 1 / np.exp(gap).sum(1)
 
 
+def _fitted_piece() -> Column:
+    """The text, or of a longer one the piece of about SAMPLE_TEXT_BYTES that starts at a place drawn by the id."""
+    size, chars = F.octet_length("text"), F.char_length("text")
+    n = F.ceil(chars * F.lit(SAMPLE_TEXT_BYTES) / size).cast("int")
+    start = F.pmod(F.xxhash64("doc_id", F.lit("piece")), (chars - n + 1).cast("long")).cast("int") + 1
+    return F.when(size <= SAMPLE_TEXT_BYTES, F.col("text")).otherwise(F.substr("text", start, n))
+
+
 def training_sample(docs: DataFrame) -> tuple[list, dict]:
     """Texts and languages that are fitted, and the number of rows of each language.
 
     Per language the first ids in the order of their hash are taken; ids and
-    languages are chosen without the texts.
+    languages are chosen without the texts, whatever their length.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     shares = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -160,12 +168,12 @@ def training_sample(docs: DataFrame) -> tuple[list, dict]:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not shares:
         return [], {}
-    short = known.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     picked = None
     for lang in sorted(shares):
-        one = short.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(SAMPLE_ROWS).select("doc_id", "lang").distinct()
+        one = ids.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(SAMPLE_ROWS).select("doc_id", "lang").distinct()
         picked = one if picked is None else picked.union(one)
-    rows = (known.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select("doc_id", "lang", "text")
+    rows = (known.select("doc_id", "lang", _fitted_piece().alias("text"))
             .join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")))
     return sorted((r["doc_id"], r["lang"], r["text"]) for r in rows.collect()), shares
 

@@ -70,3 +70,15 @@ def test_held_out_accuracy_and_edge_rows(spark):
     assert all(0 <= r.score <= 1 for r in out)
     assert {r.lang_pred for r in lid.predict(odd, odd.where("false")).collect()} == {"und"}
     assert lid.predict(spark.createDataFrame([], schema), learn).collect() == []
+
+
+def test_a_language_of_long_texts_only_is_learnt(spark):
+    long = "\u3053\u306e\u672c\u306f\u3068\u3066\u3082\u9762\u767d\u3044\u3067\u3059\u3002" * 400
+    rows = [(i, "the one and the other of them", "en") for i in range(5)] + [(10 + i, long, "ja") for i in range(5)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample, shares = lid.training_sample(learn)
+    assert shares == {"en": 5, "ja": 5} and [x[1] for x in sample] == ["en"] * 5 + ["ja"] * 5
+    assert all(x[2] in long and 8000 < len(x[2].encode()) < 8400 for x in sample[5:])
+    assert len({x[2][:13] for x in sample[5:]}) > 1
+    docs = spark.createDataFrame([(1, long), (2, long[:26]), (3, "one of the other")], "doc_id long, text string")
+    assert [r.lang_pred for r in sorted(lid.predict(docs, learn).collect())] == ["ja", "ja", "en"]
