@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatecast.llm import (html_extract, language_id, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, sharding,
-                          topk, toxicity)
+from gatecast.llm import (bpe_codec, html_extract, language_id, line_dedup, merkle, mixing, ngram_join, quality, resampling,
+                          sentencepiece_codec, sharding, topk, toxicity)
 from gatecast.llm.store import doc_bucket, table
 
 QUERIES: dict = {}
@@ -170,3 +170,99 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op11_bpe_codec(spark, sf_dir):
+    """Digests of every whole text's ids and of the text that they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe_codec.decode(bpe_codec.encode(docs).drop("text"))
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# crc32 of a string, bit by bit: every byte is followed by seven zeros, each step takes one in and shifts by a bit
+_CRC = """list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+    regexp_extract_all(hex(encode({0})), '..'), lambda h: [('0x' || h)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)::BIGINT)"""
+
+
+def _crc32(value: str) -> str:
+    return f"xor({_CRC.format(value)}, 4294967295)"
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, subroot, root and proof of every document, and whether it verifies after tampering."""
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+def _cell(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_cell(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS g, {_LEAF.format(_cell("text"))} AS leaf,
+         {_LEAF.format(_cell("tampered"))} AS shown
+  FROM (SELECT *, CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM documents)),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+t AS (SELECT g, 0 AS lv, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM l
+      UNION ALL
+      SELECT g, lv + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY g, lv, i // 3),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS i FROM t WHERE n = 1),
+u AS (SELECT 0 AS lv, i, subroot AS h, count(*) OVER () AS n FROM s
+      UNION ALL
+      SELECT lv + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM u WHERE n > 1 GROUP BY lv, i // 3),
+run AS (SELECT g, lv, i // 3 AS p, list(h ORDER BY i) AS hs FROM t WHERE n > 1 GROUP BY ALL),
+top AS (SELECT lv, i // 3 AS p, list(h ORDER BY i) AS hs FROM u WHERE n > 1 GROUP BY ALL),
+path AS (
+  SELECT l.g, l.i, run.lv AS step, (l.i // (3 ** run.lv)::BIGINT) % 3 AS k, hs FROM l JOIN run ON run.g = l.g AND run.p = l.i // (3 ** (run.lv + 1))::BIGINT
+  UNION ALL
+  SELECT l.g, l.i, 1000 + top.lv, (s.i // (3 ** top.lv)::BIGINT) % 3, hs FROM l JOIN s USING (g) JOIN top ON top.p = s.i // (3 ** (top.lv + 1))::BIGINT),
+sib AS (SELECT g, i, row_number() OVER (PARTITION BY g, i ORDER BY step) AS step, array_to_string(hs[1:k], '') AS a, array_to_string(hs[k + 2:], '') AS b FROM path),
+proof AS (SELECT g, i, sha256(string_agg(a || b, '' ORDER BY step)) AS proof_sha256, count(*) AS steps FROM sib GROUP BY ALL),
+f AS (SELECT g, i, 0 AS step, shown AS h FROM l
+      UNION ALL
+      SELECT f.g, f.i, sib.step, sha256(sib.a || f.h || sib.b) FROM f JOIN sib ON sib.g = f.g AND sib.i = f.i AND sib.step = f.step + 1)
+SELECT l.doc_id, l.leaf, s.subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+       f.h AS folded_root, f.h = (SELECT h FROM u WHERE n = 1) AS verified
+FROM l JOIN s USING (g) LEFT JOIN proof ON proof.g = l.g AND proof.i = l.i
+JOIN f ON f.g = l.g AND f.i = l.i AND f.step = coalesce(proof.steps, 0)
+"""
+
+
+@query
+def op13_importance_resampling(spark, sf_dir):
+    """A tenth of the documents of 20 words or more, drawn towards the benchmark's distribution of hashed words."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_importance_resampling"] = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS r FROM documents),
+m AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+f AS (SELECT r, unnest(ws) AS w FROM w),
+k AS (SELECT w, {_crc32("w")} % 10000 AS bucket FROM (SELECT w FROM f UNION SELECT w FROM m)),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN k USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM m JOIN k USING (w) GROUP BY bucket),
+g AS (
+  SELECT b.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE
+                / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM m) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+x AS (SELECT r, sum(gain)::BIGINT AS weight FROM f JOIN k USING (w) JOIN g USING (bucket) GROUP BY r),
+y AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         ('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, 'null'))[1:8])::BIGINT AS h FROM w LEFT JOIN x USING (r)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM y),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place,
+         count(*) OVER (PARTITION BY n_features >= 20) AS n FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END::BIGINT AS rank FROM o
+"""
