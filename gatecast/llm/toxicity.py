@@ -29,7 +29,7 @@ BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 16                   # words; windows overlap by half
 SAMPLE_ROWS = 1600            # labelled rows of each label that are fitted, at most
-SAMPLE_TEXT_BYTES = 16 << 10  # longer texts are scored, but not fitted
+SAMPLE_CHARS = 12 << 10       # of a longer text a piece of so many characters is fitted, drawn by its id
 STEPS = 2000                  # of BATCH documents each, in whole passes over the sample
 BATCH = 32
 CHUNK_BYTES = 1 << 20         # texts worked on at once; the arrays take some 150 times that
@@ -216,14 +216,16 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 def training_sample(docs: DataFrame, labelled: DataFrame) -> list:
     """A bounded sample of labelled texts: per label, the first ids in the order of their hash.
 
-    Ids are chosen on the label table alone; at most 2 * SAMPLE_ROWS texts of
-    at most SAMPLE_TEXT_BYTES each then come to the driver.
+    Ids are chosen on the label table alone; at most 2 * SAMPLE_ROWS texts then
+    come to the driver.  Of a text over SAMPLE_CHARS characters a piece of that
+    length comes, from a place drawn by the doc_id; no chosen row is left out for its length.
     """
     known = labelled.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for label in (0, 1)]
-    rows = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
-            .where((F.octet_length("text") <= SAMPLE_TEXT_BYTES))
-            .join(F.broadcast(ids[0].union(ids[1])), "doc_id"))
+    text = F.col("text").cast("string")
+    start = F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.char_length(text) - SAMPLE_CHARS + 1) + 1
+    piece = F.when(F.char_length(text) > SAMPLE_CHARS, F.substring(text, start, SAMPLE_CHARS)).otherwise(text)
+    rows = docs.where("text is not null").join(F.broadcast(ids[0].union(ids[1])), "doc_id").select("doc_id", "toxic", piece.alias("text"))
     one = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return sorted((r["doc_id"], r["text"], r["toxic"]) for r in one.collect())
 

@@ -53,3 +53,18 @@ def test_edge_rows(spark):
     only = toxicity.train(docs, labels.where("toxic = 0"))
     assert max(r.score for r in toxicity.score_documents(odd, only).collect()) < 0.01
     assert toxicity.score_documents(spark.createDataFrame([], schema), model).collect() == []
+
+
+def test_long_texts_are_fitted_too(spark):
+    """Toxic texts that are all long: none is left out of the sample, a piece of each is fitted."""
+    calm = "the river was calm and the boats lay still in the morning light "
+    rude = "you are a worthless glorpish fool and everybody knows it "
+    docs = spark.createDataFrame([(i, (rude if i % 2 else calm) * (600 if i % 2 else 3)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs, labels)
+    assert len(sample) == 60 and max(len(t) for _, t, _ in sample) == toxicity.SAMPLE_CHARS
+    assert all(t in rude * 600 for _, t, y in sample if y)
+    model = toxicity.train(docs, labels)
+    new = spark.createDataFrame([(1, "what a glorpish worthless fool"), (2, "boats in the calm morning")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_documents(new, model).collect()}
+    assert got[1] > toxicity.THRESHOLD > got[2]
