@@ -94,8 +94,7 @@ WITH d AS (
                       WHEN regexp_matches(coalesce(source, 'none'), '^src[5-9]$') THEN 'news'
                       WHEN regexp_matches(coalesce(source, 'none'), '^src1[0-4]$') THEN 'forum' ELSE 'other' END AS domain,
          coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
-         coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0)::BIGINT AS n_tokens FROM documents),
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 3 * sum(n_tokens)::BIGINT AS supply FROM d GROUP BY ALL),
 n1 AS (SELECT domain, sum(supply)::BIGINT AS supply, 0 AS top,
               CASE domain WHEN 'web' THEN 3 WHEN 'news' THEN 2 WHEN 'forum' THEN 2 ELSE 3 END AS weight,

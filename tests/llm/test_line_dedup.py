@@ -1,19 +1,18 @@
 """Line dedup against brute force over all pairs of lines."""
 
 import random
-import re
 
 from gatecast.llm import line_dedup as ld
 
 
-def grams(s):
-    return {s[m.start():m.start() + 8] for m in re.finditer(r"\S{1,12}", s)}
+def every_window(s):
+    return {s[i:i + 8] for i in range(max(len(s) - 7, 1))}
 
 
 def brute(rows, min_chars):
     """Lines left per document, by exact similarity of all pairs."""
-    lines = [(d, p, x.strip(" ")) for d, t in rows if t is not None for p, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= min_chars]
-    sets, root = [grams(x) for *_, x in lines], list(range(len(lines)))
+    lines = [(d, p, x.strip(" ")) for d, t in rows if t is not None for p, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= min_chars and x.strip()]
+    sets, root = [every_window(x) for *_, x in lines], list(range(len(lines)))
 
     def find(i):
         while root[i] != i:
@@ -80,13 +79,8 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     assert ld.dedup_lines(spark.createDataFrame([], schema)).collect() == []
 
 
-def every_window(s):
-    return {s[i:i + 8] for i in range(max(len(s) - 7, 1))}
-
-
-def test_every_position_counts(spark, monkeypatch):
+def test_every_position_counts(spark):
     """Brute force over the windows of all positions, with lines that differ only inside long words or have no blanks."""
-    monkeypatch.setitem(globals(), "grams", every_window)
     rng = random.Random(5)
     chinese = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(160))
     dates = [" ".join(f"2024-01-{rng.randint(1, 28):02d}" for _ in range(4)) for _ in range(30)]
@@ -108,18 +102,16 @@ def test_windows_of_short_and_long_lines(spark):
         assert set(r.w) == every_window(r.line) and len(r.w) == max(len(r.line) - 7, 1)
 
 
-def test_documents_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setitem(globals(), "grams", every_window)
+def test_documents_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(100).cache()
     rows = [tuple(r) for r in docs.collect()]
     assert {r.doc_id: r.text for r in ld.dedup_lines(docs).collect()} == brute(rows, ld.MIN_CHARS)
 
 
-def test_short_lines_take_part(spark, monkeypatch, tmp_path):
+def test_short_lines_take_part(spark, tmp_path):
     """In op4 and the pipeline's stage: equal short lines go, copies leave no husk, blank lines stay."""
     import corpus_pipeline
     from gatecast.llm.queries import QUERIES
-    monkeypatch.setitem(globals(), "grams", every_window)
     copy = "Home\nSubscribe to our newsletter\n\n\u3053\u308c\u306f\u6587\u3067\u3059\u3002\nBy A. Writer"
     rows = [(1, copy), (2, copy), (3, "Home\n\t\nits own line"), (4, "Subscribe to our newsletters\n\t\nBy A. Writer\nx"), (5, "1234567\n12345678")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

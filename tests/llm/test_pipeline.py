@@ -37,7 +37,7 @@ def test_toxicity_drops_few_and_changes_nothing(stages):
 
 
 def test_line_dedup_equals_brute_force(stages):
-    want = left_lines([r[:2] for r in stages[1]], line_dedup.MIN_CHARS)
+    want = left_lines([r[:2] for r in stages[1]], line_dedup.NO_FLOOR)
     before = {r[0]: r[1] for r in stages[1]}
     want = {d: t for d, t in want.items() if t == before[d] or t.strip(" ")}
     assert {r[0]: r[1] for r in stages[2]} == want
