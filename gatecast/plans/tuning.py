@@ -22,7 +22,10 @@ from pyspark.sql import types as T
 
 from gatecast.operators import split
 from gatecast.operators.metrics import prediction_mae
+from gatecast.plans.boosting import BoostParams, Boosted, fit_boosted, predict, prepare
 from gatecast.plans.models import GbtParams, Variant, fit_indexer, gbt_pipeline, training_rows
+from gatecast.plans.tpe import Choice, Space, Uniform, suggest, values
+from gatecast.schemas import LABEL
 
 # ---- fixed values: the reference's search settings -------------------------
 # (no MLlib counterpart for num_leaves, reg_alpha and reg_lambda, so they
@@ -128,3 +131,59 @@ def tune_per_airport(features: DataFrame, airports: list[str], variant: Variant,
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(airports)))) as pool:
         rows = [r for part in pool.map(one, airports) for r in part]
     return features.sparkSession.createDataFrame(rows, TRIAL_SCHEMA)
+
+
+def boosted_space(variant: str = "full") -> Space:
+    """M8 for ``tune_adaptive``: the reference's ranges of every setting that level-wise trees have."""
+    return {
+        "learning_rate": Uniform(*LEARNING_RATE_LOG_RANGE, log=True),
+        "depth": Choice(tuple(DEPTH_CHOICES[variant])),
+        "feature_fraction": Uniform(*FEATURE_FRACTION_RANGE),
+        "min_rows": Uniform(0.0, math.log(MIN_ROWS_PER_LEAF[variant]), log=True, step=1),
+        "l1": Uniform(0.0, 1.0),
+        "l2": Uniform(0.0, 1.0),
+    }
+
+
+ADAPTIVE_SCHEMA = "airport string, variant string, trial int, learning_rate double, depth int, feature_fraction double, " \
+    "min_rows int, l1 double, l2 double, validation_mae double, kept int, is_best boolean"
+
+
+def tune_adaptive(train: DataFrame, variant: Variant, n_evals: int, base: BoostParams = BoostParams(),
+                  space: Space | None = None, seed: int = 23) -> tuple[DataFrame, Boosted]:
+    """M8-M11 by adaptive search, all airports side by side: (trials, model refitted on all rows).
+
+    Every airport has a search of its own, whose n-th trial follows from its first
+    n - 1; the n-th trials of all airports are one fit, which stops each with
+    patience.  Trials learn from four fifths of the rows and are judged
+    on the rest; the best setting of each airport is refitted on all rows with as many rounds as it kept.
+    """
+    space = space or boosted_space(variant.name)
+    rows = search_split(train)
+    ready = prepare(rows, variant, base.bins, "held")
+    history: dict[str, list] = {a: [] for a in ready.airports}
+    out = []
+    for trial in range(n_evals):
+        points = {a: suggest(space, history[a], seed) for a in ready.airports}
+        settings = {a: replace(base, **values(space, point)) for a, point in points.items()}
+        model = fit_boosted(rows, variant, base, "held", settings, ready)
+        for m in model.models.select("airport", "error", "kept").collect():
+            history[m["airport"]].append((points[m["airport"]], m["error"]))
+            out.append((m["airport"], variant.name, trial, settings[m["airport"]], m["error"], m["kept"]))
+    best = {}
+    for a, _, trial, setting, error, kept in out:
+        if a not in best or (error is not None and (best[a][1] is None or error < best[a][1])):
+            best[a] = (trial, error, setting, kept)
+    trials = [(a, v, t, float(s.learning_rate), s.depth, float(s.feature_fraction), s.min_rows, float(s.l1), float(s.l2), e, k, best[a][0] == t)
+              for a, v, t, s, e, k in out]
+    rounds = max([b[3] for b in best.values()], default=1)
+    refit = fit_boosted(train, variant, replace(base, rounds=rounds), None, {a: b[2] for a, b in best.items()})
+    wanted = train.sparkSession.createDataFrame([(a, b[3]) for a, b in best.items()], "airport string, wanted int")
+    refit.models = refit.models.join(wanted, "airport", "left").withColumn("kept", F.coalesce("wanted", "kept")).drop("wanted")
+    return train.sparkSession.createDataFrame(trials, ADAPTIVE_SCHEMA), refit
+
+
+def boosted_mae(rows: DataFrame, model: Boosted) -> DataFrame:
+    """Mean absolute error in minutes of a model on ``rows``, by airport."""
+    return predict(rows, model).where(F.col("prediction").isNotNull()).groupBy("airport").agg(
+        F.avg(F.abs(F.col(LABEL) - F.col("prediction"))).alias("mae"))
