@@ -309,3 +309,25 @@ SELECT airport, gufi, timestamp, model_variant, model_variant <> 'none' AS predi
 
 ORACLE["predict_requests"] = _F(_TRAINED + ",\nbounded AS (" + _BOUNDED, select=_scored())
 ORACLE["stream_predict"] = _F(_TRAINED + ",\nbounded AS (" + _BOUNDED, select=_scored(", true AS same_as_batch"))
+
+# Streams: what the bounded as-of join and the forecast lookup give for the same rows.
+ORACLE["stream_asof"] = f"""
+SELECT gufi, timestamp, airport, count(*) AS rows, update_timestamp, departure_runway_estimated_time, false AS late
+FROM ({ORACLE["asof_bounded_30h"]}) GROUP BY ALL"""
+ORACLE["stream_weather"] = _F(select="""
+SELECT l.airport, l.timestamp, count(*) AS rows, w.issue_timestamp, w.forecast_timestamp, temperature, wind_speed, wind_gust,
+       cloud_ceiling, visibility, cloud, lightning_prob, precip, false AS late
+FROM fx_labels l LEFT JOIN (
+  SELECT airport, timestamp AS issue_timestamp, timestamp + INTERVAL 1 MINUTE * lead_minutes AS slot, * EXCLUDE (airport, timestamp, lead_minutes),
+         row_number() OVER (PARTITION BY airport, timestamp + INTERVAL 1 MINUTE * lead_minutes ORDER BY timestamp DESC) AS place
+  FROM (SELECT *, unnest([30, 45, 60, 75]) AS lead_minutes FROM fx_lamp WHERE forecast_timestamp = timestamp + INTERVAL 30 MINUTE)) w
+  ON w.airport = l.airport AND w.slot = l.timestamp AND w.place = 1 GROUP BY ALL""")
+
+ORACLE["fit_boosted_patience"] = _F(FEATURE_CTES, select=f"""
+SELECT airport, bool_or(split = 'test') AS judged, true AS kept_is_best, true AS stopped_in_time, true AS error_is_of_its_trees
+FROM ({_SPLIT_FEATURES}) WHERE complete GROUP BY airport HAVING bool_or(split = 'train')""")
+ORACLE["score_one_pass"] = ORACLE["predict_requests"]
+ORACLE["tune_adaptive"] = _F(FEATURE_CTES, select=f"""
+SELECT airport, 'full' AS variant, CAST(unnest(range(8)) AS INT) AS trial, true AS all_trials_differ, true AS starts_from_the_seed,
+       true AS best_is_least, true AS refitted
+FROM ({_SPLIT_FEATURES}) WHERE complete GROUP BY airport HAVING bool_or(split = 'train')""")

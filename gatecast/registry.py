@@ -602,3 +602,80 @@ def stream_predict(spark, sf_dir):
     streamed = stream_score(spark, i["labels"], i, models)
     return streamed.join(batch, KEYS).select(*KEYS, "model_variant", F.col(LABEL).isNotNull().alias("predicted"),
                                              F.col(LABEL).eqNullSafe(F.col("expected")).alias("same_as_batch"))
+
+
+@query
+def stream_asof(spark, sf_dir):
+    """T1 + T2: estimates and requests both as streams, with keyed state, timers and restarts; one row per distinct request."""
+    from gatecast.streaming.asof_stream import estimate_stream, replay
+    return replay(spark, fx.etd(spark, sf_dir), fx.labels(spark, sf_dir), "updates", estimate_stream)
+
+
+@query
+def stream_weather(spark, sf_dir):
+    """T1 + J7: forecasts and requests both as streams; one row per distinct (airport, time) asked for."""
+    from gatecast.streaming.asof_stream import replay, weather_stream
+    return replay(spark, fx.lamp(spark, sf_dir), fx.labels(spark, sf_dir), "forecasts", weather_stream)
+
+
+# ---- one fit for all airports ------------------------------------------------------------
+
+PATIENT = dict(rounds=6, patience=2, depth=2)
+
+
+@query
+def fit_boosted_patience(spark, sf_dir):
+    """M4: all airports in one fit, stopped with patience; the kept prefix against errors computed anew from the saved trees."""
+    from gatecast.plans.boosting import BoostParams, fit_boosted, prefix_errors
+    from gatecast.plans.models import FULL
+    f = _training_features(spark, sf_dir).withColumn("held", F.col("split") == "test")
+    model = fit_boosted(f, FULL, BoostParams(**PATIENT), "held")
+    errors = prefix_errors(f.where("held"), model)
+    best = errors.groupBy("airport").agg(F.min(F.struct("error", "trees")).alias("b"), F.max("trees").alias("made"))
+    m = model.models.join(best, "airport", "left")
+    judged = F.col("b").isNotNull()
+    stopped = F.when(judged, F.least(F.col("kept") + PATIENT["patience"], F.lit(PATIENT["rounds"]))).otherwise(F.lit(PATIENT["rounds"]))
+    return m.select("airport", judged.alias("judged"), F.when(judged, F.col("kept") == F.col("b.trees")).otherwise(
+        F.col("kept") == F.col("rounds")).alias("kept_is_best"), (F.col("rounds") == stopped).alias("stopped_in_time"),
+        F.col("error").eqNullSafe(F.col("b.error")).alias("error_is_of_its_trees"))
+
+
+@query
+def score_one_pass(spark, sf_dir):
+    """Both variants fitted over all airports at once, every request scored by a join with the models' table."""
+    from gatecast.plans.boosting import BoostParams, fit_boosted, score_boosted
+    from gatecast.plans.models import FULL, NO_WEATHER
+    from gatecast.plans.scoring import attach_predictions as attach
+    f = _training_features(spark, sf_dir).where("split = 'train'")
+    p = BoostParams(rounds=3, depth=2)
+    i = fx.load_inputs(spark, sf_dir)
+    keys = i["labels"].select(*KEYS).distinct()
+    feats = feature_pipeline(keys, i["etd"], i["lamp"], i["mfs"], strict=False, bounded=True)
+    scored = score_boosted(feats, fit_boosted(f, FULL, p), fit_boosted(f, NO_WEATHER, p))
+    return attach(i["labels"], scored).select(*KEYS, "model_variant", F.col(LABEL).isNotNull().alias("predicted"))
+
+
+ADAPTIVE_EVALS = 8
+
+
+@query
+def tune_adaptive(spark, sf_dir):
+    """An adaptive search for every airport, the n-th trials of all airports in one fit; each trial against the
+    draw that the recorded ones before it call for."""
+    from gatecast.plans.boosting import BoostParams
+    from gatecast.plans.models import FULL
+    from gatecast.plans.tpe import Choice, suggest, values
+    from gatecast.plans.tuning import boosted_mae, boosted_space, tune_adaptive as tune
+    f = _training_features(spark, sf_dir)
+    train, test = f.where("split = 'train'"), f.where("split = 'test'")
+    space = boosted_space("full") | {"depth": Choice((1, 2))}
+    trials, model = tune(train, FULL, ADAPTIVE_EVALS, BoostParams(rounds=2), space)
+    per = trials.groupBy("airport").agg(F.min("validation_mae").alias("least"), F.count_if("is_best").alias("best"),
+                                        F.countDistinct("learning_rate").alias("different"))
+    first = values(space, suggest(space, [], 23))["learning_rate"]
+    scored = boosted_mae(train, model).withColumnRenamed("mae", "train_mae").join(boosted_mae(test, model), "airport", "left")
+    return trials.join(per, "airport").join(scored, "airport", "left").select(
+        "airport", "variant", "trial", (F.col("different") == ADAPTIVE_EVALS).alias("all_trials_differ"),
+        ((F.col("trial") > 0) | (F.col("learning_rate") == first)).alias("starts_from_the_seed"),
+        ((F.col("best") == 1) & (~F.col("is_best") | F.col("validation_mae").eqNullSafe(F.col("least")))).alias("best_is_least"),
+        _finite("train_mae").alias("refitted"))
