@@ -331,3 +331,16 @@ ORACLE["tune_adaptive"] = _F(FEATURE_CTES, select=f"""
 SELECT airport, 'full' AS variant, CAST(unnest(range(8)) AS INT) AS trial, true AS all_trials_differ, true AS starts_from_the_seed,
        true AS best_is_least, true AS refitted
 FROM ({_SPLIT_FEATURES}) WHERE complete GROUP BY airport HAVING bool_or(split = 'train')""")
+
+ORACLE["exact_grouped_split"] = _F(select="""
+SELECT airport, l.gufi, timestamp, CASE WHEN upto * 100 <= total * 80 THEN 'train' ELSE 'test' END AS split
+FROM fx_labels l JOIN (
+  SELECT gufi, sum(n) OVER (ORDER BY substr(md5(gufi), 1, 16), gufi) AS upto, sum(n) OVER () AS total
+  FROM (SELECT gufi, count(*) AS n FROM fx_labels GROUP BY gufi)) f ON f.gufi = l.gufi""")
+_BAD_TIME = "CASE WHEN k % 7 = 0 THEN 'timestamp: not timestamp_ntz: soon' WHEN k % 11 = 0 THEN 'timestamp: not timestamp_ntz: 2024-01-01' END"
+_BAD_ESTIMATE = "CASE WHEN k % 5 = 0 THEN 'departure_runway_estimated_time: not timestamp_ntz: 25:99' END"
+ORACLE["scan_csv_quarantine"] = _F(select=f"""
+SELECT CASE WHEN reasons = '' THEN airport END AS airport, gufi, CASE WHEN reasons = '' THEN timestamp END AS timestamp,
+       CASE WHEN reasons = '' THEN departure_runway_estimated_time END AS departure_runway_estimated_time, nullif(reasons, '') AS reasons
+FROM (SELECT *, concat_ws('; ', {_BAD_TIME}, {_BAD_ESTIMATE}) AS reasons FROM (SELECT *, CAST(substr(gufi, 2) AS BIGINT) AS k FROM fx_etd))""")
+ORACLE["feature_table_incremental"] = ORACLE["clean_features"]

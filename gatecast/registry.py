@@ -679,3 +679,47 @@ def tune_adaptive(spark, sf_dir):
         ((F.col("trial") > 0) | (F.col("learning_rate") == first)).alias("starts_from_the_seed"),
         ((F.col("best") == 1) & (~F.col("is_best") | F.col("validation_mae").eqNullSafe(F.col("least")))).alias("best_is_least"),
         _finite("train_mae").alias("refitted"))
+
+
+# ---- exact split, quarantine, incremental table ---------------------------------------------
+
+@query
+def exact_grouped_split(spark, sf_dir):
+    """M2: whole flights, 80 % of the rows up to less than one flight."""
+    return split.exact_grouped_split(fx.labels(spark, sf_dir)).select("airport", "gufi", "timestamp", "split")
+
+
+@query
+def scan_csv_quarantine(spark, sf_dir):
+    """S1 + S5: estimate updates written with bad cells in some rows; the good rows typed, the others with their reasons."""
+    from gatecast.schemas import ETD_SCHEMA
+    from gatecast.session import fresh_dir
+    from gatecast.sources.files import write_csv
+    from gatecast.sources.quarantine import read_csv_checked
+    e = fx.etd(spark, sf_dir)
+    number = F.substring("gufi", 2, 20).cast("long")
+    text = e.select(*[F.col(c).cast("string").alias(c) for c in e.columns])
+    bad = text.withColumns({
+        "timestamp": F.when(number % 7 == 0, F.lit("soon")).when(number % 11 == 0, F.lit("2024-01-01")).otherwise(F.col("timestamp")),
+        "departure_runway_estimated_time": F.when(number % 5 == 0, F.lit("25:99")).otherwise(F.col("departure_runway_estimated_time"))})
+    good, rejects = read_csv_checked(spark, write_csv(bad, fresh_dir(spark, "etd-bad"), bz2=True), ETD_SCHEMA)
+    none = F.lit(None).cast("string")
+    return good.withColumns({"gufi": F.col("gufi"), "reasons": none}).unionByName(
+        rejects.select(none.alias("airport"), F.split("record", ",")[1].alias("gufi"), none.cast("timestamp_ntz").alias("timestamp"),
+                       none.cast("timestamp_ntz").alias("departure_runway_estimated_time"), F.array_join("reasons", "; ").alias("reasons")))
+
+
+@query
+def feature_table_incremental(spark, sf_dir):
+    """The feature table by day; one day spoilt, then written anew alone, and the whole table read back."""
+    from gatecast.session import fresh_dir
+    from gatecast.sources.feature_store import read_days, write_days
+    f = _features(spark, sf_dir)
+    path = fresh_dir(spark, "features-by-day")
+    day = F.date_format("timestamp", "yyyy-MM-dd")
+    one = f.agg(F.min(day)).first()[0]
+    spoilt = f.withColumn("hour", F.when(day == one, F.lit(-1)).otherwise(F.col("hour")))
+    write_days(spoilt, path)
+    if one is not None:
+        write_days(f, path, [one])
+    return read_days(spark, path, f.schema)
