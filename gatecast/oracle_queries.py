@@ -344,3 +344,4 @@ SELECT CASE WHEN reasons = '' THEN airport END AS airport, gufi, CASE WHEN reaso
        CASE WHEN reasons = '' THEN departure_runway_estimated_time END AS departure_runway_estimated_time, nullif(reasons, '') AS reasons
 FROM (SELECT *, concat_ws('; ', {_BAD_TIME}, {_BAD_ESTIMATE}) AS reasons FROM (SELECT *, CAST(substr(gufi, 2) AS BIGINT) AS k FROM fx_etd))""")
 ORACLE["feature_table_incremental"] = ORACLE["clean_features"]
+ORACLE["stream_scores"] = ORACLE["stream_predict"]  # the fixture's requests are distinct

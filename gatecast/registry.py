@@ -447,7 +447,7 @@ def requests_of_repeated_rows(spark, sf_dir):
 # ---- models: keys, variants and checks that the predictions must pass ------------------
 # Boosting rounds of registered queries; jobs and CLI use the reference's 1000.
 
-QUERY_ROUNDS = 10
+QUERY_ROUNDS = 20
 SEARCH_ROUNDS = 2
 
 
@@ -723,3 +723,27 @@ def feature_table_incremental(spark, sf_dir):
     if one is not None:
         write_days(f, path, [one])
     return read_days(spark, path, f.schema)
+
+
+@query
+def stream_scores(spark, sf_dir):
+    """T1 whole: requests and estimates as streams, scored as they come due, against the batch scorer; one row per distinct request."""
+    from gatecast.plans.boosting import BoostParams, fit_boosted, score_boosted
+    from gatecast.plans.models import FULL, NO_WEATHER
+    from gatecast.streaming.asof_stream import finish, replay
+    from gatecast.streaming.score_stream import start_scoring
+    f = _training_features(spark, sf_dir).where("split = 'train'")
+    p = BoostParams(rounds=2, depth=2)
+    full, na = fit_boosted(f, FULL, p), fit_boosted(f, NO_WEATHER, p)
+    i = fx.load_inputs(spark, sf_dir)
+
+    def run(updates, requests, out, checkpoint):
+        return finish(start_scoring(updates, requests, i["lamp"], i["mfs"], full, na, out, checkpoint))
+
+    streamed = replay(spark, i["etd"], i["labels"], "updates", None, run=run).drop("batch_id")
+    keys = i["labels"].select(*KEYS).distinct()
+    feats = feature_pipeline(keys, i["etd"], i["lamp"], i["mfs"], strict=False, bounded=True)
+    batch = score_boosted(feats, full, na).select(*KEYS, F.col("prediction").alias("expected"), F.col("model_variant").alias("variant"))
+    return streamed.join(batch, KEYS, "full").select(
+        *KEYS, "model_variant", F.col(LABEL).isNotNull().alias("predicted"),
+        (F.col(LABEL).eqNullSafe(F.col("expected")) & F.col("model_variant").eqNullSafe(F.col("variant"))).alias("same_as_batch"))

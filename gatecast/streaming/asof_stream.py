@@ -214,23 +214,27 @@ def start(answers: DataFrame, out_dir: str, checkpoint: str, available_now: bool
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
 
 
-def run_available(answers: DataFrame, out_dir: str, checkpoint: str):
-    """Work off all that has arrived; raises what stopped the query."""
-    query = start(answers, out_dir, checkpoint)
+def finish(query):
+    """Wait for a query that works off all that has arrived; raises what stopped it."""
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
     return query
 
 
-def replay(spark: SparkSession, updates: DataFrame, requests: DataFrame, feed: str, answers, periods: int = 3,
-           last_us: int | None = None) -> DataFrame:
+def run_available(answers: DataFrame, out_dir: str, checkpoint: str):
+    return finish(start(answers, out_dir, checkpoint))
+
+
+def replay(spark: SparkSession, updates: DataFrame, requests: DataFrame, feed: str, answers, periods: int = 3, run=None) -> DataFrame:
     """Feed tables to ``answers(updates stream, requests stream)`` period by period; the sink's rows.
 
     Each period's files are worked off by a newly started query on the same
     checkpoint.  A final heartbeat lets every request come due and every state end.
-    Only the times of the first and last row come to the driver.
+    Only the times of the first and last row come to the driver.  ``run(updates stream, requests stream, folder,
+    checkpoint)`` may start another query than the plain sink.
     """
+    run = run or (lambda u, r, out, checkpoint: run_available(answers(u, r), out, checkpoint))
     times = updates.select(epoch_us("timestamp").alias("t")).union(requests.select(epoch_us("timestamp").alias("t")))
     lo, hi = times.agg(F.min("t"), F.max("t")).first()
     dirs = {name: fresh_dir(spark, f"feed-{name}") for name in (feed, "requests", "answers", "checkpoint")}
@@ -242,7 +246,6 @@ def replay(spark: SparkSession, updates: DataFrame, requests: DataFrame, feed: s
         append_to_feed(updates.where(within), dirs[feed], feed)
         append_to_feed(requests.where(within), dirs["requests"], "requests")
         if k == periods - 1:
-            heartbeat(spark, dirs[feed], feed, (last_us or hi) + 3 * VISIBLE_HISTORY_HOURS * HOUR_US)
-        streams = read_feed(spark, dirs[feed], feed), read_feed(spark, dirs["requests"], "requests")
-        run_available(answers(*streams), dirs["answers"], dirs["checkpoint"])
+            heartbeat(spark, dirs[feed], feed, hi + 3 * VISIBLE_HISTORY_HOURS * HOUR_US)
+        run(read_feed(spark, dirs[feed], feed), read_feed(spark, dirs["requests"], "requests"), dirs["answers"], dirs["checkpoint"])
     return spark.read.parquet(dirs["answers"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatecast.operators import asof
 from gatecast.operators.weather import weather_lookup
 from gatecast.session import fresh_dir
+from gatecast.sources import fixtures as fx
 from gatecast.streaming import asof_stream as s
 from gatecast.functions.timeops import epoch_us
 
@@ -126,3 +127,24 @@ def test_heartbeat_has_the_feed_schema(spark, feed):
     path = fresh_dir(spark, "beat")
     s.heartbeat(spark, path, feed, 0)
     assert [f.name for f in spark.read.parquet(path).schema] == s.FEEDS[feed].names
+
+
+def test_requests_are_scored_as_they_come_due(spark, frames):
+    """Streamed scores equal the batch pipeline's, row by row, over several started queries."""
+    from gatecast.plans import boosting as b
+    from gatecast.plans.features import feature_pipeline
+    from gatecast.plans.models import FULL, NO_WEATHER
+    from gatecast.streaming.score_stream import start_scoring
+    i = {t: getattr(fx, t)(spark, "/root/testdata/sf0.001") for t in ("labels", "etd", "lamp", "mfs")}
+    f = feature_pipeline(i["labels"], i["etd"], i["lamp"], i["mfs"])
+    p = b.BoostParams(rounds=2, depth=2)
+    full, na = b.fit_boosted(f, FULL, p), b.fit_boosted(f, NO_WEATHER, p)
+    twice = i["labels"].unionByName(i["labels"].limit(3))
+    got = s.replay(spark, i["etd"], twice, "updates", None, periods=2,
+                   run=lambda u, r, out, c: s.finish(start_scoring(u, r, i["lamp"], i["mfs"], full, na, out, c)))
+    keys = ["gufi", "timestamp", "airport"]
+    want = b.score_boosted(feature_pipeline(i["labels"].select(*keys).distinct(), i["etd"], i["lamp"], i["mfs"], strict=False, bounded=True), full, na)
+    rows = got.collect()
+    assert sum(r.rows for r in rows) == twice.count() and not any(r.late for r in rows)
+    assert sorted(str((r.gufi, r.timestamp, r.airport, r.model_variant, r.minutes_until_pushback)) for r in rows) == \
+        sorted(str((r.gufi, r.timestamp, r.airport, r.model_variant, r.prediction)) for r in want.collect())
