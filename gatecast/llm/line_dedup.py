@@ -69,11 +69,17 @@ def _marked_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` whose lines reach the exact similarity."""
-    # one struct of both sets, so that each is made once though the condition names it twice
-    both = F.array(F.struct(F.array_distinct(_windows("line_a")).alias("x"), F.array_distinct(_windows("line_b")).alias("y")))
-    close = F.exists(both, lambda s: F.size(F.array_intersect(s["x"], s["y"])) * (100 + PERCENT) >= (F.size(s["x"]) + F.size(s["y"])) * PERCENT)
-    return pairs.where(close).select("a", "b")
+    """Pairs ``(a, b)`` whose lines reach the exact similarity, on 64-bit hashes of their windows."""
+    # one struct of both sets, so that each is made once though the condition names it several times
+    sets = [F.array_distinct(_windows(c, lambda x: F.xxhash64(x))).alias(c[-1]) for c in ("line_a", "line_b")]
+
+    def close(s: Column) -> Column:
+        n, m = F.size(s["a"]), F.size(s["b"])
+        # sets of too different sizes need no intersection
+        return ((F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
+                & (F.size(F.array_intersect(s["a"], s["b"])) * (100 + PERCENT) >= (n + m) * PERCENT))
+
+    return pairs.where(F.exists(F.array(F.struct(*sets)), close)).select("a", "b")
 
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
