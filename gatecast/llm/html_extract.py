@@ -47,8 +47,10 @@ _ATTR = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
 _AFFIXED = re.compile("|".join([r"(?:ads?|advert|banner|breadcrumbs?|comments?|cookies?|consent|newsletter|pagination|popup|promo|share|sharing|sponsor|subscribe|widget)[-_].*",
                                 r"(?:site|global|top|bottom)[-_](?:header|footer|nav|navigation|menu|banner)|(?:main|primary|secondary|left|right)[-_](?:nav|navigation|menu|sidebar)|page[-_]footer",
                                 r"(?:nav|footer|sidebar|menu|related|social)[-_](?:bar|box|list|links?|menu|area|widgets?|posts|articles|icons|buttons|share|media|left|right|top|bottom)",
-                                r".*[-_](?:ads?|advert|advertisement|breadcrumbs?|comments|disclaimer|newsletter|pagination|popup|promo|widget)"]))
-_REPLIES = re.compile(r"comments?|replies|responses|disqus")  # may well hold most of a page's text
+                                r"(?:users?|readers?|visitors?|guests?)[-_](?:comment|feedback|discussion|repl(?:y|ies)|responses?|reviews?|opinions?|voices)",
+                                r"(?:feedback|discussion|replies|responses)[-_](?:area|box|form|list|section|thread|threads)",
+                                r".*[-_](?:ads?|advert|advertisement|breadcrumbs?|comments?|disclaimer|newsletter|pagination|popup|promo|widget)"]))
+_REPLIES = re.compile(r"comments?|replies|responses|disqus|feedback|discussion")  # may well hold most of a page's text
 _ADVERT = re.compile(r"\b(?:ads?|advert\w*|sponsor\w*|promo)\b")  # as may these, of a short page
 _DIGITS = re.compile(r"[-_]?\d+$")
 _SAYS_ARTICLE = re.compile(r"(?:has|no|with|without)[-_].*")

@@ -80,3 +80,13 @@ def test_advert_longer_than_the_page():
         assert whole(advert.format(name) + f"<article>{BODY}</article>") == TEXT
         assert whole(advert.format(name) + f"<div>{BODY}</div>") == TEXT
     assert whole(advert.format("sidebar") + f"<article>{BODY}</article>") == TEXT
+
+
+def test_names_of_reader_comments():
+    said = "<p>I, for one, say a lot, and more, and more.</p>"
+    for name in ("user-comment", "reader-feedback", "visitor_replies", "discussion-thread", "post-comment", "user-reviews"):
+        for n in (1, 40):
+            assert whole(f'<article>{BODY}</article><div class="{name}">{said * n}</div>') == TEXT, name
+            assert whole(f'<article>{BODY}<div class="{name}">{said * n}</div></article>') == TEXT, name
+    for name in ("discussion", "feedback-loops", "commentary", "reader"):
+        assert whole(f'<article><div class="{name}"><h2>Its part.</h2></div>{BODY}</article>') == "Its part. " + TEXT, name
