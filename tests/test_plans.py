@@ -22,7 +22,8 @@ def _plan(df) -> str:
 
 # Fits and their results are read back from models; their plans hold no relational choice.
 MODELS = {"fit_gbt_validated", "fit_gbt_final", "fit_gbt_no_weather", "fit_lasso", "fit_random_forest", "tune_random_search",
-          "model_roundtrip", "predict_requests", "stream_predict"}
+          "model_roundtrip", "predict_requests", "stream_predict", "fit_boosted_patience", "score_one_pass", "tune_adaptive",
+          "stream_asof", "stream_weather", "stream_scores"}
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLE) - MODELS))
