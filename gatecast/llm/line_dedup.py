@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from gatecast.llm import graph
 from gatecast.llm.store import broadcast_ids, keep, scratch
 
-PARTS = r"(?s)(?=(.{8,31})).{1,24}"  # a part has the windows that start in its first 24 characters
 NOT_BLANK = r"[^\s\p{Z}]"
 SIGNATURE = 9
 PERCENT = 80
@@ -39,11 +38,11 @@ NO_FLOOR = 1
 BROADCAST_LINES = 500_000  # places of some 40 bytes each: 20 MB at most
 
 
-def _windows(line: str, value: Callable[[Column], Column] = lambda x: x) -> Column:
-    """``value`` of the window at every position; parts keep the cost of finding a position low in a long line."""
-    each = lambda p: F.transform(F.sequence(F.lit(1), F.char_length(p) - 7), lambda i: value(F.substr(p, i, F.lit(8))))
-    parts = F.regexp_extract_all(line, F.lit(PARTS), F.lit(1))
-    return F.when(F.char_length(line) < 8, F.array(value(F.col(line)))).otherwise(F.flatten(F.transform(parts, each)))
+def _windows(line: str, value: Callable[[Column], Column] = lambda x: F.decode(x, "UTF-32")) -> Column:
+    """``value`` of the window at every position, taken of its UTF-32 bytes: of one width, so a position is found without a walk."""
+    each = lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(b) - 31, F.lit(1)), F.lit(4)),
+                                 lambda i: value(F.substr(b, i, F.lit(32))))
+    return F.get(F.transform(F.array(F.encode(F.col(line), "UTF-32")), each), F.lit(0))
 
 
 def _bands(signature: str) -> Column:
