@@ -12,8 +12,11 @@ part; the others always stay.  With a ``min_chars`` of 1 there is no floor.
    meet if any band agrees, and are compared if 0.55 of the shorter signature
    is in both (5 of 9).  At a similarity of 0.8, 0.99 of pairs are compared,
    above it more.
-4. Compared lines are linked if the exact Jaccard similarity of their shingle
-   sets is 0.8 or more.
+4. Each line to be compared is hashed once more for the size of its set and its
+   64 smallest hashes.  Pairs go whose set sizes rule the similarity out, or
+   whose smallest hashes agree more than four standard deviations less often
+   than those of a pair at 0.8 would.  The others are compared whole and linked
+   if the exact Jaccard similarity of their shingle sets is 0.8 or more.
 5. Distributed union-find joins the links; of each component the line with
    the smallest (doc_id, position) stays.
 
@@ -32,6 +35,8 @@ from gatecast.llm.store import broadcast_ids, keep, scratch
 
 NOT_BLANK = r"[^\s\p{Z}]"
 SIGNATURE = 9
+SKETCH = 64  # smallest hashes kept of a line that is to be compared
+MARGIN = 4   # standard deviations below the count expected at the linking similarity
 PERCENT = 80
 MIN_CHARS = 40  # of a caller that names none; op4 and the pipeline's stage use NO_FLOOR
 NO_FLOOR = 1
@@ -67,6 +72,29 @@ def _marked_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return few.select("doc_id", "text_hash", "pos", "h1", "h2", signature.alias("signature"))
 
 
+def _sketch(line: str) -> Column:
+    """Struct of the number of distinct windows and the SKETCH smallest of their hashes."""
+    hashes = F.array_distinct(F.sort_array(_windows(line, lambda x: F.xxhash64(x))))
+    both = F.transform(F.array(hashes), lambda h: F.struct(F.size(h).alias("n"), F.slice(h, 1, SKETCH).alias("low")))
+    return F.get(both, F.lit(0))
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether sketches ``a`` and ``b`` leave the similarity possible; exact if they hold both sets.
+
+    The larger set's smallest hashes are a random draw from it, so those also
+    in the other set are its share of the intersection, give or take.
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    common = F.size(F.array_intersect(f"{a}.low", f"{b}.low"))
+    large = F.greatest(n, m)
+    share = (n + m) * PERCENT / (100 + PERCENT) / large
+    least = F.lit(SKETCH) * share - MARGIN * F.sqrt(SKETCH * share * F.greatest(1 - share, F.lit(0)))
+    whole = large <= SKETCH
+    return ((F.least(n, m) * 100 >= large * PERCENT)
+            & F.when(whole, common * (100 + PERCENT) >= (n + m) * PERCENT).otherwise(common >= least))
+
+
 def _linked(pairs: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` whose lines reach the exact similarity, on 64-bit hashes of their windows."""
     # one struct of both sets, so that each is made once though the condition names it several times
@@ -115,8 +143,12 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             part = F.split("text", "\n")
             each = found.select(F.explode(F.transform("at", lambda x: F.struct(
                 x["row"].alias("row"), F.trim(F.get(part, x["pos"])).alias("line")))).alias("x"))
-            line = keep(each.select("x.row", "x.line").dropDuplicates(["row"]), "candidates")  # a repeated document has its lines twice
-            return _linked(pairs.join(line.toDF("a", "line_a"), "a").join(line.toDF("b", "line_b"), "b"))
+            once = each.select("x.row", "x.line").dropDuplicates(["row"])  # a repeated document has its lines twice
+            line = keep(once.select("row", "line", _sketch("line").alias("sketch")), "candidates")
+            sketch, line = line.select("row", "sketch"), line.select("row", "line")
+            near = (pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
+                    .where(_near("sketch_a", "sketch_b")).select("a", "b"))
+            return _linked(near.join(line.toDF("a", "line_a"), "a").join(line.toDF("b", "line_b"), "b"))
 
         comp = graph.link_buckets(buckets, verify, marks, may_link, filter_first=True)
         several = (nodes.join(comp, "node", "left").where("n > 1 or root is not null")

@@ -102,6 +102,30 @@ def test_windows_of_short_and_long_lines(spark):
         assert set(r.w) == every_window(r.line) and len(r.w) == max(len(r.line) - 7, 1)
 
 
+def test_sketches_keep_every_pair_at_the_linking_similarity(spark):
+    """Of pairs from 0.8 upwards, whole sets or sketches, none goes; clearly unlike ones do."""
+    rng, pairs = random.Random(5), []
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    for k in range(400):
+        line = word(rng.choice([20, 60, 71, 72, 90, 300, 900]))
+        n = len(line)
+        cut = rng.randrange(n // 2)
+        other = rng.choice([line[:-(n // 6)], line[:cut] + "#" + line[cut + 1:], line + word(n // 6), line[:cut] + word(n // 12) + line[cut + n // 12:], word(n)])
+        pairs.append((k, line, other))
+    a, b = (spark.createDataFrame(pairs, "k long, a string, b string").select("k", ld._sketch(c).alias(c)) for c in "ab")
+    near = {r.k: r.near for r in a.join(b, "k").select("k", ld._near("a", "b").alias("near")).collect()}
+    linked = unlike = 0
+    for k, x, y in pairs:
+        s, t = every_window(x), every_window(y)
+        if 100 * len(s & t) >= 80 * len(s | t):
+            linked += 1
+            assert near[k]
+        elif 100 * len(s & t) < 30 * len(s | t):
+            unlike += 1
+            assert not near[k]
+    assert linked > 100 and unlike > 50
+
+
 def test_documents_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(100).cache()
     rows = [tuple(r) for r in docs.collect()]
