@@ -32,10 +32,12 @@ def scale(vectors: DataFrame) -> DataFrame:
     """Rows ``(vec_id, dim, v)`` with v the floor of 64 times each component; rows not fit for it go."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     fit = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-    bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) > F.lit(2.0 ** 53)))
+    bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
+    fits = lambda c: (c >= F.lit(-2.0 ** 57)) & (c < F.lit(2.0 ** 57))
+    whole = lambda c: F.when(fits(c), F.floor(c * 64).cast("long")).otherwise(F.raise_error(F.lit("64 times a component does not fit a long")).cast("long"))
     # a distinct vector id is one vector; repeated rows count once
     return (fit.where(~F.coalesce(bad, F.lit(False)))
-            .select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda c: F.floor(c * 64).cast("long")).alias("v"))
+            .select("vec_id", F.size("x").alias("dim"), F.transform("x", whole).alias("v"))
             .dropDuplicates(["vec_id", "v"]))
 
 
@@ -144,8 +146,8 @@ def top_k(vectors: DataFrame, queries, k: int = 20) -> DataFrame:
     ``vectors`` needs vec_id and embedding; ``queries`` is a condition on
     vec_id that picks the queries out of them.  Components become
     floor(64 * x).  Ties go to the smaller vec_id.  Vectors that are null or
-    hold a null or non-finite component (or one beyond 2**53) take no part,
-    nor do null ids.  Repeated rows count once; rows of the query's own vec_id
+    hold a null or non-finite component take no part, nor do null ids.  A
+    finite component or an inner product that does not fit a long is an error.  Repeated rows count once; rows of the query's own vec_id
     are not among its candidates.  Vectors of different length never meet.  A
     query without candidates has no row; an empty table gives an empty result.
     """

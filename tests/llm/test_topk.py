@@ -38,6 +38,19 @@ def test_equals_brute_force(spark, monkeypatch, cell, block):
     assert got == brute(rows, 7)
 
 
+def test_large_finite_components_take_part(spark):
+    rows = [(0, [2.0 ** 30, 1.0], "x"), (1, [2.0 ** 20, 3.0], "x"), (2, [0.0, 2.0 ** 54], "x"), (3, [-1.0, 0.25], "x"), (20, [0.0, 0.015625], "x")]
+    whole = {r.vec_id: r.v for r in topk.scale(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert whole[2] == [0, 2 ** 60] and len(whole) == 5
+    small = [rows[4], rows[2], rows[3]]
+    assert sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(small, SCHEMA), F.col("vec_id") % 20 == 0, 7).collect()) == brute(small, 7)
+
+
+def test_a_component_beyond_a_long_is_an_error(spark):
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.scale(spark.createDataFrame([(0, [2.0 ** 60], "x")], SCHEMA)).collect()
+
+
 def test_empty_table_and_single_row(spark):
     for rows in ([], [(20, [1.0], "x")]):
         assert topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).collect() == []
