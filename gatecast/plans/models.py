@@ -8,6 +8,9 @@ MLlib's bins cannot hold, the trees see the codes as plain numbers.  Two variant
 airport: ``full`` (weather features) and ``na`` (none of them), the
 latter serving rows or batches with missing weather.
 
+A forest is no ``PipelineModel``: its 500 deep trees are grown by ``trees``, which
+keeps them in a table; the driver could not hold them.
+
 Per-airport fits read the feature table written partitioned by airport,
 so each fit scans only its partition; fits for different airports are
 submitted from a small driver thread pool and run as concurrent jobs.
@@ -21,11 +24,12 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatecast.operators.encode import as_category_strings, category_levels, indicators
+from gatecast.plans.trees import ForestGrower, TreeParams
 from gatecast.schemas import (CATEGORICAL, LABEL, NO_WEATHER_CATEGORICAL, NO_WEATHER_NUMERIC,
                               NUMERIC, WEATHER)
 
@@ -89,7 +93,6 @@ class ForestParams:
     max_depth: int = 15
     seed: int = 1994
     max_bins: int = 128
-    max_memory_mb: int = 1024
 
 
 @dataclass(frozen=True)
@@ -154,13 +157,9 @@ def gbt_pipeline(variant: Variant, p: GbtParams, indexer: StringIndexerModel, n_
     return Pipeline(stages=[*tree_stages(variant, indexer, n_rows), gbt])
 
 
-def forest_pipeline(variant: Variant, p: ForestParams, indexer: StringIndexerModel, n_rows: int) -> Pipeline:
+def forest_pipeline(variant: Variant, p: ForestParams, levels: dict[str, list[str]], n_rows: int) -> ForestGrower:
     """Random forest; every tree sees every feature, as scikit-learn's does."""
-    rf = RandomForestRegressor(labelCol=LABEL, featuresCol="features", numTrees=p.num_trees,
-                               maxDepth=p.max_depth, seed=p.seed, featureSubsetStrategy="all",
-                               maxBins=max(p.max_bins, widest_category(indexer)),
-                               maxMemoryInMB=p.max_memory_mb, cacheNodeIds=True)
-    return Pipeline(stages=[*tree_stages(variant, indexer, n_rows), rf])
+    return ForestGrower(variant.categorical, variant.numeric, levels, p.num_trees, TreeParams(p.max_depth, seed=p.seed), p.max_bins, n_rows)
 
 
 def lasso_pipeline(variant: Variant, p: LassoParams, levels: dict[str, list[str]]) -> Pipeline:
@@ -185,8 +184,8 @@ def gbt_fit(p: GbtParams = GbtParams(), validation_col: str | None = None):
 def forest_fit(p: ForestParams = ForestParams()):
     """M13 for ``fit_per_airport``."""
     def prepare(rows: DataFrame, variant: Variant):
-        indexer = fit_indexer(rows, variant)
-        return lambda n_rows, validated=True: forest_pipeline(variant, p, indexer, n_rows)
+        levels = category_levels(rows, variant.categorical)
+        return lambda n_rows, validated=True: forest_pipeline(variant, p, levels, n_rows)
     return prepare
 
 

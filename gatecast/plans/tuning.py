@@ -2,8 +2,8 @@
 
 The reference runs a sequential TPE search.  Here a seeded sampler draws
 the same kinds of distributions (log-uniform learning rate, depth choice,
-uniform feature fraction, leaf minimum) and evaluates them concurrently
-(``parallelism``) on an 80/20 hash split by MAE; the best setting is refitted
+uniform feature fraction, leaf minimum) and evaluates them side by side
+on an 80/20 hash split by MAE; the best setting is refitted
 on the training rows.  The reference fixes the leaf minimum at 250 or 200
 rows; here it is drawn log-uniformly up to that, as a table whose airports
 have fewer rows could not split at all.
@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatecast.operators import split
-from gatecast.operators.metrics import prediction_mae
+from gatecast.operators.encode import category_levels
 from gatecast.plans.boosting import BoostParams, Boosted, fit_boosted, predict, prepare
-from gatecast.plans.models import GbtParams, Variant, fit_indexer, gbt_pipeline, training_rows
+from gatecast.plans.models import GbtParams, Variant, training_rows
 from gatecast.plans.tpe import Choice, Space, Uniform, suggest, values
+from gatecast.plans.trees import GROUP_ROWS, Ensemble, Growth, Shape, TreeParams, add_values, fit_bins, grow_trees, uniform
 from gatecast.schemas import LABEL
+from gatecast.session import fresh_dir, remove_dir
 
 # ---- fixed values: the reference's search settings -------------------------
 # (no MLlib counterpart for num_leaves, reg_alpha and reg_lambda, so they
@@ -67,20 +69,55 @@ def sample_space(n: int, variant: str = "full", seed: int = 23) -> list[dict]:
     return out
 
 
-def _mae(model, rows: DataFrame) -> float | None:
-    return prediction_mae(model.transform(rows)).first()["mae_minutes"]
-
-
 def search_split(rows: DataFrame) -> DataFrame:
     """Adds ``held``: a fifth of the rows, by a hash of the key that is independent of ``hash_split``."""
     return rows.withColumn("held", split.bucket_of(F.concat(F.lit("search|"), split.row_key())) >= split.SPLIT_TRAIN_PERCENT)
 
 
+def boost_side_by_side(points: DataFrame, shape: Shape, draws: list[dict], base: GbtParams, rows: int,
+                       group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Boosted trees of all ``draws`` over ``points(h, codes, y, held)``: (points with ``block``, the draw's number, and ``f``, trees).
+
+    As in MLlib: the first tree fits the labels and counts whole, the others fit
+    twice the residuals and count ``step_size``.  Held rows are only predicted.
+    The trees of a round are grown at once; a tree's number is the draw's
+    and ``len(draws)`` times the round's.
+    """
+    n = len(draws)
+    now = points.withColumn("f", F.lit(0.0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    kept, made = None, None
+    for r in range(base.max_iter):
+        def params(model: int, rate_of_all: bool = r > 0) -> TreeParams:
+            d = draws[model % n]
+            return TreeParams(d["max_depth"], d["min_instances_per_node"], d["feature_fraction"], base.seed,
+                              d["step_size"] if rate_of_all else 1.0)
+
+        def weigh(table, model: int, first: bool = r == 0):
+            w = 1.0 - table["held"].to_numpy()
+            if base.subsampling_rate < 1.0:
+                w = w * (uniform(table["h"].to_numpy(), base.seed, model) < base.subsampling_rate)
+            y = table["y"].to_numpy()
+            return w, y if first else 2 * (y - table["f"].to_numpy())
+
+        trees = grow_trees(now, Growth(shape, lambda block, r=r: [block + n * r], params, weigh), n, rows, "trial-trees", group_rows)
+        made = trees if made is None else made.unionByName(trees)
+        now = add_values(now, trees, shape, n, rows, group_rows)
+        if r < base.max_iter - 1:
+            path = fresh_dir(points.sparkSession, "trial-rows")
+            now.write.parquet(path)
+            now = points.sparkSession.read.schema(now.schema).parquet(path)
+            if kept:
+                remove_dir(points.sparkSession, kept)
+            kept = path
+    return now, made
+
+
 def tune(train: DataFrame, variant: Variant, n_evals: int, base: GbtParams | None = None,
-         parallelism: int = 4, seed: int = 23, test: DataFrame | None = None):
-    """M9 + M10 + M11 for one training frame: returns (trials, best PipelineModel).
+         seed: int = 23, test: DataFrame | None = None, group_rows: int = GROUP_ROWS):
+    """M9 + M10 + M11 for one training frame: returns (trials, the best setting's model).
 
-    Trials learn from four fifths of the rows and are judged on the rest, or
+    The draws do not depend on each other, so all trials are boosted at once.
+    They learn from four fifths of the rows and are judged on the rest, or
     on the same rows if the split leaves one part empty.  The best setting is
     refitted on all training rows and scored on them and on ``test`` (M11's
     train and test MAE, on the best trial's row).
@@ -90,26 +127,31 @@ def tune(train: DataFrame, variant: Variant, n_evals: int, base: GbtParams | Non
     n = {r["held"]: r["n"] for r in rows.groupBy("held").agg(F.count("*").alias("n")).collect()}
     if not n:
         return [], None
-    learn, judge = (rows.where("not held"), rows.where("held")) if len(n) == 2 else (rows, rows)
-    indexer = fit_indexer(rows, variant)
+    total = sum(n.values())
+    bins = fit_bins(rows, variant.categorical, variant.numeric, category_levels(rows, variant.categorical), base.max_bins)
     draws = sample_space(n_evals, variant.name, seed)
 
-    def pipeline(d: dict, n_rows: int):
-        return gbt_pipeline(variant, replace(base, **d), indexer, n_rows)
-
-    def one(d: dict) -> float:
-        return _mae(pipeline(d, n.get(False, n.get(True))).fit(learn), judge)
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(one, draws))
-    best = min(range(len(scores)), key=scores.__getitem__)
-    refit = pipeline(draws[best], sum(n.values())).fit(rows)
-    train_mae = _mae(refit, rows)
-    test_mae = _mae(refit, training_rows(test, variant)) if test is not None else None
-    trials = [(i, d["step_size"], d["max_depth"], d["feature_fraction"], d["min_instances_per_node"], float(m), i == best,
-               train_mae if i == best else None, test_mae if i == best else None)
-              for i, (d, m) in enumerate(zip(draws, scores))]
-    return trials, refit
+    def points(df: DataFrame, held) -> DataFrame:
+        coded = bins.add(df.select(F.xxhash64(split.row_key()).alias("h"), F.col(LABEL).cast("double").alias("y"),
+                                   held.cast("double").alias("held"), *variant.categorical, *variant.numeric))
+        return coded.select("h", "codes", "y", "held")
+
+    def boost(pts: DataFrame, ds: list[dict], n_rows: int):
+        return boost_side_by_side(pts, bins.shape, ds, base, n_rows, group_rows)
+
+    judged, _ = boost(points(rows, F.col("held") if len(n) == 2 else F.lit(False)), draws, total)
+    gap = F.avg(F.abs(F.col("y") - F.col("f")))
+    found = dict(judged.where(f"held = {len(n) - 1}").groupBy("block").agg(gap).collect())
+    best = min(range(n_evals), key=found.__getitem__)
+    both = points(rows, F.lit(False))
+    if test is not None:
+        both = both.unionByName(points(training_rows(test, variant), F.lit(True)))
+    scored, trees = boost(both, [draws[best]], total)
+    final = dict(scored.groupBy("held").agg(gap).collect())
+    trials = [(i, d["step_size"], d["max_depth"], d["feature_fraction"], d["min_instances_per_node"], float(found[i]), i == best,
+               final.get(0.0) if i == best else None, final.get(1.0) if i == best else None)
+              for i, d in enumerate(draws)]
+    return trials, Ensemble(bins, trees, 1, 1.0)
 
 
 def tune_per_airport(features: DataFrame, airports: list[str], variant: Variant, n_evals: int,
