@@ -1,11 +1,12 @@
 """Stateful as-of lookup of two streams: updates and the requests that ask for them.
 
-Both sides arrive as streams.  State is kept per key (a flight, or an airport
+Both sides arrive as streams.  State is kept of every key (a flight, or an airport
 and slot): the latest update of every effective time, and the requests not yet
-answered.  The updates' event time is the clock.  A request for time ``t`` is
+answered.  Keys are bundled by their hash, and a bundle has one state, one timer
+and one call a batch, as a call for every key would take longer than its rows.  The updates' event time is the clock.  A request for time ``t`` is
 answered once the watermark has reached ``t``, when no update issued up to then
-can still come in; an event-time timer wakes the key for it.  Updates older than the
-visible history are dropped from the state, and a key without updates and
+can still come in; an event-time timer wakes the bundle for it.  Updates older than the
+visible history are dropped from the state, and a bundle without updates and
 requests is removed by its last timer.
 
 Late rows have a fixed fate.
@@ -44,7 +45,9 @@ from gatecast.session import fresh_dir
 UPDATE, REQUEST, HEARTBEAT = 0, 1, 2
 HOUR_US = 60 * US_PER_MINUTE
 NOTHING = -(1 << 63)  # the issue time of no update
-STATE = "at array<bigint>, issue array<bigint>, value array<string>, asked array<bigint>, rows array<bigint>"
+BUNDLES = 1024  # groups of keys; each has one state
+STATE = "told array<string>, at array<bigint>, issue array<bigint>, value array<string>, asker array<string>, asked array<bigint>, rows array<bigint>"
+WHOLE_PERIOD = 1_000_000  # files a trigger: all that a replayed period has
 
 
 def _order(value: str) -> list:
@@ -65,59 +68,64 @@ def answer(known: dict[int, tuple[int, str]], at: int, visible_us: int) -> tuple
     return known[best]
 
 
-def _step(visible_us: int, keys: list[str]):
+def _step(visible_us: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         clock = state.getCurrentWatermarkMs() * 1000
-        known: dict[int, tuple[int, str]] = {}
-        asked: dict[int, int] = {}
+        known: dict[str, dict[int, tuple[int, str]]] = {}
+        asked: dict[tuple[str, int], int] = {}
         if state.exists:
-            at, issue, value, times, rows = state.get
-            known = {a: (i, v) for a, i, v in zip(at, issue, value)}
-            asked = dict(zip(times, rows))
-        late: dict[int, int] = {}
+            told, at, issue, value, asker, times, rows = state.get
+            for k, a, i, v in zip(told, at, issue, value):
+                known.setdefault(k, {})[a] = (i, v)
+            asked = dict(zip(zip(asker, times), rows))
+        late: dict[tuple[str, int], int] = {}
         if not state.hasTimedOut:
             for frame in frames:
-                for kind, at, issue, value, n in zip(frame["kind"], frame["at"], frame["issue"], frame["value"], frame["n"]):
-                    if kind == UPDATE and issue > clock and (at not in known or _fresher((issue, value), known[at])):
-                        known[at] = (issue, value)
+                for kind, k, at, issue, value, n in zip(*(frame[c].tolist() for c in ("kind", "key", "at", "issue", "value", "n"))):
+                    if kind == UPDATE and issue > clock:
+                        own = known.setdefault(k, {})
+                        if at not in own or _fresher((issue, value), own[at]):
+                            own[at] = (issue, value)
                     elif kind == REQUEST:
                         due = late if at < clock else asked
-                        due[at] = due.get(at, 0) + n
-        ready = {at: n for at, n in asked.items() if at <= clock}
+                        due[k, at] = due.get((k, at), 0) + n
+        ready = {ask: n for ask, n in asked.items() if ask[1] <= clock}
         out = []
         for answers, is_late in ((ready, False), (late, True)):
-            for at, n in answers.items():
-                out.append((*key, at, n, *(answer(known, at, visible_us) or (NOTHING, "")), is_late))
-        asked = {at: n for at, n in asked.items() if at > clock}
-        known = {at: v for at, v in known.items() if v[0] > clock - visible_us}
-        if known or asked:
-            state.update(([*known], [v[0] for v in known.values()], [v[1] for v in known.values()], [*asked], [*asked.values()]))
-            wake = min([*asked, max((v[0] for v in known.values()), default=clock) + visible_us] if known else asked)
+            for (k, at), n in answers.items():
+                out.append((k, at, n, *(answer(known.get(k, {}), at, visible_us) or (NOTHING, "")), is_late))
+        asked = {ask: n for ask, n in asked.items() if ask[1] > clock}
+        held = [(k, at, *v) for k, own in known.items() for at, v in own.items() if v[0] > clock - visible_us]
+        if held or asked:
+            told, at, issue, value = map(list, zip(*held)) if held else ([], [], [], [])
+            state.update((told, at, issue, value, [k for k, _ in asked], [t for _, t in asked], [*asked.values()]))
+            wake = min([*(t for _, t in asked), max(issue) + visible_us] if held else (t for _, t in asked))
             state.setTimeoutTimestamp(max(wake, clock) // 1000 + 1)
         elif state.exists:
             state.remove()
         if out:
-            yield pd.DataFrame(out, columns=[*keys, "at", "n", "issue", "value", "late"])
+            yield pd.DataFrame(out, columns=["key", "at", "n", "issue", "value", "late"])
 
     return run
 
 
-def _reduced(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _reduced(rows: DataFrame) -> DataFrame:
     """Within each Arrow batch: the freshest updates of an effective time, requests counted."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             asks = frame["kind"] == REQUEST
             updates = frame[~asks]
             if len(updates):
-                yield updates[updates["issue"] == updates.groupby([*keys, "kind", "at"], dropna=False)["issue"].transform("max")]
+                yield updates[updates["issue"] == updates.groupby(["key", "kind", "at"], dropna=False)["issue"].transform("max")]
             if asks.any():
-                yield frame[asks].groupby([*keys, "kind", "at", "issue"], dropna=False, as_index=False).agg(
+                yield frame[asks].groupby(["key", "kind", "at", "issue"], dropna=False, as_index=False).agg(
                     {"n": "sum", "value": "first"})[frame.columns]
 
     return rows.mapInPandas(run, rows.schema)
 
 
-def lookup_stream(updates: DataFrame, requests: DataFrame, keys: list[str], visible_us: int, delay: str) -> DataFrame:
+def lookup_stream(updates: DataFrame, requests: DataFrame, keys: list[str], visible_us: int, delay: str,
+                  bundles: int = BUNDLES) -> DataFrame:
     """Streaming answers: ``keys``, ``at``, ``n``, ``issue``, ``value`` and ``late``.
 
     ``updates`` has ``keys``, ``at`` (microseconds from which the update
@@ -125,21 +133,25 @@ def lookup_stream(updates: DataFrame, requests: DataFrame, keys: list[str], visi
     with an empty first key is a heartbeat.  ``requests`` has ``keys`` and
     ``at``; equal requests of a batch become one answer with their number
     ``n``.  No key or time may be null.  An update may arrive ``delay`` behind the clock.
+    ``bundles`` is fixed by the checkpoint: take more where a bundle's visible history would not fit a task.
     """
-    names = [*keys, "kind", "at", "issue", "value", "n"]
+    names = ["key", "kind", "at", "issue", "value", "n"]
+    key = _json(*keys).alias("key")
     kind = F.when(F.col(keys[0]) == "", F.lit(HEARTBEAT)).otherwise(F.lit(UPDATE))
-    told = _reduced(updates.withColumn("kind", kind).withColumn("n", F.lit(1).cast("long")).select(*names), keys)
+    told = _reduced(updates.select(key, kind.alias("kind"), "at", "issue", "value", F.lit(1).cast("long").alias("n")).select(*names))
     told = told.withColumn("clock", F.timestamp_micros("issue")).withWatermark("clock", delay)
-    asks = requests.select(*keys, F.lit(REQUEST).alias("kind"), "at", F.col("at").alias("issue"), F.lit("").alias("value"),
+    asks = requests.select(key, F.lit(REQUEST).alias("kind"), "at", F.col("at").alias("issue"), F.lit("").alias("value"),
                            F.lit(1).cast("long").alias("n"))
     # no event time: requests neither move the clock nor fall behind it
-    asks = _reduced(asks, keys).withColumn("clock", F.lit(None).cast("timestamp"))
-    out = T.StructType([*(updates.schema[k] for k in keys), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()),
-                        T.StructField("issue", T.LongType()), T.StructField("value", T.StringType()), T.StructField("late", T.BooleanType())])
-    found = told.unionByName(asks).groupBy(*keys).applyInPandasWithState(
-        _step(visible_us, keys), out, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    asks = _reduced(asks).withColumn("clock", F.lit(None).cast("timestamp"))
+    both = told.unionByName(asks).withColumn("bundle", F.pmod(F.xxhash64("key"), F.lit(bundles)))
+    found = both.groupBy("bundle").applyInPandasWithState(
+        _step(visible_us), "key string, at bigint, n bigint, issue bigint, value string, late boolean", STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
     some = F.col("issue") != NOTHING
-    return found.withColumns({"issue": F.when(some, F.col("issue")), "value": F.when(some, F.col("value"))})
+    parsed = F.from_json("key", ", ".join(f"{k} {updates.schema[k].dataType.simpleString()}" for k in keys))
+    return found.withColumn("key", parsed).select("key.*", "at", "n", F.when(some, F.col("issue")).alias("issue"),
+                                                  F.when(some, F.col("value")).alias("value"), "late")
 
 
 def _json(*columns) -> F.Column:
@@ -151,7 +163,7 @@ def _time(us: str) -> F.Column:
 
 
 def estimate_stream(updates: DataFrame, requests: DataFrame, delay: str = "1 hour",
-                    visible_hours: int = VISIBLE_HISTORY_HOURS) -> DataFrame:
+                    visible_hours: int = VISIBLE_HISTORY_HOURS, bundles: int = BUNDLES) -> DataFrame:
     """J6 + T2 over streams of estimate updates and requests.
 
     A row per distinct request and batch: ``gufi, timestamp, airport, rows,
@@ -161,7 +173,7 @@ def estimate_stream(updates: DataFrame, requests: DataFrame, delay: str = "1 hou
     told = updates.select("gufi", "airport", epoch_us(ceil_slot("timestamp")).alias("at"), epoch_us("timestamp").alias("issue"),
                           _json(epoch_us(DEP).alias("estimate")).alias("value"))
     asks = requests.select("gufi", "airport", epoch_us("timestamp").alias("at"))
-    found = lookup_stream(told, asks, ["gufi", "airport"], visible_hours * HOUR_US, delay)
+    found = lookup_stream(told, asks, ["gufi", "airport"], visible_hours * HOUR_US, delay, bundles)
     parsed = found.withColumn("estimate", F.from_json("value", "estimate bigint")["estimate"])
     return parsed.select("gufi", _time("at").alias("timestamp"), "airport", F.col("n").alias("rows"),
                          _time("issue").alias("update_timestamp"), _time("estimate").alias(DEP), "late")
@@ -170,7 +182,7 @@ def estimate_stream(updates: DataFrame, requests: DataFrame, delay: str = "1 hou
 def weather_stream(forecasts: DataFrame, requests: DataFrame, delay: str = "1 hour") -> DataFrame:
     """J7 over streams of forecasts and requests: a row per distinct (airport, timestamp) and batch, with its freshest forecast.
 
-    State is per (airport, served slot), so a busy airport spreads over many keys.
+    Keys are (airport, served slot), so a busy airport spreads over many bundles.
     """
     weather = {f.name: f.dataType for f in LAMP_SCHEMA.fields if f.name in WEATHER_OUT}
     cells = [epoch_us(c).alias(c) if c == "forecast_timestamp" else F.col(c) for c in WEATHER_OUT]
@@ -194,9 +206,10 @@ def read_feed(spark: SparkSession, path: str, feed: str, files_per_trigger: int
     return spark.readStream.schema(FEEDS[feed]).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def append_to_feed(rows: DataFrame, path: str, feed: str) -> None:
-    """One more file of a feed."""
-    rows.select(*FEEDS[feed].names).coalesce(1).write.mode("append").parquet(path)
+def append_to_feed(rows: DataFrame, path: str, feed: str, whole: bool = True) -> None:
+    """One more file of a feed, or (not ``whole``) as many as the rows have partitions."""
+    rows = rows.select(*FEEDS[feed].names)
+    (rows.coalesce(1) if whole else rows).write.mode("append").parquet(path)
 
 
 def heartbeat(spark: SparkSession, path: str, feed: str, at_us: int) -> None:
@@ -243,9 +256,11 @@ def replay(spark: SparkSession, updates: DataFrame, requests: DataFrame, feed: s
     step = (hi - lo) // periods + 1
     for k in range(periods):
         within = epoch_us("timestamp").between(lo + k * step, lo + (k + 1) * step - 1)
-        append_to_feed(updates.where(within), dirs[feed], feed)
-        append_to_feed(requests.where(within), dirs["requests"], "requests")
+        append_to_feed(updates.where(within), dirs[feed], feed, whole=False)
+        append_to_feed(requests.where(within), dirs["requests"], "requests", whole=False)
         if k == periods - 1:
             heartbeat(spark, dirs[feed], feed, hi + 3 * VISIBLE_HISTORY_HOURS * HOUR_US)
-        run(read_feed(spark, dirs[feed], feed), read_feed(spark, dirs["requests"], "requests"), dirs["answers"], dirs["checkpoint"])
+        # one batch a period, however many files it has: a second one would find its updates late
+        run(read_feed(spark, dirs[feed], feed, WHOLE_PERIOD), read_feed(spark, dirs["requests"], "requests", WHOLE_PERIOD),
+            dirs["answers"], dirs["checkpoint"])
     return spark.read.parquet(dirs["answers"])

@@ -148,3 +148,24 @@ def test_requests_are_scored_as_they_come_due(spark, frames):
     assert sum(r.rows for r in rows) == twice.count() and not any(r.late for r in rows)
     assert sorted(str((r.gufi, r.timestamp, r.airport, r.model_variant, r.minutes_until_pushback)) for r in rows) == \
         sorted(str((r.gufi, r.timestamp, r.airport, r.model_variant, r.prediction)) for r in want.collect())
+
+
+def test_many_flights_share_few_states_and_files(spark, frames):
+    """A call and a state for every flight would take longer than its rows; a period's files are one batch."""
+    flights = [f"G{i}" for i in range(40)]
+    etd = frames["etd"]([("A1", g, f"2024-01-01 {8 + k:02d}:{i:02d}", f"2024-01-02 {k:02d}:{i:02d}") for i, g in enumerate(flights) for k in range(3)])
+    asks = frames["labels"]([(g, f"2024-01-01 {9 + k:02d}:45", "A1", None) for g in flights for k in range(3)])
+    queries, most = [], []
+
+    def run(u, r, out, checkpoint):
+        q = s.run_available(s.estimate_stream(u, r, bundles=4), out, checkpoint)
+        queries.append(q)
+        most.append(max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress))
+
+    got = s.replay(spark, etd.repartition(6, "timestamp"), asks.repartition(3), "updates", None, run=run)
+    want = asof.asof_etd(asks, etd, strict=False, max_age_hours=30).groupBy("gufi", "timestamp", "airport", "update_timestamp", asof.DEP).agg(
+        F.count("*").alias("rows")).withColumn("late", F.lit(False))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert max(most) == 4
+    assert queries[-1].lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    assert all(sum(p["numInputRows"] > 0 for p in q.recentProgress) == 1 for q in queries)
