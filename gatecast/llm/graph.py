@@ -51,15 +51,20 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(tops)
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], marks: Callable[[DataFrame], DataFrame],
-                 may_link: Callable[[str, str], Column], filter_first: bool = False) -> DataFrame:
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """The rows of ``buckets(key, node)`` whose key others share, and ``n``, how many have it; written once."""
+    count = keep(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "count")
+    return keep(buckets.join(broadcast_ids(count, 1_000_000), "key"), "shared")
+
+
+def link_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], marks: Callable[[DataFrame], DataFrame],
+                 may_link: Callable[[str, str], Column]) -> DataFrame:
     """Components of the items that share a bucket and pass ``verify``.
 
-    ``buckets`` has rows ``(key, node)``; ``verify`` takes pairs ``(a, b)`` and
-    returns those linked.  ``marks`` gives ``(node, mark)`` for a table of
+    ``shared`` is that of ``shared_buckets``; ``verify`` takes pairs ``(a, b)``
+    and returns those linked.  ``marks`` gives ``(node, mark)`` for a table of
     nodes, and ``may_link``, a condition on the names of two marks, rules out
-    pairs before they are listed: those across components and, with
-    ``filter_first``, all.
+    pairs across components before they are listed.
 
     First every member is held against its bucket's most central member, the
     one whose buckets are the fullest.  Buckets whose members then lie in one
@@ -68,25 +73,17 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     of all linked pairs that share a bucket, and the pairs inside a large group
     of copies are never listed.
     """
-    count = keep(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "count")
-    shared = keep(buckets.join(broadcast_ids(count, 1_000_000), "key"), "shared")
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     hubs = (shared.join(weight, "node").groupBy("key")
             .agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("hub"))
             .select("key", (-F.col("hub.node")).alias("hub")))
-    first = (shared.join(hubs, "key").where("node <> hub")
-             .select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
-    if filter_first:
-        known = keep(marks(shared.select("node").distinct()), "known")
-        first = (first.join(known.toDF("a", "mark_a"), "a").join(known.toDF("b", "mark_b"), "b")
-                 .where(may_link("mark_a", "mark_b")).select("a", "b"))
-    first = keep(first, "pairs")
-    links = keep(verify(first), "links")
-    comp = components(links)
+    first = keep(shared.join(hubs, "key").where("node <> hub")
+                 .select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "pairs")
+    comp = keep(components(verify(first)), "components")
     placed = shared.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     rest = keep(placed.join(mixed, "key"), "mixed")
-    rest = rest.join(known if filter_first else marks(rest.select("node").distinct()), "node")
+    rest = rest.join(marks(rest.select("node").distinct()), "node")
     sides = [rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in rest.columns if c != "key"]) for x in "ab"]
     across = ((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & may_link("mark_a", "mark_b"))
     left, right = sides[0].alias("l"), sides[1].alias("r")
@@ -95,5 +92,13 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], m
             .join(first, ["a", "b"], "left_anti"))
     more = keep(more, "pairs")
     if more.isEmpty():
-        return keep(comp, "components")
-    return keep(components(links.union(verify(more))), "components")
+        return comp
+    # the later links join whole components, so only the roots' links are walked again
+    roots = comp.toDF("node", "root")
+    ends = keep(verify(more), "links")
+    for c in ("a", "b"):
+        ends = (ends.join(roots.toDF(c, "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root"))
+    over = components(ends).toDF("root", "top")
+    joined = comp.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = over.join(comp, F.col("node") == over["root"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return keep(joined.union(alone), "components")

@@ -6,21 +6,23 @@ part; the others always stay.  With a ``min_chars`` of 1 there is no floor.
 
 1. Equal lines form one node (a 96-bit hash).
 2. A line's shingles are all its 8-character windows, or the whole line if it
-   is shorter.  Its signature is a bottom-k MinHash: the 9 smallest distinct
+   is shorter.  Its signature is a bottom-k MinHash: the 40 smallest distinct
    hashes.
-3. Each two neighbours in the signature make a band, eight bands a line: lines
-   meet if any band agrees, and are compared if 0.55 of the shorter signature
-   is in both (5 of 9).  At a similarity of 0.8, 0.99 of pairs are compared,
-   above it more.
-4. Each line to be compared is hashed once more for the size of its set and its
-   64 smallest hashes.  Pairs go whose set sizes rule the similarity out, or
-   whose smallest hashes agree more than four standard deviations less often
-   than those of a pair at 0.8 would.  The others are compared whole and linked
-   if the exact Jaccard similarity of their shingle sets is 0.8 or more.
+3. Each run of four neighbours in the signature makes a band; of 32 hashes and
+   more, only the runs whose first hash has lower end bits than the next two.
+   Lines meet if any band agrees.  At a similarity of 0.8, 0.995 of pairs do,
+   above it more; sets of under 32 windows cannot miss each other.
+4. Each line that meets another is read again for the size of its set and its
+   64 smallest hashes.  Lines that meet are linked if the exact Jaccard
+   similarity of their shingle sets is 0.8 or more.  Where that leaves a band in several
+   components, the pairs across them go whose set sizes rule the similarity
+   out, or whose smallest hashes agree more than four standard deviations less
+   often than those of a pair at 0.8 would; the others are compared as well.
 5. Distributed union-find joins the links; of each component the line with
    the smallest (doc_id, position) stays.
 
-A band holds two different shingles, so a frequent one brings few lines together.
+A band holds four different shingles, so frequent ones bring few lines together,
+however many lines there are.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from gatecast.llm import graph
 from gatecast.llm.store import broadcast_ids, keep, scratch
 
 NOT_BLANK = r"[^\s\p{Z}]"
-SIGNATURE = 9
+SIGNATURE = 40
+RUN = 4
+SAMPLED = 32  # hashes from which on not every run is a band
 SKETCH = 64  # smallest hashes kept of a line that is to be compared
 MARGIN = 4   # standard deviations below the count expected at the linking similarity
 PERCENT = 80
@@ -51,15 +55,29 @@ def _windows(line: str, value: Callable[[Column], Column] = lambda x: F.decode(x
 
 
 def _bands(signature: str) -> Column:
-    """Band keys; a signature of one hash has one."""
+    """Band keys of a signature, none null and each once.
+
+    Two sets of n and m windows at the linking similarity differ in at most
+    (n + m) / 9 of them, which cut the common ones into that many runs and one
+    more.  One of four or more is then left, but for n + m of 9 (a run of 2)
+    and 11, 13, 18, 20 and 27 (of 3).  Sets of under four link if equal.
+    """
     at = lambda i: F.get(signature, F.lit(i))
-    pairs = [F.when(at(i + 1).isNotNull(), F.xxhash64(at(i), at(i + 1))) for i in range(SIGNATURE - 1)]
-    pairs[0] = F.coalesce(pairs[0], F.xxhash64(at(0)))
-    return F.filter(F.array(*pairs), lambda x: x.isNotNull())
+    low = lambda i: at(i).bitwiseAND(0xFFFF)
+    n = F.size(signature)
+
+    def run(i: int, length: int, also: Column) -> Column:
+        return F.when((n >= i + length) & also, F.xxhash64(F.lit(length), *[at(i + k) for k in range(length)]))
+
+    runs = [run(i, RUN, (n < SAMPLED) | ((low(i) < low(i + 1)) & (low(i) < low(i + 2)))) for i in range(SIGNATURE - RUN + 1)]
+    runs += [run(i, 3, (n >= 5) & (n <= 15)) for i in range(13)]
+    runs += [run(i, 2, (n >= 4) & (n <= 5)) for i in range(4)]
+    whole = F.when(n < RUN, F.xxhash64(F.lit(0), signature))
+    return F.array_except(F.array(whole, *runs), F.array(F.lit(None).cast("long")))
 
 
 def _marked_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """A row per line that takes part: where it is, its 96-bit hash and its signature."""
+    """A row per line that takes part: where it is, its 96-bit hash and its bands."""
     lines = (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")))
              .select("doc_id", "text_hash", "pos", F.trim("col").alias("line"))
              .where((F.char_length("line") >= min_chars) & F.col("line").rlike(NOT_BLANK)))
@@ -69,14 +87,16 @@ def _marked_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     few = hashed.withColumn("few", F.array_distinct(F.slice("hashes", 1, 2 * SIGNATURE)))
     enough = (F.size("few") >= SIGNATURE) | (F.size("hashes") <= 2 * SIGNATURE)
     signature = F.slice(F.when(enough, F.col("few")).otherwise(F.array_distinct("hashes")), 1, SIGNATURE)
-    return few.select("doc_id", "text_hash", "pos", "h1", "h2", signature.alias("signature"))
+    signed = few.select("doc_id", "text_hash", "pos", "h1", "h2", signature.alias("signature"))
+    # the lambda keeps the bands out of whole-stage code: one method of that length is never compiled
+    h2 = F.get(F.transform(F.array("h2"), lambda x: x), F.lit(0)).alias("h2")
+    return signed.select("doc_id", "text_hash", "pos", "h1", h2, _bands("signature").alias("bands"))
 
 
 def _sketch(line: str) -> Column:
     """Struct of the number of distinct windows and the SKETCH smallest of their hashes."""
     hashes = F.array_distinct(F.sort_array(_windows(line, lambda x: F.xxhash64(x))))
-    both = F.transform(F.array(hashes), lambda h: F.struct(F.size(h).alias("n"), F.slice(h, 1, SKETCH).alias("low")))
-    return F.get(both, F.lit(0))
+    return F.struct(F.size(hashes).alias("n"), F.slice(hashes, 1, SKETCH).alias("low"))
 
 
 def _near(a: str, b: str) -> Column:
@@ -96,17 +116,26 @@ def _near(a: str, b: str) -> Column:
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` whose lines reach the exact similarity, on 64-bit hashes of their windows."""
-    # one struct of both sets, so that each is made once though the condition names it several times
-    sets = [F.array_distinct(_windows(c, lambda x: F.xxhash64(x))).alias(c[-1]) for c in ("line_a", "line_b")]
-
-    def close(s: Column) -> Column:
-        n, m = F.size(s["a"]), F.size(s["b"])
-        # sets of too different sizes need no intersection
-        return ((F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
-                & (F.size(F.array_intersect(s["a"], s["b"])) * (100 + PERCENT) >= (n + m) * PERCENT))
-
-    return pairs.where(F.exists(F.array(F.struct(*sets)), close)).select("a", "b")
+    """Pairs ``(a, b)`` whose lines, with sets of ``n_a`` and ``n_b`` windows, reach the exact similarity, on 64-bit hashes."""
+    # sets of too different sizes need no intersection
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    a, b = (_windows(c, lambda x: F.xxhash64(x)) for c in ("line_a", "line_b"))
+    close = F.size(F.array_intersect(a, b)) * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
+    return pairs.where(sized & close).select("a", "b")
+
+
+def _read_again(texts: DataFrame, lines: DataFrame, used: DataFrame) -> DataFrame:
+    """Rows ``(row, line, sketch)`` of the rows ``used`` of ``lines``, found in their texts."""
+    where = lines.select("row", "doc_id", "text_hash", "pos").join(broadcast_ids(used), "row")
+    places = keep(where.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "row")).alias("at")).toDF("d", "t", "at"), "places")
+    # the lines' places, at most BROADCAST_LINES of them, or else the texts are shuffled
+    wanted = F.broadcast(places) if used.count() <= BROADCAST_LINES else places
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")))
+    part = F.split("text", "\n")
+    each = found.select(F.explode(F.transform("at", lambda x: F.struct(
+        x["row"].alias("row"), F.trim(F.get(part, x["pos"])).alias("line")))).alias("x"))
+    once = each.select("x.row", "x.line").dropDuplicates(["row"])  # a repeated document has its lines twice
+    return keep(once.select("row", "line", _sketch("line").alias("sketch")), "candidates")
 
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -120,37 +149,18 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         lines = keep(_marked_lines(texts, min_chars).withColumn("row", F.monotonically_increasing_id()), "lines")
         nodes = keep(lines.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n")), "nodes")
         again = keep(lines.select("row", "h1", "h2").join(nodes.where("n > 1"), ["h1", "h2"]).where("row <> node").select("row"), "again")
-        unique = lines.join(broadcast_ids(again), "row", "left_anti").select(F.col("row").alias("node"), "signature")
-        buckets = unique.select("node", F.explode(F.array_distinct(_bands("signature"))).alias("key"))
+        unique = lines.join(broadcast_ids(again), "row", "left_anti").select(F.col("row").alias("node"), "bands")
+        shared = graph.shared_buckets(unique.select("node", F.explode("bands").alias("key")))
+        met = _read_again(texts, lines, keep(shared.select(F.col("node").alias("row")).distinct(), "used"))
 
         def marks(of: DataFrame) -> DataFrame:
-            wanted = broadcast_ids(of.select(F.col("node").alias("row")))
-            return lines.join(wanted, "row").select(F.col("row").alias("node"), F.col("signature").alias("mark"))
-
-        def may_link(a: str, b: str) -> Column:
-            # a shorter signature is the whole set, and the condition then the exact one
-            whole = (F.size(a) < SIGNATURE) & (F.size(b) < SIGNATURE)
-            need = F.when(whole, (F.size(a) + F.size(b)) * PERCENT).otherwise(F.least(F.size(a), F.size(b)) * 99)
-            return F.size(F.array_intersect(a, b)) * (100 + PERCENT) >= need
+            return met.select(F.col("row").alias("node"), F.col("sketch").alias("mark")).join(of, "node")
 
         def verify(pairs: DataFrame) -> DataFrame:
-            used = keep(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "used")
-            where = lines.select("row", "doc_id", "text_hash", "pos").join(broadcast_ids(used), "row")
-            places = keep(where.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "row")).alias("at")).toDF("d", "t", "at"), "places")
-            # the lines' places, at most BROADCAST_LINES of them, or else the texts are shuffled
-            wanted = F.broadcast(places) if used.count() <= BROADCAST_LINES else places
-            found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")))
-            part = F.split("text", "\n")
-            each = found.select(F.explode(F.transform("at", lambda x: F.struct(
-                x["row"].alias("row"), F.trim(F.get(part, x["pos"])).alias("line")))).alias("x"))
-            once = each.select("x.row", "x.line").dropDuplicates(["row"])  # a repeated document has its lines twice
-            line = keep(once.select("row", "line", _sketch("line").alias("sketch")), "candidates")
-            sketch, line = line.select("row", "sketch"), line.select("row", "line")
-            near = (pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
-                    .where(_near("sketch_a", "sketch_b")).select("a", "b"))
-            return _linked(near.join(line.toDF("a", "line_a"), "a").join(line.toDF("b", "line_b"), "b"))
-
-        comp = graph.link_buckets(buckets, verify, marks, may_link, filter_first=True)
+            line = met.select("row", F.col("sketch.n").alias("n"), "line")
+            return _linked(pairs.join(line.toDF("a", "n_a", "line_a"), "a").join(line.toDF("b", "n_b", "line_b"), "b"))
+
+        comp = graph.link_buckets(shared, verify, marks, _near)
         several = (nodes.join(comp, "node", "left").where("n > 1 or root is not null")
                    .select("h1", "h2", F.coalesce("root", "node").alias("root")))
         member = lines.select("doc_id", "text_hash", "pos", "h1", "h2").join(several, ["h1", "h2"])

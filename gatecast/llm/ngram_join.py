@@ -230,7 +230,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
             wanted = broadcast_ids(of.select(F.col("node").alias("row")))
             return marked.join(wanted, "row").select(F.col("row").alias("node"), F.struct("n_shingles", "sketch").alias("mark"))
 
-        comp = graph.link_buckets(buckets, verify, marks, may_link)
+        comp = graph.link_buckets(graph.shared_buckets(buckets), verify, marks, may_link)
         rooted = nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
         best = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
         named = rooted.join(best, "root").select("s1", "s2", "n_shingles", "component_id")
