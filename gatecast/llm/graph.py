@@ -83,7 +83,7 @@ def link_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], ma
     placed = shared.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     rest = keep(placed.join(mixed, "key"), "mixed")
-    rest = rest.join(marks(rest.select("node").distinct()), "node")
+    rest = rest.join(marks(keep(rest.select("node").distinct(), "across")), "node")
     sides = [rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in rest.columns if c != "key"]) for x in "ab"]
     across = ((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & may_link("mark_a", "mark_b"))
     left, right = sides[0].alias("l"), sides[1].alias("r")

@@ -16,8 +16,9 @@ part; the others always stay.  With a ``min_chars`` of 1 there is no floor.
    64 smallest hashes.  Lines that meet are linked if the exact Jaccard
    similarity of their shingle sets is 0.8 or more.  Where that leaves a band in several
    components, the pairs across them go whose set sizes rule the similarity
-   out, or whose smallest hashes agree more than four standard deviations less
-   often than those of a pair at 0.8 would; the others are compared as well.
+   out, whose sets' parities in 1024 bits differ in more bits than the sets may
+   in hashes, or whose smallest hashes agree more than four standard deviations
+   less often than those of a pair at 0.8 would; the others are compared as well.
 5. Distributed union-find joins the links; of each component the line with
    the smallest (doc_id, position) stays.
 
@@ -40,6 +41,7 @@ SIGNATURE = 40
 RUN = 4
 SAMPLED = 32  # hashes from which on not every run is a band
 SKETCH = 64  # smallest hashes kept of a line that is to be compared
+ODD_WORDS = 16  # of 64 bits: parities of the hashes that fall to each bit
 MARGIN = 4   # standard deviations below the count expected at the linking similarity
 PERCENT = 80
 MIN_CHARS = 40  # of a caller that names none; op4 and the pipeline's stage use NO_FLOOR
@@ -115,6 +117,21 @@ def _near(a: str, b: str) -> Column:
             & F.when(whole, common * (100 + PERCENT) >= (n + m) * PERCENT).otherwise(common >= least))
 
 
+def _odd(lines: DataFrame) -> DataFrame:
+    """Rows ``(row, odd)`` of ``lines(row, line)``: of each bit whether an odd number of the line's distinct hashes fall to it."""
+    hashes = lines.select("row", F.explode(F.array_distinct(_windows("line", lambda x: F.xxhash64(x)))).alias("h"))
+    placed = hashes.select("row", F.expr(f"int(pmod(h, {ODD_WORDS}))").alias("word"), F.expr("shiftleft(1L, int((h >> 32) & 63))").alias("bit"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")) for k in range(ODD_WORDS)]
+    return placed.groupBy("row").agg(F.array(*words).alias("odd"))
+
+
+def _differ_little(a: str, b: str) -> Column:
+    """Whether the parities of ``a`` and ``b`` leave the similarity possible: a hash in one set only flips one bit, so no linked pair goes."""
+    at = lambda x, i: F.get(F.col(f"{x}.odd"), F.lit(i))
+    flipped = sum((F.bit_count(at(a, i).bitwiseXOR(at(b, i))) for i in range(ODD_WORDS)), F.lit(0))
+    return flipped * (100 + PERCENT) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - PERCENT)
+
+
 def _linked(pairs: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` whose lines, with sets of ``n_a`` and ``n_b`` windows, reach the exact similarity, on 64-bit hashes."""
     # sets of too different sizes need no intersection
@@ -154,13 +171,15 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         met = _read_again(texts, lines, keep(shared.select(F.col("node").alias("row")).distinct(), "used"))
 
         def marks(of: DataFrame) -> DataFrame:
-            return met.select(F.col("row").alias("node"), F.col("sketch").alias("mark")).join(of, "node")
+            some = met.join(broadcast_ids(of.toDF("row")), "row")
+            mark = F.struct("sketch.n", "sketch.low", "odd").alias("mark")
+            return some.join(_odd(some.select("row", "line")), "row").select(F.col("row").alias("node"), mark)
 
         def verify(pairs: DataFrame) -> DataFrame:
             line = met.select("row", F.col("sketch.n").alias("n"), "line")
             return _linked(pairs.join(line.toDF("a", "n_a", "line_a"), "a").join(line.toDF("b", "n_b", "line_b"), "b"))
 
-        comp = graph.link_buckets(shared, verify, marks, _near)
+        comp = graph.link_buckets(shared, verify, marks, lambda a, b: _differ_little(a, b) & _near(a, b))
         several = (nodes.join(comp, "node", "left").where("n > 1 or root is not null")
                    .select("h1", "h2", F.coalesce("root", "node").alias("root")))
         member = lines.select("doc_id", "text_hash", "pos", "h1", "h2").join(several, ["h1", "h2"])

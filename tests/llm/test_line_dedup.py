@@ -145,3 +145,48 @@ def test_short_lines_take_part(spark, tmp_path):
     assert {d: r.text for d, r in got.items()} == want
     stage = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
     assert stage == {d: t for d, t in want.items() if d != 2}
+
+
+def test_bands_of_similar_sets_meet_and_of_others_do_not(spark):
+    """Small sets at the linking similarity always share a band; of random longer ones, with frequent windows, hardly any do."""
+    rng, rows = random.Random(9), []
+    for n in range(1, ld.SAMPLED - 1):
+        for extra in range((n + 3) // 4 + 1):
+            if 100 * n >= 80 * (n + extra):
+                for _ in range(12):
+                    big = sorted(rng.sample(range(10**9), n + extra))
+                    rows.append((len(rows), sorted(rng.sample(big, n)), big, True))
+    linked = len(rows)
+    common = [rng.randrange(10**9) for _ in range(20)]
+    for _ in range(2000):
+        a, b = (sorted({*rng.sample(common, 6), *(rng.randrange(10**9) for _ in range(100))})[:ld.SIGNATURE] for _ in "ab")
+        rows.append((len(rows), a, b, False))
+    df = spark.createDataFrame(rows, "k long, a array<long>, b array<long>, same boolean")
+    got = df.select("same", (ld.F.size(ld.F.array_intersect(ld._bands("a"), ld._bands("b"))) > 0).alias("met")).collect()
+    assert all(r.met for r in got if r.same) and linked > 500
+    assert sum(r.met for r in got if not r.same) < 20
+
+
+def test_parities_lose_no_link_and_rule_out_what_just_fails(spark):
+    """Lines at 0.8 or more stay; of those under 0.7, sketches alone would keep many."""
+    rng, pairs = random.Random(11), []
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    for k in range(300):
+        line, cut = word(rng.choice([60, 250, 400])), rng.randint(1, 4)
+        other = list(line)
+        for _ in range(cut * len(line) // 100):
+            other[rng.randrange(len(line))] = "#"
+        pairs.append((k, line, "".join(other)))
+    df = spark.createDataFrame(pairs, "row long, a string, b string")
+    sides = [df.select("row", ld.F.col(c).alias("line")).join(ld._odd(df.select("row", ld.F.col(c).alias("line"))), "row")
+             .select("row", ld.F.struct(ld._sketch("line")["n"].alias("n"), "odd").alias(c)) for c in "ab"]
+    near = {r.row: r.near for r in sides[0].join(sides[1], "row").select("row", ld._differ_little("a", "b").alias("near")).collect()}
+    linked = unlike = kept = 0
+    for k, x, y in pairs:
+        s, t = every_window(x), every_window(y)
+        if 100 * len(s & t) >= 80 * len(s | t):
+            linked += 1
+            assert near[k]
+        elif 100 * len(s & t) < 70 * len(s | t):
+            unlike, kept = unlike + 1, kept + near[k]
+    assert linked > 50 and unlike > 50 and kept < unlike / 10
