@@ -7,6 +7,7 @@ no lineage grows and a lost executor costs one round.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,20 +52,34 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(tops)
 
 
-def shared_buckets(buckets: DataFrame) -> DataFrame:
-    """The rows of ``buckets(key, node)`` whose key others share, and ``n``, how many have it; written once."""
+SHARED_KEYS = 1_000_000  # of a key and a count: what one broadcast holds
+
+
+def shared_buckets(buckets: DataFrame, passes: int = 1) -> DataFrame:
+    """The rows of ``buckets(key, node)`` whose key others share, and ``n``, how many have it; written once.
+
+    Up to ``passes`` times SHARED_KEYS shared keys are broadcast, a part of them in each pass over ``buckets``; beyond,
+    all rows are shuffled to their keys.
+    """
     count = keep(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "count")
-    return keep(buckets.join(broadcast_ids(count, 1_000_000), "key"), "shared")
+    parts = -(-count.count() // SHARED_KEYS)
+    if not 1 < parts <= passes:
+        return keep(buckets.join(broadcast_ids(count, SHARED_KEYS), "key"), "shared")
+    part = F.pmod(F.xxhash64("key"), F.lit(parts))
+    found = [keep(buckets.join(F.broadcast(count.where(part == k)), "key"), "shared") for k in range(parts)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def link_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], marks: Callable[[DataFrame], DataFrame],
-                 may_link: Callable[[str, str], Column]) -> DataFrame:
+                 may_link: Callable[[str, str], Column], exact: bool = False) -> DataFrame:
     """Components of the items that share a bucket and pass ``verify``.
 
     ``shared`` is that of ``shared_buckets``; ``verify`` takes pairs ``(a, b)``
     and returns those linked.  ``marks`` gives ``(node, mark)`` for a table of
     nodes, and ``may_link``, a condition on the names of two marks, rules out
-    pairs across components before they are listed.
+    pairs across components before they are listed.  ``exact``: no linked pair is
+    ever ruled out, so the pairs with a hub are held against it too before they
+    are verified.
 
     First every member is held against its bucket's most central member, the
     one whose buckets are the fullest.  Buckets whose members then lie in one
@@ -77,8 +92,14 @@ def link_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], ma
     hubs = (shared.join(weight, "node").groupBy("key")
             .agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("hub"))
             .select("key", (-F.col("hub.node")).alias("hub")))
-    first = keep(shared.join(hubs, "key").where("node <> hub")
-                 .select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "pairs")
+    first = (shared.join(hubs, "key").where("node <> hub")
+             .select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
+    if exact:
+        marked = marks(keep(shared.select("node").distinct(), "sharing"))
+        for c in "ab":
+            first = first.join(marked.toDF(c, f"mark_{c}"), c)
+        first = first.where(may_link("mark_a", "mark_b")).select("a", "b")
+    first = keep(first, "pairs")
     comp = keep(components(verify(first)), "components")
     placed = shared.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")

@@ -15,7 +15,7 @@ no frequent n-gram makes a bucket of its own.
 Ruling out.  A set's sketch is one bit per hash value modulo 1024, the parity
 of the n-grams that fall there.  Each n-gram in which two sets differ flips one
 bit, so sketches that differ in more than D bits belong to sets that differ in
-more than D n-grams: such pairs are never listed, and no other is lost.
+more than D n-grams: such pairs are never counted, and no other is lost.
 
 Counting.  For candidate pairs the partial overlaps are counted fragment by
 fragment and summed per pair; the sum decides.
@@ -40,6 +40,7 @@ GROWTH = 1.5          # ratio of neighbouring size classes
 LARGEST = 1 << 40
 COUNT_FRAGMENTS = 8   # fragments in which overlaps are counted
 SKETCH_WORDS = 16     # of 64 bits
+PASSES = 16           # over the keys of all sets, each with a part of the shared ones
 
 
 def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +231,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
             wanted = broadcast_ids(of.select(F.col("node").alias("row")))
             return marked.join(wanted, "row").select(F.col("row").alias("node"), F.struct("n_shingles", "sketch").alias("mark"))
 
-        comp = graph.link_buckets(graph.shared_buckets(buckets), verify, marks, may_link)
+        comp = graph.link_buckets(graph.shared_buckets(buckets, PASSES), verify, marks, may_link, exact=True)
         rooted = nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
         best = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
         named = rooted.join(best, "root").select("s1", "s2", "n_shingles", "component_id")
@@ -250,8 +251,9 @@ def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 80) -> Da
     verdict = found.groupBy("doc_id").agg(
         F.max(F.col("component_id") < F.col("doc_id")).alias("__goes"), F.count("*").alias("__rows"),
         F.max("n_shingles").alias("__size"))
-    marks = verdict.where("__goes or __rows > 1")
-    joined = docs.join(marks.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
+    # a few longs a document that goes or is repeated, so the texts stay where they are
+    marks = keep(verdict.where("__goes or __rows > 1"), "verdict", lasting=True)
+    joined = docs.join(broadcast_ids(marks.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"), "left")
     once = joined.where("__id is null or (not __goes and __size = 0)").select(*docs.columns)
     repeated = joined.where("not __goes and __rows > 1 and __size > 0").select(*docs.columns).dropDuplicates(["doc_id"])
     return once.unionByName(repeated)

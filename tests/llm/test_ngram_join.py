@@ -77,6 +77,31 @@ def test_large_group_of_near_copies(spark):
     assert sum(got[i] == 0 for i in range(400)) > 200
 
 
+def test_sets_that_share_a_passage_only_are_not_read_again(spark, monkeypatch):
+    rng, read, segments = random.Random(8), [], ngram_join._segments
+
+    def counted(docs, nodes, n):
+        read.append(nodes.count())
+        return segments(docs, nodes, n)
+
+    monkeypatch.setattr(ngram_join, "_segments", counted)
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(i, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))) for i in range(40)] + [(100, passage), (101, passage + " end")]
+    got = sorted(map(tuple, ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()), key=str)
+    assert got == brute(rows, 5, 80)
+    assert sum(read) <= 6
+
+
+def test_texts_are_not_shuffled_to_the_verdicts(spark):
+    kept = ngram_join.keep_one_per_component(spark.createDataFrame([(3, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # marked by their number, not left to the planner's guess
+    try:
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.ngram_components(docs).collect() == []
