@@ -1,16 +1,20 @@
 """Many regression trees of an airport at once: random forests and the trials of a search.
 
-Rows are binned once (numbers by quantiles, categories by level) and sent to
-the models as blocks.  A tree is grown from the top in two phases.
+Rows are binned once (numbers by quantiles, categories by level) and written as
+chunks: some thousand rows by column in one compressed binary value.  Trees need
+copies of the rows, and a table is copied as often as there are tasks to run at
+once, not once a model.  A tree is grown from the top in two phases.
 
 1. While a node holds more than ``GROUP_ROWS`` rows, its rows are spread over
-   slices: every (block, slice) group sums weights and targets by feature and
+   slices: every (copy, slice) group sums weights and targets by feature and
    bin, the sums of a node meet in one group, and its best split, one row, comes
    to the driver.
 2. A node with fewer rows is one group, and the tree below it is grown there.
 
 So no group holds more rows than that, and a table whose airports are small needs
-one shuffle for all trees.  Deep nodes hold few rows: they never leave their task,
+one shuffle for all trees.  Where nodes have to be dealt to groups, WAVE models at
+a time are, so that the disk holds no more copies of the rows.  Deep nodes hold few
+rows: they never leave their task,
 where a histogram a node would cost more than the rows themselves.  Trees go to a
 table of one row a part (the top of a tree, or what is below one of its nodes);
 scoring brings the blocks of trees and the rows' distinct codes together.
@@ -23,6 +27,7 @@ and splits depend on the rows, the seed and the node only, not on partitions.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,8 +39,11 @@ from pyspark.sql import functions as F
 from gatecast.schemas import LABEL
 from gatecast.session import fresh_dir
 
-GROUP_ROWS = 250_000
-BLOCK = 10           # trees of a forest that share one copy of the rows
+GROUP_ROWS = 1_000_000
+SLICE_ROWS = 250_000  # of a table that is beyond GROUP_ROWS
+CHUNK = 1 << 15       # rows in one binary value
+BLOCK = 10            # trees of a forest that go together
+WAVE = 10             # models whose nodes are dealt at once
 COPIES = 16          # equal rows that are drawn as one
 PARTITIONS = 400
 ACCURACY = 10_000    # of the bins' borders
@@ -146,6 +154,62 @@ def best_splits(cells: Callable, paths: np.ndarray, shape: Shape, p: TreeParams,
     return feature, left
 
 
+def _sparse_splits(codes: np.ndarray, at: np.ndarray, w: np.ndarray, s: np.ndarray, paths: np.ndarray, shape: Shape, p: TreeParams,
+                   model: int) -> tuple[np.ndarray, np.ndarray]:
+    """``best_splits`` over the cells that have rows, all features of a batch at once: for many nodes of few rows."""
+    nodes, n, width = len(paths), len(at), max(shape.widths)
+    bits, least = np.int64(n.bit_length()), max(p.min_rows, 1)
+    na, sa = np.bincount(at, w, nodes), np.bincount(at, s, nodes)
+    gains = np.full(nodes, TOLERANCE)
+    feature = np.full(nodes, LEAF, np.int16)
+    left = np.zeros((nodes, shape.mask * 8), bool)
+    tried = _tried(paths, len(shape.widths), p, model)
+    step = max(1, OPEN_CELLS // n)
+    cuts = [*range(0, shape.categories, step), *range(shape.categories, len(shape.widths), step), len(shape.widths)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        b = hi - lo
+        key = ((np.arange(b)[:, None] * nodes + at) * width + codes[lo:hi]).ravel()
+        key = (key << bits) | np.tile(np.arange(n), b)
+        key.sort()
+        row, cell = key & ((1 << bits) - 1), key >> bits
+        new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        nl, sl, cell = np.add.reduceat(w[row], new), np.add.reduceat(s[row], new), cell[new]
+        seg = cell // width
+        bin_ = cell - seg * width
+        if lo < shape.categories:
+            order = np.lexsort((sl / nl, seg))
+            nl, sl, bin_ = nl[order], sl[order], bin_[order]
+        first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))  # every node has a row, so b * nodes of them
+        for x in (nl, sl):
+            own = x[first]
+            np.cumsum(x, out=x)
+            x -= (x[first] - own)[seg]
+        node = seg % nodes
+        nr, sr = na[node] - nl, sa[node] - sl
+        gain = sl * sl / np.maximum(nl, 1) + sr * sr / np.maximum(nr, 1)
+        gain[(nl < least) | (nr < least)] = -np.inf
+        most = np.maximum.reduceat(gain, first)
+        place = np.arange(len(gain))
+        best = np.minimum.reduceat(np.where(gain == most[seg], place, len(gain)), first)
+        own = (most.reshape(b, nodes) - sa * sa / na)
+        if tried is not None:
+            own[~tried[:, lo:hi].T] = -np.inf
+        k = own.argmax(0)
+        top = own[k, np.arange(nodes)]
+        better = top > gains
+        gains[better], feature[better] = top[better], (lo + k)[better]
+        taken = np.zeros(b * nodes, bool)
+        taken[(k * nodes + np.arange(nodes))[better]] = True
+        left[better] = False
+        if lo < shape.categories:
+            goes = taken[seg] & (place <= best[seg])
+            left[node[goes], bin_[goes]] = True
+        else:
+            cut = bin_[best[np.flatnonzero(taken)]]
+            left[np.flatnonzero(taken) % nodes] = np.arange(shape.mask * 8) <= cut[:, None]
+    return feature, left
+
+
 def grow(codes: np.ndarray, w: np.ndarray, target: np.ndarray, shape: Shape, p: TreeParams, model: int, path: int = 1) -> dict:
     """The tree below node ``path`` (root 1, children 2i and 2i + 1) over its rows; ``codes`` has a row a feature."""
     keep = w > 0
@@ -163,8 +227,11 @@ def grow(codes: np.ndarray, w: np.ndarray, target: np.ndarray, shape: Shape, p:
                 here = slice(None) if n <= step else np.flatnonzero((at >= lo) & (at < lo + step))
                 some = min(step, n - lo)
                 c, a, ww, ss = codes[:, here], at[here] - lo, w[here], s[here]
-                feature[lo:lo + some], left[lo:lo + some] = best_splits(
-                    lambda k: _sums(c[k], a, some, shape.widths[k], ww, ss), paths[lo:lo + some], shape, p, model)
+                if some * max(shape.widths) > len(a):
+                    found = _sparse_splits(c, a, ww, ss, paths[lo:lo + some], shape, p, model)
+                else:
+                    found = best_splits(lambda k: _sums(c[k], a, some, shape.widths[k], ww, ss), paths[lo:lo + some], shape, p, model)
+                feature[lo:lo + some], left[lo:lo + some] = found
         split = feature >= 0
         rank = np.cumsum(split) - 1
         made["feature"].append(feature)
@@ -209,26 +276,103 @@ def evaluate(parts: dict[int, dict], codes: np.ndarray) -> np.ndarray:
     return below(1, codes)
 
 
-_DTYPES = {"feature": np.int16, "yes": np.int32, "value": np.float64, "mask": np.uint8}
-PARTS = "block int, model int, path bigint, feature binary, yes binary, value binary, mask binary"
+PARTS = "block int, model int, path bigint, feature binary, yes binary, value binary, cut binary, mask binary"
+ARROW_PARTS = pa.schema([("block", pa.int32()), ("model", pa.int32()), ("path", pa.int64()),
+                          *((k, pa.binary()) for k in ("feature", "yes", "value", "cut", "mask"))])
 
 
-def _row(block: int, model: int, path: int, part: dict) -> dict:
-    return {"block": block, "model": model, "path": path} | {k: part[k].tobytes() for k in _DTYPES}
+def part_row(block: int, model: int, path: int, part: dict, shape: Shape) -> dict:
+    """A part as it is stored: values of the ends, the last bin that goes left of a number's split, and a category's bins.
+    Children that follow each other level by level need no numbers."""
+    f, yes = part["feature"], part["yes"]
+    split = f >= 0
+    category = split & (f < shape.categories)
+    plain = not (f == BELOW).any() and np.array_equal(yes[split], 1 + 2 * np.arange(split.sum()))
+    left = np.unpackbits(part["mask"][split & ~category], axis=1).sum(1) - 1
+    return {"block": block, "model": model, "path": path, "feature": f.astype(np.int16).tobytes(), "yes": b"" if plain else yes.tobytes(),
+            "value": part["value"][~split].tobytes(), "cut": left.astype(np.int16).tobytes(), "mask": part["mask"][category].tobytes()}
 
 
 def _part(row: dict, shape: Shape) -> dict:
-    out = {k: np.frombuffer(row[k], t) for k, t in _DTYPES.items()}
-    return out | {"mask": out["mask"].reshape(-1, shape.mask)}
+    f = np.frombuffer(row["feature"], np.int16)
+    split = f >= 0
+    category = split & (f < shape.categories)
+    yes, value, mask = np.zeros(len(f), np.int32), np.zeros(len(f)), np.zeros((len(f), shape.mask), np.uint8)
+    if row["yes"]:
+        yes = np.frombuffer(row["yes"], np.int32)
+    else:
+        yes[split] = 1 + 2 * np.arange(split.sum())
+    value[~split] = np.frombuffer(row["value"])
+    mask[category] = np.frombuffer(row["mask"], np.uint8).reshape(-1, shape.mask)
+    mask[split & ~category] = np.packbits(np.arange(shape.mask * 8) <= np.frombuffer(row["cut"], np.int16)[:, None], axis=1)
+    return {"feature": f, "yes": yes, "value": value, "mask": mask}
+
+
+def codes_of(table: pa.Table, shape: Shape) -> np.ndarray:
+    return np.stack([table[f"c{k}"].to_numpy() for k in range(len(shape.widths))]).astype(np.int16)
+
+
+# ---- chunks of rows -------------------------------------------------------------------------
 
+CHUNKS = "chunk string, slice int, rows binary"
+_ARROW_CHUNKS = pa.schema([("chunk", pa.string()), ("slice", pa.int32()), ("rows", pa.binary())])
 
-_ARROW_PARTS = pa.schema([("block", pa.int32()), ("model", pa.int32()), ("path", pa.int64()),
-                          *((k, pa.binary()) for k in _DTYPES)])
 
+def to_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(values: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in values])
+
+
+def pack(points: DataFrame, shape: Shape, slices: int, label: str | None) -> DataFrame:
+    """``points(codes, h, ...)`` as chunks: their columns, the codes as c0, c1, ...; a slice is the hash modulo ``slices``.
+
+    They are written if they have a ``label``: what reads them more than once must find the same chunks.
+    """
+    kinds = [pa.uint8() if w <= 256 else pa.int16() for w in shape.widths]
+
+    def run(batches):
+        held: dict[int, list[pa.Table]] = {}
+
+        def flush(k):
+            return pa.RecordBatch.from_pylist([{"chunk": uuid.uuid4().hex, "slice": k, "rows": to_bytes(pa.concat_tables(held.pop(k)).combine_chunks())}],
+                                              _ARROW_CHUNKS)
+
+        for batch in batches:
+            flat = batch["codes"].flatten().to_numpy(zero_copy_only=False).reshape(-1, len(kinds))
+            table = pa.table({f"c{k}": pa.array(np.ascontiguousarray(flat[:, k])).cast(t) for k, t in enumerate(kinds)}
+                             | {c: batch[c] for c in batch.schema.names if c != "codes"})
+            of = np.mod(batch["h"].to_numpy(), slices)
+            for k in np.unique(of):
+                k = int(k)
+                held.setdefault(k, []).append(table if slices == 1 else table.filter(pa.array(of == k)))
+                if sum(map(len, held[k])) >= CHUNK:
+                    yield flush(k)
+        for k in [*held]:
+            yield flush(k)
+
+    chunks = points.mapInArrow(run, CHUNKS)
+    if not label:
+        return chunks
+    spark = points.sparkSession
+    path = fresh_dir(spark, label)
+    chunks.write.parquet(path)
+    return spark.read.schema(CHUNKS).parquet(path)
 
-def _codes_of(table: pa.Table, shape: Shape) -> np.ndarray:
-    flat = table["codes"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return np.ascontiguousarray(flat.reshape(-1, len(shape.widths)).T.astype(np.int32))
+
+def copies_of(spark, blocks: int) -> int:
+    return max(1, min(blocks, 2 * spark.sparkContext.defaultParallelism))
+
+
+def copied(table: DataFrame, copies: int, slices: int) -> DataFrame:
+    """``table`` once for each copy, dealt to (copy, slice)."""
+    return table.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).repartition(
+        min(4 * copies * slices, PARTITIONS), "copy", "slice")
 
 
 # ---- binning ------------------------------------------------------------------------------
@@ -272,18 +416,16 @@ def fit_bins(rows: DataFrame, categorical: list[str], numeric: list[str], levels
 
 @dataclass(frozen=True)
 class Growth:
-    """What a task needs: the models of a block, their parameters, and each one's weights and targets of a group's rows."""
+    """What a task needs: the blocks of a copy, the models of a block, their parameters, and each one's weights and targets of a group's rows."""
 
     shape: Shape
+    blocks: Callable[[int], list[int]]
     models: Callable[[int], list[int]]
     params: Callable[[int], TreeParams]
     weigh: Callable[[pa.Table, int], tuple[np.ndarray, np.ndarray]]
 
-
-def sliced(points: DataFrame, blocks: int, slices: int) -> DataFrame:
-    """Rows with ``block`` and ``h`` dealt to groups of a block and slice."""
-    return points.withColumn("slice", F.pmod("h", F.lit(slices)).cast("int")).repartition(
-        min(blocks * slices, PARTITIONS), "block", "slice")
+    def of(self, copy: int) -> list[tuple[int, int]]:
+        return [(b, m) for b in self.blocks(copy) for m in self.models(b)]
 
 
 _CELLS = "block int, model int, path bigint, w binary, s binary"
@@ -291,12 +433,13 @@ _SPLITS = "block int, model int, path bigint, feature int, mask binary, value do
 
 
 def _histograms(points: DataFrame, g: Growth, tops: dict[int, dict], open_: dict[int, list[int]]) -> DataFrame:
-    """Weights and sums by feature and bin of every open node, of each (block, slice)."""
+    """Weights and sums by feature and bin of every open node, of each (copy, slice)."""
     names = pa.schema([("block", pa.int32()), ("model", pa.int32()), ("path", pa.int64()), ("w", pa.binary()), ("s", pa.binary())])
 
     def run(key, table):
-        codes, block, out = _codes_of(table, g.shape), key[0].as_py(), []
-        for m in g.models(block):
+        table, out = from_bytes(table["rows"].to_pylist()), []
+        codes = codes_of(table, g.shape)
+        for block, m in g.of(key[0].as_py()):
             if m not in open_:
                 continue
             w, t = g.weigh(table, m)
@@ -311,7 +454,7 @@ def _histograms(points: DataFrame, g: Growth, tops: dict[int, dict], open_: dict
                             "s": np.concatenate([x[1][0] for x in cells]).tobytes()})
         return pa.Table.from_pylist(out, names)
 
-    return points.groupBy("block", "slice").applyInArrow(run, _CELLS)
+    return points.groupBy("copy", "slice").applyInArrow(run, _CELLS)
 
 
 def _node_splits(cells: DataFrame, g: Growth) -> DataFrame:
@@ -368,85 +511,117 @@ def _tops(points: DataFrame, g: Growth, models: dict[int, int], group_rows: int)
 
 
 def _grown(points: DataFrame, g: Growth) -> DataFrame:
-    """Whole trees, each block's rows being one group."""
+    """Whole trees, each copy's rows being one group."""
     def run(key, table):
-        table, block = table.sort_by("h"), key[0].as_py()
-        codes = _codes_of(table, g.shape)
+        table = from_bytes(table["rows"].to_pylist()).sort_by("h")
+        codes = codes_of(table, g.shape)
         made = []
-        for m in g.models(block):
+        for block, m in g.of(key[0].as_py()):
             w, t = g.weigh(table, m)
             if not w.any():  # a draw that took none of a few rows
                 w = np.ones(len(w))
-            made.append(_row(block, m, 1, grow(codes, w, t, g.shape, g.params(m), m)))
-        return pa.Table.from_pylist(made, _ARROW_PARTS)
+            made.append(part_row(block, m, 1, grow(codes, w, t, g.shape, g.params(m), m), g.shape))
+        return pa.Table.from_pylist(made, ARROW_PARTS)
 
-    return points.groupBy("block", "slice").applyInArrow(run, PARTS)
+    return points.groupBy("copy", "slice").applyInArrow(run, PARTS)
 
 
 def _below(points: DataFrame, g: Growth, tops: dict[int, dict]) -> DataFrame:
     """What is below the open nodes of ``tops``: every node's rows are sent to one group."""
-    names = pa.schema([("block", pa.int32()), ("model", pa.int32()), ("path", pa.int64()), ("h", pa.int64()),
-                       ("codes", pa.list_(pa.int16())), ("w", pa.float64()), ("t", pa.float64())])
-
     def deal(key, table):
-        codes, block, out = _codes_of(table, g.shape), key[0].as_py(), []
-        for m in g.models(block):
+        table, out = from_bytes(table["rows"].to_pylist()), []
+        codes = codes_of(table, g.shape)
+        kept = table.select(["h", *[f"c{k}" for k in range(len(g.shape.widths))]])
+        for block, m in g.of(key[0].as_py()):
             w, t = g.weigh(table, m)
             end = route(tops[m], codes)
-            rows = np.flatnonzero((tops[m]["feature"][end] == BELOW) & (w > 0))
-            n = len(rows)
-            out.append(pa.table({"block": pa.array(np.full(n, block, np.int32)), "model": pa.array(np.full(n, m, np.int32)),
-                                 "path": pa.array(tops[m]["yes"][end[rows]].astype(np.int64)), "h": table["h"].combine_chunks().take(pa.array(rows)),
-                                 "codes": table["codes"].combine_chunks().take(pa.array(rows)),
-                                 "w": pa.array(w[rows]), "t": pa.array(t[rows])}).cast(names))
-        return pa.concat_tables(out) if out else names.empty_table()
+            reached = np.where((tops[m]["feature"][end] == BELOW) & (w > 0), tops[m]["yes"][end], 0)
+            for path in np.unique(reached[reached > 0]):
+                rows = np.flatnonzero(reached == path)
+                part = kept.take(pa.array(rows)).append_column("w", pa.array(w[rows])).append_column("t", pa.array(t[rows]))
+                out.append({"block": block, "model": m, "path": int(path), "rows": to_bytes(part.combine_chunks())})
+        return pa.Table.from_pylist(out, pa.schema([*list(ARROW_PARTS)[:3], ("rows", pa.binary())]))
 
     def run(key, table):
         block, m, path = (k.as_py() for k in key)
-        table = table.sort_by("h")
-        part = grow(_codes_of(table, g.shape), table["w"].to_numpy(), table["t"].to_numpy(), g.shape, g.params(m), m, path)
-        return pa.Table.from_pylist([_row(block, m, path, part)], _ARROW_PARTS)
+        table = from_bytes(table["rows"].to_pylist()).sort_by("h")
+        part = grow(codes_of(table, g.shape), table["w"].to_numpy(), table["t"].to_numpy(), g.shape, g.params(m), m, path)
+        return pa.Table.from_pylist([part_row(block, m, path, part, g.shape)], ARROW_PARTS)
 
-    dealt = points.groupBy("block", "slice").applyInArrow(deal, "block int, model int, path bigint, h bigint, codes array<smallint>, w double, t double")
+    dealt = points.groupBy("copy", "slice").applyInArrow(deal, "block int, model int, path bigint, rows binary")
     return dealt.groupBy("block", "model", "path").applyInArrow(run, PARTS)
 
 
-def grow_trees(points: DataFrame, g: Growth, blocks: int, rows: int, label: str, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One tree of every model over ``points(block, h, codes, ...)``, as a written table of parts.
+def slices_of(rows: int, group_rows: int) -> int:
+    """1: a group holds the whole table."""
+    return 1 if rows <= group_rows else -(-rows // min(group_rows, SLICE_ROWS))
 
-    ``rows`` is about how many rows a block has.
-    """
-    spark = points.sparkSession
-    slices = max(1, -(-rows // group_rows))
-    dealt = sliced(points, blocks, slices)
-    path = fresh_dir(spark, label)
+
+def grow_trees(chunks: DataFrame, slices: int, shape: Shape, models: Callable[[int], list[int]], params: Callable[[int], TreeParams],
+               weigh: Callable, blocks: int, path: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One tree of every model of every block over the rows of ``chunks``, as a table of parts written to ``path``."""
+    spark = chunks.sparkSession
     if slices == 1:
-        _grown(dealt, g).write.parquet(path)
-    else:
-        tops = _tops(dealt, g, {m: b for b in range(blocks) for m in g.models(b)}, group_rows)
-        _below(dealt, g, tops).write.parquet(path)
-        spark.createDataFrame([_row(b, m, 1, tops[m]) for b in range(blocks) for m in g.models(b)], PARTS).write.mode("append").parquet(path)
+        copies = copies_of(spark, blocks)
+        g = Growth(shape, lambda copy: list(range(copy, blocks, copies)), models, params, weigh)
+        _grown(copied(chunks, copies, 1), g).write.parquet(path)
+        return spark.read.schema(PARTS).parquet(path)
+    at = 0
+    while at < blocks:
+        upto = at + 1
+        while upto < blocks and sum(len(models(b)) for b in range(at, upto + 1)) <= WAVE:
+            upto += 1
+        g = Growth(shape, lambda copy, at=at: [at + copy], models, params, weigh)
+        dealt = copied(chunks, upto - at, slices)
+        tops = _tops(dealt, g, {m: b for b in range(at, upto) for m in models(b)}, group_rows)
+        _below(dealt, g, tops).write.mode("append").parquet(path)
+        spark.createDataFrame([part_row(b, m, 1, tops[m], shape) for b in range(at, upto) for m in models(b)], PARTS).write.mode("append").parquet(path)
+        at = upto
     return spark.read.schema(PARTS).parquet(path)
 
 
-def add_values(points: DataFrame, trees: DataFrame, shape: Shape, blocks: int, rows: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``points(block, h, codes, f, ...)`` with ``f`` raised by their block's trees."""
-    slices = max(1, -(-rows // group_rows))
-    parts = trees.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(
-        min(blocks * slices, PARTITIONS), "block", "slice")
-    columns = points.columns
+def whole_trees(parts: pa.Table, shape: Shape):
+    """(block, model, its parts) of every tree, one at a time."""
+    rows: dict[tuple[int, int], list[int]] = {}
+    for i, key in enumerate(zip(parts["block"].to_pylist(), parts["model"].to_pylist())):
+        rows.setdefault(key, []).append(i)
+    for (block, m), at in sorted(rows.items()):
+        yield block, m, {r["path"]: _part(r, shape) for r in parts.take(pa.array(at)).to_pylist()}
+
+
+def block_values(chunks: DataFrame, trees: DataFrame, shape: Shape, blocks: int, slices: int) -> DataFrame:
+    """``chunks`` (chunk, slice, rows) and ``f``, the sum of all trees' values of each of its rows, in whole billionths.
 
-    def run(key, table, parts):
-        table = table.select(columns)
-        f, codes = table["f"].to_numpy().copy(), _codes_of(table, shape)
-        whole: dict[int, dict[int, dict]] = {}
-        for r in parts.to_pylist():
-            whole.setdefault(r["model"], {})[r["path"]] = _part(r, shape)
-        for m in sorted(whole):
-            f += evaluate(whole[m], codes)
-        return table.set_column(columns.index("f"), "f", pa.array(f))
+    A block's sum is rounded on its own, so the total depends neither on copies nor on order.
+    """
+    copies = copies_of(chunks.sparkSession, blocks)
+    parts = trees.withColumn("copy", F.col("block") % copies)
+    if slices == 1:
+        parts = parts.withColumn("slice", F.lit(0))
+    else:
+        parts = parts.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    parts = parts.repartition(min(4 * copies * slices, PARTITIONS), "copy", "slice")
+    names = pa.schema([("chunk", pa.string()), ("f", pa.binary())])
 
-    return sliced(points, blocks, slices).groupBy("block", "slice").cogroup(parts.groupBy("block", "slice")).applyInArrow(run, points.schema)
+    def run(key, rows, parts):
+        if not len(rows):
+            return names.empty_table()
+        tables = [from_bytes([x]) for x in rows["rows"].to_pylist()]
+        codes = codes_of(pa.concat_tables(tables), shape)
+        total, block = np.zeros(codes.shape[1], np.int64), None
+        for b, _, tree in whole_trees(parts, shape):
+            if b != block:
+                total += np.rint(f * 1e9).astype(np.int64) if block is not None else 0
+                f, block = np.zeros(codes.shape[1]), b
+            f += evaluate(tree, codes)
+        if block is not None:
+            total += np.rint(f * 1e9).astype(np.int64)
+        ends = np.cumsum([len(t) for t in tables])
+        return pa.Table.from_pylist([{"chunk": c, "f": x.tobytes()} for c, x in zip(rows["chunk"].to_pylist(), np.split(total, ends[:-1]))], names)
+
+    found = copied(chunks, copies, slices).groupBy("copy", "slice").cogroup(parts.groupBy("copy", "slice")).applyInArrow(run, "chunk string, f binary")
+    n = min(4 * copies * slices, PARTITIONS)
+    return chunks.repartition(n, "chunk").join(found.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list("f").alias("f")), "chunk")
 
 
 @dataclass
@@ -461,13 +636,24 @@ class Ensemble:
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with a double ``prediction``; each distinct row of bins is scored once."""
         coded = self.bins.add(df, "__codes")
-        keys = coded.select(F.col("__codes").alias("codes")).distinct()
-        points = keys.withColumn("h", F.xxhash64("codes")).withColumn("f", F.lit(0.0)).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))))
-        found = add_values(points, self.trees, self.bins.shape, self.blocks, df.count())
-        total = found.groupBy("codes").agg(F.sum(F.col("f").cast("decimal(30,9)")).alias("__sum"))
-        scored = coded.join(total.withColumnRenamed("codes", "__codes"), "__codes", "left")
-        return scored.withColumn("prediction", F.col("__sum").cast("double") * F.lit(self.scale)).drop("__codes", "__sum")
+        points = coded.select(F.col("__codes").alias("codes")).distinct().withColumn("h", F.xxhash64("codes"))
+        shape, scale = self.bins.shape, self.scale
+        slices = slices_of(df.count(), GROUP_ROWS)
+        chunks = pack(points, shape, slices, "scored-rows")
+        names = pa.schema([("__codes", pa.list_(pa.int16())), ("prediction", pa.float64())])
+
+        def run(batches):
+            for batch in batches:
+                for rows, f in zip(batch["rows"].to_pylist(), batch["f"].to_pylist()):
+                    codes = codes_of(from_bytes([rows]), shape)
+                    total = sum(np.frombuffer(x, np.int64) for x in f)
+                    flat = pa.array(np.ascontiguousarray(codes.T).ravel())
+                    ends = pa.array(np.arange(codes.shape[1] + 1, dtype=np.int32) * codes.shape[0])
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, flat), pa.array(total / 1e9 * scale)], schema=names)
+
+        found = block_values(chunks, self.trees, shape, self.blocks, slices).select("rows", "f").mapInArrow(
+            run, "__codes array<smallint>, prediction double")
+        return coded.join(found, "__codes", "left").drop("__codes")
 
 
 # ---- a random forest --------------------------------------------------------------------------
@@ -498,7 +684,8 @@ class ForestGrower:
         coded = bins.add(rows.select(F.col(LABEL).cast("double").alias("y"), *self.categorical, *self.numeric)).select("codes", "y")
         n, p = self.num_trees, self.params
         blocks = -(-n // BLOCK)
-        points = bootstrap_points(coded).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        slices = slices_of(self.n_rows, self.group_rows)
+        chunks = pack(bootstrap_points(coded), bins.shape, slices, "forest-rows" if slices > 1 else None)
 
         def models(block: int) -> list[int]:
             return list(range(block * BLOCK, min(n, (block + 1) * BLOCK)))
@@ -506,6 +693,5 @@ class ForestGrower:
         def weigh(table: pa.Table, model: int):
             return poisson(uniform(table["h"].to_numpy(), p.seed, model), table["c"].to_numpy()), table["y"].to_numpy()
 
-        g = Growth(bins.shape, models, lambda m: p, weigh)
-        trees = grow_trees(points, g, blocks, self.n_rows, "forest", self.group_rows)
+        trees = grow_trees(chunks, slices, bins.shape, models, lambda m: p, weigh, blocks, fresh_dir(rows.sparkSession, "forest"), self.group_rows)
         return Ensemble(bins, trees, blocks, 1.0 / n)

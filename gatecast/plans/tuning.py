@@ -3,7 +3,8 @@
 The reference runs a sequential TPE search.  Here a seeded sampler draws
 the same kinds of distributions (log-uniform learning rate, depth choice,
 uniform feature fraction, leaf minimum) and evaluates them side by side
-on an 80/20 hash split by MAE; the best setting is refitted
+on an 80/20 hash split by MAE; every trial makes up to the reference's 1000 rounds and
+ends after ten without a better held error, as the reference's do.  The best setting is refitted
 on the training rows.  The reference fixes the leaf minimum at 250 or 200
 rows; here it is drawn log-uniformly up to that, as a table whose airports
 have fewer rows could not split at all.
@@ -16,6 +17,8 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +28,8 @@ from gatecast.operators.encode import category_levels
 from gatecast.plans.boosting import BoostParams, Boosted, fit_boosted, predict, prepare
 from gatecast.plans.models import GbtParams, Variant, training_rows
 from gatecast.plans.tpe import Choice, Space, Uniform, suggest, values
-from gatecast.plans.trees import GROUP_ROWS, Ensemble, Growth, Shape, TreeParams, add_values, fit_bins, grow_trees, uniform
+from gatecast.plans.trees import (ARROW_PARTS, CHUNK, GROUP_ROWS, PARTITIONS, PARTS, Ensemble, Shape, TreeParams, codes_of, copied, copies_of,
+                                  evaluate, fit_bins, from_bytes, grow, grow_trees, pack, part_row, slices_of, to_bytes, uniform, whole_trees)
 from gatecast.schemas import LABEL
 from gatecast.session import fresh_dir, remove_dir
 
@@ -38,6 +42,8 @@ DEPTH_CHOICES = {"full": list(range(10, 21)), "na": list(range(5, 21))}
 MIN_ROWS_PER_LEAF = {"full": 250, "na": 200}
 EVALS_FULL = 25
 EVALS_NO_WEATHER = 10
+PATIENCE = 10
+SEARCH = GbtParams(max_iter=1000, max_bins=255)  # rounds at most; the bins are LightGBM's own default
 # ------------------------------------------------------------------------------
 
 TRIAL_SCHEMA = T.StructType([
@@ -74,52 +80,154 @@ def search_split(rows: DataFrame) -> DataFrame:
     return rows.withColumn("held", split.bucket_of(F.concat(F.lit("search|"), split.row_key())) >= split.SPLIT_TRAIN_PERCENT)
 
 
-def boost_side_by_side(points: DataFrame, shape: Shape, draws: list[dict], base: GbtParams, rows: int,
-                       group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Boosted trees of all ``draws`` over ``points(h, codes, y, held)``: (points with ``block``, the draw's number, and ``f``, trees).
+def _tree_params(d: dict, base: GbtParams, r: int) -> TreeParams:
+    return TreeParams(d["max_depth"], d["min_instances_per_node"], d["feature_fraction"], base.seed, d["step_size"] if r else 1.0)
 
-    As in MLlib: the first tree fits the labels and counts whole, the others fit
-    twice the residuals and count ``step_size``.  Held rows are only predicted.
-    The trees of a round are grown at once; a tree's number is the draw's
-    and ``len(draws)`` times the round's.
-    """
+
+def _weights(table, base: GbtParams, model: int):
+    w = 1.0 - table["held"].to_numpy()
+    if base.subsampling_rate < 1.0:
+        drawn = w * (uniform(table["h"].to_numpy(), base.seed, model) < base.subsampling_rate)
+        w = drawn if drawn.any() else w
+    return w
+
+
+def _sums_of_errors(y, f, held) -> np.ndarray:
+    """Of the rows not held, then of the held ones: how many, and the sums of absolute and squared errors."""
+    return np.array([(at.sum(), np.abs(y - f)[at].sum(), ((y - f)[at] ** 2).sum()) for at in (held == 0, held == 1)])
+
+
+class _Best:
+    """The prefix of a draw's trees with the least squared error on the rows that judge it, as far as it came."""
+
+    def __init__(self, judge: int, patience: int | None):
+        self.judge, self.patience, self.kept, self.least, self.gaps = judge, patience, 0, None, (None, None)
+
+    def goes_on(self, rounds: int, sums: np.ndarray) -> bool:
+        loss = sums[self.judge, 2] / max(sums[self.judge, 0], 1)
+        if self.patience is None or self.least is None or loss < self.least:
+            self.kept, self.least = rounds, loss
+            self.gaps = tuple(float(gap / n) if n else None for n, gap, _ in sums)
+        return self.patience is None or rounds - self.kept < self.patience
+
+
+_RESULT = -1  # instead of a model: what a draw came to
+
+
+def _boost_in_tasks(chunks: DataFrame, shape: Shape, draws: list[dict], base: GbtParams, judge: int, patience: int | None,
+                    keep_trees: bool) -> DataFrame:
+    """Parts of the trees (if wanted), and a row a draw with the rounds it kept and its errors; each draw is boosted within a task."""
     n = len(draws)
-    now = points.withColumn("f", F.lit(0.0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    kept, made = None, None
+    copies = copies_of(chunks.sparkSession, n)
+
+    def run(key, table):
+        table, out = from_bytes(table["rows"].to_pylist()).sort_by("h"), []
+        codes, y, held = codes_of(table, shape), table["y"].to_numpy(), table["held"].to_numpy()
+        for k in range(key[0].as_py(), n, copies):
+            f, best, made = np.zeros(len(y)), _Best(judge, patience), []
+            for r in range(base.max_iter):
+                model = k + n * r
+                tree = grow(codes, _weights(table, base, model), 2 * (y - f) if r else y, shape, _tree_params(draws[k], base, r), model)
+                f = f + evaluate({1: tree}, codes)
+                if keep_trees:
+                    made.append(part_row(k, model, 1, tree, shape))
+                if not best.goes_on(r + 1, _sums_of_errors(y, f, held)):
+                    break
+            gaps = [math.nan if g is None else g for g in best.gaps]
+            out += [*made[:best.kept], {"block": k, "model": _RESULT, "path": 0, "value": np.array([best.kept, *gaps]).tobytes()}]
+        return pa.Table.from_pylist(out, ARROW_PARTS)
+
+    return copied(chunks, copies, 1).groupBy("copy", "slice").applyInArrow(run, PARTS)
+
+
+def _boost_on_spark(chunks: DataFrame, slices: int, shape: Shape, draws: list[dict], base: GbtParams, judge: int, patience: int | None,
+                    path: str | None, group_rows: int) -> dict[int, _Best]:
+    """The same round by round for rows that no group holds: chunks carry every draw's sums, trees go to ``path`` if given."""
+    spark, n = chunks.sparkSession, len(draws)
+    best = {k: _Best(judge, patience) for k in range(n)}
+    now, active, last = chunks, list(range(n)), None
+    names = pa.schema([("chunk", pa.string()), ("slice", pa.int32()), ("rows", pa.binary()), ("sums", pa.binary())])
     for r in range(base.max_iter):
-        def params(model: int, rate_of_all: bool = r > 0) -> TreeParams:
-            d = draws[model % n]
-            return TreeParams(d["max_depth"], d["min_instances_per_node"], d["feature_fraction"], base.seed,
-                              d["step_size"] if rate_of_all else 1.0)
-
-        def weigh(table, model: int, first: bool = r == 0):
-            w = 1.0 - table["held"].to_numpy()
-            if base.subsampling_rate < 1.0:
-                w = w * (uniform(table["h"].to_numpy(), base.seed, model) < base.subsampling_rate)
+        def weigh(table, model: int, r=r):
             y = table["y"].to_numpy()
-            return w, y if first else 2 * (y - table["f"].to_numpy())
+            return _weights(table, base, model), 2 * (y - table[f"f{model % n}"].to_numpy()) if r else y
+
+        grown = fresh_dir(spark, "trial-trees")
+        trees = grow_trees(now, slices, shape, lambda b, r=r, active=active: [active[b] + n * r],
+                           lambda model, r=r: _tree_params(draws[model % n], base, r), weigh, len(active), grown, group_rows)
+
+        def add(key, rows, parts):
+            table = from_bytes(rows["rows"].to_pylist()).sort_by("h")
+            codes = codes_of(table, shape)
+            for _, model, tree in whole_trees(parts, shape):
+                name = f"f{model % n}"
+                f = evaluate(tree, codes)
+                if r:
+                    table = table.set_column(table.column_names.index(name), name, pa.array(table[name].to_numpy() + f))
+                else:
+                    table = table.append_column(name, pa.array(f))
+            out = []
+            for i, lo in enumerate(range(0, len(table), CHUNK)):
+                t = table.slice(lo, CHUNK)
+                sums = np.array([_sums_of_errors(t["y"].to_numpy(), t[f"f{k}"].to_numpy(), t["held"].to_numpy()) for k in range(n)])
+                out.append({"chunk": f"{key[0].as_py()}-{i}", "slice": key[0].as_py(), "rows": to_bytes(t.combine_chunks()), "sums": sums.tobytes()})
+            return pa.Table.from_pylist(out, names)
+
+        parts = trees.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        at = fresh_dir(spark, "trial-rows")
+        now.select("slice", "rows").repartition(min(4 * slices, PARTITIONS), "slice").groupBy("slice").cogroup(
+            parts.repartition(min(4 * slices, PARTITIONS), "slice").groupBy("slice")).applyInArrow(
+            add, "chunk string, slice int, rows binary, sums binary").write.parquet(at)
+        now = spark.read.parquet(at)
+        sums = sum(np.frombuffer(x["sums"]).reshape(n, 2, 3) for x in sorted(now.select("chunk", "sums").collect()))
+        if path:
+            trees.write.mode("append").parquet(path)
+        for spent in (grown, last):
+            if spent:
+                remove_dir(spark, spent)
+        last = at
+        active = [k for k in active if best[k].goes_on(r + 1, sums[k])]
+        if not active:
+            break
+    return best
+
+
+def boost_side_by_side(points: DataFrame, shape: Shape, draws: list[dict], base: GbtParams, rows: int, judge: int, patience: int | None = None,
+                       keep_trees: bool = False, group_rows: int = GROUP_ROWS) -> tuple[dict[int, tuple], DataFrame | None]:
+    """Boosted trees of all ``draws`` over ``points(h, codes, y, held)``: (rounds kept, errors of rows not held and held) by draw, and the trees.
 
-        trees = grow_trees(now, Growth(shape, lambda block, r=r: [block + n * r], params, weigh), n, rows, "trial-trees", group_rows)
-        made = trees if made is None else made.unionByName(trees)
-        now = add_values(now, trees, shape, n, rows, group_rows)
-        if r < base.max_iter - 1:
-            path = fresh_dir(points.sparkSession, "trial-rows")
-            now.write.parquet(path)
-            now = points.sparkSession.read.schema(now.schema).parquet(path)
-            if kept:
-                remove_dir(points.sparkSession, kept)
-            kept = path
-    return now, made
+    As in MLlib: the first tree fits the labels and counts whole, the others fit
+    twice the residuals and count ``step_size``.  Held rows are only predicted.
+    A draw ends after ``patience`` rounds without a smaller squared error on the rows that
+    judge it (0: those learnt from, 1: the held ones) and is the prefix of its trees with the least; without patience
+    it makes all rounds.  A tree's number is the draw's and ``len(draws)`` times the round's.
+    """
+    spark = points.sparkSession
+    slices = slices_of(rows, group_rows)
+    chunks = pack(points, shape, slices, "search-rows" if slices > 1 else None)
+    made = fresh_dir(spark, "trial-parts") if keep_trees or slices == 1 else None
+    if slices == 1:
+        _boost_in_tasks(chunks, shape, draws, base, judge, patience, keep_trees).write.parquet(made)
+        parts = spark.read.schema(PARTS).parquet(made)
+        found = {r["block"]: np.frombuffer(r["value"]).tolist() for r in parts.where(F.col("model") == _RESULT).collect()}
+        found = {k: (int(kept), *(None if math.isnan(g) else g for g in gaps)) for k, (kept, *gaps) in found.items()}
+        trees = parts.where(F.col("model") != _RESULT)
+    else:
+        best = _boost_on_spark(chunks, slices, shape, draws, base, judge, patience, made, group_rows)
+        found = {k: (b.kept, *b.gaps) for k, b in best.items()}
+        trees = spark.read.schema(PARTS).parquet(made) if made else None
+    return found, trees if keep_trees else None
 
 
 def tune(train: DataFrame, variant: Variant, n_evals: int, base: GbtParams | None = None,
-         seed: int = 23, test: DataFrame | None = None, group_rows: int = GROUP_ROWS):
+         seed: int = 23, test: DataFrame | None = None, group_rows: int = GROUP_ROWS, patience: int = PATIENCE):
     """M9 + M10 + M11 for one training frame: returns (trials, the best setting's model).
 
     The draws do not depend on each other, so all trials are boosted at once.
     They learn from four fifths of the rows and are judged on the rest, or
-    on the same rows if the split leaves one part empty.  The best setting is
-    refitted on all training rows and scored on them and on ``test`` (M11's
+    on the same rows if the split leaves one part empty; each makes up to ``base.max_iter`` rounds and ends after
+    ``patience`` without a smaller squared error.  The best setting is
+    refitted on all training rows with as many rounds as it kept and scored on them and on ``test`` (M11's
     train and test MAE, on the best trial's row).
     """
     base = base or GbtParams()
@@ -136,20 +244,20 @@ def tune(train: DataFrame, variant: Variant, n_evals: int, base: GbtParams | Non
                                    held.cast("double").alias("held"), *variant.categorical, *variant.numeric))
         return coded.select("h", "codes", "y", "held")
 
-    def boost(pts: DataFrame, ds: list[dict], n_rows: int):
-        return boost_side_by_side(pts, bins.shape, ds, base, n_rows, group_rows)
-
-    judged, _ = boost(points(rows, F.col("held") if len(n) == 2 else F.lit(False)), draws, total)
-    gap = F.avg(F.abs(F.col("y") - F.col("f")))
-    found = dict(judged.where(f"held = {len(n) - 1}").groupBy("block").agg(gap).collect())
-    best = min(range(n_evals), key=found.__getitem__)
-    both = points(rows, F.lit(False))
+    judge = len(n) - 1
+    found, _ = boost_side_by_side(points(rows, F.col("held") if judge else F.lit(False)), bins.shape, draws, base, total, judge, patience,
+                                  group_rows=group_rows)
+    errors = {k: gaps[judge] for k, (_, *gaps) in found.items()}
+    best = min(range(n_evals), key=errors.__getitem__)
+    both, scored = points(rows, F.lit(False)), total
     if test is not None:
-        both = both.unionByName(points(training_rows(test, variant), F.lit(True)))
-    scored, trees = boost(both, [draws[best]], total)
-    final = dict(scored.groupBy("held").agg(gap).collect())
-    trials = [(i, d["step_size"], d["max_depth"], d["feature_fraction"], d["min_instances_per_node"], float(found[i]), i == best,
-               final.get(0.0) if i == best else None, final.get(1.0) if i == best else None)
+        held = training_rows(test, variant)
+        both, scored = both.unionByName(points(held, F.lit(True))), total + held.count()
+    refit, trees = boost_side_by_side(both, bins.shape, [draws[best]], replace(base, max_iter=found[best][0]), scored, 0, keep_trees=True,
+                                      group_rows=group_rows)
+    _, train_mae, test_mae = refit[0]
+    trials = [(i, d["step_size"], d["max_depth"], d["feature_fraction"], d["min_instances_per_node"], float(errors[i]), i == best,
+               train_mae if i == best else None, test_mae if i == best else None)
               for i, d in enumerate(draws)]
     return trials, Ensemble(bins, trees, 1, 1.0)
 

@@ -112,3 +112,47 @@ def test_bins_of_every_value(spark):
     bins = t.Bins([[1.0, 3.0]], [["a", "b"]], ["c"], ["x"])
     assert [tuple(r.codes) for r in bins.add(df).collect()] == [(1, 2), (2, 0), (0, 3), (0, 1), (2, 2)]
     assert bins.shape == t.Shape((3, 4), 1)
+
+
+def test_trees_are_stored_in_few_bytes(rows):
+    grower, train = _grower(rows, 12, 15)
+    trees = grower.fit(train).trees
+    stored = sum((F.length(c) for c, kind in trees.dtypes if kind == "binary"), F.lit(0))
+    size = trees.agg(F.sum(stored).alias("bytes"), (F.sum(F.length("feature")) / 2).alias("nodes")).first()
+    assert size["nodes"] > 500 and size["bytes"] < 12 * size["nodes"]
+
+
+def test_rows_are_copied_for_tasks_and_nodes_are_dealt_in_waves(spark, rows, monkeypatch):
+    dealt, below = [], t._below
+    monkeypatch.setattr(t, "_below", lambda points, g, tops: dealt.append(len(tops)) or below(points, g, tops))
+    grower, train = _grower(rows, 24, 4, group_rows=150)
+    model = grower.fit(train)
+    assert sum(dealt) == 24 and max(dealt) <= 10
+    assert len(_scores(model, rows)) == 440
+    copies = t.copies_of(spark, 50)
+    assert copies == min(50, 2 * spark.sparkContext.defaultParallelism)
+    assert spark.range(7).transform(lambda d: t.copied(d.withColumn("slice", F.lit(0)), copies, 1)).count() == 7 * copies
+
+
+def test_parts_are_read_as_they_were_stored(rows):
+    rng = np.random.default_rng(4)
+    shape = t.Shape((5, 300, 9), 1)
+    codes = np.stack([rng.integers(0, w, 500) for w in shape.widths])
+    tree = t.grow(codes, np.ones(500), rng.integers(0, 90, 500).astype(float), shape, t.TreeParams(12), 0)
+    read = t._part(t.part_row(0, 0, 1, tree, shape), shape)
+    assert (t.route(read, codes) == t.route(tree, codes)).all() and (t.evaluate({1: read}, codes) == t.evaluate({1: tree}, codes)).all()
+
+
+@pytest.mark.parametrize("n", [30, 400, 3000])
+def test_sparse_splits_are_those_of_histograms(n):
+    rng = np.random.default_rng(n)
+    shape = t.Shape((4, 7, 90, 128), 2)
+    codes = np.stack([rng.integers(0, w, n) for w in shape.widths])
+    at, s = rng.integers(0, 5, n), rng.integers(-50, 50, n).astype(float)
+    at[:5] = range(5)
+    w = np.ones(n)
+    for p in (t.TreeParams(5), t.TreeParams(5, min_rows=3, fraction=0.5, seed=2)):
+        paths = np.arange(32, 37)
+        a = t._sparse_splits(codes, at, w, s, paths, shape, p, 3)
+        b = t.best_splits(lambda k: t._sums(codes[k], at, 5, shape.widths[k], w, s), paths, shape, p, 3)
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
