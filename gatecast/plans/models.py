@@ -58,7 +58,7 @@ class GbtParams:
 
     The jobs train with ``REFERENCE_FULL`` / ``REFERENCE_NO_WEATHER``: the
     reference's rounds, learning rate, depth, leaf size and feature fraction.
-    These small defaults are for registered queries and tests.  With a
+    These small defaults are for the registered fits and tests; the search has ``tuning.SEARCH``.  With a
     validation column, boosting stops at the first round whose gain is below
     ``validation_tol``; the reference waits ten rounds without any gain, which
     MLlib cannot, so the tolerance is near 0.

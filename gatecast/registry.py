@@ -445,10 +445,9 @@ def requests_of_repeated_rows(spark, sf_dir):
 
 
 # ---- models: keys, variants and checks that the predictions must pass ------------------
-# Boosting rounds of registered queries; jobs and CLI use the reference's 1000.
+# Boosting rounds of registered fits; jobs and CLI, and the search, use the reference's 1000.
 
 QUERY_ROUNDS = 20
-SEARCH_ROUNDS = 2
 
 
 def _training_features(spark, sf_dir) -> DataFrame:
@@ -544,12 +543,12 @@ def fit_random_forest(spark, sf_dir):
 
 @query
 def tune_random_search(spark, sf_dir):
-    """Seeded random search per airport, both variants with the reference's numbers of trials."""
+    """Seeded random search per airport, both variants with the reference's numbers of trials, rounds and patience."""
     from gatecast.plans.jobs import distinct_airports
-    from gatecast.plans.models import FULL, NO_WEATHER, GbtParams
-    from gatecast.plans.tuning import EVALS_FULL, EVALS_NO_WEATHER, tune_per_airport
+    from gatecast.plans.models import FULL, NO_WEATHER
+    from gatecast.plans.tuning import EVALS_FULL, EVALS_NO_WEATHER, SEARCH, tune_per_airport
     f = _training_features(spark, sf_dir)
-    parts = [tune_per_airport(f, distinct_airports(f), v, n, GbtParams(max_iter=SEARCH_ROUNDS))
+    parts = [tune_per_airport(f, distinct_airports(f), v, n, SEARCH)
              for v, n in ((FULL, EVALS_FULL), (NO_WEATHER, EVALS_NO_WEATHER))]
     trials = parts[0].unionByName(parts[1])
     per = trials.groupBy("airport", "variant").agg(

@@ -160,3 +160,37 @@ def test_stream_restart_does_not_duplicate(spark, trained):
         q.awaitTermination()
         assert q.exception() is None
         assert spark.read.parquet(out_dir).count() == requests.count()
+
+
+def test_the_search_makes_the_references_rounds(spark, monkeypatch):
+    from gatecast import registry
+    from gatecast.plans import tuning
+    asked = []
+
+    def tuned(features, airports, variant, n_evals, base=None, **kw):
+        asked.append((variant.name, n_evals, base.max_iter, kw.get("patience", tuning.PATIENCE)))
+        return spark.createDataFrame([], tuning.TRIAL_SCHEMA)
+
+    monkeypatch.setattr(tuning, "tune_per_airport", tuned)
+    registry.queries()["tune_random_search"](spark, SF)
+    assert asked == [("full", 25, 1000, 10), ("na", 10, 1000, 10)]
+
+
+@pytest.mark.parametrize("group_rows", [1000, 120])
+def test_a_trial_ends_with_patience_and_keeps_its_best_rounds(spark, group_rows):
+    from gatecast.plans.trees import Shape
+    from gatecast.plans.tuning import boost_side_by_side
+    made = [(i, [i % 5, (i * 7) % 40], float((i % 5) * 9 + (i * i) % 23), float(i % 4 == 3)) for i in range(300)]
+    points = spark.createDataFrame(made, "h long, codes array<smallint>, y double, held double")
+    draws = [{"step_size": s, "max_depth": 4, "feature_fraction": 1.0, "min_instances_per_node": m} for s, m in ((0.15, 4), (0.9, 1))]
+
+    def run(rounds, patience=None, **kw):
+        return boost_side_by_side(points, Shape((6, 41), 1), draws, GbtParams(max_iter=rounds), 300, 1, patience, group_rows=group_rows, **kw)[0]
+
+    found = run(40, 2)
+    for k, (kept, learnt, held) in found.items():
+        assert 1 <= kept < 38
+        assert run(kept)[k] == pytest.approx((kept, learnt, held))
+    assert found[0][0] > 2 and found[0][2] < run(2)[0][2]
+    _, trees = boost_side_by_side(points, Shape((6, 41), 1), draws[:1], GbtParams(max_iter=found[0][0]), 300, 0, keep_trees=True, group_rows=group_rows)
+    assert trees.select("model").distinct().count() == found[0][0]
